@@ -54,3 +54,260 @@ def batch_variants(spark, sf_dir):
 @query
 def formulations_flat(spark, sf_dir):
     return render_formulations(V.formulations(domain(spark, sf_dir)))
+
+
+# ---- search, paging, lineage (L4-L18) ----------------------------------------------------
+from batchtrace.functions import codes as C  # noqa: E402
+from batchtrace.functions import hashing as H  # noqa: E402
+from batchtrace.functions import text as TX  # noqa: E402
+from batchtrace.operators import aggregates as A, paging as O  # noqa: E402
+from batchtrace.plans import lineage as LN  # noqa: E402
+
+# Fixed query parameters of the registered examples.
+SKU_TEXT = "_001"
+PAGE_NO, PAGE_SIZE = 3, 50
+
+
+@query
+def formulations_search(spark, sf_dir):
+    """L4 + P4/K4: formulations whose SKU-list JSON text contains a search string."""
+    return render_formulations(LN.formulations_search(domain(spark, sf_dir), sku=SKU_TEXT))
+
+
+@query
+def formulations_page(spark, sf_dir):
+    """L4 + O2: page 3 (50 rows) newest first."""
+    rows, _ = LN.formulations_page(domain(spark, sf_dir), page_no=PAGE_NO, size=PAGE_SIZE)
+    return render_formulations(rows)
+
+
+@query
+def formulations_total(spark, sf_dir):
+    """A5 + O6: total formulations with SKU filter, with page flags."""
+    _, tot = LN.formulations_page(domain(spark, sf_dir), sku=SKU_TEXT, page_no=PAGE_NO, size=PAGE_SIZE)
+    return O.page_flags(tot, PAGE_NO, PAGE_SIZE)
+
+
+@query
+def formulations_by_batch(spark, sf_dir):
+    """Where-used of every stored batch."""
+    return LN.formulations_by_batch(domain(spark, sf_dir)).select(
+        "sku", "ingredient_batch_code", "set_code", "weight_code", "batch_variant_code", "base_code", "created_at")
+
+
+@query
+def sku_summary_formulations(spark, sf_dir):
+    return LN.sku_summary_formulations(domain(spark, sf_dir))
+
+
+@query
+def sku_summary_bags(spark, sf_dir):
+    return LN.sku_summary_bags(domain(spark, sf_dir))
+
+
+@query
+def bag_detail(spark, sf_dir):
+    return LN.bag_detail(domain(spark, sf_dir)).select(
+        "pellet_bag_id", "pellet_bag_code", "compounding_how_code", "location_code", "failure_mode",
+        "location_partner_code", "compounding_partner_name", "machine", "formulation_base_code")
+
+
+@query
+def how_detail(spark, sf_dir):
+    return LN.how_detail(domain(spark, sf_dir)).select(
+        "processing_code", "location_code", "failure_mode", "pellet_bag_code", "product_type", "bag_mass_kg")
+
+
+@query
+def batch_selection_detail(spark, sf_dir):
+    return LN.batch_selection_detail(domain(spark, sf_dir)).select(
+        "base_code", "location_id", "partner_code", "production_date", "processing_code", "pellet_bag_code")
+
+
+LOCATION_Q = "aa"
+
+
+@query
+def location_page(spark, sf_dir):
+    """Location codes containing 'aa', page 1 with partner labels."""
+    rows, _ = O.page(LN.location_rows(domain(spark, sf_dir), spark, LOCATION_Q), "location_codes", 1, PAGE_SIZE)
+    return rows.select("location_id", "partner_code", "partner_name", "machine_specification", "created_at")
+
+
+@query
+def location_labels(spark, sf_dir):
+    """J15 + J16 over every location code (no paging)."""
+    return LN.location_rows(domain(spark, sf_dir), spark).select(
+        "location_id", "partner_code", "partner_name", "machine_specification")
+
+
+@query
+def context_page(spark, sf_dir):
+    """Contexts containing ' pf ', page 2 with partner labels."""
+    rows, _ = O.page(LN.context_rows(domain(spark, sf_dir), " pf "), "contexts", 2, PAGE_SIZE)
+    return rows.select(F.col("context_code").alias("conversion_code"), F.col("created_by").alias("owner"),
+                       "created_at", "conversion_partner")
+
+
+@query
+def conversion_how_page(spark, sf_dir):
+    rows, _ = O.page(LN.conversion_how_rows(domain(spark, sf_dir), "ab"), "conversion_hows", 1, PAGE_SIZE)
+    return rows.select("conversion1_how_code", "context_code", "process_code", "failure_mode", "created_at")
+
+
+@query
+def products_page(spark, sf_dir):
+    """Active products whose code contains '0001', page 1 of 200."""
+    rows, _ = O.page(LN.product_rows(domain(spark, sf_dir), q="0001"), "products", 1, 200)
+    return rows.select("product_code", "conversion1_how_code", "product_suffix", "storage_location",
+                       "tensile_rigid_status", "tensile_films_status", "created_at")
+
+
+@query
+def bags_search(spark, sf_dir):
+    """Active bags whose code LIKE '%pf 000%' (case-insensitive)."""
+    return LN.bag_rows(domain(spark, sf_dir), "pf 000").select(
+        "pellet_bag_id", "pellet_bag_code", "compounding_how_code", "product_type", "sequence_number",
+        "bag_mass_kg", "remaining_mass_kg", "qc_status", "created_at")
+
+
+@query
+def ingredients_search(spark, sf_dir):
+    """LIKE 'ring' over sku/trade name/supplier, format = Powder, sorted (O1)."""
+    return O.sort_listing(LN.ingredient_rows(domain(spark, sf_dir), "ring", {"format": "Powder"}), "ingredients") \
+        .select("sku", "category_code", "seq", "pack_size_value", "trade_name_inci", "supplier", "spec_grade")
+
+
+@query
+def batches_page(spark, sf_dir):
+    """Live (not archived) batches, page 2 of 100."""
+    rows, _ = O.page(LN.batch_rows(domain(spark, sf_dir)), "batches", 2, 100)
+    return rows.select("sku", "ingredient_batch_code", "archived", "quantity_value", "created_at")
+
+
+def _status_query(col):
+    def fn(spark, sf_dir):
+        return LN.status_queue(domain(spark, sf_dir), col)
+    fn.__name__ = f"status_queue_{col.replace('_status', '')}"
+    fn.__doc__ = f"L13: newest 25 open items of {col}."
+    return fn
+
+
+for _c in ["qc_status", "long_moisture_status", "density_status", "injection_moulding_status",
+           "film_forming_status"]:
+    query(_status_query(_c))
+
+
+@query
+def dashboard_kpis(spark, sf_dir):
+    return LN.dashboard_kpis(domain(spark, sf_dir))
+
+
+@query
+def dependency_counts(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    return A.dependency_counts(t.dry_weight_variants, t.batch_variants, t.location_codes)
+
+
+@query
+def distinct_formulations(spark, sf_dir):
+    return LN.lookup_list(domain(spark, sf_dir), spark, "formulation_codes")
+
+
+@query
+def partner_registry(spark, sf_dir):
+    """J15 + S2: custom partners overlaid on the defaults."""
+    return LN.lookup_list(domain(spark, sf_dir), spark, "partners")
+
+
+@query
+def partner_machine_options(spark, sf_dir):
+    return LN.lookup_list(domain(spark, sf_dir), spark, "partner_machine_options")
+
+
+@query
+def bag_code_list(spark, sf_dir):
+    return LN.lookup_list(domain(spark, sf_dir), spark, "bag_codes")
+
+
+@query
+def recipe_lines(spark, sf_dir):
+    return LN.recipe_lines(domain(spark, sf_dir))
+
+
+def _matrix_text(df, keys):
+    return df.select(*keys, F.array_join("columns", ",").alias("columns_text"),
+                     F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells_text"))
+
+
+@query
+def weight_matrix(spark, sf_dir):
+    return _matrix_text(LN.weight_matrix(domain(spark, sf_dir)), ["set_code", "weight_code"])
+
+
+@query
+def batch_matrix(spark, sf_dir):
+    return _matrix_text(LN.batch_matrix(domain(spark, sf_dir)), LN.FORM_KEYS)
+
+
+@query
+def batch_candidates(spark, sf_dir):
+    return LN.batch_candidates(domain(spark, sf_dir))
+
+
+@query
+def next_code_per_context(spark, sf_dir):
+    """A10: next process code per conversion context."""
+    return A.next_code_per_context(domain(spark, sf_dir).conversion1_how)
+
+
+@query
+def next_compounding_suffix(spark, sf_dir):
+    """A11."""
+    return A.next_suffix(domain(spark, sf_dir).compounding_how)
+
+
+@query
+def query_cost_rollup(spark, sf_dir):
+    r = A.query_cost_rollup(domain(spark, sf_dir).query_log)
+    return r.select("request_id", F.round("query_ms", 2).alias("query_ms"), "query_count")
+
+
+@query
+def parse_sku(spark, sf_dir):
+    """F3/F4 round trip: parse every SKU in its current and legacy (no '_') form."""
+    ing = domain(spark, sf_dir).ingredients.select("sku")
+    forms = ing.select("sku", F.lit("current").alias("form"), F.col("sku").alias("text")).unionByName(
+        ing.select("sku", F.lit("legacy").alias("form"), F.regexp_replace("sku", "_", "").alias("text")))
+    p = forms.select("sku", "form", "text", C.parse_sku("text").alias("p"))
+    return p.select("sku", "form", "text", "p.category_code", "p.seq", "p.pack_size_value", "p.error",
+                    C.format_sku("p.category_code", "p.seq", "p.pack_size_value").alias("formatted"))
+
+
+@query
+def weight_hash(spark, sf_dir):
+    """F16: recompute every weight-variant hash from its items and compare."""
+    w = V.weights(domain(spark, sf_dir))
+    h = H.hash_weights("items")
+    return w.select("set_code", "weight_code", "weight_hash", h.alias("computed_hash"),
+                    (h == F.col("weight_hash")).alias("matches"))
+
+
+@query
+def set_hash_check(spark, sf_dir):
+    """F16: recompute every set hash from its SKU list."""
+    s = V.sets(domain(spark, sf_dir))
+    return s.select("set_code", "set_hash", H.hash_set("sku_list").alias("computed_hash"))
+
+
+@query
+def misplaced_sku_repair(spark, sf_dir):
+    """F25 over every set, in its stored form and in a misplaced form (SKUs written into
+    the workstream text, list empty)."""
+    s = V.sets(domain(spark, sf_dir)).select("set_code", "sku_list", "material_workstream")
+    bad = s.select("set_code", F.array().cast("array<string>").alias("sku_list"),
+                   F.array_join("sku_list", ", ").alias("material_workstream"))
+    both = s.withColumn("variant", F.lit("stored")).unionByName(bad.withColumn("variant", F.lit("misplaced")))
+    skus, ws = TX.misplaced_sku_repair("sku_list", "material_workstream")
+    return both.select("set_code", "variant", F.array_join(skus, ",").alias("sku_list_text"),
+                       ws.alias("material_workstream"))

@@ -51,7 +51,10 @@ def views_with(sql: str) -> str:
             defs.append(f"{name} AS ({body.strip()})")
     if not defs:
         return with_tables(sql)
-    return with_tables("WITH " + ",\n".join(defs) + "\n" + sql.strip())
+    sql = sql.strip()
+    if sql.upper().startswith("WITH "):
+        return with_tables("WITH " + ",\n".join(defs) + ",\n" + sql[5:])
+    return with_tables("WITH " + ",\n".join(defs) + "\n" + sql)
 
 
 def pairs(items: str, a: str, b: str) -> str:
@@ -91,3 +94,238 @@ SELECT set_code, weight_code, batch_variant_code, base_code, created_at, created
        {pairs('batch_items', 'sku', 'ingredient_batch_code')} AS batch_items_text,
        {pairs('dry_weight_items', 'sku', 'wt_percent')} AS dry_weight_items_text
 FROM v_flat""")
+
+
+# ---- search, paging, lineage ---------------------------------------------------------------
+from batchtrace.sources import registries as _R  # noqa: E402
+from batchtrace.plans.oracle_tables import lit as _lit  # noqa: E402
+
+FLAT_TEXT = f"""set_code, weight_code, batch_variant_code, base_code, created_at, created_by, sku_count,
+       {skus('sku_list')} AS sku_list_text,
+       {pairs('batch_items', 'sku', 'ingredient_batch_code')} AS batch_items_text,
+       {pairs('dry_weight_items', 'sku', 'wt_percent')} AS dry_weight_items_text"""
+SKU_PRED = "contains(lower(to_json(sku_list)), '_001')"
+FORM_ORDER = ("created_at DESC NULLS LAST, set_code DESC NULLS LAST, weight_code DESC NULLS LAST, "
+              "batch_variant_code DESC NULLS LAST")
+SEEDS = "(VALUES " + ", ".join(f"({_lit(c)}, {_lit(n)}, '')" for c, n in _R.DEFAULT_PARTNERS) + \
+        ") AS s(partner_code, partner_name, machine_specification)"
+REGISTRY = f"""(SELECT partner_code, partner_name, machine_specification FROM location_partners
+  UNION ALL SELECT * FROM {SEEDS} WHERE s.partner_code NOT IN (SELECT partner_code FROM location_partners))"""
+TOK = "string_split({0}, ' ')[{1}]"
+
+register("formulations_search", f"SELECT {FLAT_TEXT} FROM v_flat WHERE {SKU_PRED}")
+register("formulations_page", f"SELECT {FLAT_TEXT} FROM v_flat ORDER BY {FORM_ORDER} LIMIT 50 OFFSET 100")
+register("formulations_total", f"""
+SELECT count(*) AS total, TRUE AS has_prev, 150 < count(*) AS has_next, 3 AS page, 50 AS page_size
+FROM v_flat WHERE {SKU_PRED}""")
+register("formulations_by_batch", """
+SELECT DISTINCT p.sku, p.ingredient_batch_code, f.set_code, f.weight_code, f.batch_variant_code, f.base_code,
+       f.created_at
+FROM (SELECT f.*, unnest(f.batch_items) AS bi FROM v_flat f) f
+JOIN (SELECT DISTINCT sku, ingredient_batch_code FROM ingredient_batches) p
+  ON p.sku = f.bi.sku AND p.ingredient_batch_code = f.bi.ingredient_batch_code""")
+register("sku_summary_formulations", """
+SELECT DISTINCT i.sku AS requested_sku, f.set_code, f.weight_code, f.batch_variant_code, f.base_code, f.created_at
+FROM ingredients i JOIN (SELECT f.*, unnest(f.sku_list) AS s FROM v_flat f) f ON f.s = i.sku""")
+register("sku_summary_bags", f"""
+SELECT DISTINCT i.sku AS requested_sku, p.pellet_bag_id, p.pellet_bag_code, p.compounding_how_code,
+       p.updated_at, p.created_at
+FROM pellet_bags p
+JOIN compounding_how c ON c.processing_code = p.compounding_how_code
+JOIN (SELECT f.set_code, f.weight_code, f.batch_variant_code, unnest(f.sku_list) AS s FROM v_flat f) f
+  ON f.set_code = {TOK.format('c.location_code', 1)} AND f.weight_code = {TOK.format('c.location_code', 2)}
+ AND f.batch_variant_code = {TOK.format('c.location_code', 3)}
+JOIN ingredients i ON lower(f.s) = lower(i.sku)
+WHERE p.is_active""")
+register("bag_detail", f"""
+SELECT p.pellet_bag_id, p.pellet_bag_code, p.compounding_how_code, c.location_code, c.failure_mode,
+       lc.partner_code AS location_partner_code, lp.partner_name AS compounding_partner_name,
+       coalesce(lp.machine_specification, lc.partner_code) AS machine, f.base_code AS formulation_base_code
+FROM pellet_bags p
+LEFT JOIN (SELECT * FROM compounding_how WHERE is_active) c ON c.processing_code = p.compounding_how_code
+LEFT JOIN (SELECT * FROM location_codes
+           QUALIFY row_number() OVER (PARTITION BY location_id ORDER BY created_at DESC) = 1) lc
+  ON lc.location_id = c.location_code
+LEFT JOIN location_partners lp ON lp.partner_code = lc.partner_code
+LEFT JOIN v_flat f ON f.set_code = {TOK.format('c.location_code', 1)}
+ AND f.weight_code = {TOK.format('c.location_code', 2)} AND f.batch_variant_code = {TOK.format('c.location_code', 3)}
+WHERE p.is_active""")
+register("how_detail", """
+SELECT c.processing_code, c.location_code, c.failure_mode, b.pellet_bag_code, b.product_type, b.bag_mass_kg
+FROM (SELECT * FROM compounding_how WHERE is_active) c
+LEFT JOIN (SELECT * FROM pellet_bags WHERE is_active) b ON b.compounding_how_code = c.processing_code""")
+register("batch_selection_detail", """
+SELECT f.base_code, l.location_id, l.partner_code, l.production_date, c.processing_code, b.pellet_bag_code
+FROM v_flat f
+LEFT JOIN location_codes l ON l.set_code = f.set_code AND l.weight_code = f.weight_code
+ AND l.batch_variant_code = f.batch_variant_code
+LEFT JOIN (SELECT * FROM compounding_how WHERE is_active) c ON c.location_code = l.location_id
+LEFT JOIN (SELECT * FROM pellet_bags WHERE is_active) b ON b.compounding_how_code = c.processing_code""")
+LOC_ROWS = f"""
+SELECT l.location_id, l.partner_code, coalesce(nullif(r.partner_name, ''), 'Unknown') AS partner_name,
+       coalesce(nullif(r.machine_specification, ''), '') AS machine_specification, l.created_at
+FROM location_codes l LEFT JOIN {REGISTRY} r ON r.partner_code = l.partner_code"""
+register("location_page", f"""
+SELECT * FROM ({LOC_ROWS}) x WHERE contains(lower(location_id), 'aa')
+ORDER BY created_at DESC NULLS LAST, location_id DESC NULLS LAST LIMIT 50""")
+register("location_labels", f"SELECT location_id, partner_code, partner_name, machine_specification FROM ({LOC_ROWS}) x")
+register("context_page", """
+SELECT c.context_code AS conversion_code, c.created_by AS owner, c.created_at,
+       coalesce(lp.partner_name, c.partner_code, '') || ' - ' || coalesce(c.machine_code, '') AS conversion_partner
+FROM conversion1_context c LEFT JOIN location_partners lp ON lp.partner_code = c.partner_code
+WHERE c.is_active AND contains(lower(c.context_code), ' pf ')
+ORDER BY c.created_at DESC NULLS LAST, c.context_code DESC NULLS LAST LIMIT 50 OFFSET 50""")
+register("conversion_how_page", """
+SELECT conversion1_how_code, context_code, process_code, failure_mode, created_at FROM conversion1_how
+WHERE contains(lower(conversion1_how_code), 'ab')
+ORDER BY created_at DESC NULLS LAST, conversion1_how_code DESC NULLS LAST LIMIT 50""")
+register("products_page", """
+SELECT product_code, conversion1_how_code, product_suffix, storage_location, tensile_rigid_status,
+       tensile_films_status, created_at
+FROM conversion1_products WHERE is_active AND contains(lower(product_code), '0001')
+ORDER BY created_at DESC NULLS LAST, product_code DESC NULLS LAST LIMIT 200""")
+register("bags_search", """
+SELECT pellet_bag_id, pellet_bag_code, compounding_how_code, product_type, sequence_number, bag_mass_kg,
+       remaining_mass_kg, qc_status, created_at
+FROM pellet_bags WHERE is_active AND lower(pellet_bag_code) LIKE '%pf 000%'""")
+register("ingredients_search", """
+SELECT sku, category_code, seq, pack_size_value, trade_name_inci, supplier, spec_grade FROM ingredients
+WHERE (lower(sku) LIKE '%ring%' OR lower(trade_name_inci) LIKE '%ring%' OR lower(supplier) LIKE '%ring%')
+  AND format = 'Powder'""")
+register("batches_page", """
+SELECT sku, ingredient_batch_code, archived, quantity_value, created_at FROM ingredient_batches
+WHERE NOT coalesce(archived, FALSE)
+ORDER BY created_at DESC NULLS LAST, sku ASC NULLS FIRST, ingredient_batch_code ASC NULLS FIRST
+LIMIT 100 OFFSET 100""")
+
+
+def _queue(col: str) -> str:
+    a = _R.STATUS_ASSIGNEE[col]
+    who = f"coalesce({a}, created_by)" if a else "created_by"
+    excluded = ", ".join(_lit(x) for x in _R.QUEUE_EXCLUDED_STATUSES)
+    return f"""
+SELECT pellet_bag_id, pellet_bag_code, {col} AS status_value,
+       CASE WHEN trim({col}) = 'Recieved' THEN 'Received' ELSE nullif(trim({col}), '') END AS status_label,
+       {who} AS assigned_to, updated_at, created_at
+FROM pellet_bags
+WHERE is_active AND {col} IS NOT NULL AND trim({col}) <> '' AND lower(trim({col})) NOT IN ({excluded})
+ORDER BY coalesce(updated_at, created_at) DESC, pellet_bag_code DESC LIMIT 25"""
+
+
+for _c in ["qc_status", "long_moisture_status", "density_status", "injection_moulding_status",
+           "film_forming_status"]:
+    register(f"status_queue_{_c.replace('_status', '')}", _queue(_c))
+
+register("dashboard_kpis", """
+SELECT (SELECT count(*) FROM ingredients WHERE is_active) AS sku_count,
+       (SELECT count(*) FROM pellet_bags WHERE is_active) AS active_pellet_bags,
+       (SELECT coalesce(sum(bag_mass_kg), 0.0) FROM pellet_bags WHERE is_active) AS total_pellets_produced_kg""")
+register("dependency_counts", """
+SELECT set_code, count(*) AS n, 'dry_weight_variants' AS source FROM dry_weight_variants GROUP BY set_code
+UNION ALL SELECT set_code, count(*), 'batch_variants' FROM batch_variants GROUP BY set_code
+UNION ALL SELECT set_code, count(*), 'location_codes' FROM location_codes GROUP BY set_code""")
+register("distinct_formulations", "SELECT DISTINCT set_code, weight_code, batch_variant_code FROM v_flat")
+register("partner_registry", f"SELECT * FROM {REGISTRY} r")
+register("partner_machine_options", """
+SELECT partner_code, partner_name, machine_specification AS machine_code,
+       nullif(trim(partner_code), '') || '||' || nullif(trim(machine_specification), '') AS option_key,
+       coalesce(nullif(trim(partner_name), '') || ' (' || nullif(trim(machine_specification), '') || ')',
+                nullif(trim(partner_name), '')) AS label
+FROM location_partners
+WHERE nullif(trim(partner_code), '') || '||' || nullif(trim(machine_specification), '') IS NOT NULL""")
+register("bag_code_list", """
+SELECT DISTINCT trim(pellet_bag_code) AS pellet_bag_code FROM pellet_bags
+WHERE is_active AND trim(pellet_bag_code) <> ''""")
+
+
+def _pct(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN '' WHEN CAST({x} AS DOUBLE) = floor(CAST({x} AS DOUBLE)) "
+            f"THEN CAST(CAST(floor(CAST({x} AS DOUBLE)) AS BIGINT) AS VARCHAR) || '%' "
+            f"ELSE printf('%.2f%%', CAST({x} AS DOUBLE)) END")
+
+
+register("recipe_lines", f"""
+SELECT f.set_code, f.weight_code, f.batch_variant_code, f.base_code,
+       coalesce(u.pos - 1, 0) AS position, coalesce(u.sku, '—') AS sku,
+       coalesce(list_filter(f.batch_items, lambda x: x.sku = u.sku)[1].ingredient_batch_code, '') AS ingredient_batch_code,
+       strftime(f.created_at, '%H:%M:%S  - %d/%m/%Y') AS created_display,
+       coalesce(nullif(trim(f.created_by), ''), 'Unknown') AS owner,
+       {_pct('f.dry_weight_items[u.pos].wt_percent')} AS wt_display
+FROM v_flat f
+LEFT JOIN LATERAL (SELECT unnest(f.sku_list) AS sku, unnest(range(1, len(f.sku_list) + 1)) AS pos) u ON TRUE""")
+
+
+def _matrix(view: str, keys: list[str], scope: list[str], value: str) -> str:
+    k = ", ".join(f"v.{c}" for c in keys)
+    on = " AND ".join(f"c.{s} = v.{s}" for s in scope)
+    sc = ", ".join(scope)
+    return f"""
+SELECT {k}, array_to_string(c.columns, ',') AS columns_text,
+       array_to_string(list_transform(c.columns, lambda s: coalesce(
+           CAST(list_filter(v.items, lambda x: x.sku = s)[-1].{value} AS VARCHAR), '')), '|') AS cells_text
+FROM {view} v JOIN (
+  SELECT {sc}, list_sort(list_distinct(flatten(list(list_transform(items, lambda x: x.sku))))) AS columns
+  FROM {view} GROUP BY {sc}) c ON {on}"""
+
+
+register("weight_matrix", _matrix("v_weights", ["set_code", "weight_code"], ["set_code"], "wt_percent"))
+register("batch_matrix", _matrix("v_batches", ["set_code", "weight_code", "batch_variant_code"],
+                                 ["set_code", "weight_code"], "ingredient_batch_code"))
+register("batch_candidates", """
+SELECT w.sku, w.set_code, w.weight_code, b.ingredient_batch_code
+FROM (SELECT set_code, weight_code, unnest(items).sku AS sku FROM v_weights) w
+LEFT JOIN (SELECT sku, ingredient_batch_code FROM ingredient_batches
+           WHERE is_active AND NOT coalesce(archived, FALSE)) b ON b.sku = w.sku""")
+_ci = "(CASE WHEN regexp_full_match(upper(trim({0})), '[A-Z]{{2}}') THEN " \
+      "CAST((ascii(upper(trim({0}))) - 65) * 26 + ascii(substr(upper(trim({0})), 2, 1)) - 65 AS BIGINT) END)"
+register("next_code_per_context", f"""
+SELECT context_code, max_code, coalesce(max_code + 1, 1) AS next_value,
+       CASE WHEN coalesce(max_code + 1, 1) BETWEEN 0 AND 675 THEN
+         chr(CAST(65 + coalesce(max_code + 1, 1) // 26 AS INTEGER)) || chr(CAST(65 + coalesce(max_code + 1, 1) % 26 AS INTEGER))
+       END AS next_code
+FROM (SELECT context_code, max({_ci.format('process_code')}) AS max_code FROM conversion1_how GROUP BY context_code)""")
+register("next_compounding_suffix", f"""
+SELECT max_suffix, CASE WHEN n BETWEEN 0 AND 675 THEN chr(CAST(65 + n // 26 AS INTEGER)) || chr(CAST(65 + n % 26 AS INTEGER)) END
+         AS next_suffix
+FROM (SELECT max_suffix, coalesce({_ci.format('max_suffix')} + 1, 0) AS n
+      FROM (SELECT max(process_code_suffix) AS max_suffix FROM compounding_how))""")
+register("query_cost_rollup", """
+SELECT request_id, round(sum(greatest(elapsed_ms, 0.0)), 2) AS query_ms, count(*) AS query_count
+FROM query_log GROUP BY request_id""")
+register("parse_sku", """
+WITH f AS (SELECT sku, 'current' AS form, sku AS text FROM ingredients
+           UNION ALL SELECT sku, 'legacy', replace(sku, '_', '') FROM ingredients),
+p AS (SELECT sku, form, text,
+        CASE WHEN strpos(text, '_') > 0 THEN
+               CASE WHEN len(string_split(text, '_')) = 3 THEN TRY_CAST(string_split(text, '_')[1] AS BIGINT) END
+             WHEN length(text) >= 6 THEN TRY_CAST(substr(text, 1, 1) AS BIGINT) END AS c,
+        CASE WHEN strpos(text, '_') > 0 THEN
+               CASE WHEN len(string_split(text, '_')) = 3 THEN TRY_CAST(string_split(text, '_')[2] AS BIGINT) END
+             WHEN length(text) >= 6 THEN TRY_CAST(substr(text, 2, 4) AS BIGINT) END AS s,
+        CASE WHEN strpos(text, '_') > 0 THEN
+               CASE WHEN len(string_split(text, '_')) = 3 THEN TRY_CAST(string_split(text, '_')[3] AS BIGINT) END
+             WHEN length(text) >= 6 THEN TRY_CAST(substr(text, 6) AS BIGINT) END AS k
+      FROM f)
+SELECT sku, form, text, c AS category_code, s AS seq, k AS pack_size_value,
+       CASE WHEN c IS NULL OR s IS NULL OR k IS NULL THEN 'sku parts must be integers' END AS error,
+       printf('%d_%04d_%d', c, s, k) AS formatted
+FROM p""")
+register("weight_hash", """
+SELECT set_code, weight_code, weight_hash, computed_hash, computed_hash = weight_hash AS matches FROM (
+  SELECT set_code, weight_code, weight_hash,
+         sha256(array_to_string(list_transform(items, lambda x: x.sku || '=' ||
+                CAST(CAST(x.wt_percent AS DECIMAL(38,2)) AS VARCHAR)), '|')) AS computed_hash
+  FROM v_weights)""")
+register("set_hash_check", """
+SELECT set_code, set_hash, sha256(array_to_string(sku_list, '|')) AS computed_hash FROM v_sets""")
+register("misplaced_sku_repair", """
+WITH b AS (SELECT set_code, 'stored' AS variant, sku_list, material_workstream FROM v_sets
+           UNION ALL SELECT set_code, 'misplaced', []::VARCHAR[], array_to_string(sku_list, ', ') FROM v_sets),
+t AS (SELECT *, list_filter(list_transform(string_split(coalesce(material_workstream, ''), ','), lambda x: trim(x)),
+                            lambda x: x <> '') AS toks,
+             list_filter(coalesce(sku_list, []::VARCHAR[]), lambda x: x IS NOT NULL AND x <> '') AS skus FROM b),
+m AS (SELECT *, len(skus) = 0 AND len(toks) > 1
+                AND list_bool_and(list_transform(toks, lambda x: regexp_matches(x, '\\d_\\d{4}_\\d{2}'))) AS mv FROM t)
+SELECT set_code, variant, array_to_string(CASE WHEN mv THEN toks ELSE sku_list END, ',') AS sku_list_text,
+       CASE WHEN mv THEN '' ELSE material_workstream END AS material_workstream
+FROM m""")
