@@ -39,19 +39,20 @@ def distinct_formulations(forms: DataFrame) -> DataFrame:
 
 
 def next_code_per_context(hows: DataFrame, context_col: str = "context_code",
-                          code_col: str = "process_code", start: int = 1) -> DataFrame:
-    """A10: next two-letter code per context = max parsed code + 1 over all rows
-    (unparsable codes skipped; contexts with none start at ``start``)."""
-    g = hows.groupBy(context_col).agg(F.max(C.code_to_int(code_col)).alias("max_code"))
-    nxt = F.coalesce(F.col("max_code") + 1, F.lit(start))
+                          code_col: str = "processing_code", start: int = 1) -> DataFrame:
+    """A10: next two-letter code per context = max(start - 1, highest parsable code of the
+    context's active rows) + 1, over all rows (unparsable codes skipped)."""
+    g = active(hows).where(F.col(code_col).isNotNull()) \
+        .groupBy(context_col).agg(F.max(C.code_to_int(code_col)).alias("max_code"))
+    nxt = F.greatest(F.coalesce(F.col("max_code"), F.lit(start - 1)), F.lit(start - 1)) + 1
     return g.select(context_col, "max_code", nxt.alias("next_value"), C.int_to_code(nxt).alias("next_code"))
 
 
 def next_suffix(hows: DataFrame) -> DataFrame:
-    """Highest suffix text and the next code after it (text order = code order for
-    two upper-case letters)."""
+    """Highest suffix text (descending text order) and the code after it; 'AB' when
+    there is none."""
     m = hows.agg(F.max("process_code_suffix").alias("max_suffix"))
-    nxt = F.coalesce(C.code_to_int("max_suffix") + 1, F.lit(0))
+    nxt = F.coalesce(C.code_to_int("max_suffix") + 1, F.lit(1))
     return m.select("max_suffix", C.int_to_code(nxt).alias("next_suffix"))
 
 

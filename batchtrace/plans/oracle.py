@@ -279,15 +279,16 @@ LEFT JOIN (SELECT sku, ingredient_batch_code FROM ingredient_batches
 _ci = "(CASE WHEN regexp_full_match(upper(trim({0})), '[A-Z]{{2}}') THEN " \
       "CAST((ascii(upper(trim({0}))) - 65) * 26 + ascii(substr(upper(trim({0})), 2, 1)) - 65 AS BIGINT) END)"
 register("next_code_per_context", f"""
-SELECT context_code, max_code, coalesce(max_code + 1, 1) AS next_value,
-       CASE WHEN coalesce(max_code + 1, 1) BETWEEN 0 AND 675 THEN
-         chr(CAST(65 + coalesce(max_code + 1, 1) // 26 AS INTEGER)) || chr(CAST(65 + coalesce(max_code + 1, 1) % 26 AS INTEGER))
-       END AS next_code
-FROM (SELECT context_code, max({_ci.format('process_code')}) AS max_code FROM conversion1_how GROUP BY context_code)""")
+SELECT context_code, max_code, greatest(coalesce(max_code, 0), 0) + 1 AS next_value,
+       CASE WHEN greatest(coalesce(max_code, 0), 0) + 1 BETWEEN 0 AND 675 THEN
+         chr(CAST(65 + (greatest(coalesce(max_code, 0), 0) + 1) // 26 AS INTEGER))
+         || chr(CAST(65 + (greatest(coalesce(max_code, 0), 0) + 1) % 26 AS INTEGER)) END AS next_code
+FROM (SELECT context_code, max({_ci.format('processing_code')}) AS max_code FROM conversion1_how
+      WHERE is_active AND processing_code IS NOT NULL GROUP BY context_code)""")
 register("next_compounding_suffix", f"""
 SELECT max_suffix, CASE WHEN n BETWEEN 0 AND 675 THEN chr(CAST(65 + n // 26 AS INTEGER)) || chr(CAST(65 + n % 26 AS INTEGER)) END
          AS next_suffix
-FROM (SELECT max_suffix, coalesce({_ci.format('max_suffix')} + 1, 0) AS n
+FROM (SELECT max_suffix, coalesce({_ci.format('max_suffix')} + 1, 1) AS n
       FROM (SELECT max(process_code_suffix) AS max_suffix FROM compounding_how))""")
 register("query_cost_rollup", """
 SELECT request_id, round(sum(greatest(elapsed_ms, 0.0)), 2) AS query_ms, count(*) AS query_count

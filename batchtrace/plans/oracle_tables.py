@@ -296,7 +296,7 @@ UNION ALL
 SELECT 'location_partner_code', '', greatest(max({code_to_int('partner_code')}) + 1, {R.PARTNER_CODE_START}),
        {T0_SQL} FROM location_partners
 UNION ALL
-SELECT 'pellet_bag_sequence', '', max(sequence_number) + 1, {T0_SQL} FROM pellet_bags""")
+SELECT 'pellet_bag_sequence', 'pellet_bag:global', max(sequence_number) + 1, {T0_SQL} FROM pellet_bags""")
 
 _cte("query_log", [], """
 SELECT CAST(user_id AS VARCHAR) AS request_id, value AS elapsed_ms, event_id AS query_id, ts AS logged_at

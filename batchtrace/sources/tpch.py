@@ -30,6 +30,7 @@ from batchtrace.sources import registries as R
 from batchtrace.sources.schemas import SCHEMAS, evolve
 
 SET_MODULUS = 500
+BAG_SCOPE = "pellet_bag:global"
 T0 = "2024-01-01 00:00:00"
 
 
@@ -395,7 +396,7 @@ class TpchDomain:
             F.lit("location_partner_code").alias("counter_name"), F.lit("").alias("scope"),
             F.greatest(F.col("m") + 1, F.lit(R.PARTNER_CODE_START)).alias("next_value"))
         bags = self.pellet_bags.agg(F.max("sequence_number").alias("m")).select(
-            F.lit("pellet_bag_sequence").alias("counter_name"), F.lit("").alias("scope"),
+            F.lit("pellet_bag_sequence").alias("counter_name"), F.lit(BAG_SCOPE).alias("scope"),
             (F.col("m") + 1).alias("next_value"))
         df = sets.unionByName(weights).unionByName(variants).unionByName(partners).unionByName(bags) \
             .withColumn("updated_at", ts)
