@@ -38,6 +38,16 @@ def _reject(df: DataFrame, rule: str, message: Column | str) -> DataFrame:
     return df.select("request_id", F.lit(rule).alias("rule"), msg.alias("message"))
 
 
+def _first_reject(*frames: DataFrame) -> DataFrame:
+    """Fail-fast reporting: frames are given in check order; each request keeps only its
+    first failed check (like a request handler that stops at the first error)."""
+    tagged = [f.select(*REJECT_COLS, F.lit(i).alias("_prec")) for i, f in enumerate(frames)]
+    u = tagged[0]
+    for f in tagged[1:]:
+        u = u.unionByName(f)
+    return O.first_per_key(u, ["request_id"], [("_prec", False), ("message", False)]).select(*REJECT_COLS)
+
+
 # ---- M1 / M2: counters ------------------------------------------------------------------
 
 def assign_scoped(df: DataFrame, scope: list[str], counters: DataFrame, counter_name: str, start: int,
@@ -146,7 +156,7 @@ def register_weights(requests: DataFrame, state, as_of, start: int = 1):
                                  "SKUs not in set: ", scope=["set_code"])
     bad_sum = _reject(known.where(Q.weight_sum_is_100("items") == F.lit(False)), "weight_sum",
                       "Weight percentages must sum to 100.00 after rounding")
-    rejects = no_set.unionByName(outside).unionByName(bad_sum)
+    rejects = _first_reject(no_set, outside, bad_sum)
     valid = known.join(rejects.select("request_id"), "request_id", "left_anti") \
                  .withColumn("content_hash", H.hash_weights("items"))
     existing = state["dry_weight_variants"].select("set_code", "weight_code",
@@ -190,8 +200,7 @@ def register_batch_variants(requests: DataFrame, state, as_of, start: int = 1):
     outside = Q.check_membership(known.withColumn("_skus", F.transform("items", lambda x: x["sku"])), "_skus",
                                  state["dry_weight_items"].select("set_code", "weight_code", "sku"), "sku",
                                  "SKUs not in dry weight variant: ", scope=["set_code", "weight_code"])
-    rejects = no_w.unionByName(blank).unionByName(unknown).unionByName(outside)
-    rejects = O.first_per_key(rejects, ["request_id"], [("rule", False)])
+    rejects = _first_reject(no_w, blank, unknown, outside)
     valid = known.join(rejects.select("request_id"), "request_id", "left_anti") \
                  .withColumn("content_hash", H.hash_batches("items")) \
                  .withColumn("_scope_key", F.concat_ws(" ", "set_code", "weight_code"))
@@ -224,14 +233,21 @@ def _null_safe_key(cols: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in cols]))
 
 
+def _q1_first(req: DataFrame) -> DataFrame:
+    """Q1 in check order (unit, pack size, format), first failure per request."""
+    checks = Q.check_ingredients(req, "request_id")
+    prec = F.when(F.col("rule") == "pack_size_unit", 0).when(F.col("rule") == "pack_size_value", 1).otherwise(2)
+    return O.first_per_key(checks.withColumn("_prec", prec), ["request_id"], [("_prec", False)]) \
+            .select(*REJECT_COLS)
+
+
 def register_ingredients(requests: DataFrame, state, as_of):
     """M6: Q1 checks; an exact duplicate (7 attributes, NULL spec grade equal) of a stored
     or earlier requested ingredient is rejected; a request for a known product (6
     attributes) reuses its seq; each new product gets the next global seq
     (counter 'ingredient_seq', scope 'global', start 1); SKU = F3."""
     req = requests.withColumn("spec_grade", blank_to_null("spec_grade"))
-    bad = Q.check_ingredients(req, "request_id")
-    bad = O.first_per_key(bad, ["request_id"], [("rule", False)]).select(*REJECT_COLS)
+    bad = _q1_first(req)
     ok = req.join(bad.select("request_id"), "request_id", "left_anti") \
             .withColumn("_item", _null_safe_key(ITEM_KEYS)).withColumn("_product", _null_safe_key(PRODUCT_KEYS))
     ing = state["ingredients"].withColumn("_item", _null_safe_key(ITEM_KEYS)) \
@@ -239,8 +255,8 @@ def register_ingredients(requests: DataFrame, state, as_of):
     dup_stored = ok.join(ing.select("_item").distinct(), "_item", "left_semi")
     firsts = O.first_per_key(ok.select("_item", *ORDER), ["_item"], [(c, False) for c in ORDER])
     dup_batch = ok.join(firsts, ["_item", *ORDER], "left_anti")
-    dups = _reject(dup_stored.unionByName(dup_batch).select("request_id").distinct(), "duplicate",
-                   "Ingredient already exists")
+    dups = _reject(dup_stored.select("request_id").unionByName(dup_batch.select("request_id")).distinct(),
+                   "duplicate", "Ingredient already exists")
     fresh = ok.join(dups.select("request_id"), "request_id", "left_anti")
     known = ing.groupBy("_product").agg(F.min("seq").alias("_seq"))
     fresh = fresh.join(known, "_product", "left")
@@ -269,8 +285,7 @@ def import_ingredients(requests: DataFrame, state, as_of):
     unparsable = _reject(p.where("_p.error IS NOT NULL"), "invalid_sku", F.col("_p.error"))
     ok = p.where("_p.error IS NULL").withColumn("category_code", F.col("_p.category_code")) \
           .withColumn("seq", F.col("_p.seq")).withColumn("pack_size_value", F.col("_p.pack_size_value")).drop("_p")
-    bad = Q.check_ingredients(ok, "request_id")
-    bad = O.first_per_key(bad, ["request_id"], [("rule", False)]).select(*REJECT_COLS)
+    bad = _q1_first(ok)
     ok = ok.join(bad.select("request_id"), "request_id", "left_anti") \
            .withColumn("_item", _null_safe_key(ITEM_KEYS)).withColumn("_product", _null_safe_key(PRODUCT_KEYS))
     ing = state["ingredients"].withColumn("_item", _null_safe_key(ITEM_KEYS)) \
@@ -285,7 +300,7 @@ def import_ingredients(requests: DataFrame, state, as_of):
                        "SKU sequence must match existing product")
     used = _reject(j.where(F.col("_pseq").isNull() & F.col("_taken").isNotNull()), "seq_taken",
                    "SKU sequence already assigned")
-    rejects = unparsable.unionByName(bad).unionByName(dup).unionByName(mismatch).unionByName(used)
+    rejects = _first_reject(unparsable, bad, dup, mismatch, used)
     acc = j.join(rejects.select("request_id"), "request_id", "left_anti")
     floors = acc.agg(F.max(F.col("seq") + 1).alias("next_value")).where("next_value IS NOT NULL").select(
         F.lit("ingredient_seq").alias("counter_name"), F.lit("global").alias("scope"), "next_value")
@@ -375,7 +390,7 @@ def register_hows(requests: DataFrame, state, as_of):
                              "left_semi"), "duplicate", "Processing code already exists")
     firsts = O.first_per_key(ok.select("_code", *ORDER), ["_code"], [(c, False) for c in ORDER])
     batch_dup = _reject(ok.join(firsts, ["_code", *ORDER], "left_anti"), "duplicate", "Processing code already exists")
-    rejects = bad.unionByName(stored).unionByName(batch_dup)
+    rejects = _first_reject(bad, stored, batch_dup)
     acc = ok.join(rejects.select("request_id"), "request_id", "left_anti")
     rows = acc.select(F.col("_code").alias("processing_code"), "location_code",
                       F.col("_suffix").alias("process_code_suffix"), "failure_mode",
@@ -492,6 +507,8 @@ def register_conversion_hows(requests: DataFrame, state, as_of):
         "_base", F.coalesce("next_value", F.lit(1))).drop("next_value"), ["context_code"],
         gen.sparkSession.createDataFrame([], "counter_name string, scope string, next_value long"), "-", 0)
     gen = gen.withColumn("_resolved", C.int_to_code(F.col("_base") + F.col("value"))).drop("_base", "value")
+    gen_full = _reject(gen.where("_resolved IS NULL"), "code_space_exhausted", "no two-letter code left in this scope")
+    gen = gen.where("_resolved IS NOT NULL")
     save = ok.where("submit_action = 'save'").withColumn("failure_mode", F.coalesce(fm, F.lit("N/A")))
     taken = hows.where("is_active").select("context_code", F.col("processing_code").alias("_resolved")) \
                 .withColumn("_taken", F.lit(True)).distinct()
@@ -512,7 +529,7 @@ def register_conversion_hows(requests: DataFrame, state, as_of):
                         F.lit(True).alias("is_active"))
     accepted = saved.select("request_id", F.lit("created").alias("outcome"), code.alias("conversion1_how_code")) \
         .unionByName(gen.select("request_id", F.lit("generated").alias("outcome"), code.alias("conversion1_how_code")))
-    return accepted, rejects.unionByName(dup), {"conversion1_how": rows}
+    return accepted, rejects.unionByName(dup).unionByName(gen_full), {"conversion1_how": rows}
 
 
 def mint_products(requests: DataFrame, state, as_of, start: int = 0):

@@ -311,3 +311,124 @@ def misplaced_sku_repair(spark, sf_dir):
     skus, ws = TX.misplaced_sku_repair("sku_list", "material_workstream")
     return both.select("set_code", "variant", F.array_join(skus, ",").alias("sku_list_text"),
                        ws.alias("material_workstream"))
+
+
+# ---- registration (M1-M14) -----------------------------------------------------------------
+from batchtrace.operators import registry as M  # noqa: E402
+from batchtrace.sources.tpch import BAG_SCOPE  # noqa: E402
+
+AS_OF = "2025-01-01 00:00:00"
+
+
+def _outcomes(accepted: DataFrame, rejects: DataFrame, code_cols: list[str]) -> DataFrame:
+    """Accepted and rejected requests in one frame: request_id, outcome, codes, rule, message."""
+    a = accepted.select(F.col("request_id").cast("string").alias("request_id"), "outcome",
+                        *[F.col(c).cast("string").alias(c) for c in code_cols],
+                        F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("message"))
+    r = rejects.select(F.col("request_id").cast("string").alias("request_id"), F.lit("rejected").alias("outcome"),
+                       *[F.lit(None).cast("string").alias(c) for c in code_cols], "rule", "message")
+    return a.unionByName(r)
+
+
+@query
+def scoped_codes(spark, sf_dir):
+    """M1: one code per location request, numbered per formulation scope in request order
+    from the scope's counter (missing counter starts at 1)."""
+    t = domain(spark, sf_dir)
+    rows, _ = M.assign_scoped(t.req_locations, ["set_code", "weight_code"], t.code_counters,
+                              "batch_variant_code", 1)
+    return rows.select(F.col("request_id"), "set_code", "weight_code", "value",
+                       C.int_to_code("value").alias("code"))
+
+
+@query
+def global_bag_numbers(spark, sf_dir):
+    """M2: contiguous global sequence ranges for bag requests (one row per number)."""
+    t = domain(spark, sf_dir)
+    bags = t.req_bags.withColumn("_g", F.lit(BAG_SCOPE))
+    rows, _ = M.assign_ranges(bags, ["_g"], "number_of_bags", t.code_counters, "pellet_bag_sequence", 0)
+    return rows.select("request_id", "offset", "value")
+
+
+@query
+def register_sets(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.register_sets(t.req_sets, t, AS_OF)
+    return _outcomes(acc, rej, ["set_code", "set_hash"])
+
+
+@query
+def register_weights(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.register_weights(t.req_weights, t, AS_OF)
+    return _outcomes(acc, rej, ["set_code", "weight_code", "weight_hash"])
+
+
+@query
+def register_variants(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.register_batch_variants(t.req_variants, t, AS_OF)
+    return _outcomes(acc, rej, ["set_code", "weight_code", "batch_variant_code", "batch_hash"])
+
+
+@query
+def register_ingredients(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.register_ingredients(t.req_ingredients, t, AS_OF)
+    return _outcomes(acc, rej, ["sku", "seq"])
+
+
+@query
+def register_import(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.import_ingredients(t.req_imports, t, AS_OF)
+    return _outcomes(acc, rej, ["sku", "seq"])
+
+
+@query
+def register_locations(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.register_locations(t.req_locations, t, spark, AS_OF)
+    return _outcomes(acc, rej, ["location_id"])
+
+
+@query
+def register_partners(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.register_partners(t.req_partners, t, spark, AS_OF)
+    return _outcomes(acc, rej, ["partner_code"])
+
+
+@query
+def register_hows(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.register_hows(t.req_hows, t, AS_OF)
+    return _outcomes(acc, rej, ["processing_code"])
+
+
+@query
+def register_bags(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.mint_bags(t.req_bags, t, AS_OF)
+    return _outcomes(acc, rej, ["pellet_bag_code", "sequence_number"])
+
+
+@query
+def register_contexts(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.get_or_create_contexts(t.req_contexts, t, AS_OF)
+    return _outcomes(acc, rej, ["context_code"])
+
+
+@query
+def register_conversion_hows(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.register_conversion_hows(t.req_conversion_hows, t, AS_OF)
+    return _outcomes(acc, rej, ["conversion1_how_code"])
+
+
+@query
+def register_products(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    acc, rej, _ = M.mint_products(t.req_products, t, AS_OF)
+    return _outcomes(acc, rej, ["product_code"])

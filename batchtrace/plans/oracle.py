@@ -330,3 +330,327 @@ m AS (SELECT *, len(skus) = 0 AND len(toks) > 1
 SELECT set_code, variant, array_to_string(CASE WHEN mv THEN toks ELSE sku_list END, ',') AS sku_list_text,
        CASE WHEN mv THEN '' ELSE material_workstream END AS material_workstream
 FROM m""")
+
+
+# ---- registration ------------------------------------------------------------------------------
+from batchtrace.plans.oracle_tables import code as _code  # noqa: E402
+
+EXHAUSTED = "'code_space_exhausted' AS rule, 'no two-letter code left in this scope' AS message"
+
+
+def _code_or_null(v: str) -> str:
+    return f"CASE WHEN {v} BETWEEN 0 AND 675 THEN {_code(v)} END"
+
+
+def _dedupe(counter: str, start: int, existing: str) -> str:
+    """CTEs after ``valid(request_id, submitted_at, scope_txt, h, ...)``: resolve to existing,
+    created (first per (scope, hash), numbered per scope from the counter) or duplicate."""
+    return f"""
+v AS (SELECT valid.*, e.code AS existing FROM valid LEFT JOIN ({existing}) e
+      ON e.scope_txt = valid.scope_txt AND e.h = valid.h),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY scope_txt, h ORDER BY submitted_at, request_id) AS rk
+          FROM v WHERE existing IS NULL),
+leaders AS (SELECT *, row_number() OVER (PARTITION BY scope_txt ORDER BY submitted_at, request_id) - 1 AS pos
+            FROM fresh WHERE rk = 1),
+num AS (SELECT l.*, coalesce(c.next_value, {start}) + l.pos AS value FROM leaders l
+        LEFT JOIN (SELECT scope, next_value FROM code_counters WHERE counter_name = '{counter}') c
+        ON c.scope = l.scope_txt),
+codes AS (SELECT *, {_code_or_null('value')} AS code FROM num),
+dd AS (SELECT f.*, c.code AS dcode FROM fresh f LEFT JOIN codes c ON c.scope_txt = f.scope_txt AND c.h = f.h
+       WHERE f.rk > 1),
+results AS (SELECT request_id, 'existing' AS outcome, existing AS code, h, scope_txt FROM v WHERE existing IS NOT NULL
+            UNION ALL SELECT request_id, 'created', code, h, scope_txt FROM codes WHERE code IS NOT NULL
+            UNION ALL SELECT request_id, 'duplicate', dcode, h, scope_txt FROM dd WHERE dcode IS NOT NULL),
+exhausted AS (SELECT request_id, {EXHAUSTED} FROM codes WHERE code IS NULL
+              UNION ALL SELECT request_id, {EXHAUSTED} FROM dd WHERE dcode IS NULL)"""
+
+
+def _membership(req: str, arr: str, ref: str, prefix: str, scope: list[str] | None = None) -> str:
+    """Values of ``arr`` missing from ``ref(scope..., val)``, listed in request order."""
+    scope = scope or []
+    sc = "".join(f"{c}, " for c in scope)
+    on = " AND ".join([f"r.{c} = e.{c}" for c in scope] + ["r.val = e.val"])
+    return f"""
+SELECT request_id, 'membership' AS rule, '{prefix}' || string_agg(val, ', ' ORDER BY pos) AS message FROM (
+  SELECT e.request_id, e.val, min(e.pos) AS pos FROM (
+    SELECT request_id, {sc}unnest({arr}) AS val, unnest(range(len({arr}))) AS pos FROM {req}) e
+  WHERE NOT EXISTS (SELECT 1 FROM ({ref}) r WHERE {on})
+  GROUP BY e.request_id, e.val) GROUP BY request_id"""
+
+
+def _first(*parts: str) -> str:
+    """Fail-fast: keep the first failed check per request (parts in check order)."""
+    u = " UNION ALL ".join(f"SELECT request_id, rule, message, {i} AS prec FROM ({p}) AS t{i}(request_id, rule, message)"
+                           for i, p in enumerate(parts))
+    return f"""SELECT request_id, rule, message FROM ({u})
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY prec, message) = 1"""
+
+
+def _out(codes: dict[str, str], accepted: str, rejects: str) -> str:
+    cols = ", ".join(f"CAST({e} AS VARCHAR) AS {n}" for n, e in codes.items())
+    nulls = ", ".join(f"CAST(NULL AS VARCHAR) AS {n}" for n in codes)
+    return f"""
+SELECT CAST(request_id AS VARCHAR) AS request_id, outcome, {cols}, CAST(NULL AS VARCHAR) AS rule,
+       CAST(NULL AS VARCHAR) AS message FROM ({accepted}) a
+UNION ALL
+SELECT CAST(request_id AS VARCHAR), 'rejected', {nulls}, rule, message FROM ({rejects}) x"""
+
+
+register("register_sets", f"""
+WITH r AS (SELECT *, list_transform(skus, lambda x: trim(x)) AS s FROM req_sets),
+rej AS ({_membership('r', 's', 'SELECT sku AS val FROM ingredients', 'Unknown SKUs: ')}
+        UNION ALL SELECT request_id, 'empty_set', 'at least one SKU is required' FROM r WHERE len(s) = 0),
+valid AS (SELECT *, '' AS scope_txt, sha256(array_to_string(list_sort(s), '|')) AS h FROM r
+          WHERE request_id NOT IN (SELECT request_id FROM rej)),
+{_dedupe('set_code', 1, "SELECT '' AS scope_txt, set_hash AS h, min(set_code) AS code FROM ingredient_sets GROUP BY set_hash")}
+{_out({'set_code': 'code', 'set_hash': 'h'}, 'SELECT * FROM results', 'SELECT * FROM rej UNION ALL SELECT * FROM exhausted')}""")
+
+_WITEMS = ("list_transform(items, lambda x: {'sku': trim(x.sku), "
+           "'wt_percent': CAST(round(CAST(x.wt_percent AS DECIMAL(38,9)), 2) AS DECIMAL(9,2))})")
+register("register_weights", f"""
+WITH r AS (SELECT request_id, submitted_at, upper(trim(set_code)) AS set_code, {_WITEMS} AS items FROM req_weights),
+k AS (SELECT *, list_transform(items, lambda x: x.sku) AS skus FROM r
+      WHERE set_code IN (SELECT set_code FROM ingredient_sets)),
+rej AS ({_first(
+    "SELECT request_id, 'unknown_set' AS rule, 'set does not exist' AS message FROM r "
+    "WHERE set_code NOT IN (SELECT set_code FROM ingredient_sets)",
+    _membership('k', 'skus', 'SELECT set_code, sku AS val FROM ingredient_set_items', 'SKUs not in set: ', ['set_code']),
+    "SELECT request_id, 'weight_sum', 'Weight percentages must sum to 100.00 after rounding' FROM k "
+    "WHERE list_sum(list_transform(items, lambda x: CAST(x.wt_percent AS DECIMAL(38,2)))) <> 100")}),
+valid AS (SELECT *, set_code AS scope_txt,
+                 sha256(array_to_string(list_transform(list_sort(list_transform(items, lambda x: {{'k': x.sku, 'v': x.wt_percent}})),
+                        lambda x: x.k || '=' || CAST(CAST(x.v AS DECIMAL(38,2)) AS VARCHAR)), '|')) AS h
+          FROM k WHERE request_id NOT IN (SELECT request_id FROM rej)),
+{_dedupe('weight_code', 1, "SELECT set_code AS scope_txt, weight_hash AS h, min(weight_code) AS code FROM dry_weight_variants GROUP BY set_code, weight_hash")}
+{_out({'set_code': 'scope_txt', 'weight_code': 'code', 'weight_hash': 'h'}, 'SELECT * FROM results',
+      'SELECT * FROM rej UNION ALL SELECT * FROM exhausted')}""")
+
+register("register_variants", f"""
+WITH r AS (SELECT request_id, submitted_at, upper(trim(set_code)) AS set_code, upper(trim(weight_code)) AS weight_code,
+                  list_transform(items, lambda x: {{'sku': trim(x.sku), 'ingredient_batch_code': trim(x.ingredient_batch_code)}})
+                    AS items FROM req_variants),
+k AS (SELECT *, list_transform(items, lambda x: x.sku) AS skus,
+             list_transform(items, lambda x: concat_ws('=', x.sku, x.ingredient_batch_code)) AS pairs
+      FROM r WHERE (set_code, weight_code) IN (SELECT (set_code, weight_code) FROM dry_weight_variants)),
+rej AS ({_first(
+    "SELECT request_id, 'unknown_weight_variant' AS rule, 'dry weight variant does not exist' AS message FROM r "
+    "WHERE (set_code, weight_code) NOT IN (SELECT (set_code, weight_code) FROM dry_weight_variants)",
+    "SELECT request_id, 'malformed_pair', 'sku and ingredient_batch_code are required' FROM k WHERE "
+    "list_bool_or(list_transform(items, lambda x: coalesce(x.sku = '' OR x.ingredient_batch_code = '', TRUE)))",
+    _membership('k', 'pairs', "SELECT concat_ws('=', sku, ingredient_batch_code) AS val FROM ingredient_batches",
+                'Unknown batches: '),
+    _membership('k', 'skus', 'SELECT set_code, weight_code, sku AS val FROM dry_weight_items',
+                'SKUs not in dry weight variant: ', ['set_code', 'weight_code']))}),
+valid AS (SELECT *, set_code || ' ' || weight_code AS scope_txt,
+                 sha256(array_to_string(list_transform(list_sort(list_transform(items,
+                   lambda x: {{'k': x.sku, 'v': x.ingredient_batch_code}})), lambda x: x.k || '=' || x.v), '|')) AS h
+          FROM k WHERE request_id NOT IN (SELECT request_id FROM rej)),
+{_dedupe('batch_variant_code', 1, "SELECT set_code || ' ' || weight_code AS scope_txt, batch_hash AS h, min(batch_variant_code) AS code FROM batch_variants GROUP BY set_code, weight_code, batch_hash")}
+{_out({'set_code': "split_part(scope_txt, ' ', 1)", 'weight_code': "split_part(scope_txt, ' ', 2)",
+       'batch_variant_code': 'code', 'batch_hash': 'h'}, 'SELECT * FROM results',
+      'SELECT * FROM rej UNION ALL SELECT * FROM exhausted')}""")
+
+_FMT = ", ".join(_lit(x) for x in _R.FORMAT_VALUES)
+_Q1 = f"""
+SELECT request_id, rule, message FROM (
+  SELECT request_id, 'pack_size_unit' AS rule, 'pack_size_unit must be kg or L' AS message, 0 AS prec FROM q
+    WHERE NOT coalesce(pack_size_unit IN ('kg', 'L'), FALSE)
+  UNION ALL SELECT request_id, 'pack_size_value', 'pack_size_value must be between 1 and 1000', 1 FROM q
+    WHERE NOT coalesce(pack_size_value BETWEEN 1 AND 1000, FALSE)
+  UNION ALL SELECT request_id, 'format', 'format must be one of {", ".join(_R.FORMAT_VALUES)}', 2 FROM q
+    WHERE NOT coalesce(format IN ({_FMT}), FALSE))
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY prec) = 1"""
+_ITEM_EQ = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in
+                        ["category_code", "trade_name_inci", "supplier", "spec_grade", "format", "pack_size_unit",
+                         "pack_size_value"])
+_PROD_EQ = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in
+                        ["category_code", "trade_name_inci", "supplier", "spec_grade", "format", "pack_size_unit"])
+
+register("register_ingredients", f"""
+WITH q AS (SELECT * REPLACE (nullif(trim(spec_grade), '') AS spec_grade) FROM req_ingredients),
+bad AS ({_Q1}),
+ok AS (SELECT * FROM q WHERE request_id NOT IN (SELECT request_id FROM bad)),
+ranked AS (SELECT a.*, row_number() OVER (PARTITION BY category_code, trade_name_inci, supplier, spec_grade, format,
+                  pack_size_unit, pack_size_value ORDER BY submitted_at, request_id) AS rk FROM ok a),
+dups AS (SELECT request_id, 'duplicate' AS rule, 'Ingredient already exists' AS message FROM ranked a
+         WHERE rk > 1 OR EXISTS (SELECT 1 FROM ingredients b WHERE {_ITEM_EQ})),
+fresh AS (SELECT a.*, (SELECT min(b.seq) FROM ingredients b WHERE {_PROD_EQ}) AS known_seq FROM ok a
+          WHERE request_id NOT IN (SELECT request_id FROM dups)),
+products AS (SELECT category_code, trade_name_inci, supplier, spec_grade, format, pack_size_unit,
+                    min((submitted_at, request_id)) AS o FROM fresh WHERE known_seq IS NULL
+             GROUP BY category_code, trade_name_inci, supplier, spec_grade, format, pack_size_unit),
+numbered AS (SELECT p.*, coalesce((SELECT max(next_value) FROM code_counters
+                                    WHERE counter_name = 'ingredient_seq' AND scope = 'global'), 1)
+                         + row_number() OVER (ORDER BY o) - 1 AS new_seq FROM products p),
+acc AS (SELECT a.request_id, 'created' AS outcome, coalesce(a.known_seq, b.new_seq) AS seq, a.category_code,
+               a.pack_size_value FROM fresh a LEFT JOIN numbered b ON {_PROD_EQ})
+{_out({'sku': "printf('%d_%04d_%d', category_code, seq, pack_size_value)", 'seq': 'seq'}, 'SELECT * FROM acc',
+      'SELECT * FROM bad UNION ALL SELECT * FROM dups')}""")
+
+register("register_import", f"""
+WITH p AS (SELECT *, trim(sku) AS t, nullif(trim(spec_grade), '') AS sg FROM req_imports),
+parsed AS (SELECT *,
+  CASE WHEN strpos(t, '_') > 0 THEN CASE WHEN len(string_split(t, '_')) = 3 THEN TRY_CAST(string_split(t, '_')[1] AS BIGINT) END
+       WHEN length(t) >= 6 THEN TRY_CAST(substr(t, 1, 1) AS BIGINT) END AS pc,
+  CASE WHEN strpos(t, '_') > 0 THEN CASE WHEN len(string_split(t, '_')) = 3 THEN TRY_CAST(string_split(t, '_')[2] AS BIGINT) END
+       WHEN length(t) >= 6 THEN TRY_CAST(substr(t, 2, 4) AS BIGINT) END AS ps,
+  CASE WHEN strpos(t, '_') > 0 THEN CASE WHEN len(string_split(t, '_')) = 3 THEN TRY_CAST(string_split(t, '_')[3] AS BIGINT) END
+       WHEN length(t) >= 6 THEN TRY_CAST(substr(t, 6) AS BIGINT) END AS pp,
+  CASE WHEN strpos(t, '_') > 0 AND len(string_split(t, '_')) <> 3 THEN 'sku format should be <category>_<seq>_<pack_size>'
+       WHEN strpos(t, '_') = 0 AND length(t) < 6 THEN 'sku too short' END AS perr FROM p),
+unparsable AS (SELECT request_id, 'invalid_sku' AS rule, coalesce(perr, 'sku parts must be integers') AS message
+               FROM parsed WHERE perr IS NOT NULL OR pc IS NULL OR ps IS NULL OR pp IS NULL),
+q AS (SELECT request_id, submitted_at, t AS sku, pc AS category_code, ps AS seq, pp AS pack_size_value, pack_size_unit,
+             trade_name_inci, supplier, sg AS spec_grade, format FROM parsed
+      WHERE request_id NOT IN (SELECT request_id FROM unparsable)),
+bad AS ({_Q1}),
+ok AS (SELECT * FROM q WHERE request_id NOT IN (SELECT request_id FROM bad)),
+dup AS (SELECT request_id, 'duplicate' AS rule, 'Ingredient already exists' AS message FROM ok a
+        WHERE EXISTS (SELECT 1 FROM ingredients b WHERE {_ITEM_EQ})),
+ok2 AS (SELECT a.*, (SELECT min(b.seq) FROM ingredients b WHERE {_PROD_EQ}) AS pseq,
+               EXISTS (SELECT 1 FROM ingredients b WHERE b.category_code = a.category_code AND b.seq = a.seq) AS taken
+        FROM ok a WHERE request_id NOT IN (SELECT request_id FROM dup)),
+mism AS (SELECT request_id, 'seq_mismatch' AS rule, 'SKU sequence must match existing product' AS message FROM ok2
+         WHERE pseq IS NOT NULL AND pseq <> seq),
+used AS (SELECT request_id, 'seq_taken' AS rule, 'SKU sequence already assigned' AS message FROM ok2
+         WHERE pseq IS NULL AND taken),
+rej AS (SELECT * FROM unparsable UNION ALL SELECT * FROM bad UNION ALL SELECT * FROM dup UNION ALL SELECT * FROM mism
+        UNION ALL SELECT * FROM used)
+{_out({'sku': 'sku', 'seq': 'seq'},
+      "SELECT request_id, 'created' AS outcome, sku, seq FROM ok2 WHERE request_id NOT IN (SELECT request_id FROM rej)",
+      'SELECT * FROM rej')}""")
+
+register("register_locations", f"""
+WITH r AS (SELECT request_id, upper(trim(set_code)) AS s, upper(trim(weight_code)) AS w,
+                  upper(trim(batch_variant_code)) AS v, upper(trim(partner_code)) AS p, trim(production_date) AS d
+           FROM req_locations),
+reg AS (SELECT partner_code FROM {REGISTRY} x),
+j AS (SELECT r.*, CASE WHEN p NOT IN (SELECT partner_code FROM reg) THEN 'unknown_partner'
+                       WHEN d IS NULL OR NOT regexp_full_match(d, '[0-9]{{6}}') THEN 'invalid_date'
+                       WHEN (s, w, v) NOT IN (SELECT (set_code, weight_code, batch_variant_code) FROM batch_variants)
+                         THEN 'unknown_formulation' END AS reason FROM r)
+{_out({'location_id': "concat_ws(' ', s, w, v, p, d)"}, "SELECT *, 'created' AS outcome FROM j WHERE reason IS NULL",
+      'SELECT request_id, reason AS rule, reason AS message FROM j WHERE reason IS NOT NULL')}""")
+
+register("register_partners", f"""
+WITH used AS (SELECT partner_code FROM {REGISTRY} x),
+st AS (SELECT greatest(coalesce(max(next_value), {_R.PARTNER_CODE_START}), {_R.PARTNER_CODE_START}) AS start
+       FROM code_counters WHERE counter_name = 'location_partner_code' AND scope = ''),
+free AS (SELECT value, {_code('value')} AS partner_code FROM (SELECT range AS value FROM range(0, 676)) r, st
+         WHERE value >= st.start),
+slots AS (SELECT row_number() OVER (ORDER BY value) - 1 AS slot, partner_code FROM free
+          WHERE partner_code NOT IN (SELECT partner_code FROM used)),
+req AS (SELECT *, row_number() OVER (ORDER BY submitted_at, request_id) - 1 AS slot FROM req_partners),
+j AS (SELECT req.request_id, s.partner_code FROM req LEFT JOIN slots s ON s.slot = req.slot)
+{_out({'partner_code': 'partner_code'}, "SELECT *, 'created' AS outcome FROM j WHERE partner_code IS NOT NULL",
+      "SELECT request_id, 'code_space_exhausted' AS rule, 'Unable to allocate a unique partner code' AS message "
+      "FROM j WHERE partner_code IS NULL")}""")
+
+_FM = ", ".join(_lit(x) for x in _R.FAILURE_MODES)
+register("register_hows", f"""
+WITH r AS (SELECT *, upper(trim(process_code_suffix)) AS sfx,
+                  trim(concat_ws(' ', location_code, upper(trim(process_code_suffix)))) AS code FROM req_hows),
+bad AS (SELECT request_id, reason AS rule, reason AS message FROM (
+          SELECT request_id, CASE WHEN NOT coalesce(regexp_full_match(sfx, '[A-Z]{{2}}'), FALSE) THEN 'invalid_suffix'
+                                  WHEN NOT coalesce(failure_mode IN ({_FM}), FALSE) THEN 'invalid_failure_mode' END AS reason
+          FROM r) WHERE reason IS NOT NULL),
+ok AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY submitted_at, request_id) AS rk FROM r
+       WHERE request_id NOT IN (SELECT request_id FROM bad)),
+rej AS ({_first('SELECT * FROM bad',
+                "SELECT request_id, 'duplicate' AS rule, 'Processing code already exists' AS message FROM ok "
+                "WHERE code IN (SELECT processing_code FROM compounding_how)",
+                "SELECT request_id, 'duplicate', 'Processing code already exists' FROM ok WHERE rk > 1")})
+{_out({'processing_code': 'code'},
+      "SELECT request_id, 'created' AS outcome, code FROM ok WHERE request_id NOT IN (SELECT request_id FROM rej)",
+      'SELECT * FROM rej')}""")
+
+_PT = ", ".join(_lit(x) for x in _R.PRODUCT_TYPES)
+register("register_bags", f"""
+WITH r AS (SELECT *, trim(regexp_replace(compounding_how_code, '\\s+', ' ', 'g')) AS how, upper(trim(product_type)) AS pt
+           FROM req_bags),
+j AS (SELECT r.*, CASE WHEN NOT coalesce(pt IN ({_PT}), FALSE) THEN 'invalid_product_type'
+                       WHEN NOT coalesce(number_of_bags BETWEEN 1 AND {_R.MAX_BAGS_PER_REQUEST}, FALSE) THEN 'invalid_number_of_bags'
+                       WHEN NOT coalesce(bag_mass_kg >= 0, FALSE) THEN 'invalid_bag_mass'
+                       WHEN how NOT IN (SELECT processing_code FROM compounding_how WHERE is_active)
+                         THEN 'unknown_or_inactive_how' END AS reason FROM r),
+ok AS (SELECT *, coalesce((SELECT max(next_value) FROM code_counters WHERE counter_name = 'pellet_bag_sequence'
+                            AND scope = 'pellet_bag:global'), 0)
+                 + coalesce(sum(number_of_bags) OVER (ORDER BY submitted_at, request_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_value
+       FROM j WHERE reason IS NULL),
+bags AS (SELECT request_id, how, pt, first_value + unnest(range(number_of_bags)) AS value FROM ok)
+{_out({'pellet_bag_code': "concat_ws(' ', how, pt, printf('%04d', value))", 'sequence_number': 'value'},
+      "SELECT *, 'created' AS outcome FROM bags",
+      'SELECT request_id, reason AS rule, reason AS message FROM j WHERE reason IS NOT NULL')}""")
+
+register("register_contexts", f"""
+WITH r AS (SELECT *, trim(regexp_replace(concat_ws(' ', pellet_bag_code, upper(trim(partner_code)), date_yymmdd),
+                                        '\\s+', ' ', 'g')) AS context_code_new FROM req_contexts),
+bad AS (SELECT request_id, 'invalid_date' AS rule, 'date must be YYMMDD' AS message FROM r
+        WHERE NOT coalesce(regexp_full_match(trim(date_yymmdd), '[0-9]{{6}}'), FALSE)),
+ok AS (SELECT *, row_number() OVER (PARTITION BY context_code_new ORDER BY submitted_at, request_id) AS rk FROM r
+       WHERE request_id NOT IN (SELECT request_id FROM bad)),
+acc AS (SELECT request_id, context_code_new AS code,
+               CASE WHEN context_code_new IN (SELECT context_code FROM conversion1_context) THEN 'existing'
+                    WHEN rk = 1 THEN 'created' ELSE 'duplicate' END AS outcome FROM ok)
+{_out({'context_code': 'code'}, 'SELECT * FROM acc', 'SELECT * FROM bad')}""")
+
+register("register_conversion_hows", f"""
+WITH r AS (SELECT request_id, submitted_at, trim(regexp_replace(context_code, '\\s+', ' ', 'g')) AS ctx,
+                  upper(trim(process_code)) AS pc, upper(trim(processing_code)) AS pgc,
+                  lower(trim(coalesce(submit_action, 'generate'))) AS act, nullif(trim(failure_mode), '') AS fm,
+                  machine_setup_url, processed_data_url FROM req_conversion_hows),
+c AS (SELECT *, coalesce(nullif(trim(pgc), ''), nullif(trim(pc), ''), '') AS resolved FROM r),
+e AS (SELECT *, CASE WHEN coalesce(ctx, '') = '' THEN 'Context code is required'
+                     WHEN pc <> '' AND NOT regexp_full_match(pc, '[A-Z]{{2}}') THEN 'Process code must be a two-letter code'
+                     WHEN pgc <> '' AND NOT regexp_full_match(pgc, '[A-Z]{{2}}') THEN 'Processing code must be a two-letter code'
+                     WHEN act = 'save' AND resolved = ''
+                       THEN 'Either Use Existing Process Code or Generate New Process Code is required.'
+                     WHEN fm IS NOT NULL AND NOT coalesce(fm IN ({_FM}), FALSE)
+                       THEN 'Failure mode must be selected from the allowed list' END AS reason FROM c),
+nxt AS (SELECT context_code, greatest(coalesce(max({_ci.format('processing_code')}), 0), 0) + 1 AS base
+        FROM conversion1_how WHERE is_active AND processing_code IS NOT NULL GROUP BY context_code),
+gen AS (SELECT e.request_id, e.ctx || ' ' || {_code_or_null("coalesce(n.base, 1) + row_number() OVER (PARTITION BY e.ctx ORDER BY e.submitted_at, e.request_id) - 1")} AS code
+        FROM e LEFT JOIN nxt n ON n.context_code = e.ctx WHERE e.reason IS NULL AND e.act = 'generate'),
+sv AS (SELECT e.*, row_number() OVER (PARTITION BY ctx, resolved ORDER BY submitted_at, request_id) AS rk,
+              EXISTS (SELECT 1 FROM conversion1_how h WHERE h.is_active AND h.context_code = e.ctx
+                      AND h.processing_code = e.resolved) AS taken
+       FROM e WHERE reason IS NULL AND act = 'save'),
+acc AS (SELECT request_id, 'generated' AS outcome, code FROM gen WHERE code IS NOT NULL
+        UNION ALL SELECT request_id, 'created', concat_ws(' ', ctx, resolved) FROM sv WHERE NOT taken AND rk = 1),
+rej AS (SELECT request_id, 'invalid_request' AS rule, reason AS message FROM e WHERE reason IS NOT NULL
+        UNION ALL SELECT request_id, 'duplicate', 'Processing code already exists for this context code' FROM sv
+        WHERE taken OR rk > 1
+        UNION ALL SELECT request_id, 'code_space_exhausted', 'no two-letter code left in this scope' FROM gen
+        WHERE code IS NULL)
+{_out({'conversion1_how_code': 'code'}, 'SELECT * FROM acc', 'SELECT * FROM rej')}""")
+
+register("register_products", f"""
+WITH r AS (SELECT *, trim(regexp_replace(conversion1_how_code, '\\s+', ' ', 'g')) AS how FROM req_products),
+bad AS (SELECT request_id, 'invalid_number_of_records' AS rule, 'number_of_records must be 1..200' AS message FROM r
+        WHERE NOT coalesce(number_of_records BETWEEN 1 AND {_R.MAX_PRODUCTS_PER_REQUEST}, FALSE)),
+ok AS (SELECT *, coalesce((SELECT max(next_suffix) FROM conversion1_product_counter WHERE id = 'global'), 0)
+                 + coalesce(sum(number_of_records) OVER (ORDER BY submitted_at, request_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_value
+       FROM r WHERE request_id NOT IN (SELECT request_id FROM bad)),
+p AS (SELECT request_id, trim(concat_ws(' ', how, printf('%04d', first_value + unnest(range(number_of_records)))))
+             AS product_code FROM ok)
+{_out({'product_code': 'product_code'},
+      "SELECT request_id, 'created' AS outcome, product_code FROM p "
+      "WHERE product_code NOT IN (SELECT product_code FROM conversion1_products)", 'SELECT * FROM bad')}""")
+
+register("scoped_codes", f"""
+SELECT request_id, set_code, weight_code, value, {_code_or_null('value')} AS code FROM (
+  SELECT r.request_id, r.set_code, r.weight_code,
+         coalesce(c.next_value, 1) + row_number() OVER (PARTITION BY r.set_code, r.weight_code
+                                                        ORDER BY r.submitted_at, r.request_id) - 1 AS value
+  FROM req_locations r LEFT JOIN (SELECT scope, next_value FROM code_counters WHERE counter_name = 'batch_variant_code') c
+    ON c.scope = concat_ws(' ', r.set_code, r.weight_code))""")
+
+register("global_bag_numbers", """
+SELECT request_id, unnest(range(number_of_bags)) AS "offset",
+       first_value + unnest(range(number_of_bags)) AS value FROM (
+  SELECT *, coalesce((SELECT max(next_value) FROM code_counters WHERE counter_name = 'pellet_bag_sequence'
+                      AND scope = 'pellet_bag:global'), 0)
+            + coalesce(sum(number_of_bags) OVER (ORDER BY submitted_at, request_id
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_value FROM req_bags)""")

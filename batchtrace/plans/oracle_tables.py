@@ -283,7 +283,7 @@ SELECT 'global' AS id, max(CAST(product_suffix AS BIGINT)) + 1 AS next_suffix, {
 FROM conversion1_products""")
 
 _cte("code_counters", ["ingredient_sets", "dry_weight_variants", "batch_variants", "location_partners",
-                       "pellet_bags"], f"""
+                       "pellet_bags", "ingredients"], f"""
 SELECT 'set_code' AS counter_name, '' AS scope, max({code_to_int('set_code')}) + 1 AS next_value,
        {T0_SQL} AS updated_at FROM ingredient_sets
 UNION ALL
@@ -296,7 +296,113 @@ UNION ALL
 SELECT 'location_partner_code', '', greatest(max({code_to_int('partner_code')}) + 1, {R.PARTNER_CODE_START}),
        {T0_SQL} FROM location_partners
 UNION ALL
-SELECT 'pellet_bag_sequence', 'pellet_bag:global', max(sequence_number) + 1, {T0_SQL} FROM pellet_bags""")
+SELECT 'pellet_bag_sequence', 'pellet_bag:global', max(sequence_number) + 1, {T0_SQL} FROM pellet_bags
+UNION ALL
+SELECT 'ingredient_seq', 'global', max(seq) + 1, {T0_SQL} FROM ingredients""")
+
+# ---- request batches (mirror of TpchDomain.req_*) ----------------------------------------
+_cte("_ol", ["_rl", "_heads"], """
+SELECT r.*, h.set_code, h.weight_code, h.batch_variant_code, h.o_orderdate, h.created_by, h.o_orderpriority,
+       h.o_custkey, r.qty * 100 / sum(r.qty) OVER (PARTITION BY r.l_orderkey) AS pct
+FROM _rl r JOIN _heads h ON h.o_orderkey = r.l_orderkey""")
+
+_cte("req_sets", ["_ol"], f"""
+SELECT l_orderkey AS request_id, {days('o_orderdate', '30')} AS submitted_at, list(sku ORDER BY l_partkey) AS skus,
+       CASE WHEN l_orderkey % 3 = 0 THEN o_orderpriority END AS notes,
+       CAST(NULL AS VARCHAR) AS material_workstream, created_by AS actor
+FROM _ol GROUP BY l_orderkey, o_orderdate, o_orderpriority, created_by""")
+
+_cte("req_weights", ["_ol"], f"""
+SELECT l_orderkey AS request_id, {days('o_orderdate', '31')} AS submitted_at, set_code,
+       list({{'sku': sku, 'wt_percent': pct}} ORDER BY l_partkey) AS items,
+       CAST(NULL AS VARCHAR) AS notes, created_by AS actor
+FROM _ol GROUP BY l_orderkey, o_orderdate, set_code, created_by""")
+
+_cte("req_variants", ["_ol"], f"""
+SELECT o.l_orderkey AS request_id, {days('o.o_orderdate', '32')} AS submitted_at, o.set_code, o.weight_code,
+       list({{'sku': o.sku, 'ingredient_batch_code': 'B' || CAST(m.maxsupp AS VARCHAR)}} ORDER BY o.l_partkey) AS items,
+       o.created_by AS actor
+FROM _ol o JOIN (SELECT l_orderkey, l_partkey, max(l_suppkey) AS maxsupp FROM lineitem GROUP BY l_orderkey, l_partkey) m
+  ON m.l_orderkey = o.l_orderkey AND m.l_partkey = o.l_partkey
+GROUP BY o.l_orderkey, o.o_orderdate, o.set_code, o.weight_code, o.created_by""")
+
+_cte("req_ingredients", [], f"""
+SELECT 'I' || CAST(g.l_partkey AS VARCHAR) || '-' || CAST(g.l_suppkey AS VARCHAR) AS request_id,
+       g.first_ship AS submitted_at, CAST(p.p_size % 10 AS BIGINT) AS category_code, p.p_name AS trade_name_inci,
+       CASE WHEN (g.l_partkey + g.l_suppkey) % 4 = 0 THEN p.p_brand ELSE s.s_name END AS supplier,
+       CASE WHEN g.l_partkey % 3 <> 0 THEN p.p_type END AS spec_grade,
+       coalesce({pick('g.l_partkey % 7', R.FORMAT_VALUES)}, 'Flakes') AS format,
+       CAST(p.p_size + (g.l_suppkey % 2) * 5 AS BIGINT) AS pack_size_value,
+       CASE WHEN p.p_size % 2 = 0 THEN 'kg' ELSE 'L' END AS pack_size_unit,
+       {user('g.l_suppkey % 50')} AS actor
+FROM (SELECT l_partkey, l_suppkey, min(l_shipdate) AS first_ship FROM lineitem GROUP BY l_partkey, l_suppkey) g
+JOIN part p ON p.p_partkey = g.l_partkey JOIN supplier s ON s.s_suppkey = g.l_suppkey""")
+
+_IMP_CAT = "(CASE WHEN p_partkey % 7 = 0 THEN p_size % 10 ELSE (p_size + 1) % 10 END)"
+_cte("req_imports", [], f"""
+SELECT 'X' || CAST(p_partkey AS VARCHAR) AS request_id,
+       TIMESTAMP '2024-06-01 00:00:00' + INTERVAL (p_partkey) MINUTE AS submitted_at,
+       CASE WHEN p_partkey % 5 = 0 THEN replace(printf('%d_%04d_%d', {_IMP_CAT}, p_partkey, p_size), '_', '')
+            ELSE printf('%d_%04d_%d', {_IMP_CAT}, p_partkey, p_size) END AS sku,
+       CAST({_IMP_CAT} AS BIGINT) AS category_code, p_name AS trade_name_inci, p_brand AS supplier,
+       CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS spec_grade,
+       coalesce({pick('p_partkey % 7', R.FORMAT_VALUES)}, 'Flakes') AS format,
+       CAST(p_size AS BIGINT) AS pack_size_value, CASE WHEN p_size % 2 = 0 THEN 'kg' ELSE 'L' END AS pack_size_unit,
+       {user('p_partkey % 50')} AS actor
+FROM part""")
+
+_cte("req_locations", ["_heads"], f"""
+SELECT o_orderkey AS request_id, {days('o_orderdate', '5')} AS submitted_at, set_code, weight_code, batch_variant_code,
+       {code('o_custkey % 40')} AS partner_code, strftime({days('o_orderdate', '7')}, '%y%m%d') AS production_date,
+       created_by AS actor
+FROM _heads""")
+
+_cte("req_partners", [], f"""
+SELECT s_suppkey AS request_id, {T0_SQL} + INTERVAL (s_suppkey) MINUTE AS submitted_at, s_name AS partner_name,
+       'M' || CAST(s_nationkey AS VARCHAR) AS machine_specification, 'admin@example.com' AS actor
+FROM supplier""")
+
+_cte("req_hows", ["_loc"], f"""
+SELECT o_orderkey AS request_id, {days('o_orderdate', '9')} AS submitted_at, location_id AS location_code,
+       lower({code('(o_orderkey // 7) % 676')}) AS process_code_suffix,
+       coalesce({pick('o_orderkey % 14', R.FAILURE_MODES)}, 'Jammed') AS failure_mode,
+       CAST(NULL AS VARCHAR) AS machine_setup_url, CAST(NULL AS VARCHAR) AS processed_data_url,
+       CAST(NULL AS VARCHAR) AS notes, created_by AS actor
+FROM _loc""")
+
+_cte("req_bags", ["_loc", "_rl"], f"""
+SELECT l.o_orderkey AS request_id, {days('l.o_orderdate', '12')} AS submitted_at,
+       ' ' || l.processing_code AS compounding_how_code, lower({pick('l.o_orderkey % 3', R.PRODUCT_TYPES)}) AS product_type,
+       m.mass AS bag_mass_kg, CAST(l.o_orderkey % 5 + 1 AS INTEGER) AS number_of_bags,
+       CAST(NULL AS DOUBLE) AS remaining_mass_kg, {pick('l.o_orderkey % 5', R.QC_STATUS_OPTIONS)} AS qc_status,
+       {pick('l.o_orderkey % 9', R.PURPOSE_OPTIONS)} AS purpose, l.created_by AS actor
+FROM _loc l JOIN (SELECT l_orderkey, sum(qty) AS mass FROM _rl GROUP BY l_orderkey) m ON m.l_orderkey = l.o_orderkey""")
+
+_cte("req_contexts", ["_ctx"], f"""
+SELECT 'C' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS request_id,
+       {days('ship', '25')} AS submitted_at, pellet_bag_code, partner_code,
+       'M' || CAST(l_partkey % 5 AS VARCHAR) AS machine_code,
+       strftime({days('ship', 'CASE WHEN (l_orderkey + l_partkey) % 2 = 0 THEN 10 ELSE 20 END')}, '%y%m%d') AS date_yymmdd,
+       created_by AS actor
+FROM _ctx""")
+
+_cte("req_conversion_hows", ["_ctx"], f"""
+SELECT 'H' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS request_id,
+       {days('ship', '26')} AS submitted_at, context_code, '' AS process_code,
+       CASE WHEN l_partkey % 2 = 0 THEN {code('(l_orderkey + l_partkey) % 676')} ELSE '' END AS processing_code,
+       CASE WHEN l_partkey % 2 = 0 THEN 'save' ELSE 'generate' END AS submit_action,
+       CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE {pick('l_orderkey % 13', R.FAILURE_MODES)} END AS failure_mode,
+       CAST(NULL AS VARCHAR) AS machine_setup_url, CAST(NULL AS VARCHAR) AS processed_data_url, created_by AS actor
+FROM _ctx""")
+
+_cte("req_products", ["_ctx"], f"""
+SELECT 'P' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS request_id,
+       {days('ship', '27')} AS submitted_at, conversion1_how_code,
+       CAST(l_orderkey % 3 + 1 AS INTEGER) AS number_of_records,
+       {pick('l_partkey % 10', R.STORAGE_LOCATION_OPTIONS)} AS storage_location,
+       {pick('l_orderkey % 11', R.TENSILE_STATUS_OPTIONS)} AS tensile_rigid_status,
+       CASE WHEN l_partkey % 4 = 0 THEN 'Ready' END AS tensile_films_status, created_by AS actor
+FROM _ctx""")
 
 _cte("query_log", [], """
 SELECT CAST(user_id AS VARCHAR) AS request_id, value AS elapsed_ms, event_id AS query_id, ts AS logged_at

@@ -398,7 +398,11 @@ class TpchDomain:
         bags = self.pellet_bags.agg(F.max("sequence_number").alias("m")).select(
             F.lit("pellet_bag_sequence").alias("counter_name"), F.lit(BAG_SCOPE).alias("scope"),
             (F.col("m") + 1).alias("next_value"))
+        seqs = self.ingredients.agg(F.max("seq").alias("m")).select(
+            F.lit("ingredient_seq").alias("counter_name"), F.lit("global").alias("scope"),
+            (F.col("m") + 1).alias("next_value"))
         df = sets.unionByName(weights).unionByName(variants).unionByName(partners).unionByName(bags) \
+            .unionByName(seqs) \
             .withColumn("updated_at", ts)
         return evolve(df, SCHEMAS["code_counters"])
 
@@ -413,6 +417,172 @@ class TpchDomain:
     def audit_log(self) -> DataFrame:
         return self.spark.createDataFrame([], SCHEMAS["audit_log"])
 
+    # ---- request batches for the registration jobs (M3-M14) ----------------------------
+    # One request per source row; ``submitted_at`` and ``request_id`` order each batch.
+
+    @cached_property
+    def _order_lines(self) -> DataFrame:
+        """Recipe lines of every order in part-key order, with the order header."""
+        lines = self._lines_of(self.order_heads)
+        tot = F.sum("qty").over(Window.partitionBy("l_orderkey"))
+        return lines.withColumn("pct", F.col("qty") * 100 / tot)
+
+    def _per_order(self, *items) -> DataFrame:
+        g = self._order_lines.groupBy("l_orderkey").agg(
+            F.sort_array(F.collect_list(F.struct("l_partkey", *items))).alias("_items"))
+        return g.join(self._locations.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+
+    @cached_property
+    def req_sets(self) -> DataFrame:
+        g = self._per_order("sku")
+        return g.select(F.col("l_orderkey").alias("request_id"), _days(F.col("o_orderdate"), 30).alias("submitted_at"),
+                        F.transform("_items", lambda x: x["sku"]).alias("skus"),
+                        F.when(F.col("l_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("notes"),
+                        F.lit(None).cast("string").alias("material_workstream"),
+                        F.col("created_by").alias("actor"))
+
+    @cached_property
+    def req_weights(self) -> DataFrame:
+        g = self._per_order("sku", "pct")
+        return g.select(F.col("l_orderkey").alias("request_id"), _days(F.col("o_orderdate"), 31).alias("submitted_at"),
+                        "set_code",
+                        F.transform("_items", lambda x: F.struct(x["sku"].alias("sku"),
+                                                                 x["pct"].alias("wt_percent"))).alias("items"),
+                        F.lit(None).cast("string").alias("notes"), F.col("created_by").alias("actor"))
+
+    @cached_property
+    def req_variants(self) -> DataFrame:
+        li = self.src("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_suppkey").alias("maxsupp"))
+        lines = self._order_lines.join(li, ["l_orderkey", "l_partkey"])
+        g = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
+            "l_partkey", "sku", F.concat(F.lit("B"), F.col("maxsupp").cast("string")).alias("b")))).alias("_items"))
+        g = g.join(self.order_heads.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+        return g.select(F.col("l_orderkey").alias("request_id"), _days(F.col("o_orderdate"), 32).alias("submitted_at"),
+                        "set_code", "weight_code",
+                        F.transform("_items", lambda x: F.struct(x["sku"].alias("sku"),
+                                                                 x["b"].alias("ingredient_batch_code"))).alias("items"),
+                        F.col("created_by").alias("actor"))
+
+    @cached_property
+    def req_ingredients(self) -> DataFrame:
+        li = self.src("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").alias("first_ship"))
+        p = self.src("part")
+        sp = self.src("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+        j = li.join(p.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey").join(sp, "l_suppkey")
+        k, s = F.col("l_partkey"), F.col("l_suppkey")
+        return j.select(
+            F.concat(F.lit("I"), k.cast("string"), F.lit("-"), s.cast("string")).alias("request_id"),
+            F.col("first_ship").alias("submitted_at"),
+            (F.col("p_size") % 10).cast("long").alias("category_code"),
+            F.col("p_name").alias("trade_name_inci"),
+            F.when((k + s) % 4 == 0, F.col("p_brand")).otherwise(F.col("s_name")).alias("supplier"),
+            F.when(k % 3 != 0, F.col("p_type")).alias("spec_grade"),
+            F.coalesce(_pick(k % 7, R.FORMAT_VALUES), F.lit("Flakes")).alias("format"),
+            (F.col("p_size") + (s % 2) * 5).cast("long").alias("pack_size_value"),
+            F.when(F.col("p_size") % 2 == 0, "kg").otherwise("L").alias("pack_size_unit"),
+            _user(s % 50).alias("actor"))
+
+    @cached_property
+    def req_imports(self) -> DataFrame:
+        p = self.src("part")
+        k = F.col("p_partkey")
+        cat = F.when(k % 7 == 0, F.col("p_size") % 10).otherwise((F.col("p_size") + 1) % 10)
+        sku = C.format_sku(cat, k, "p_size")
+        return p.select(
+            F.concat(F.lit("X"), k.cast("string")).alias("request_id"),
+            F.timestamp_add("MINUTE", k, F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")).alias("submitted_at"),
+            F.when(k % 5 == 0, F.regexp_replace(sku, "_", "")).otherwise(sku).alias("sku"),
+            cat.cast("long").alias("category_code"), F.col("p_name").alias("trade_name_inci"),
+            F.col("p_brand").alias("supplier"), F.when(k % 3 != 0, F.col("p_type")).alias("spec_grade"),
+            F.coalesce(_pick(k % 7, R.FORMAT_VALUES), F.lit("Flakes")).alias("format"),
+            F.col("p_size").cast("long").alias("pack_size_value"),
+            F.when(F.col("p_size") % 2 == 0, "kg").otherwise("L").alias("pack_size_unit"),
+            _user(k % 50).alias("actor"))
+
+    @cached_property
+    def req_locations(self) -> DataFrame:
+        h = self.order_heads
+        return h.select(F.col("o_orderkey").alias("request_id"), _days(F.col("o_orderdate"), 5).alias("submitted_at"),
+                        "set_code", "weight_code", "batch_variant_code",
+                        C.int_to_code(F.col("o_custkey") % 40).alias("partner_code"),
+                        F.date_format(_days(F.col("o_orderdate"), 7), "yyMMdd").alias("production_date"),
+                        F.col("created_by").alias("actor"))
+
+    @cached_property
+    def req_partners(self) -> DataFrame:
+        sp = self.src("supplier")
+        return sp.select(F.col("s_suppkey").alias("request_id"),
+                         F.timestamp_add("MINUTE", F.col("s_suppkey"), F.lit(T0).cast("timestamp_ntz")).alias("submitted_at"),
+                         F.col("s_name").alias("partner_name"),
+                         F.concat(F.lit("M"), F.col("s_nationkey").cast("string")).alias("machine_specification"),
+                         F.lit("admin@example.com").alias("actor"))
+
+    @cached_property
+    def req_hows(self) -> DataFrame:
+        l = self._locations
+        k = F.col("o_orderkey")
+        return l.select(k.alias("request_id"), _days(F.col("o_orderdate"), 9).alias("submitted_at"),
+                        F.col("location_id").alias("location_code"),
+                        F.lower(C.int_to_code(F.floor(k / 7) % 676)).alias("process_code_suffix"),
+                        F.coalesce(_pick(k % 14, R.FAILURE_MODES), F.lit("Jammed")).alias("failure_mode"),
+                        F.lit(None).cast("string").alias("machine_setup_url"),
+                        F.lit(None).cast("string").alias("processed_data_url"),
+                        F.lit(None).cast("string").alias("notes"), F.col("created_by").alias("actor"))
+
+    @cached_property
+    def req_bags(self) -> DataFrame:
+        rl = self.recipe_lines.groupBy("l_orderkey").agg(F.sum("qty").alias("mass"))
+        l = self._locations.withColumnRenamed("o_orderkey", "l_orderkey").join(rl, "l_orderkey")
+        k = F.col("l_orderkey")
+        return l.select(k.alias("request_id"), _days(F.col("o_orderdate"), 12).alias("submitted_at"),
+                        F.concat(F.lit(" "), F.col("processing_code")).alias("compounding_how_code"),
+                        F.lower(_pick(k % 3, R.PRODUCT_TYPES)).alias("product_type"),
+                        F.col("mass").alias("bag_mass_kg"),
+                        (k % 5 + 1).cast("int").alias("number_of_bags"),
+                        F.lit(None).cast("double").alias("remaining_mass_kg"),
+                        _pick(k % 5, R.QC_STATUS_OPTIONS).alias("qc_status"),
+                        _pick(k % 9, R.PURPOSE_OPTIONS).alias("purpose"),
+                        F.col("created_by").alias("actor"))
+
+    @cached_property
+    def req_contexts(self) -> DataFrame:
+        c = self._contexts
+        o, p = F.col("l_orderkey"), F.col("l_partkey")
+        shift = F.when((o + p) % 2 == 0, F.lit(10)).otherwise(F.lit(20))
+        return c.select(F.concat(F.lit("C"), o.cast("string"), F.lit("-"), p.cast("string")).alias("request_id"),
+                        _days(F.col("ship"), 25).alias("submitted_at"), "pellet_bag_code", "partner_code",
+                        F.concat(F.lit("M"), (p % 5).cast("string")).alias("machine_code"),
+                        F.date_format(_days(F.col("ship"), shift), "yyMMdd").alias("date_yymmdd"),
+                        F.col("created_by").alias("actor"))
+
+    @cached_property
+    def req_conversion_hows(self) -> DataFrame:
+        c = self._contexts
+        o, p = F.col("l_orderkey"), F.col("l_partkey")
+        save = p % 2 == 0
+        return c.select(F.concat(F.lit("H"), o.cast("string"), F.lit("-"), p.cast("string")).alias("request_id"),
+                        _days(F.col("ship"), 26).alias("submitted_at"), "context_code",
+                        F.lit("").alias("process_code"),
+                        F.when(save, C.int_to_code((o + p) % 676)).otherwise(F.lit("")).alias("processing_code"),
+                        F.when(save, "save").otherwise("generate").alias("submit_action"),
+                        F.when(o % 4 == 0, F.lit(None).cast("string")).otherwise(_pick(o % 13, R.FAILURE_MODES))
+                         .alias("failure_mode"),
+                        F.lit(None).cast("string").alias("machine_setup_url"),
+                        F.lit(None).cast("string").alias("processed_data_url"),
+                        F.col("created_by").alias("actor"))
+
+    @cached_property
+    def req_products(self) -> DataFrame:
+        c = self._contexts
+        o, p = F.col("l_orderkey"), F.col("l_partkey")
+        return c.select(F.concat(F.lit("P"), o.cast("string"), F.lit("-"), p.cast("string")).alias("request_id"),
+                        _days(F.col("ship"), 27).alias("submitted_at"), "conversion1_how_code",
+                        (o % 3 + 1).cast("int").alias("number_of_records"),
+                        _pick(p % 10, R.STORAGE_LOCATION_OPTIONS).alias("storage_location"),
+                        _pick(o % 11, R.TENSILE_STATUS_OPTIONS).alias("tensile_rigid_status"),
+                        F.when(p % 4 == 0, F.lit("Ready")).alias("tensile_films_status"),
+                        F.col("created_by").alias("actor"))
+
     @cached_property
     def query_log(self) -> DataFrame:
         """Per-query timing log (A13): request id, elapsed ms, bytes, logged at."""
