@@ -98,7 +98,7 @@ def patch_keep_null(target: DataFrame, changes: DataFrame, key: list[str], cols:
                     as_of) -> tuple[DataFrame, DataFrame]:
     """``col = COALESCE(new, old)`` for each listed column (NULL means keep)."""
     def value_of(c, hit):
-        return F.when(hit, F.coalesce(F.col(f"_s_{c}"), F.col(c))) if c in cols else None
+        return F.when(hit, F.coalesce(F.col(f"_s_{c}"), F.col(c))).otherwise(F.col(c)) if c in cols else None
     return _patch(target, changes, key, value_of, as_of)
 
 

@@ -432,3 +432,244 @@ def register_products(spark, sf_dir):
     t = domain(spark, sf_dir)
     acc, rej, _ = M.mint_products(t.req_products, t, AS_OF)
     return _outcomes(acc, rej, ["product_code"])
+
+
+# ---- table changes (R1-R12) ------------------------------------------------------------------
+from batchtrace.operators import changes as CH, policy as X, quality as Q  # noqa: E402
+from batchtrace.sources import registries as R  # noqa: E402
+
+
+@query
+def upsert_roles(spark, sf_dir):
+    """Role upsert by normalised email; the new user_roles snapshot."""
+    t = domain(spark, sf_dir)
+    new, _ = CH.upsert_roles(t.user_roles, t.chg_roles, AS_OF, ["ts", "event_id"])
+    return new.select("email", "first_name", "last_name", "role_group", "is_active", "created_at", "created_by",
+                      "updated_at", "updated_by")
+
+
+@query
+def upsert_roles_counts(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    _, counts = CH.upsert_roles(t.user_roles, t.chg_roles, AS_OF, ["ts", "event_id"])
+    return counts
+
+
+@query
+def counter_floor(spark, sf_dir):
+    """Raise counters to floors (insert missing ones)."""
+    t = domain(spark, sf_dir)
+    new, _ = CH.raise_floor(t.code_counters, t.chg_floors, AS_OF)
+    return new
+
+
+@query
+def seed_counters(spark, sf_dir):
+    """R2: seed-if-absent MERGE of the default counters."""
+    t = domain(spark, sf_dir)
+    seeds = spark.createDataFrame([("set_code", "", 1), ("location_partner_code", "", R.PARTNER_CODE_START),
+                                   ("ingredient_seq", "global", 1), ("pellet_bag_sequence", "pellet_bag:global", 0)],
+                                  "counter_name string, scope string, next_value long") \
+        .withColumn("updated_at", F.lit(AS_OF).cast("timestamp_ntz"))
+    new, _ = CH.seed_absent(t.code_counters, seeds, ["counter_name", "scope"])
+    return new
+
+
+@query
+def patch_bags(spark, sf_dir):
+    """Keep-null patch of bags (NULL means keep)."""
+    t = domain(spark, sf_dir)
+    new, _ = CH.patch_keep_null(t.pellet_bags, t.chg_bags, ["pellet_bag_code"],
+                                ["remaining_mass_kg", "notes", "customer"], AS_OF)
+    return new.select("pellet_bag_id", "pellet_bag_code", "remaining_mass_kg", "notes", "customer", "updated_at",
+                      "updated_by")
+
+
+@query
+def patch_products(spark, sf_dir):
+    """Listed-column patch of products (NULL overwrites supplied columns only)."""
+    t = domain(spark, sf_dir)
+    editable = ["storage_location", "notes", "tensile_rigid_status", "tensile_films_status", "number_units_produced"]
+    new, _ = CH.patch_columns(t.conversion1_products, t.chg_products, ["product_code"], editable, AS_OF)
+    return new.select("product_code", "storage_location", "notes", "tensile_rigid_status", "tensile_films_status",
+                      "number_units_produced", "updated_at", "updated_by")
+
+
+@query
+def archive_batches(spark, sf_dir):
+    """Archive toggle on batches."""
+    t = domain(spark, sf_dir)
+    new, _ = CH.set_archived(t.ingredient_batches, t.chg_archive, AS_OF)
+    return new.select("sku", "ingredient_batch_code", "archived", "archived_at", "archived_by", "updated_at",
+                      "updated_by")
+
+
+@query
+def status_update(spark, sf_dir):
+    """Status + assignee updates; the new status columns of every bag."""
+    t = domain(spark, sf_dir)
+    new, _, _ = CH.update_status(t.pellet_bags, t.chg_status, t.pellet_bag_assignees, AS_OF, ["submitted_at"])
+    return new.select("pellet_bag_code", *R.EDITABLE_STATUS_COLUMNS,
+                      *[R.STATUS_ASSIGNEE[c] for c in R.EDITABLE_STATUS_COLUMNS], "updated_at", "updated_by")
+
+
+@query
+def status_update_rejects(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    _, rej, _ = CH.update_status(t.pellet_bags, t.chg_status, t.pellet_bag_assignees, AS_OF, ["submitted_at"])
+    return rej.select("pellet_bag_code", "status_column", "status_value", "assigned_value", "reason")
+
+
+@query
+def update_hows(spark, sf_dir):
+    """R8."""
+    t = domain(spark, sf_dir)
+    new, _ = CH.update_hows(t.compounding_how, t.chg_hows, AS_OF)
+    return new.select("processing_code", "failure_mode", "machine_setup_url", "processed_data_url", "notes",
+                      "updated_at", "updated_by")
+
+
+@query
+def set_meta(spark, sf_dir):
+    """R9."""
+    t = domain(spark, sf_dir)
+    new, _ = CH.update_set_meta(t.ingredient_sets, t.chg_set_meta)
+    return new.select("set_code", "notes", "material_workstream", "created_by")
+
+
+@query
+def set_document(spark, sf_dir):
+    """Newest safety-sheet pointer per ingredient (accepted uploads only, Q8)."""
+    t = domain(spark, sf_dir)
+    bad = Q.check_documents(t.doc_manifest, t.ingredients, ["sku"], "msds_object_path")
+    ok = t.doc_manifest.join(bad.select("sku", "filename"), ["sku", "filename"], "left_anti")
+    new, _ = CH.set_document(t.ingredients, ok, ["sku"], "msds", AS_OF)
+    return new.select("sku", "msds_object_path", "msds_filename", "msds_content_type", "msds_uploaded_at",
+                      "updated_at", "updated_by")
+
+
+@query
+def cascade_delete(spark, sf_dir):
+    """Delete requests for every set code in use or in the customer code range;
+    sets with dependants are blocked with their counts."""
+    t = domain(spark, sf_dir)
+    codes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        C.int_to_code(F.col("c_custkey") % 676).alias("set_code")).distinct()
+    deps = A.dependency_counts(t.dry_weight_variants, t.batch_variants, t.location_codes)
+    sets, _, blocked = CH.delete_sets(t.ingredient_sets, t.ingredient_set_items, codes, deps)
+    kept = sets.select("set_code", F.lit("kept").alias("outcome"), F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(blocked.select("set_code", F.lit("blocked").alias("outcome"), "reason"))
+
+
+@query
+def seed_assignees(spark, sf_dir):
+    """Default assignees only if no active assignee exists."""
+    t = domain(spark, sf_dir)
+    defaults = spark.createDataFrame([(e, True) for e in R.DEFAULT_ASSIGNEE_EMAILS], "email string, is_active boolean") \
+        .withColumn("created_at", F.lit(AS_OF).cast("timestamp_ntz")).withColumn("created_by", F.lit(None).cast("string"))
+    return CH.seed_if_empty(t.pellet_bag_assignees, defaults)
+
+
+# ---- quality (Q1-Q9) -------------------------------------------------------------------------
+
+@query
+def quality_ingredients(spark, sf_dir):
+    return Q.check_ingredients(domain(spark, sf_dir).ingredients, "sku")
+
+
+@query
+def quality_weights(spark, sf_dir):
+    return Q.check_weight_sum(domain(spark, sf_dir).dry_weight_items, ["set_code", "weight_code"])
+
+
+@query
+def quality_weight_close(spark, sf_dir):
+    """Q3/A12 on every formulation: float total of aligned weights and the tolerance check."""
+    f = V.formulations(domain(spark, sf_dir))
+    return f.select(*["set_code", "weight_code", "batch_variant_code"],
+                    F.round(Q.weight_total("dry_weight_items"), 6).alias("total"),
+                    Q.weight_sum_close("dry_weight_items", 0.01).alias("close"))
+
+
+@query
+def quality_enums(spark, sf_dir):
+    vocab = dict(R.STATUS_VOCAB)
+    vocab["purpose"] = R.PURPOSE_OPTIONS
+    vocab["reference_sample_taken"] = R.REFERENCE_SAMPLE_OPTIONS
+    return Q.check_enums(domain(spark, sf_dir).pellet_bags, ["pellet_bag_id"], vocab)
+
+
+@query
+def quality_membership(spark, sf_dir):
+    """Q5: batch variants whose SKUs are not all in their set."""
+    t = domain(spark, sf_dir)
+    bv = V.variants(t).select(F.concat_ws(" ", "set_code", "weight_code", "batch_variant_code").alias("base_code"),
+                              "set_code", F.transform("items", lambda x: x["sku"]).alias("skus"))
+    return Q.check_membership(bv, "skus", t.ingredient_set_items.select("set_code", "sku"), "sku",
+                              "SKUs outside set: ", scope=["set_code"], key="base_code")
+
+
+@query
+def quality_bounds(spark, sf_dir):
+    return Q.check_bounds(domain(spark, sf_dir).pellet_bags, ["pellet_bag_id"],
+                          {"bag_mass_kg": (0, None), "remaining_mass_kg": (0, None), "short_moisture_percent": (0, 100)})
+
+
+@query
+def quality_patch(spark, sf_dir):
+    return Q.check_nonempty_patch(domain(spark, sf_dir).chg_bags, ["pellet_bag_code"],
+                                  ["remaining_mass_kg", "notes", "customer"])
+
+
+@query
+def quality_documents(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    return Q.check_documents(t.doc_manifest, t.ingredients, ["sku"], "msds_object_path")
+
+
+@query
+def quality_assignees(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    return Q.check_assignees(t.pellet_bags, ["pellet_bag_id"], [R.STATUS_ASSIGNEE[c] for c in R.EDITABLE_STATUS_COLUMNS],
+                             t.pellet_bag_assignees)
+
+
+# ---- access policy (X1-X4) -------------------------------------------------------------------
+
+def _users(t):
+    """Everyone who acted on bags, plus every stored role holder (some with an
+    identity-provider prefix)."""
+    a = t.pellet_bags.select(F.col("created_by").alias("email")).where("email IS NOT NULL")
+    b = t.user_roles.select(F.when(F.length("email") % 2 == 0, F.concat(F.lit("idp.example.com:"), F.upper("email")))
+                            .otherwise(F.col("email")).alias("email"))
+    return a.unionByName(b)
+
+
+@query
+def role_permissions(spark, sf_dir):
+    return X.user_permissions(spark, domain(spark, sf_dir).user_roles)
+
+
+@query
+def effective_access(spark, sf_dir):
+    t = domain(spark, sf_dir)
+    a = X.effective_access(spark, _users(t), t.user_roles)
+    return a.select("email", "role_group", "is_admin", "is_bootstrap_admin", F.size("permissions").alias("n_permissions"),
+                    "can_view_dry_weights")
+
+
+@query
+def masked_formulations(spark, sf_dir):
+    """X3 per row: each formulation's dry weights shown only when its owner may view them."""
+    t = domain(spark, sf_dir)
+    acc = X.effective_access(spark, _users(t), t.user_roles).select(F.col("email").alias("created_by"),
+                                                                     "can_view_dry_weights")
+    f = V.formulations(t).join(acc, "created_by", "left").withColumn(
+        "can_view_dry_weights", F.coalesce("can_view_dry_weights", F.lit(False)))
+    return render_formulations(X.mask_weights(f, flag_col="can_view_dry_weights"))
+
+
+@query
+def sku_summary_masked(spark, sf_dir):
+    """The formulations section of the SKU summary for a viewer without access (empty)."""
+    return X.mask_section(LN.sku_summary_formulations(domain(spark, sf_dir)), False)

@@ -654,3 +654,249 @@ SELECT request_id, unnest(range(number_of_bags)) AS "offset",
                       AND scope = 'pellet_bag:global'), 0)
             + coalesce(sum(number_of_bags) OVER (ORDER BY submitted_at, request_id
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_value FROM req_bags)""")
+
+
+# ---- table changes ---------------------------------------------------------------------------
+AS_OF_SQL = "TIMESTAMP '2025-01-01 00:00:00'"
+_NORM = "lower(trim(regexp_replace(email, '^[^:]*:', '')))"
+_ROLES_J = f"""
+ch AS (SELECT *, {_NORM} AS k FROM chg_roles
+       QUALIFY row_number() OVER (PARTITION BY {_NORM} ORDER BY ts DESC, event_id DESC) = 1),
+j AS (SELECT t.email AS temail, t.first_name AS tf, t.last_name AS tl, t.role_group AS tr, t.is_active AS ta,
+             t.created_at AS tca, t.created_by AS tcb, t.updated_at AS tua, t.updated_by AS tub,
+             ch.k, ch.first_name, ch.last_name, ch.role_group, ch.is_active, ch.actor,
+             ch.k IS NOT NULL AS hit
+      FROM (SELECT *, lower(email) AS k0 FROM user_roles) t FULL OUTER JOIN ch ON ch.k = t.k0),
+o AS (SELECT *, temail IS NOT NULL AND hit AS upd, temail IS NULL AS new FROM j)"""
+register("upsert_roles", f"""
+WITH {_ROLES_J}
+SELECT coalesce(temail, k) AS email,
+       CASE WHEN upd OR new THEN first_name ELSE tf END AS first_name,
+       CASE WHEN upd OR new THEN last_name ELSE tl END AS last_name,
+       CASE WHEN upd OR new THEN role_group ELSE tr END AS role_group,
+       CASE WHEN upd OR new THEN is_active ELSE ta END AS is_active,
+       CASE WHEN new THEN {AS_OF_SQL} ELSE tca END AS created_at,
+       CASE WHEN new THEN actor ELSE tcb END AS created_by,
+       CASE WHEN upd OR new THEN {AS_OF_SQL} ELSE tua END AS updated_at,
+       CASE WHEN upd OR new THEN actor ELSE tub END AS updated_by
+FROM o""")
+register("upsert_roles_counts", f"""
+WITH {_ROLES_J}
+SELECT CAST(sum(CASE WHEN upd THEN 1 ELSE 0 END) AS BIGINT) AS updated,
+       CAST(sum(CASE WHEN new THEN 1 ELSE 0 END) AS BIGINT) AS inserted FROM o""")
+register("counter_floor", f"""
+WITH f AS (SELECT counter_name, scope, max(next_value) AS fl FROM chg_floors GROUP BY counter_name, scope),
+j AS (SELECT coalesce(c.counter_name, f.counter_name) AS counter_name, coalesce(c.scope, f.scope) AS scope,
+             c.next_value, c.updated_at, f.fl,
+             f.fl IS NOT NULL AND (c.next_value IS NULL OR f.fl > c.next_value) AS raised
+      FROM code_counters c FULL OUTER JOIN f ON f.counter_name = c.counter_name AND f.scope = c.scope)
+SELECT counter_name, scope, CASE WHEN raised THEN fl ELSE next_value END AS next_value,
+       CASE WHEN raised THEN {AS_OF_SQL} ELSE updated_at END AS updated_at FROM j""")
+register("seed_counters", f"""
+WITH s AS (SELECT * FROM (VALUES ('set_code', '', 1), ('location_partner_code', '', {_R.PARTNER_CODE_START}),
+                                 ('ingredient_seq', 'global', 1), ('pellet_bag_sequence', 'pellet_bag:global', 0))
+           AS v(counter_name, scope, next_value))
+SELECT counter_name, scope, next_value, updated_at FROM code_counters
+UNION ALL SELECT counter_name, scope, next_value, {AS_OF_SQL} FROM s
+WHERE NOT EXISTS (SELECT 1 FROM code_counters c WHERE c.counter_name = s.counter_name AND c.scope = s.scope)""")
+register("patch_bags", f"""
+SELECT b.pellet_bag_id, b.pellet_bag_code,
+       CASE WHEN c.pellet_bag_code IS NOT NULL THEN coalesce(c.remaining_mass_kg, b.remaining_mass_kg)
+            ELSE b.remaining_mass_kg END AS remaining_mass_kg,
+       CASE WHEN c.pellet_bag_code IS NOT NULL THEN coalesce(c.notes, b.notes) ELSE b.notes END AS notes,
+       CASE WHEN c.pellet_bag_code IS NOT NULL THEN coalesce(c.customer, b.customer) ELSE b.customer END AS customer,
+       CASE WHEN c.pellet_bag_code IS NOT NULL THEN {AS_OF_SQL} ELSE b.updated_at END AS updated_at,
+       CASE WHEN c.pellet_bag_code IS NOT NULL THEN c.actor ELSE b.updated_by END AS updated_by
+FROM pellet_bags b LEFT JOIN chg_bags c ON c.pellet_bag_code = b.pellet_bag_code""")
+register("patch_products", f"""
+SELECT p.product_code,
+       CASE WHEN c.product_code IS NOT NULL THEN c.storage_location ELSE p.storage_location END AS storage_location,
+       CASE WHEN c.product_code IS NOT NULL THEN c.notes ELSE p.notes END AS notes,
+       CASE WHEN c.product_code IS NOT NULL THEN c.tensile_rigid_status ELSE p.tensile_rigid_status END
+         AS tensile_rigid_status,
+       p.tensile_films_status, p.number_units_produced,
+       CASE WHEN c.product_code IS NOT NULL THEN {AS_OF_SQL} ELSE p.updated_at END AS updated_at,
+       CASE WHEN c.product_code IS NOT NULL THEN c.actor ELSE p.updated_by END AS updated_by
+FROM conversion1_products p LEFT JOIN chg_products c ON c.product_code = p.product_code""")
+register("archive_batches", f"""
+SELECT b.sku, b.ingredient_batch_code,
+       CASE WHEN c.sku IS NOT NULL THEN c.archived ELSE b.archived END AS archived,
+       CASE WHEN c.sku IS NOT NULL THEN CASE WHEN c.archived THEN {AS_OF_SQL} END ELSE b.archived_at END AS archived_at,
+       CASE WHEN c.sku IS NOT NULL THEN CASE WHEN c.archived THEN c.actor END ELSE b.archived_by END AS archived_by,
+       CASE WHEN c.sku IS NOT NULL THEN {AS_OF_SQL} ELSE b.updated_at END AS updated_at,
+       CASE WHEN c.sku IS NOT NULL THEN c.actor ELSE b.updated_by END AS updated_by
+FROM ingredient_batches b LEFT JOIN chg_archive c
+  ON c.sku = b.sku AND c.ingredient_batch_code = b.ingredient_batch_code""")
+
+_EDIT = _R.EDITABLE_STATUS_COLUMNS
+_VOCAB = "CASE status_column " + " ".join(
+    f"WHEN '{c}' THEN [{', '.join(_lit(v) for v in _R.STATUS_VOCAB[c])}]" for c in _EDIT) + " END"
+_STATUS_R = f"""
+ch AS (SELECT c.*, CASE WHEN nullif(trim(status_value), '') = 'Recieved' THEN 'Received'
+                        ELSE nullif(trim(status_value), '') END AS v,
+              nullif(trim(assigned_value), '') AS a FROM chg_status c),
+j AS (SELECT ch.*, (SELECT count(*) FROM pellet_bags b WHERE b.is_active AND b.pellet_bag_code = ch.pellet_bag_code) AS n,
+             a IN (SELECT email FROM pellet_bag_assignees WHERE is_active) AS a_ok FROM ch),
+r AS (SELECT j.*, CASE WHEN status_column NOT IN ({', '.join(_lit(c) for c in _EDIT)}) THEN 'invalid_status_column'
+                       WHEN v IS NULL OR NOT list_contains({_VOCAB}, v) THEN 'invalid_status_value'
+                       WHEN a IS NOT NULL AND NOT coalesce(a_ok, FALSE) THEN 'invalid_assignee'
+                       WHEN n <> 1 THEN 'not_exactly_one_row' END AS reason FROM j)"""
+register("status_update_rejects", f"""
+WITH {_STATUS_R}
+SELECT pellet_bag_code, status_column, status_value, assigned_value, reason FROM r WHERE reason IS NOT NULL""")
+_piv = ", ".join(f"bool_or(status_column = '{c}') AS h_{i}, max(CASE WHEN status_column = '{c}' THEN v END) AS v_{i}, "
+                 f"max(CASE WHEN status_column = '{c}' THEN a END) AS a_{i}" for i, c in enumerate(_EDIT))
+_sets = ", ".join(f"CASE WHEN hit AND h_{i} THEN v_{i} ELSE b.{c} END AS {c}" for i, c in enumerate(_EDIT))
+_asg = ", ".join(f"CASE WHEN hit AND h_{i} THEN a_{i} ELSE b.{_R.STATUS_ASSIGNEE[c]} END AS {_R.STATUS_ASSIGNEE[c]}"
+                 for i, c in enumerate(_EDIT))
+register("status_update", f"""
+WITH {_STATUS_R},
+ok AS (SELECT * FROM r WHERE reason IS NULL
+       QUALIFY row_number() OVER (PARTITION BY pellet_bag_code, status_column ORDER BY submitted_at DESC) = 1),
+piv AS (SELECT pellet_bag_code AS pcode, max(actor) AS actor, {_piv} FROM ok GROUP BY pellet_bag_code),
+jj AS (SELECT b.*, p.*, p.pcode IS NOT NULL AND b.is_active AS hit FROM pellet_bags b
+       LEFT JOIN piv p ON p.pcode = b.pellet_bag_code)
+SELECT b.pellet_bag_code, {_sets}, {_asg},
+       CASE WHEN hit THEN {AS_OF_SQL} ELSE b.updated_at END AS updated_at,
+       CASE WHEN hit THEN b.actor ELSE b.updated_by END AS updated_by
+FROM jj b""")
+register("update_hows", f"""
+SELECT h.processing_code,
+       CASE WHEN c.processing_code IS NOT NULL THEN c.failure_mode ELSE h.failure_mode END AS failure_mode,
+       CASE WHEN c.processing_code IS NOT NULL THEN nullif(trim(c.machine_setup_url), '') ELSE h.machine_setup_url END
+         AS machine_setup_url,
+       CASE WHEN c.processing_code IS NOT NULL THEN nullif(trim(c.processed_data_url), '') ELSE h.processed_data_url END
+         AS processed_data_url,
+       CASE WHEN c.processing_code IS NOT NULL THEN nullif(trim(c.notes), '') ELSE h.notes END AS notes,
+       CASE WHEN c.processing_code IS NOT NULL THEN {AS_OF_SQL} ELSE h.updated_at END AS updated_at,
+       CASE WHEN c.processing_code IS NOT NULL THEN c.actor ELSE h.updated_by END AS updated_by
+FROM compounding_how h LEFT JOIN chg_hows c ON c.processing_code = h.processing_code""")
+register("set_meta", """
+SELECT s.set_code, CASE WHEN c.set_code IS NOT NULL THEN c.notes ELSE s.notes END AS notes,
+       CASE WHEN c.set_code IS NOT NULL THEN c.material_workstream ELSE s.material_workstream END AS material_workstream,
+       CASE WHEN c.set_code IS NOT NULL THEN coalesce(s.created_by, c.actor) ELSE s.created_by END AS created_by
+FROM ingredient_sets s LEFT JOIN chg_set_meta c ON c.set_code = s.set_code""")
+_DOCS_BAD = """
+SELECT sku, filename, rule, message FROM (
+  SELECT m.*, i.msds_object_path IS NOT NULL AS has,
+         lower(coalesce(content_type, '')) = 'application/pdf' OR lower(coalesce(filename, '')) LIKE '%.pdf' AS is_pdf
+  FROM doc_manifest m LEFT JOIN ingredients i ON i.sku = m.sku) x,
+LATERAL (SELECT * FROM (VALUES
+   (NOT is_pdf, 'not_pdf', 'Only PDF files are allowed'),
+   (coalesce(size_bytes, 0) <= 0, 'empty_file', 'File is empty'),
+   (coalesce(size_bytes, 0) > 20971520, 'too_large', 'File too large'),
+   (coalesce(has, FALSE) AND NOT coalesce(confirm_replace, FALSE), 'replace_not_confirmed',
+    'Replacing an existing document must be confirmed')) AS v(failed, rule, message) WHERE failed)"""
+register("quality_documents", _DOCS_BAD)
+register("set_document", f"""
+WITH bad AS ({_DOCS_BAD}),
+ok AS (SELECT * FROM doc_manifest m WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.sku = m.sku AND bad.filename = m.filename)
+       QUALIFY row_number() OVER (PARTITION BY sku ORDER BY uploaded_at DESC, object_path DESC) = 1)
+SELECT i.sku,
+       CASE WHEN o.sku IS NOT NULL THEN o.object_path ELSE i.msds_object_path END AS msds_object_path,
+       CASE WHEN o.sku IS NOT NULL THEN o.filename ELSE i.msds_filename END AS msds_filename,
+       CASE WHEN o.sku IS NOT NULL THEN o.content_type ELSE i.msds_content_type END AS msds_content_type,
+       CASE WHEN o.sku IS NOT NULL THEN o.uploaded_at ELSE i.msds_uploaded_at END AS msds_uploaded_at,
+       CASE WHEN o.sku IS NOT NULL THEN {AS_OF_SQL} ELSE i.updated_at END AS updated_at,
+       CASE WHEN o.sku IS NOT NULL THEN o.actor ELSE i.updated_by END AS updated_by
+FROM ingredients i LEFT JOIN ok o ON o.sku = i.sku""")
+_DEPS = """SELECT set_code, count(*) AS n, 'dry_weight_variants' AS source FROM dry_weight_variants GROUP BY set_code
+UNION ALL SELECT set_code, count(*), 'batch_variants' FROM batch_variants GROUP BY set_code
+UNION ALL SELECT set_code, count(*), 'location_codes' FROM location_codes GROUP BY set_code"""
+register("cascade_delete", f"""
+WITH req AS (SELECT DISTINCT {_code('c_custkey % 676')} AS set_code FROM customer),
+deps AS ({_DEPS}),
+blocked AS (SELECT set_code, string_agg(source || '=' || CAST(n AS VARCHAR), ', '
+                                        ORDER BY source || '=' || CAST(n AS VARCHAR)) AS reason
+            FROM deps WHERE n > 0 AND set_code IN (SELECT set_code FROM req) GROUP BY set_code),
+allowed AS (SELECT set_code FROM req WHERE set_code NOT IN (SELECT set_code FROM blocked))
+SELECT set_code, 'kept' AS outcome, CAST(NULL AS VARCHAR) AS reason FROM ingredient_sets
+WHERE set_code NOT IN (SELECT set_code FROM allowed)
+UNION ALL SELECT set_code, 'blocked', reason FROM blocked""")
+register("seed_assignees", f"""
+SELECT email, is_active, created_at, created_by FROM pellet_bag_assignees
+UNION ALL SELECT email, TRUE, {AS_OF_SQL}, CAST(NULL AS VARCHAR)
+FROM (VALUES {', '.join(f'({_lit(e)})' for e in _R.DEFAULT_ASSIGNEE_EMAILS)}) AS d(email)
+WHERE NOT EXISTS (SELECT 1 FROM pellet_bag_assignees WHERE is_active)""")
+
+# ---- quality -------------------------------------------------------------------------------------
+register("quality_ingredients", f"""
+SELECT sku, 'pack_size_unit' AS rule, 'pack_size_unit must be kg or L' AS message FROM ingredients
+WHERE NOT coalesce(pack_size_unit IN ('kg', 'L'), FALSE)
+UNION ALL SELECT sku, 'pack_size_value', 'pack_size_value must be between 1 and 1000' FROM ingredients
+WHERE NOT coalesce(pack_size_value BETWEEN 1 AND 1000, FALSE)
+UNION ALL SELECT sku, 'format', 'format must be one of {", ".join(_R.FORMAT_VALUES)}' FROM ingredients
+WHERE NOT coalesce(format IN ({_FMT}), FALSE)""")
+register("quality_weights", """
+SELECT set_code, weight_code, CAST(sum(round(CAST(wt_percent AS DECIMAL(38,9)), 2)) AS DECIMAL(38,2)) AS total,
+       'weight_sum' AS rule, 'Weight percentages must sum to 100.00 after rounding' AS message
+FROM dry_weight_items GROUP BY set_code, weight_code
+HAVING sum(round(CAST(wt_percent AS DECIMAL(38,9)), 2)) <> 100""")
+_WT = ("list_reduce(list_transform(dry_weight_items, lambda x: coalesce(TRY_CAST(CAST(x.wt_percent AS VARCHAR) AS DOUBLE), "
+       "0.0)), lambda a, b: a + b)")
+register("quality_weight_close", f"""
+SELECT set_code, weight_code, batch_variant_code, round({_WT}, 6) AS total, abs({_WT} - 100.0) <= 0.01 AS close
+FROM v_flat""")
+_ENUM_V = {**_R.STATUS_VOCAB, "purpose": _R.PURPOSE_OPTIONS, "reference_sample_taken": _R.REFERENCE_SAMPLE_OPTIONS}
+register("quality_enums", " UNION ALL ".join(f"""
+SELECT pellet_bag_id, '{c}' AS column, v AS value, 'enum' AS rule, 'Invalid {c}' AS message FROM (
+  SELECT pellet_bag_id, CASE WHEN nullif(trim({c}), '') = 'Recieved' THEN 'Received' ELSE nullif(trim({c}), '') END AS v
+  FROM pellet_bags) WHERE v IS NOT NULL AND v NOT IN ({', '.join(_lit(x) for x in vals)})""" for c, vals in _ENUM_V.items()))
+register("quality_membership", f"""
+WITH bv AS (SELECT set_code || ' ' || weight_code || ' ' || batch_variant_code AS request_id, set_code,
+                   list_transform(items, lambda x: x.sku) AS skus FROM v_batches)
+SELECT request_id AS base_code, rule, message FROM (
+  {_membership('bv', 'skus', 'SELECT set_code, sku AS val FROM ingredient_set_items', 'SKUs outside set: ', ['set_code'])})""")
+register("quality_bounds", """
+SELECT pellet_bag_id, rule, message FROM pellet_bags,
+LATERAL (SELECT * FROM (VALUES
+  (coalesce(bag_mass_kg < 0, FALSE), 'bounds_bag_mass_kg', 'bag_mass_kg must be >= 0'),
+  (coalesce(remaining_mass_kg < 0, FALSE), 'bounds_remaining_mass_kg', 'remaining_mass_kg must be >= 0'),
+  (coalesce(short_moisture_percent < 0 OR short_moisture_percent > 100, FALSE), 'bounds_short_moisture_percent',
+   'short_moisture_percent must be between 0 and 100')) AS v(failed, rule, message) WHERE failed)""")
+register("quality_patch", """
+SELECT pellet_bag_code, 'empty_patch' AS rule, 'No editable fields provided' AS message FROM chg_bags
+WHERE coalesce(nullif(trim(CAST(remaining_mass_kg AS VARCHAR)), ''), nullif(trim(notes), ''),
+               nullif(trim(customer), '')) IS NULL""")
+register("quality_assignees", " UNION ALL ".join(f"""
+SELECT pellet_bag_id, '{a}' AS column, nullif(trim({a}), '') AS value, 'assignee' AS rule,
+       'Assignee must be an active assignee' AS message FROM pellet_bags
+WHERE nullif(trim({a}), '') IS NOT NULL
+  AND nullif(trim({a}), '') NOT IN (SELECT email FROM pellet_bag_assignees WHERE is_active)"""
+                                                 for a in [_R.STATUS_ASSIGNEE[c] for c in _EDIT]))
+
+# ---- access policy -----------------------------------------------------------------------------
+_ROLE_ROWS = ", ".join(f"({_lit(r)}, {_lit(p)})" for r, perms in _R.ROLE_GROUPS.items() for p in sorted(set(perms)))
+ROLE_TABLE = f"(SELECT * FROM (VALUES {_ROLE_ROWS}) AS rt(role_group, permission))"
+register("role_permissions", f"""
+SELECT lower(trim(u.email)) AS email, u.role_group, u.is_active, rt.permission
+FROM user_roles u JOIN {ROLE_TABLE} rt ON rt.role_group = lower(trim(u.role_group))""")
+_ALL = "[" + ", ".join(_lit(p) for p in sorted(_R.PERMISSIONS)) + "]"
+_ACCESS = f"""
+users AS (SELECT DISTINCT lower(trim(regexp_replace(email, '^[^:]*:', ''))) AS email FROM (
+            SELECT created_by AS email FROM pellet_bags WHERE created_by IS NOT NULL
+            UNION ALL SELECT CASE WHEN length(email) % 2 = 0 THEN 'idp.example.com:' || upper(email) ELSE email END
+            FROM user_roles)),
+act AS (SELECT lower(trim(email)) AS email, lower(trim(role_group)) AS role_group FROM user_roles WHERE is_active),
+boot AS (SELECT count(*) = 0 AS b FROM user_roles WHERE is_active),
+perms AS (SELECT role_group, list(permission ORDER BY permission) AS p FROM {ROLE_TABLE} GROUP BY role_group),
+acc AS (SELECT u.email, a.role_group, coalesce(a.role_group = 'admin' OR boot.b, FALSE) AS is_admin,
+               boot.b AS is_bootstrap_admin,
+               CASE WHEN coalesce(a.role_group = 'admin' OR boot.b, FALSE) THEN {_ALL}
+                    ELSE coalesce(p.p, []::VARCHAR[]) END AS permissions
+        FROM users u LEFT JOIN act a ON a.email = u.email CROSS JOIN boot LEFT JOIN perms p ON p.role_group = a.role_group)"""
+register("effective_access", f"""
+WITH {_ACCESS}
+SELECT email, role_group, is_admin, is_bootstrap_admin, len(permissions) AS n_permissions,
+       list_contains(permissions, 'dry_weights.view') AS can_view_dry_weights FROM acc""")
+register("masked_formulations", f"""
+WITH {_ACCESS}
+SELECT f.set_code, f.weight_code, f.batch_variant_code, f.base_code, f.created_at, f.created_by, f.sku_count,
+       {skus('f.sku_list')} AS sku_list_text,
+       {pairs('f.batch_items', 'sku', 'ingredient_batch_code')} AS batch_items_text,
+       CASE WHEN coalesce(list_contains(a.permissions, 'dry_weights.view'), FALSE)
+            THEN {pairs('f.dry_weight_items', 'sku', 'wt_percent')} END AS dry_weight_items_text
+FROM v_flat f LEFT JOIN acc a ON a.email = f.created_by""")
+register("sku_summary_masked", """
+SELECT DISTINCT i.sku AS requested_sku, f.set_code, f.weight_code, f.batch_variant_code, f.base_code, f.created_at
+FROM ingredients i JOIN (SELECT f.*, unnest(f.sku_list) AS s FROM v_flat f) f ON f.s = i.sku WHERE FALSE""")

@@ -270,7 +270,8 @@ _ROLE = pick("CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1
              ["admin", "sku_codes", "formulations", "formulations_mix", "mixing_2"])
 
 _cte("user_roles", [], f"""
-SELECT lower(c_name) || '@example.com' AS email, 'F' || CAST(c_custkey AS VARCHAR) AS first_name,
+SELECT CASE WHEN c_custkey < 50 THEN {user('c_custkey')} ELSE lower(c_name) || '@example.com' END AS email,
+       'F' || CAST(c_custkey AS VARCHAR) AS first_name,
        CAST(NULL AS VARCHAR) AS last_name,
        CASE WHEN c_custkey % 5 = 0 THEN upper({_ROLE}) || ' ' ELSE {_ROLE} END AS role_group,
        CAST(NULL AS VARCHAR[]) AS permissions,
@@ -404,6 +405,66 @@ SELECT 'P' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) A
        CASE WHEN l_partkey % 4 = 0 THEN 'Ready' END AS tensile_films_status, created_by AS actor
 FROM _ctx""")
 
+# ---- change batches (mirror of TpchDomain.chg_*) and the document manifest ----------------
+_cte("chg_roles", [], """
+SELECT CASE WHEN event_id % 10 = 0 THEN 'new' || CAST(user_id AS VARCHAR) || '@example.com'
+            WHEN event_id % 10 = 1 THEN 'idp.example.com:customer#' || printf('%09d', user_id) || '@example.com'
+            ELSE '  CUSTOMER#' || printf('%09d', user_id) || '@EXAMPLE.COM ' END AS email,
+       'N' || CAST(user_id AS VARCHAR) AS first_name, event_type AS last_name,
+       CASE event_type WHEN 'view' THEN 'formulations' WHEN 'click' THEN 'sku_codes' WHEN 'purchase' THEN 'mixing_1'
+                       WHEN 'error' THEN 'admin' ELSE 'formulations_mix' END AS role_group,
+       CAST(NULL AS VARCHAR[]) AS permissions, value > 2.0 AS is_active, 'admin@example.com' AS actor, ts, event_id
+FROM events""")
+
+_cte("chg_floors", ["_heads"], """
+SELECT 'ingredient_seq' AS counter_name, 'global' AS scope, max(p_partkey) + 6 AS next_value FROM part
+UNION ALL SELECT 'weight_code', set_code, count(*) FROM _heads GROUP BY set_code""")
+
+_cte("chg_bags", ["_bags"], f"""
+SELECT pellet_bag_code, CASE WHEN l_orderkey % 2 = 0 THEN (qty - n_lines) / 2 END AS remaining_mass_kg,
+       CASE WHEN l_partkey % 3 = 0 THEN 'checked ' || strftime(ship, '%y%m%d') END AS notes,
+       CAST(NULL AS VARCHAR) AS customer, {user('l_orderkey % 7')} AS actor
+FROM _bags WHERE sequence_number = 1""")
+
+_cte("chg_products", ["conversion1_products"], """
+SELECT product_code, 'FM Warehouse' AS storage_location, CAST(NULL AS VARCHAR) AS notes,
+       'Ready' AS tensile_rigid_status, 'admin@example.com' AS actor
+FROM conversion1_products WHERE product_suffix = '0000'""")
+
+_cte("chg_archive", ["ingredient_batches"], """
+SELECT sku, ingredient_batch_code, quantity_value > 100 AS archived, 'admin@example.com' AS actor
+FROM ingredient_batches WHERE archived IS NULL""")
+
+_cte("chg_status", ["_bags"], f"""
+SELECT pellet_bag_code,
+       {pick('l_orderkey % 5', R.EDITABLE_STATUS_COLUMNS + ['qc_status'])} AS status_column,
+       {pick('l_partkey % 6', ['Recieved', 'Failed', 'Complete', 'Planned', 'Bogus', 'In Progress'])} AS status_value,
+       CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'a' || CAST((l_orderkey + l_partkey) % 8 AS VARCHAR) || '@example.com'
+       END AS assigned_value,
+       {user('l_orderkey % 7')} AS actor, ship AS submitted_at
+FROM _bags WHERE sequence_number = 2""")
+
+_cte("chg_hows", ["_loc"], f"""
+SELECT processing_code, {pick('(o_orderkey + 1) % 13', R.FAILURE_MODES)} AS failure_mode, ' ' AS machine_setup_url,
+       'https://drive.google.com/r/' || CAST(o_orderkey AS VARCHAR) AS processed_data_url, 'revised' AS notes,
+       'admin@example.com' AS actor
+FROM _loc WHERE o_orderkey % 10 = 0""")
+
+_cte("chg_set_meta", ["_fps"], f"""
+SELECT set_code, upper(o_orderpriority) AS notes,
+       {pick('o_custkey % 12', R.MATERIAL_WORKSTREAM_OPTIONS)} AS material_workstream, 'editor@example.com' AS actor
+FROM _fps""")
+
+_cte("doc_manifest", ["ingredients"], """
+SELECT sku, fname AS filename, CASE WHEN seq % 9 = 0 THEN 'image/png' ELSE 'application/pdf' END AS content_type,
+       seq * 12345 * n AS size_bytes, seq % 2 = 0 AS confirm_replace, created_at + INTERVAL (n) HOUR AS uploaded_at,
+       'msds/ingredients/' || sku || '/' || CAST(n AS VARCHAR) || '_' || replace(fname, ' ', '_') AS object_path,
+       'admin@example.com' AS actor
+FROM (SELECT sku, seq, created_at, n,
+             CASE WHEN seq % 9 = 0 THEN 'photo ' || CAST(n AS VARCHAR) || '.png'
+                  ELSE 'sheet ' || CAST(n AS VARCHAR) || '.pdf' END AS fname
+      FROM ingredients, (SELECT unnest([1, 2]) AS n))""")
+
 _cte("query_log", [], """
 SELECT CAST(user_id AS VARCHAR) AS request_id, value AS elapsed_ms, event_id AS query_id, ts AS logged_at
 FROM events""")

@@ -370,7 +370,8 @@ class TpchDomain:
                      .when(F.col("c_mktsegment") == "FURNITURE", 2).when(F.col("c_mktsegment") == "MACHINERY", 3)
                      .otherwise(4), ["admin", "sku_codes", "formulations", "formulations_mix", "mixing_2"])
         df = c.select(
-            F.concat(F.lower(F.col("c_name")), F.lit("@example.com")).alias("email"),
+            F.when(k < 50, _user(k)).otherwise(F.concat(F.lower(F.col("c_name")), F.lit("@example.com")))
+             .alias("email"),
             F.concat(F.lit("F"), k.cast("string")).alias("first_name"),
             F.lit(None).cast("string").alias("last_name"),
             F.when(k % 5 == 0, F.concat(F.upper(role), F.lit(" "))).otherwise(role).alias("role_group"),
@@ -583,6 +584,101 @@ class TpchDomain:
                         F.when(p % 4 == 0, F.lit("Ready")).alias("tensile_films_status"),
                         F.col("created_by").alias("actor"))
 
+    # ---- change batches for the table-change jobs (R1-R12) and document manifests -------
+
+    @cached_property
+    def chg_roles(self) -> DataFrame:
+        e = self.src("events")
+        u, k = F.col("user_id"), F.col("event_id")
+        email = (F.when(k % 10 == 0, F.concat(F.lit("new"), u.cast("string"), F.lit("@example.com")))
+                 .when(k % 10 == 1, F.concat(F.lit("idp.example.com:customer#"), F.format_string("%09d", u),
+                                             F.lit("@example.com")))
+                 .otherwise(F.concat(F.lit("  CUSTOMER#"), F.format_string("%09d", u), F.lit("@EXAMPLE.COM "))))
+        role = F.when(F.col("event_type") == "view", "formulations").when(F.col("event_type") == "click", "sku_codes") \
+                .when(F.col("event_type") == "purchase", "mixing_1").when(F.col("event_type") == "error", "admin") \
+                .otherwise("formulations_mix")
+        return e.select(email.alias("email"), F.concat(F.lit("N"), u.cast("string")).alias("first_name"),
+                        F.col("event_type").alias("last_name"), role.alias("role_group"),
+                        F.lit(None).cast("array<string>").alias("permissions"),
+                        (F.col("value") > 2.0).alias("is_active"), F.lit("admin@example.com").alias("actor"),
+                        F.col("ts"), k.alias("event_id"))
+
+    @cached_property
+    def chg_floors(self) -> DataFrame:
+        seq = self.src("part").agg((F.max("p_partkey") + 6).alias("next_value")).select(
+            F.lit("ingredient_seq").alias("counter_name"), F.lit("global").alias("scope"), "next_value")
+        per_set = self.order_heads.groupBy("set_code").agg(F.count(F.lit(1)).alias("next_value")).select(
+            F.lit("weight_code").alias("counter_name"), F.col("set_code").alias("scope"), "next_value")
+        return seq.unionByName(per_set)
+
+    @cached_property
+    def chg_bags(self) -> DataFrame:
+        b = self._bags.where(F.col("sequence_number") == 1)
+        o, p = F.col("l_orderkey"), F.col("l_partkey")
+        return b.select("pellet_bag_code",
+                        F.when(o % 2 == 0, (F.col("qty") - F.col("n_lines")) / 2).alias("remaining_mass_kg"),
+                        F.when(p % 3 == 0, F.concat(F.lit("checked "), F.date_format("ship", "yyMMdd"))).alias("notes"),
+                        F.lit(None).cast("string").alias("customer"),
+                        _user(o % 7).alias("actor"))
+
+    @cached_property
+    def chg_products(self) -> DataFrame:
+        c = self.conversion1_products.where(F.col("product_suffix") == "0000")
+        return c.select("product_code", F.lit("FM Warehouse").alias("storage_location"),
+                        F.lit(None).cast("string").alias("notes"), F.lit("Ready").alias("tensile_rigid_status"),
+                        F.lit("admin@example.com").alias("actor"))
+
+    @cached_property
+    def chg_archive(self) -> DataFrame:
+        b = self.ingredient_batches.where(F.col("archived").isNull())
+        return b.select("sku", "ingredient_batch_code", (F.col("quantity_value") > 100).alias("archived"),
+                        F.lit("admin@example.com").alias("actor"))
+
+    @cached_property
+    def chg_status(self) -> DataFrame:
+        b = self._bags.where(F.col("sequence_number") == 2)
+        o, p = F.col("l_orderkey"), F.col("l_partkey")
+        cols = R.EDITABLE_STATUS_COLUMNS + ["qc_status"]
+        vals = ["Recieved", "Failed", "Complete", "Planned", "Bogus", "In Progress"]
+        return b.select("pellet_bag_code", _pick(o % 5, cols).alias("status_column"),
+                        _pick(p % 6, vals).alias("status_value"),
+                        F.when(o % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("a"), ((o + p) % 8).cast("string"),
+                                                                         F.lit("@example.com"))).alias("assigned_value"),
+                        _user(o % 7).alias("actor"), F.col("ship").alias("submitted_at"))
+
+    @cached_property
+    def chg_hows(self) -> DataFrame:
+        h = self._locations.where(F.col("o_orderkey") % 10 == 0)
+        k = F.col("o_orderkey")
+        return h.select("processing_code", _pick((k + 1) % 13, R.FAILURE_MODES).alias("failure_mode"),
+                        F.lit(" ").alias("machine_setup_url"),
+                        F.concat(F.lit("https://drive.google.com/r/"), k.cast("string")).alias("processed_data_url"),
+                        F.lit("revised").alias("notes"), F.lit("admin@example.com").alias("actor"))
+
+    @cached_property
+    def chg_set_meta(self) -> DataFrame:
+        s = self._first_per_set
+        return s.select("set_code", F.upper(F.col("o_orderpriority")).alias("notes"),
+                        _pick(F.col("o_custkey") % 12, R.MATERIAL_WORKSTREAM_OPTIONS).alias("material_workstream"),
+                        F.lit("editor@example.com").alias("actor"))
+
+    @cached_property
+    def doc_manifest(self) -> DataFrame:
+        """Uploaded safety sheets: two uploads per ingredient (the later one wins)."""
+        i = self.ingredients.select("sku", "seq", "created_at")
+        n = i.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+        k = F.col("seq")
+        fname = F.when(k % 9 == 0, F.concat(F.lit("photo "), F.col("n").cast("string"), F.lit(".png"))) \
+                 .otherwise(F.concat(F.lit("sheet "), F.col("n").cast("string"), F.lit(".pdf")))
+        return n.select("sku", fname.alias("filename"),
+                        F.when(k % 9 == 0, "image/png").otherwise("application/pdf").alias("content_type"),
+                        (k * 12345 * F.col("n")).alias("size_bytes"),
+                        (k % 2 == 0).alias("confirm_replace"),
+                        F.timestamp_add("HOUR", F.col("n"), F.col("created_at")).alias("uploaded_at"),
+                        F.concat(F.lit("msds/ingredients/"), F.col("sku"), F.lit("/"), F.col("n").cast("string"),
+                                 F.lit("_"), F.translate(fname, " ", "_")).alias("object_path"),
+                        F.lit("admin@example.com").alias("actor"))
+
     @cached_property
     def query_log(self) -> DataFrame:
         """Per-query timing log (A13): request id, elapsed ms, bytes, logged at."""
