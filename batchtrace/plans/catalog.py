@@ -673,3 +673,34 @@ def masked_formulations(spark, sf_dir):
 def sku_summary_masked(spark, sf_dir):
     """The formulations section of the SKU summary for a viewer without access (empty)."""
     return X.mask_section(LN.sku_summary_formulations(domain(spark, sf_dir)), False)
+
+
+# ---- streaming (T1) ----------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from batchtrace.operators.numbering import sequence_within  # noqa: E402
+from batchtrace.session import checkpoint_dir  # noqa: E402
+from batchtrace.streaming import register_stream as T  # noqa: E402
+
+STREAM_ARRIVALS = 3
+
+
+@query
+def stream_register_sets(spark, sf_dir):
+    """Set registration as a stream. The request batch arrives as three files groups in
+    request order; each arrival is processed by one availableNow run of the same streaming
+    query (restarting from its checkpoint), appending new sets to the state. The final
+    codes equal those of the one-shot job."""
+    t = domain(spark, sf_dir)
+    work = f"{checkpoint_dir(spark).rstrip('/')}/stream-sets-{uuid.uuid4().hex}"
+    req = t.req_sets
+    ordered = sequence_within(req, [], M.ORDER, out="_pos")
+    n = ordered.count()
+    ordered = ordered.withColumn("_arrival", F.floor(F.col("_pos") * STREAM_ARRIVALS / F.lit(max(n, 1))))
+    for i in range(STREAM_ARRIVALS):
+        ordered.where(F.col("_arrival") == i).drop("_pos", "_arrival").write.mode("append").parquet(f"{work}/in")
+        q = T.stream_register(spark, f"{work}/in", "sets", t, f"{work}/state", f"{work}/checkpoint",
+                              req.schema, AS_OF, files_per_trigger=1_000_000)
+        q.awaitTermination()
+    out = T.read_outcomes(spark, f"{work}/state")
+    return out.select("request_id", (F.col("outcome") != "rejected").alias("accepted"), "set_code", "rule")

@@ -900,3 +900,6 @@ FROM v_flat f LEFT JOIN acc a ON a.email = f.created_by""")
 register("sku_summary_masked", """
 SELECT DISTINCT i.sku AS requested_sku, f.set_code, f.weight_code, f.batch_variant_code, f.base_code, f.created_at
 FROM ingredients i JOIN (SELECT f.*, unnest(f.sku_list) AS s FROM v_flat f) f ON f.s = i.sku WHERE FALSE""")
+
+register("stream_register_sets", "SELECT request_id, outcome <> 'rejected' AS accepted, set_code, rule FROM ("
+         + SQL["register_sets"].replace("WITH ", "WITH ", 1) + ") x")
