@@ -85,3 +85,23 @@ def sku_matrix(variants: DataFrame, keys: list[str], value_col: str, scope: list
         *keys, "columns",
         F.transform("columns", lambda s: F.try_element_at(F.filter("items", lambda x: x["sku"] == s), F.lit(-1))
                     [value_col].cast("string")).alias("cells"))
+
+
+def matrix_columns(variants: DataFrame, scope: list[str]) -> DataFrame:
+    """A14 column list: sorted distinct SKUs per scope (e.g. per set)."""
+    e = variants.select(*scope, F.explode("items").alias("_it"))
+    return e.groupBy(*scope).agg(F.sort_array(F.collect_set("_it.sku")).alias("columns"))
+
+
+def sku_matrix_sparse(variants: DataFrame, keys: list[str], value_col: str, scope: list[str]) -> DataFrame:
+    """A14 in sparse form for bulk use: per variant, only the filled cells as
+    struct(col, value) where ``col`` is the 0-based index into the scope's column list
+    (a repeated SKU keeps its last value). Output size is linear in the item count,
+    while the dense matrix grows with variants x columns."""
+    cols = matrix_columns(variants, scope)
+    n = F.size("items")
+    last = F.filter("items", lambda x, i: (i == n - 1) | (F.get(F.col("items"), i + 1)["sku"] != x["sku"]))
+    return variants.join(cols, scope).select(
+        *keys, F.size("columns").alias("n_columns"),
+        F.transform(last, lambda x: F.struct((F.array_position("columns", x["sku"]) - 1).cast("int").alias("col"),
+                                             x[value_col].cast("string").alias("value"))).alias("cells"))

@@ -228,9 +228,17 @@ PRODUCT_KEYS = ["category_code", "trade_name_inci", "supplier", "spec_grade", "f
 ITEM_KEYS = PRODUCT_KEYS + ["pack_size_value"]
 
 
-def _null_safe_key(cols: list[str]) -> Column:
-    """One comparable key for null-safe multi-column matching (NULL spec_grade == NULL)."""
-    return F.to_json(F.struct(*[F.col(c) for c in cols]))
+def _ns_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on several columns with NULL equal to NULL (spec_grade may be NULL). Spark
+    plans ``<=>`` conditions as ordinary hash/sort-merge equi-join keys."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                     *[F.col(c) for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
 def _q1_first(req: DataFrame) -> DataFrame:
@@ -248,25 +256,23 @@ def register_ingredients(requests: DataFrame, state, as_of):
     (counter 'ingredient_seq', scope 'global', start 1); SKU = F3."""
     req = requests.withColumn("spec_grade", blank_to_null("spec_grade"))
     bad = _q1_first(req)
-    ok = req.join(bad.select("request_id"), "request_id", "left_anti") \
-            .withColumn("_item", _null_safe_key(ITEM_KEYS)).withColumn("_product", _null_safe_key(PRODUCT_KEYS))
-    ing = state["ingredients"].withColumn("_item", _null_safe_key(ITEM_KEYS)) \
-                              .withColumn("_product", _null_safe_key(PRODUCT_KEYS))
-    dup_stored = ok.join(ing.select("_item").distinct(), "_item", "left_semi")
-    firsts = O.first_per_key(ok.select("_item", *ORDER), ["_item"], [(c, False) for c in ORDER])
-    dup_batch = ok.join(firsts, ["_item", *ORDER], "left_anti")
+    ok = req.join(bad.select("request_id"), "request_id", "left_anti")
+    ing = state["ingredients"]
+    dup_stored = _ns_join(ok, ing.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_semi")
+    dup_batch = _not_first(ok, ITEM_KEYS)
     dups = _reject(dup_stored.select("request_id").unionByName(dup_batch.select("request_id")).distinct(),
                    "duplicate", "Ingredient already exists")
     fresh = ok.join(dups.select("request_id"), "request_id", "left_anti")
-    known = ing.groupBy("_product").agg(F.min("seq").alias("_seq"))
-    fresh = fresh.join(known, "_product", "left")
+    known = ing.groupBy(*PRODUCT_KEYS).agg(F.min("seq").alias("_seq"))
+    fresh = _ns_join(fresh, known, PRODUCT_KEYS, "left")
     reuse = fresh.where("_seq IS NOT NULL").withColumn("seq", F.col("_seq"))
-    new_products = fresh.where("_seq IS NULL").groupBy("_product").agg(
-        F.min(F.struct(*ORDER)).alias("_o")).select("_product", "_o.*")
+    new_products = fresh.where("_seq IS NULL").groupBy(*PRODUCT_KEYS).agg(
+        F.min(F.struct(*ORDER)).alias("_o")).select(*PRODUCT_KEYS, "_o.*")
     numbered, floors = assign_scoped(new_products.withColumn("_g", F.lit("global")), ["_g"],
                                      state["code_counters"], "ingredient_seq", 1)
-    new = fresh.where("_seq IS NULL").join(numbered.select("_product", F.col("value").alias("seq")), "_product")
-    acc = reuse.drop("_seq").unionByName(new.drop("_seq")).withColumn(
+    new = _ns_join(fresh.where("_seq IS NULL").drop("_seq"),
+                   numbered.select(*PRODUCT_KEYS, F.col("value").alias("seq")), PRODUCT_KEYS, "inner")
+    acc = reuse.drop("_seq").unionByName(new).withColumn(
         "sku", C.format_sku("category_code", "seq", "pack_size_value"))
     rows = acc.select("sku", "category_code", "seq", "pack_size_value", "pack_size_unit", "trade_name_inci",
                       "supplier", "spec_grade", "format", _ts(as_of).alias("created_at"),
@@ -277,6 +283,15 @@ def register_ingredients(requests: DataFrame, state, as_of):
     return accepted, bad.unionByName(dups), {"ingredients": rows, "code_counters": counters}
 
 
+def _not_first(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests that are not the first (by submitted_at, request_id) of their key."""
+    firsts = O.first_per_key(df.select(*keys, *ORDER), keys, [(c, False) for c in ORDER]) \
+        .select(*keys, *[F.col(c).alias(f"_f_{c}") for c in ORDER])
+    j = _ns_join(df, firsts, keys, "left")
+    return j.where(~((F.col("submitted_at") == F.col("_f_submitted_at"))
+                     & (F.col("request_id") == F.col("_f_request_id"))))
+
+
 def import_ingredients(requests: DataFrame, state, as_of):
     """M7: the SKU is parsed (F4) and overrides category and pack size; Q1 checks; exact
     duplicates rejected; a known product must keep its seq; a new product's seq must not
@@ -286,16 +301,14 @@ def import_ingredients(requests: DataFrame, state, as_of):
     ok = p.where("_p.error IS NULL").withColumn("category_code", F.col("_p.category_code")) \
           .withColumn("seq", F.col("_p.seq")).withColumn("pack_size_value", F.col("_p.pack_size_value")).drop("_p")
     bad = _q1_first(ok)
-    ok = ok.join(bad.select("request_id"), "request_id", "left_anti") \
-           .withColumn("_item", _null_safe_key(ITEM_KEYS)).withColumn("_product", _null_safe_key(PRODUCT_KEYS))
-    ing = state["ingredients"].withColumn("_item", _null_safe_key(ITEM_KEYS)) \
-                              .withColumn("_product", _null_safe_key(PRODUCT_KEYS))
-    dup = _reject(ok.join(ing.select("_item").distinct(), "_item", "left_semi"), "duplicate",
+    ok = ok.join(bad.select("request_id"), "request_id", "left_anti")
+    ing = state["ingredients"]
+    dup = _reject(_ns_join(ok, ing.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_semi"), "duplicate",
                   "Ingredient already exists")
     ok = ok.join(dup.select("request_id"), "request_id", "left_anti")
-    prod = ing.groupBy("_product").agg(F.min("seq").alias("_pseq"))
+    prod = ing.groupBy(*PRODUCT_KEYS).agg(F.min("seq").alias("_pseq"))
     taken = ing.select("category_code", F.col("seq").alias("seq"), F.lit(True).alias("_taken")).distinct()
-    j = ok.join(prod, "_product", "left").join(taken, ["category_code", "seq"], "left")
+    j = _ns_join(ok, prod, PRODUCT_KEYS, "left").join(taken, ["category_code", "seq"], "left")
     mismatch = _reject(j.where(F.col("_pseq").isNotNull() & (F.col("_pseq") != F.col("seq"))), "seq_mismatch",
                        "SKU sequence must match existing product")
     used = _reject(j.where(F.col("_pseq").isNull() & F.col("_taken").isNotNull()), "seq_taken",

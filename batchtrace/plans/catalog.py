@@ -236,20 +236,34 @@ def recipe_lines(spark, sf_dir):
 
 
 def _matrix_text(df, keys):
-    return df.select(*keys, F.array_join("columns", ",").alias("columns_text"),
-                     F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells_text"))
+    return df.select(*keys, "n_columns", F.array_join(F.transform(
+        "cells", lambda c: F.concat(c["col"].cast("string"), F.lit("="), F.coalesce(c["value"], F.lit("")))), "|")
+        .alias("cells_text"))
 
 
 @query
 def weight_matrix(spark, sf_dir):
+    """Sparse weight matrix rows of every set."""
     return _matrix_text(LN.weight_matrix(domain(spark, sf_dir)), ["set_code", "weight_code"])
 
 
+@query
+def weight_matrix_columns(spark, sf_dir):
+    return LN.matrix_columns(domain(spark, sf_dir), "weight").select(
+        "set_code", F.array_join("columns", ",").alias("columns_text"))
+
+
 @query
 def batch_matrix(spark, sf_dir):
     return _matrix_text(LN.batch_matrix(domain(spark, sf_dir)), LN.FORM_KEYS)
 
 
+@query
+def batch_matrix_columns(spark, sf_dir):
+    return LN.matrix_columns(domain(spark, sf_dir), "batch").select(
+        "set_code", "weight_code", F.array_join("columns", ",").alias("columns_text"))
+
+
 @query
 def batch_candidates(spark, sf_dir):
     return LN.batch_candidates(domain(spark, sf_dir))

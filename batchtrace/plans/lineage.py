@@ -231,14 +231,24 @@ def recipe_lines(t, show_weights: bool = True) -> DataFrame:
     return out
 
 
-def weight_matrix(t) -> DataFrame:
-    """Per set, one row per weight variant with cells aligned to the set's SKU columns."""
-    return A.sku_matrix(V.weights(t), ["set_code", "weight_code"], "wt_percent", ["set_code"])
+def weight_matrix(t, sparse: bool = True) -> DataFrame:
+    """Per set, one row per weight variant with its cells aligned to the set's SKU
+    columns (sparse: filled cells only; dense: one cell per column)."""
+    f = A.sku_matrix_sparse if sparse else A.sku_matrix
+    return f(V.weights(t), ["set_code", "weight_code"], "wt_percent", ["set_code"])
 
 
-def batch_matrix(t) -> DataFrame:
+def batch_matrix(t, sparse: bool = True) -> DataFrame:
     """Per (set, weight), one row per batch variant with batch-code cells."""
-    return A.sku_matrix(V.variants(t), FORM_KEYS, "ingredient_batch_code", ["set_code", "weight_code"])
+    f = A.sku_matrix_sparse if sparse else A.sku_matrix
+    return f(V.variants(t), FORM_KEYS, "ingredient_batch_code", ["set_code", "weight_code"])
+
+
+def matrix_columns(t, kind: str) -> DataFrame:
+    """The column (SKU) list of each weight matrix (per set) or batch matrix (per set, weight)."""
+    if kind == "weight":
+        return A.matrix_columns(V.weights(t), ["set_code"])
+    return A.matrix_columns(V.variants(t), ["set_code", "weight_code"])
 
 
 def batch_candidates(t) -> DataFrame:

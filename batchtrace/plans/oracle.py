@@ -255,22 +255,30 @@ FROM v_flat f
 LEFT JOIN LATERAL (SELECT unnest(f.sku_list) AS sku, unnest(range(1, len(f.sku_list) + 1)) AS pos) u ON TRUE""")
 
 
+def _cols(view: str, scope: list[str]) -> str:
+    sc = ", ".join(scope)
+    return (f"SELECT {sc}, list_sort(list_distinct(flatten(list(list_transform(items, lambda x: x.sku))))) AS columns "
+            f"FROM {view} GROUP BY {sc}")
+
+
 def _matrix(view: str, keys: list[str], scope: list[str], value: str) -> str:
     k = ", ".join(f"v.{c}" for c in keys)
     on = " AND ".join(f"c.{s} = v.{s}" for s in scope)
-    sc = ", ".join(scope)
     return f"""
-SELECT {k}, array_to_string(c.columns, ',') AS columns_text,
-       array_to_string(list_transform(c.columns, lambda s: coalesce(
-           CAST(list_filter(v.items, lambda x: x.sku = s)[-1].{value} AS VARCHAR), '')), '|') AS cells_text
-FROM {view} v JOIN (
-  SELECT {sc}, list_sort(list_distinct(flatten(list(list_transform(items, lambda x: x.sku))))) AS columns
-  FROM {view} GROUP BY {sc}) c ON {on}"""
+SELECT {k}, len(c.columns) AS n_columns,
+       array_to_string(list_transform(
+           list_filter(v.items, lambda x, i: i = len(v.items) OR v.items[i + 1].sku <> x.sku),
+           lambda x: CAST(list_position(c.columns, x.sku) - 1 AS VARCHAR) || '=' ||
+                     coalesce(CAST(x.{value} AS VARCHAR), '')), '|') AS cells_text
+FROM {view} v JOIN ({_cols(view, scope)}) c ON {on}"""
 
 
 register("weight_matrix", _matrix("v_weights", ["set_code", "weight_code"], ["set_code"], "wt_percent"))
 register("batch_matrix", _matrix("v_batches", ["set_code", "weight_code", "batch_variant_code"],
                                  ["set_code", "weight_code"], "ingredient_batch_code"))
+register("weight_matrix_columns", f"SELECT set_code, array_to_string(columns, ',') AS columns_text FROM ({_cols('v_weights', ['set_code'])})")
+register("batch_matrix_columns", "SELECT set_code, weight_code, array_to_string(columns, ',') AS columns_text FROM ("
+         + _cols("v_batches", ["set_code", "weight_code"]) + ")")
 register("batch_candidates", """
 SELECT w.sku, w.set_code, w.weight_code, b.ingredient_batch_code
 FROM (SELECT set_code, weight_code, unnest(items).sku AS sku FROM v_weights) w
