@@ -23,6 +23,7 @@ from batchtrace.functions.text import blank_to_null, collapse_ws, is_allowed_lin
 from batchtrace.operators import changes as CH, paging as O, quality as Q
 from batchtrace.operators.joins import bounded_broadcast, overlay
 from batchtrace.operators.numbering import scope_key, sequence_within
+from batchtrace.session import checkpoint_dir
 from batchtrace.sources import registries as R
 
 ORDER = ["submitted_at", "request_id"]
@@ -33,6 +34,14 @@ def _ts(as_of) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
+def _pin(df: DataFrame) -> DataFrame:
+    """Cut lineage before a frame feeds several branches (and the numbering pass): a
+    reliable checkpoint in ``spark.checkpoint.dir``, so branches do not recompute the
+    validation joins and a lost executor recomputes nothing upstream."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _reject(df: DataFrame, rule: str, message: Column | str) -> DataFrame:
     msg = F.lit(message) if isinstance(message, str) else message
     return df.select("request_id", F.lit(rule).alias("rule"), msg.alias("message"))
@@ -88,7 +97,7 @@ def _dedupe_by_hash(valid: DataFrame, scope: list[str], existing: DataFrame, cod
     code (first request of the hash) or the new code of an earlier request."""
     keys = [*scope, "content_hash"]
     ex = existing.groupBy(*keys).agg(F.min(code_col).alias("_existing"))
-    v = valid.join(ex, keys, "left")
+    v = _pin(valid.join(ex, keys, "left"))
     found = v.where("_existing IS NOT NULL").withColumn(code_col, F.col("_existing")) \
              .withColumn("outcome", F.lit("existing")).drop("_existing")
     fresh = v.where("_existing IS NULL").drop("_existing")
@@ -264,7 +273,7 @@ def register_ingredients(requests: DataFrame, state, as_of):
                    "duplicate", "Ingredient already exists")
     fresh = ok.join(dups.select("request_id"), "request_id", "left_anti")
     known = ing.groupBy(*PRODUCT_KEYS).agg(F.min("seq").alias("_seq"))
-    fresh = _ns_join(fresh, known, PRODUCT_KEYS, "left")
+    fresh = _pin(_ns_join(fresh, known, PRODUCT_KEYS, "left"))
     reuse = fresh.where("_seq IS NOT NULL").withColumn("seq", F.col("_seq"))
     new_products = fresh.where("_seq IS NULL").groupBy(*PRODUCT_KEYS).agg(
         F.min(F.struct(*ORDER)).alias("_o")).select(*PRODUCT_KEYS, "_o.*")
@@ -308,7 +317,7 @@ def import_ingredients(requests: DataFrame, state, as_of):
     ok = ok.join(dup.select("request_id"), "request_id", "left_anti")
     prod = ing.groupBy(*PRODUCT_KEYS).agg(F.min("seq").alias("_pseq"))
     taken = ing.select("category_code", F.col("seq").alias("seq"), F.lit(True).alias("_taken")).distinct()
-    j = _ns_join(ok, prod, PRODUCT_KEYS, "left").join(taken, ["category_code", "seq"], "left")
+    j = _pin(_ns_join(ok, prod, PRODUCT_KEYS, "left").join(taken, ["category_code", "seq"], "left"))
     mismatch = _reject(j.where(F.col("_pseq").isNotNull() & (F.col("_pseq") != F.col("seq"))), "seq_mismatch",
                        "SKU sequence must match existing product")
     used = _reject(j.where(F.col("_pseq").isNull() & F.col("_taken").isNotNull()), "seq_taken",
