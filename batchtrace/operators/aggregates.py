@@ -38,6 +38,12 @@ def distinct_formulations(forms: DataFrame) -> DataFrame:
     return forms.select("set_code", "weight_code", "batch_variant_code").distinct()
 
 
+def distinct_formulations_from(primary: DataFrame | None, fallback: DataFrame) -> DataFrame:
+    """The code triples from the flat view when it is available, else from the
+    batch-variant base table (same keys); the choice is made at plan time."""
+    return distinct_formulations(primary if primary is not None else fallback)
+
+
 def next_code_per_context(hows: DataFrame, context_col: str = "context_code",
                           code_col: str = "processing_code", start: int = 1) -> DataFrame:
     """A10: next two-letter code per context = max(start - 1, highest parsable code of the

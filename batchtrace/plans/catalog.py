@@ -718,3 +718,100 @@ def stream_register_sets(spark, sf_dir):
         q.awaitTermination()
     out = T.read_outcomes(spark, f"{work}/state")
     return out.select("request_id", (F.col("outcome") != "rejected").alias("accepted"), "set_code", "rule")
+
+
+# ---- sources, schema checks, lookups, paging variants -------------------------------------
+from batchtrace.operators import filters as P, joins as J  # noqa: E402
+from batchtrace.sources import schemas as S  # noqa: E402
+
+
+@query
+def archived_backfill(spark, sf_dir):
+    """Migration backfill archived NULL -> FALSE, counted per value."""
+    b = S.backfill(domain(spark, sf_dir).ingredient_batches, "archived", False)
+    return b.groupBy("archived").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def schema_problems(spark, sf_dir):
+    """Every stored table checked against its column contract (no problems expected)."""
+    t = domain(spark, sf_dir)
+    return S.require_schema(spark, {n: t[n] for n in S.SCHEMAS})
+
+
+@query
+def formulation_codes_fallback(spark, sf_dir):
+    """Formulation codes from the base table when the view is unavailable."""
+    return A.distinct_formulations_from(None, domain(spark, sf_dir).batch_variants)
+
+
+@query
+def active_role_count(spark, sf_dir):
+    """A8."""
+    return A.active_role_count(domain(spark, sf_dir).user_roles)
+
+
+@query
+def assignee_list(spark, sf_dir):
+    """Active assignees."""
+    return LN.lookup_list(domain(spark, sf_dir), spark, "assignees")
+
+
+@query
+def set_list(spark, sf_dir):
+    """Full set list with SKUs."""
+    s = LN.lookup_list(domain(spark, sf_dir), spark, "sets")
+    return s.select("set_code", F.array_join("sku_list", ",").alias("sku_list_text"), "notes", "material_workstream")
+
+
+SET_Q = "_00"
+
+
+@query
+def sets_page(spark, sf_dir):
+    """L1: sets whose code or any SKU contains '_00' (J9), page 2 of 50, newest first."""
+    s = J.sets_matching(V.sets(domain(spark, sf_dir)), SET_Q)
+    rows, _ = O.page(s, "sets", 2, PAGE_SIZE)
+    return rows.select("set_code", "created_at", F.array_join("sku_list", ",").alias("sku_list_text"))
+
+
+KEYSET_AFTER = {"created_at": "1998-06-01 00:00:00", "set_code": "MM", "weight_code": "MM",
+                "batch_variant_code": "MM"}
+
+
+@query
+def formulations_keyset(spark, sf_dir):
+    """O2 keyset: the 50 formulations after a fixed listing key (newest first)."""
+    rows = O.page_after(V.formulations(domain(spark, sf_dir)), "formulations", KEYSET_AFTER, PAGE_SIZE)
+    return render_formulations(rows)
+
+
+@query
+def existing_batches(spark, sf_dir):
+    """The requested (sku, batch) pairs of every batch-variant request that are
+    stored batches."""
+    t = domain(spark, sf_dir)
+    pairs = t.req_variants.select(F.explode("items").alias("i")).select("i.sku", "i.ingredient_batch_code")
+    found, _ = J.existing_batches(pairs, t.ingredient_batches)
+    return found
+
+
+@query
+def display_functions(spark, sf_dir):
+    """F7-F27 over every compounding how joined to its location: display and check columns."""
+    t = domain(spark, sf_dir)
+    h = t.compounding_how.join(t.location_codes.select(F.col("location_id").alias("location_code"),
+                                                       "production_date", "partner_code"), "location_code", "left")
+    return h.select(
+        "processing_code",
+        TX.collapse_ws(F.concat(F.lit("  "), F.col("processing_code"), F.lit("   x"))).alias("collapsed"),
+        TX.is_yymmdd("production_date").alias("is_yymmdd"),
+        TX.yymmdd_label("production_date").alias("date_label"),
+        TX.ts_display("created_at").alias("created_display"),
+        TX.is_allowed_link("machine_setup_url").alias("setup_link_ok"),
+        TX.is_allowed_link("processed_data_url").alias("data_link_ok"),
+        TX.safe_filename("machine_setup_url").alias("setup_file"),
+        TX.default_text("created_by").alias("owner"),
+        TX.normalize_email("created_by").alias("owner_email"),
+        C.is_two_letter_code("partner_code").alias("partner_ok"),
+        C.token("processing_code", 5).alias("suffix_token"))

@@ -911,3 +911,60 @@ FROM ingredients i JOIN (SELECT f.*, unnest(f.sku_list) AS s FROM v_flat f) f ON
 
 register("stream_register_sets", "SELECT request_id, outcome <> 'rejected' AS accepted, set_code, rule FROM ("
          + SQL["register_sets"].replace("WITH ", "WITH ", 1) + ") x")
+
+
+# ---- sources, schema checks, lookups, paging variants -------------------------------------------
+register("archived_backfill", """
+SELECT coalesce(archived, FALSE) AS archived, count(*) AS n FROM ingredient_batches GROUP BY coalesce(archived, FALSE)""")
+register("schema_problems", """
+SELECT CAST(NULL AS VARCHAR) AS table_name, CAST(NULL AS VARCHAR) AS column_name, CAST(NULL AS VARCHAR) AS problem
+WHERE FALSE""")
+register("formulation_codes_fallback", "SELECT DISTINCT set_code, weight_code, batch_variant_code FROM batch_variants")
+register("active_role_count", "SELECT count(*) AS active_roles FROM user_roles WHERE is_active")
+register("assignee_list", "SELECT email FROM pellet_bag_assignees WHERE is_active")
+register("set_list", "SELECT set_code, array_to_string(sku_list, ',') AS sku_list_text, notes, material_workstream "
+                     "FROM v_sets")
+register("sets_page", """
+SELECT set_code, created_at, array_to_string(sku_list, ',') AS sku_list_text FROM v_sets
+WHERE contains(lower(set_code), '_00') OR list_bool_or(list_transform(sku_list, lambda x: contains(lower(x), '_00')))
+ORDER BY created_at DESC NULLS LAST, set_code DESC NULLS LAST LIMIT 50 OFFSET 50""")
+_K = "TIMESTAMP '1998-06-01 00:00:00'"
+register("formulations_keyset", f"""
+SELECT {FLAT_TEXT} FROM v_flat
+WHERE created_at < {_K}
+   OR (created_at = {_K} AND set_code < 'MM')
+   OR (created_at = {_K} AND set_code = 'MM' AND weight_code < 'MM')
+   OR (created_at = {_K} AND set_code = 'MM' AND weight_code = 'MM' AND batch_variant_code < 'MM')
+ORDER BY {FORM_ORDER} LIMIT 50""")
+register("existing_batches", """
+SELECT DISTINCT p.sku, p.ingredient_batch_code FROM (
+  SELECT nullif(trim(i.sku), '') AS sku, nullif(trim(i.ingredient_batch_code), '') AS ingredient_batch_code
+  FROM (SELECT unnest(items) AS i FROM req_variants)) p
+WHERE p.sku IS NOT NULL AND p.ingredient_batch_code IS NOT NULL
+  AND EXISTS (SELECT 1 FROM ingredient_batches b WHERE b.sku = p.sku AND b.ingredient_batch_code = p.ingredient_batch_code)""")
+
+
+def _link_ok(u: str) -> str:
+    scheme = f"lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
+    host = f"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+    hosts = ", ".join(f"'{h}'" for h in ["drive.google.com", "docs.google.com", "sheets.google.com"])
+    return (f"CASE WHEN {u} IS NULL OR {u} = '' THEN TRUE ELSE coalesce({scheme} IN ('http', 'https') AND "
+            f"({host} IN ({hosts}) OR {host} LIKE '%.google.com'), FALSE) END")
+
+
+register("display_functions", f"""
+SELECT h.processing_code,
+       trim(regexp_replace('  ' || h.processing_code || '   x', '\\s+', ' ', 'g')) AS collapsed,
+       coalesce(regexp_full_match(l.production_date, '[0-9]{{6}}'), FALSE) AS is_yymmdd,
+       CASE WHEN coalesce(regexp_full_match(l.production_date, '[0-9]{{6}}'), FALSE) THEN
+         '20' || substr(l.production_date, 1, 2) || '-' || substr(l.production_date, 3, 2) || '-'
+         || substr(l.production_date, 5, 2) END AS date_label,
+       strftime(h.created_at, '%H:%M:%S  - %d/%m/%Y') AS created_display,
+       {_link_ok('h.machine_setup_url')} AS setup_link_ok,
+       {_link_ok('h.processed_data_url')} AS data_link_ok,
+       replace(regexp_extract(h.machine_setup_url, '([^/\\\\]*)$', 1), ' ', '_') AS setup_file,
+       coalesce(nullif(trim(h.created_by), ''), 'Unknown') AS owner,
+       lower(trim(regexp_replace(h.created_by, '^[^:]*:', ''))) AS owner_email,
+       coalesce(regexp_full_match(l.partner_code, '[A-Z]{{2}}'), FALSE) AS partner_ok,
+       string_split(h.processing_code, ' ')[6] AS suffix_token
+FROM compounding_how h LEFT JOIN location_codes l ON l.location_id = h.location_code""")

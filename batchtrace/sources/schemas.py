@@ -137,7 +137,7 @@ def backfill(df: DataFrame, col: str, value) -> DataFrame:
 def require_schema(spark: SparkSession, frames: dict[str, DataFrame],
                    contract: dict[str, list[str]] | None = None) -> DataFrame:
     """Compare the columns of the given frames with the required columns and report
-    every problem at once: one row per (table, column, problem). Works on schemas only
+    every problem at once: one row per (table_name, column_name, problem). Works on schemas only
     (plan-time metadata), so nothing is scanned."""
     contract = contract or {name: [f.name for f in SCHEMAS[name].fields] for name in frames}
     rows = []
@@ -147,7 +147,7 @@ def require_schema(spark: SparkSession, frames: dict[str, DataFrame],
             continue
         have = set(frames[table].columns)
         rows.extend((table, c, "missing_column") for c in cols if c not in have)
-    return spark.createDataFrame(rows, "table string, column string, problem string")
+    return spark.createDataFrame(rows, "table_name string, column_name string, problem string")
 
 
 def write_snapshot(df: DataFrame, root: str, name: str, snapshot: str) -> str:
@@ -158,3 +158,11 @@ def write_snapshot(df: DataFrame, root: str, name: str, snapshot: str) -> str:
     path = f"{root.rstrip('/')}/{name}/_snapshots/{snapshot}"
     evolve(df, SCHEMAS[name]).write.mode("errorifexists").parquet(path)
     return path
+
+
+def append(df: DataFrame, root: str, name: str) -> str:
+    """S3: append new rows to a table directory (typed to the table contract first).
+    Appends are new files; readers of ``read_table`` see them on the next scan."""
+    path = f"{root.rstrip('/')}/{name}"
+    evolve(df, SCHEMAS[name]).write.mode("append").parquet(path)
+    return path
