@@ -47,8 +47,10 @@ def yymmdd_valid_date(c) -> Column:
 def ts_display(c) -> Column:
     """'HH:mm:ss  - dd/MM/yyyy'; text that does not parse as a timestamp is kept as is."""
     c = col(c)
+    # Wall-clock formatting of a timestamp_ntz value: independent of the session time zone.
+    wall = c.cast("string").try_cast("timestamp_ntz")
     return F.when(c.isNull() | (c.cast("string") == ""), F.lit("")).otherwise(
-        F.coalesce(F.date_format(F.try_to_timestamp(c.cast("string")), "HH:mm:ss  - dd/MM/yyyy"), c.cast("string")))
+        F.coalesce(F.date_format(wall, "HH:mm:ss  - dd/MM/yyyy"), c.cast("string")))
 
 
 def percent_display(c) -> Column:

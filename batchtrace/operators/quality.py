@@ -22,16 +22,28 @@ def _explode_checks(df: DataFrame, keys: list[str], checks: list[tuple[Column, s
              .select(*keys, "_c.rule", "_c.message")
 
 
+_Q1 = [
+    (lambda: ~F.coalesce(F.col("pack_size_unit").isin(*R.PACK_UNITS), F.lit(False)), "pack_size_unit",
+     "pack_size_unit must be kg or L"),
+    (lambda: ~F.coalesce(F.col("pack_size_value").between(*R.PACK_SIZE_RANGE), F.lit(False)), "pack_size_value",
+     "pack_size_value must be between 1 and 1000"),
+    (lambda: ~F.coalesce(F.col("format").isin(*R.FORMAT_VALUES), F.lit(False)), "format",
+     "format must be one of " + ", ".join(R.FORMAT_VALUES)),
+]
+
+
+def ingredient_reason() -> Column:
+    """Q1 as one column: struct(rule, message) of the first failed check, else NULL."""
+    expr = None
+    for cond, rule, msg in _Q1:
+        val = F.struct(F.lit(rule).alias("rule"), F.lit(msg).alias("message"))
+        expr = F.when(cond(), val) if expr is None else expr.when(cond(), val)
+    return expr
+
+
 def check_ingredients(df: DataFrame, key: str = "sku") -> DataFrame:
     """Q1: unit in {kg, L}; pack size 1..1000; format one of the six values."""
-    return _explode_checks(df, [key], [
-        (~F.coalesce(F.col("pack_size_unit").isin(*R.PACK_UNITS), F.lit(False)), "pack_size_unit",
-         "pack_size_unit must be kg or L"),
-        (~F.coalesce(F.col("pack_size_value").between(*R.PACK_SIZE_RANGE), F.lit(False)), "pack_size_value",
-         "pack_size_value must be between 1 and 1000"),
-        (~F.coalesce(F.col("format").isin(*R.FORMAT_VALUES), F.lit(False)), "format",
-         "format must be one of " + ", ".join(R.FORMAT_VALUES)),
-    ])
+    return _explode_checks(df, [key], [(cond(), rule, msg) for cond, rule, msg in _Q1])
 
 
 def rounded_sum(items, wt: str = "wt_percent") -> Column:

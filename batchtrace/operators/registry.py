@@ -250,12 +250,14 @@ def _ns_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Da
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
-def _q1_first(req: DataFrame) -> DataFrame:
-    """Q1 in check order (unit, pack size, format), first failure per request."""
-    checks = Q.check_ingredients(req, "request_id")
-    prec = F.when(F.col("rule") == "pack_size_unit", 0).when(F.col("rule") == "pack_size_value", 1).otherwise(2)
-    return O.first_per_key(checks.withColumn("_prec", prec), ["request_id"], [("_prec", False)]) \
-            .select(*REJECT_COLS)
+def _q1_split(req: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Q1 in check order (unit, pack size, format) as one row-local CASE: returns
+    (valid rows, rejects) with a filter each, no aggregation or join."""
+    reason = Q.ingredient_reason()
+    r = req.withColumn("_q1", reason)
+    bad = r.where("_q1 IS NOT NULL").select("request_id", F.col("_q1.rule").alias("rule"),
+                                            F.col("_q1.message").alias("message"))
+    return r.where("_q1 IS NULL").drop("_q1"), bad
 
 
 def register_ingredients(requests: DataFrame, state, as_of):
@@ -264,8 +266,7 @@ def register_ingredients(requests: DataFrame, state, as_of):
     attributes) reuses its seq; each new product gets the next global seq
     (counter 'ingredient_seq', scope 'global', start 1); SKU = F3."""
     req = requests.withColumn("spec_grade", blank_to_null("spec_grade"))
-    bad = _q1_first(req)
-    ok = req.join(bad.select("request_id"), "request_id", "left_anti")
+    ok, bad = _q1_split(req)
     ing = state["ingredients"]
     dup_stored = _ns_join(ok, ing.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_semi")
     dup_batch = _not_first(ok, ITEM_KEYS)
@@ -309,8 +310,7 @@ def import_ingredients(requests: DataFrame, state, as_of):
     unparsable = _reject(p.where("_p.error IS NOT NULL"), "invalid_sku", F.col("_p.error"))
     ok = p.where("_p.error IS NULL").withColumn("category_code", F.col("_p.category_code")) \
           .withColumn("seq", F.col("_p.seq")).withColumn("pack_size_value", F.col("_p.pack_size_value")).drop("_p")
-    bad = _q1_first(ok)
-    ok = ok.join(bad.select("request_id"), "request_id", "left_anti")
+    ok, bad = _q1_split(ok)
     ing = state["ingredients"]
     dup = _reject(_ns_join(ok, ing.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_semi"), "duplicate",
                   "Ingredient already exists")
