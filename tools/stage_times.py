@@ -39,14 +39,15 @@ def main():
                 started = started or p.get("spark.job.description") == marker
                 if started:
                     for s in e["Stage Infos"]:
-                        desc[s["Stage ID"]] = (e["Job ID"], s["Stage Name"][:80])
+                        rdds = ",".join(sorted({r.get("Scope", "{}")[:0] + r["Name"] for r in s.get("RDD Info", [])}))
+                        desc[s["Stage ID"]] = (e["Job ID"], rdds[:160])
             elif ev == "SparkListenerStageCompleted" and started:
                 si = e["Stage Info"]
                 if si["Stage ID"] in desc and "Submission Time" in si:
                     stages[si["Stage ID"]] = (si["Completion Time"] - si["Submission Time"], si["Number of Tasks"])
     print("stages", len(stages), "sum ms", sum(d for d, _ in stages.values()))
-    for sid, (d, n) in sorted(stages.items(), key=lambda x: -x[1][0])[:20]:
-        print(f"stage {sid}: {d} ms, {n} tasks, job/name {desc[sid]}")
+    for sid, (d, n) in sorted(stages.items(), key=lambda x: -x[1][0])[:int(sys.argv[3]) if len(sys.argv) > 3 else 20]:
+        print(f"stage {sid}: {d} ms, {n} tasks, job/rdds {desc[sid]}")
 
 
 if __name__ == "__main__":
