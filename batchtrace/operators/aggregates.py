@@ -102,12 +102,16 @@ def matrix_columns(variants: DataFrame, scope: list[str]) -> DataFrame:
 def sku_matrix_sparse(variants: DataFrame, keys: list[str], value_col: str, scope: list[str]) -> DataFrame:
     """A14 in sparse form for bulk use: per variant, only the filled cells as
     struct(col, value) where ``col`` is the 0-based index into the scope's column list
-    (a repeated SKU keeps its last value). Output size is linear in the item count,
-    while the dense matrix grows with variants x columns."""
+    (a repeated SKU keeps its last value). Column indexes come from an equi-join with a
+    (scope, sku, index) table, so cost is linear in the item count however many columns
+    a scope has; the dense matrix would grow with variants x columns."""
     cols = matrix_columns(variants, scope)
+    index = cols.select(*scope, F.size("columns").alias("n_columns"),
+                        F.posexplode("columns").alias("col", "sku"))
     n = F.size("items")
     last = F.filter("items", lambda x, i: (i == n - 1) | (F.get(F.col("items"), i + 1)["sku"] != x["sku"]))
-    return variants.join(cols, scope).select(
-        *keys, F.size("columns").alias("n_columns"),
-        F.transform(last, lambda x: F.struct((F.array_position("columns", x["sku"]) - 1).cast("int").alias("col"),
-                                             x[value_col].cast("string").alias("value"))).alias("cells"))
+    cells = variants.select(*keys, F.explode(last).alias("_it")).select(
+        *keys, F.col("_it.sku").alias("sku"), F.col(f"_it.{value_col}").cast("string").alias("value"))
+    j = cells.join(index, [*scope, "sku"])
+    return j.groupBy(*keys, "n_columns").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), "value"))).alias("cells"))

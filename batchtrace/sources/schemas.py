@@ -110,6 +110,30 @@ SCHEMAS: dict[str, T.StructType] = {
         _opt("updated_at", TS), _opt("updated_by", S)),
 }
 
+# Natural keys: stored snapshots are sorted by them inside each file, so Parquet min/max
+# statistics let equality and range filters on codes skip row groups.
+TABLE_KEYS: dict[str, list[str]] = {
+    "ingredients": ["sku"],
+    "ingredient_batches": ["sku", "ingredient_batch_code"],
+    "ingredient_sets": ["set_code"],
+    "ingredient_set_items": ["set_code", "sku"],
+    "dry_weight_variants": ["set_code", "weight_code"],
+    "dry_weight_items": ["set_code", "weight_code", "sku"],
+    "batch_variants": ["set_code", "weight_code", "batch_variant_code"],
+    "batch_variant_items": ["set_code", "weight_code", "batch_variant_code", "sku"],
+    "code_counters": ["counter_name", "scope"],
+    "location_partners": ["partner_code"],
+    "location_codes": ["location_id"],
+    "compounding_how": ["processing_code"],
+    "pellet_bags": ["pellet_bag_code"],
+    "pellet_bag_assignees": ["email"],
+    "conversion1_context": ["context_code"],
+    "conversion1_how": ["conversion1_how_code"],
+    "conversion1_products": ["product_code"],
+    "conversion1_product_counter": ["id"],
+    "user_roles": ["email"],
+}
+
 BAG_STATUS_STREAMS = tuple(_BAG_STATUS)
 PRODUCT_STATUS_STREAMS = tuple(_PRODUCT_STATUS)
 
@@ -156,10 +180,16 @@ def write_snapshot(df: DataFrame, root: str, name: str, snapshot: str) -> str:
     Table changes never update files in place: every change job writes a new
     snapshot (``<root>/<name>/_snapshots/<snapshot>``) that readers switch to."""
     path = f"{root.rstrip('/')}/{name}/_snapshots/{snapshot}"
-    evolve(df, SCHEMAS[name]).write.mode("errorifexists").parquet(path)
+    clustered(evolve(df, SCHEMAS[name]), name).write.mode("errorifexists").parquet(path)
     return path
 
 
+def clustered(df: DataFrame, name: str) -> DataFrame:
+    """Sort rows by the table's natural key inside each output file (no shuffle)."""
+    keys = [k for k in TABLE_KEYS.get(name, []) if k in df.columns]
+    return df.sortWithinPartitions(*keys) if keys else df
+
+
 def append(df: DataFrame, root: str, name: str) -> str:
     """S3: append new rows to a table directory (typed to the table contract first).
     Appends are new files; readers of ``read_table`` see them on the next scan."""

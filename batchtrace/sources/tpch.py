@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from batchtrace.functions import codes as C, hashing as H
 from batchtrace.sources import registries as R
-from batchtrace.sources.schemas import SCHEMAS, evolve, read_table
+from batchtrace.sources.schemas import SCHEMAS, clustered, evolve, read_table
 
 SET_MODULUS = 500
 BAG_SCOPE = "pellet_bag:global"
@@ -716,7 +716,7 @@ class StoredDomain:
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
             if not self._done(name):
-                self._tpch[name].write.mode("overwrite").parquet(self._path(name))
+                clustered(self._tpch[name], name).write.mode("overwrite").parquet(self._path(name))
             if name in SCHEMAS:
                 df = read_table(self.spark, self.root, name)
             else:
