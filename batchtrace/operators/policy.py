@@ -62,3 +62,11 @@ def mask_section(df: DataFrame, can_view: bool) -> DataFrame:
     """An empty section when the viewer may not see it (a constant filter, folded away
     at plan time)."""
     return df.where(F.lit(bool(can_view)))
+
+
+def union_permissions(a, b) -> F.Column:
+    """U4: union of two permission arrays, deduplicated and sorted (NULL counts as empty)."""
+    empty = F.array().cast("array<string>")
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    return F.array_sort(F.array_union(F.coalesce(a, empty), F.coalesce(b, empty)))

@@ -75,3 +75,13 @@ def test_effective_access_and_bootstrap(spark):
     none_active = roles.withColumn("is_active", F.lit(False))
     boot = {r.email: r for r in X.effective_access(spark, users, none_active).collect()}
     assert boot["b@x"].is_admin and boot["b@x"].is_bootstrap_admin
+
+
+def test_union_permissions_and_role_table(spark):
+    from batchtrace.sources import registries as R
+    df = spark.createDataFrame([(["b", "a"], ["a", "c"]), (None, ["x"])], "p array<string>, q array<string>")
+    got = [r[0] for r in df.select(X.union_permissions("p", "q")).collect()]
+    assert got == [["a", "b", "c"], ["x"]]
+    roles = {r.role_group: r.n for r in X.role_permissions(spark).groupBy("role_group").count()
+             .withColumnRenamed("count", "n").collect()}
+    assert roles["admin"] == 24 and roles["formulations_mix"] == len(set(R.FORMULATIONS_PERMISSIONS)) + 6
