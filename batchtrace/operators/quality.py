@@ -153,3 +153,10 @@ def check_assignees(df: DataFrame, keys: list[str], cols: list[str], assignees:
     return out.join(F.broadcast(active), "value", "left_anti").select(
         *keys, "column", "value", F.lit("assignee").alias("rule"),
         F.lit("Assignee must be an active assignee").alias("message"))
+
+
+def check_unique(df: DataFrame, keys: list[str], table: str) -> DataFrame:
+    """K12 ``assert_unique``: keys that occur more than once (one reject row per key)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        *keys, "n", F.lit("duplicate_key").alias("rule"),
+        F.lit(f"{table}: key {', '.join(keys)} is not unique").alias("message"))

@@ -815,3 +815,14 @@ def display_functions(spark, sf_dir):
         TX.normalize_email("created_by").alias("owner_email"),
         C.is_two_letter_code("partner_code").alias("partner_ok"),
         C.token("processing_code", 5).alias("suffix_token"))
+
+
+@query
+def quality_unique_keys(spark, sf_dir):
+    """Header keys that must be unique (weight variants, batch variants, sets)."""
+    t = domain(spark, sf_dir)
+    w = Q.check_unique(t.dry_weight_variants, ["set_code", "weight_code"], "dry_weight_variants")
+    b = Q.check_unique(t.batch_variants, ["set_code", "weight_code", "batch_variant_code"], "batch_variants")
+    s = Q.check_unique(t.ingredient_sets, ["set_code"], "ingredient_sets")
+    cols = ["set_code", "weight_code", "batch_variant_code", "n", "rule", "message"]
+    return w.unionByName(b, allowMissingColumns=True).unionByName(s, allowMissingColumns=True).select(*cols)

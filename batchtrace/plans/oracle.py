@@ -968,3 +968,12 @@ SELECT h.processing_code,
        coalesce(regexp_full_match(l.partner_code, '[A-Z]{{2}}'), FALSE) AS partner_ok,
        string_split(h.processing_code, ' ')[6] AS suffix_token
 FROM compounding_how h LEFT JOIN location_codes l ON l.location_id = h.location_code""")
+register("quality_unique_keys", """
+SELECT set_code, weight_code, CAST(NULL AS VARCHAR) AS batch_variant_code, count(*) AS n, 'duplicate_key' AS rule,
+       'dry_weight_variants: key set_code, weight_code is not unique' AS message
+FROM dry_weight_variants GROUP BY set_code, weight_code HAVING count(*) > 1
+UNION ALL SELECT set_code, weight_code, batch_variant_code, count(*), 'duplicate_key',
+       'batch_variants: key set_code, weight_code, batch_variant_code is not unique'
+FROM batch_variants GROUP BY set_code, weight_code, batch_variant_code HAVING count(*) > 1
+UNION ALL SELECT set_code, NULL, NULL, count(*), 'duplicate_key', 'ingredient_sets: key set_code is not unique'
+FROM ingredient_sets GROUP BY set_code HAVING count(*) > 1""")

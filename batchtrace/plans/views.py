@@ -40,6 +40,18 @@ def weight_variants(headers: DataFrame, items: DataFrame) -> DataFrame:
             .agg(_sorted_items("sku", "wt_percent").alias("items")))
 
 
+def weight_items_by_key(headers: DataFrame, items: DataFrame) -> DataFrame:
+    """Weight items per (set_code, weight_code) that have a header, grouped by exactly the
+    key L4 joins on. Because the result is unique on the join key, Catalyst removes the
+    whole weight branch from any L4 query that does not read the weights. Equal to the
+    view's items whenever (set, weight) headers are unique (K12, checked by
+    ``quality.check_unique``); duplicate headers would only repeat identical rows in the view."""
+    keys = ["set_code", "weight_code"]
+    have = headers.select(*keys).distinct()
+    return (items.select(*keys, "sku", "wt_percent").join(have, keys, "left_semi")
+            .groupBy(*keys).agg(_sorted_items("sku", "wt_percent").alias("items")))
+
+
 def batch_variants(headers: DataFrame, items: DataFrame) -> DataFrame:
     """L3 base (v_batch_variants): items = [struct(sku, ingredient_batch_code)] ordered by SKU.
     ``created_by`` is a group key and also the any-value output (A4)."""
@@ -69,7 +81,8 @@ def aligned_weights(skus, weight_items) -> F.Column:
 def formulations_flat(bv: DataFrame, wv: DataFrame) -> DataFrame:
     """L4 (v_formulations_flat): batch variants left-joined to their dry weights.
 
-    ``bv``/``wv`` are the outputs of :func:`batch_variants` / :func:`weight_variants`.
+    ``bv`` is :func:`batch_variants`; ``wv`` is :func:`weight_items_by_key` (or
+    :func:`weight_variants`): only its (set_code, weight_code, items) are read.
     A formulation without a weight variant keeps NULL weights."""
     b = bv.select("set_code", "weight_code", "batch_variant_code", "created_at", "created_by",
                   sku_list("items").alias("sku_list"),
@@ -88,7 +101,7 @@ def formulations_flat(bv: DataFrame, wv: DataFrame) -> DataFrame:
 def formulations(t) -> DataFrame:
     """L4 over a table set ``t`` (anything indexable by table name)."""
     return formulations_flat(batch_variants(t["batch_variants"], t["batch_variant_items"]),
-                             weight_variants(t["dry_weight_variants"], t["dry_weight_items"]))
+                             weight_items_by_key(t["dry_weight_variants"], t["dry_weight_items"]))
 
 
 def sets(t) -> DataFrame:
