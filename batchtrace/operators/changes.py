@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from batchtrace.functions.text import blank_to_null, normalize_email, repair_status
 from batchtrace.operators import paging as O
-from batchtrace.operators.filters import status_column
+from batchtrace.operators.joins import bounded_broadcast
 from batchtrace.sources import registries as R
 
 
@@ -146,7 +146,7 @@ def update_status(bags: DataFrame, changes: DataFrame, assignees: DataFrame, as_
                 .withColumn("_assignee", blank_to_null("assigned_value"))
     active_emails = assignees.where("is_active").select(F.col("email").alias("_assignee"), F.lit(True).alias("_ok_a"))
     matches = bags.where("is_active").groupBy("pellet_bag_code").agg(F.count(F.lit(1)).alias("_n"))
-    ch = ch.join(F.broadcast(active_emails), "_assignee", "left").join(matches, "pellet_bag_code", "left")
+    ch = ch.join(bounded_broadcast(active_emails), "_assignee", "left").join(matches, "pellet_bag_code", "left")
     reason = (F.when(~F.col("status_column").isin(*editable), F.lit("invalid_status_column"))
               .when(F.col("_value").isNull() | ~F.array_contains(F.element_at(vocab, F.col("status_column")),
                                                                   F.col("_value")), F.lit("invalid_status_value"))

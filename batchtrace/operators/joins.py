@@ -47,11 +47,11 @@ def overlay(custom: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
 
 
 def with_partner(df: DataFrame, registry: DataFrame, key: str = "partner_code") -> DataFrame:
-    """Partner name (else 'Unknown') and machine (else '') from a registry (tens of rows,
-    broadcast)."""
+    """Partner name (else 'Unknown') and machine (else '') from the partner registry
+    (two-letter codes: at most 676 rows; broadcast after a size check)."""
     r = registry.select(F.col("partner_code").alias(key), F.col("partner_name").alias("_pn"),
                         F.col("machine_specification").alias("_ms"))
-    return (df.join(F.broadcast(r), key, "left")
+    return (df.join(bounded_broadcast(r), key, "left")
             .withColumn("partner_name", F.coalesce(F.nullif(F.col("_pn"), F.lit("")), F.lit("Unknown")))
             .withColumn("machine_specification", F.coalesce(F.nullif(F.col("_ms"), F.lit("")), F.lit("")))
             .drop("_pn", "_ms"))
@@ -61,7 +61,7 @@ def context_labels(ctx: DataFrame, partners: DataFrame) -> DataFrame:
     """Context x partner (left join, broadcast registry) with the display label
     'partner name (else partner code, else '') - machine code (else '')'."""
     p = partners.select("partner_code", F.col("partner_name").alias("_pn"))
-    j = ctx.join(F.broadcast(p), "partner_code", "left")
+    j = ctx.join(bounded_broadcast(p), "partner_code", "left")
     label = F.concat(F.coalesce(F.col("_pn"), F.col("partner_code"), F.lit("")), F.lit(" - "),
                      F.coalesce(F.col("machine_code"), F.lit("")))
     return j.withColumn("conversion_partner", label).withColumnRenamed("_pn", "partner_name")

@@ -150,7 +150,8 @@ def check_assignees(df: DataFrame, keys: list[str], cols: list[str], assignees:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.join(F.broadcast(active), "value", "left_anti").select(
+    from batchtrace.operators.joins import bounded_broadcast
+    return out.join(bounded_broadcast(active), "value", "left_anti").select(
         *keys, "column", "value", F.lit("assignee").alias("rule"),
         F.lit("Assignee must be an active assignee").alias("message"))
 

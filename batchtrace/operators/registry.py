@@ -348,7 +348,7 @@ def register_locations(requests: DataFrame, state, spark, as_of):
                        "partner_code").select(F.col("partner_code").alias("_p"))
     forms = state["batch_variants"].select(F.col("set_code").alias("_s"), F.col("weight_code").alias("_w"),
                                            F.col("batch_variant_code").alias("_v")).distinct()
-    j = req.join(F.broadcast(registry.withColumn("_okp", F.lit(True))), "_p", "left") \
+    j = req.join(bounded_broadcast(registry.withColumn("_okp", F.lit(True))), "_p", "left") \
            .join(forms.withColumn("_okf", F.lit(True)), ["_s", "_w", "_v"], "left")
     reason = (F.when(F.col("_okp").isNull(), F.lit("unknown_partner"))
               .when(~F.col("_d").rlike("^[0-9]{6}$") | F.col("_d").isNull(), F.lit("invalid_date"))

@@ -252,10 +252,15 @@ def matrix_columns(t, kind: str) -> DataFrame:
 
 
 def batch_candidates(t) -> DataFrame:
-    """L18 (J19): for every SKU of every weight variant, the live batches that could fill
-    it (explode + left join on SKU with P6), one row per candidate; a SKU with no live
-    batch keeps one row with NULL batch."""
-    w = V.weights(t).select("set_code", "weight_code", F.explode("items").alias("_it")) \
-                    .select("set_code", "weight_code", F.col("_it.sku").alias("sku"))
+    """L18 (J19): the live (active, not archived) batches that can fill each SKU used by
+    any weight variant, one row per (SKU, batch), with the number of weight variants
+    using the SKU; a used SKU without a live batch keeps one row with a NULL batch.
+
+    The reference asks per SKU of one variant; the bulk form lists candidates once per
+    SKU instead of once per (variant, SKU), so a SKU used by many recipes does not
+    multiply its batch list (join the variant's SKUs to this frame to render one
+    variant)."""
+    used = V.weights(t).select(F.explode("items").alias("_it")).groupBy(F.col("_it.sku").alias("sku")) \
+        .agg(F.count(F.lit(1)).alias("n_weight_variants"))
     live = P.not_archived(P.active(t["ingredient_batches"])).select("sku", "ingredient_batch_code")
-    return w.join(live, "sku", "left")
+    return used.join(live, "sku", "left")

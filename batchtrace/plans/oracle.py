@@ -280,10 +280,11 @@ register("weight_matrix_columns", f"SELECT set_code, array_to_string(columns, ',
 register("batch_matrix_columns", "SELECT set_code, weight_code, array_to_string(columns, ',') AS columns_text FROM ("
          + _cols("v_batches", ["set_code", "weight_code"]) + ")")
 register("batch_candidates", """
-SELECT w.sku, w.set_code, w.weight_code, b.ingredient_batch_code
-FROM (SELECT set_code, weight_code, unnest(items).sku AS sku FROM v_weights) w
+SELECT u.sku, u.n_weight_variants, b.ingredient_batch_code
+FROM (SELECT sku, count(*) AS n_weight_variants FROM (SELECT unnest(items).sku AS sku FROM v_weights)
+      GROUP BY sku) u
 LEFT JOIN (SELECT sku, ingredient_batch_code FROM ingredient_batches
-           WHERE is_active AND NOT coalesce(archived, FALSE)) b ON b.sku = w.sku""")
+           WHERE is_active AND NOT coalesce(archived, FALSE)) b ON b.sku = u.sku""")
 _ci = "(CASE WHEN regexp_full_match(upper(trim({0})), '[A-Z]{{2}}') THEN " \
       "CAST((ascii(upper(trim({0}))) - 65) * 26 + ascii(substr(upper(trim({0})), 2, 1)) - 65 AS BIGINT) END)"
 register("next_code_per_context", f"""
