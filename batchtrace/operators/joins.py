@@ -155,3 +155,16 @@ def norm_key(c) -> Column:
 
 def and_all(preds: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, preds)
+
+
+def skew_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left LEFT JOIN right`` when one left key may match a huge number of right rows.
+
+    AQE can split a skewed partition of an outer join only on its preserved side, so the
+    hot right side of a left join would stay in one task. Written as an inner join (either
+    side splittable) plus the unmatched left rows (anti join against the distinct right
+    keys, which combine map-side), the result is the same rows and nothing stays hot."""
+    matched = right.join(left, keys, "inner")
+    right_keys = right.select(*keys).distinct()
+    unmatched = left.join(right_keys, keys, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)

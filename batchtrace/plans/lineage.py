@@ -110,7 +110,7 @@ def how_detail(t) -> DataFrame:
     bags = P.active(t["pellet_bags"]).select(
         F.col("compounding_how_code").alias("processing_code"), "pellet_bag_id", "pellet_bag_code",
         "product_type", "bag_mass_kg", "remaining_mass_kg", F.col("created_at").alias("bag_created_at"))
-    return hows.join(bags, "processing_code", "left")
+    return J.skew_safe_left_join(hows, bags, ["processing_code"])
 
 
 def batch_selection_detail(t, base_codes: DataFrame | None = None) -> DataFrame:
@@ -130,8 +130,9 @@ def batch_selection_detail(t, base_codes: DataFrame | None = None) -> DataFrame:
     hows = P.active(t["compounding_how"]).select(F.col("location_code").alias("location_id"), "processing_code")
     bags = P.active(t["pellet_bags"]).select(F.col("compounding_how_code").alias("processing_code"),
                                              "pellet_bag_code", "bag_mass_kg")
-    return (f.join(locs, FORM_KEYS, "left").join(hows, "location_id", "left")
-            .join(bags, "processing_code", "left"))
+    chain = J.skew_safe_left_join(f, locs, FORM_KEYS)
+    chain = J.skew_safe_left_join(chain, hows, ["location_id"])
+    return J.skew_safe_left_join(chain, bags, ["processing_code"])
 
 
 def location_rows(t, spark, q: str | None = None) -> DataFrame:
@@ -263,4 +264,4 @@ def batch_candidates(t) -> DataFrame:
     used = V.weights(t).select(F.explode("items").alias("_it")).groupBy(F.col("_it.sku").alias("sku")) \
         .agg(F.count(F.lit(1)).alias("n_weight_variants"))
     live = P.not_archived(P.active(t["ingredient_batches"])).select("sku", "ingredient_batch_code")
-    return used.join(live, "sku", "left")
+    return J.skew_safe_left_join(used, live, ["sku"])

@@ -73,3 +73,12 @@ def test_membership_message_in_request_order(spark):
     ref = spark.createDataFrame([("a",)], "sku string")
     msg = Q.check_membership(req, "skus", ref, "sku", "Unknown SKUs: ").first().message
     assert msg == "Unknown SKUs: z, y"
+
+
+def test_skew_safe_left_join_equals_left_join(spark):
+    left = spark.createDataFrame([("hot", 1), ("cold", 2), ("none", 3)], "k string, a long")
+    right = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("k"),
+                                        F.col("id").alias("b"))
+    a = J.skew_safe_left_join(left, right, ["k"]).select("k", "a", "b")
+    b = left.join(right, "k", "left").select("k", "a", "b")
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
