@@ -268,11 +268,13 @@ def register_ingredients(requests: DataFrame, state, as_of):
     req = requests.withColumn("spec_grade", blank_to_null("spec_grade"))
     ok, bad = _q1_split(req)
     ing = state["ingredients"]
-    dup_stored = _ns_join(ok, ing.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_semi")
-    dup_batch = _not_first(ok, ITEM_KEYS)
-    dups = _reject(dup_stored.select("request_id").unionByName(dup_batch.select("request_id")).distinct(),
-                   "duplicate", "Ingredient already exists")
-    fresh = ok.join(dups.select("request_id"), "request_id", "left_anti")
+    # The first request per item (7 attributes, NULL equal in grouping) survives; the
+    # aggregate keeps its whole row, so later copies are rejected by id without a join back.
+    survivors = O.first_per_key(ok, ITEM_KEYS, [(c, False) for c in ORDER])
+    dup_batch = ok.select("request_id").join(survivors.select("request_id"), "request_id", "left_anti")
+    dup_stored = _ns_join(survivors, ing.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_semi")
+    dups = _reject(dup_batch.unionByName(dup_stored.select("request_id")), "duplicate", "Ingredient already exists")
+    fresh = _ns_join(survivors, ing.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_anti")
     known = ing.groupBy(*PRODUCT_KEYS).agg(F.min("seq").alias("_seq"))
     fresh = _pin(_ns_join(fresh, known, PRODUCT_KEYS, "left"))
     reuse = fresh.where("_seq IS NOT NULL").withColumn("seq", F.col("_seq"))
@@ -304,34 +306,63 @@ def _not_first(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def import_ingredients(requests: DataFrame, state, as_of):
     """M7: the SKU is parsed (F4) and overrides category and pack size; Q1 checks; exact
-    duplicates rejected; a known product must keep its seq; a new product's seq must not
-    be taken in its category; the seq counter is raised to seq + 1."""
+    duplicates of stored or earlier requests are rejected; a stored product must keep its
+    seq; a new product's seq must not be taken in its category. Inside the batch, the first
+    request of a new product fixes its seq (later ones with another seq: 'seq_mismatch') and
+    the first claimant of a (category, seq) owns it (another product later: 'seq_taken').
+    Stored conflicts are checked before in-batch ones. The seq counter is raised to
+    seq + 1."""
     p = requests.withColumn("_p", C.parse_sku(F.trim("sku"))).withColumn("spec_grade", blank_to_null("spec_grade"))
     unparsable = _reject(p.where("_p.error IS NOT NULL"), "invalid_sku", F.col("_p.error"))
     ok = p.where("_p.error IS NULL").withColumn("category_code", F.col("_p.category_code")) \
-          .withColumn("seq", F.col("_p.seq")).withColumn("pack_size_value", F.col("_p.pack_size_value")).drop("_p")
+          .withColumn("seq", F.col("_p.seq")).withColumn("pack_size_value", F.col("_p.pack_size_value")) \
+          .withColumn("sku", F.trim("sku")).drop("_p")
     ok, bad = _q1_split(ok)
     ing = state["ingredients"]
-    dup = _reject(_ns_join(ok, ing.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_semi"), "duplicate",
-                  "Ingredient already exists")
-    ok = ok.join(dup.select("request_id"), "request_id", "left_anti")
+    survivors = O.first_per_key(ok, ITEM_KEYS, [(c, False) for c in ORDER])
+    dup_batch = ok.select("request_id").join(survivors.select("request_id"), "request_id", "left_anti")
+    items = ing.select(*ITEM_KEYS).distinct()
+    dup = _reject(dup_batch.unionByName(_ns_join(survivors, items, ITEM_KEYS, "left_semi").select("request_id")),
+                  "duplicate", "Ingredient already exists")
+    fresh = _ns_join(survivors, items, ITEM_KEYS, "left_anti")
     prod = ing.groupBy(*PRODUCT_KEYS).agg(F.min("seq").alias("_pseq"))
-    taken = ing.select("category_code", F.col("seq").alias("seq"), F.lit(True).alias("_taken")).distinct()
-    j = _pin(_ns_join(ok, prod, PRODUCT_KEYS, "left").join(taken, ["category_code", "seq"], "left"))
+    taken = ing.select("category_code", "seq", F.lit(True).alias("_taken")).distinct()
+    j = _pin(_ns_join(fresh, prod, PRODUCT_KEYS, "left").join(taken, ["category_code", "seq"], "left"))
     mismatch = _reject(j.where(F.col("_pseq").isNotNull() & (F.col("_pseq") != F.col("seq"))), "seq_mismatch",
                        "SKU sequence must match existing product")
     used = _reject(j.where(F.col("_pseq").isNull() & F.col("_taken").isNotNull()), "seq_taken",
                    "SKU sequence already assigned")
-    rejects = _first_reject(unparsable, bad, dup, mismatch, used)
-    acc = j.join(rejects.select("request_id"), "request_id", "left_anti")
+    known_ok = j.where(F.col("_pseq").isNotNull() & (F.col("_pseq") == F.col("seq")))
+    new = j.where(F.col("_pseq").isNull() & F.col("_taken").isNull())
+    # in-batch: the first request of each new product fixes its seq
+    first_prod = O.first_per_key(new.select(*PRODUCT_KEYS, *ORDER, "seq"), PRODUCT_KEYS,
+                                 [(c, False) for c in ORDER]).select(*PRODUCT_KEYS, F.col("seq").alias("_bseq"))
+    new = _ns_join(new, first_prod, PRODUCT_KEYS, "inner")
+    b_mismatch = _reject(new.where(F.col("_bseq") != F.col("seq")), "seq_mismatch",
+                         "SKU sequence must match existing product")
+    new = new.where(F.col("_bseq") == F.col("seq"))
+    # in-batch: the first claimant of a (category, seq) owns it
+    owner = O.first_per_key(new.select("category_code", "seq", *ORDER, *[F.col(k).alias(f"_o_{k}") for k in
+                                                                         PRODUCT_KEYS]),
+                            ["category_code", "seq"], [(c, False) for c in ORDER]).drop(*ORDER)
+    new = new.join(owner, ["category_code", "seq"])
+    same = None
+    for k in PRODUCT_KEYS:
+        c = F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+        same = c if same is None else same & c
+    b_used = _reject(new.where(~same), "seq_taken", "SKU sequence already assigned")
+    new = new.where(same)
+    rejects = _first_reject(unparsable, bad, dup, mismatch, used, b_mismatch, b_used)
+    acc = known_ok.select("request_id", "sku", "seq", *ITEM_KEYS, "actor").unionByName(
+        new.select("request_id", "sku", "seq", *ITEM_KEYS, "actor"))
     floors = acc.agg(F.max(F.col("seq") + 1).alias("next_value")).where("next_value IS NOT NULL").select(
         F.lit("ingredient_seq").alias("counter_name"), F.lit("global").alias("scope"), "next_value")
     counters, _ = CH.raise_floor(state["code_counters"], floors, as_of)
-    rows = acc.select(F.trim("sku").alias("sku"), "category_code", "seq", "pack_size_value", "pack_size_unit",
+    rows = acc.select("sku", "category_code", "seq", "pack_size_value", "pack_size_unit",
                       "trade_name_inci", "supplier", "spec_grade", "format", _ts(as_of).alias("created_at"),
                       _ts(as_of).alias("updated_at"), F.col("actor").alias("created_by"),
                       F.col("actor").alias("updated_by"), F.lit(True).alias("is_active"))
-    return (acc.select("request_id", F.lit("created").alias("outcome"), F.trim("sku").alias("sku"), "seq"),
+    return (acc.select("request_id", F.lit("created").alias("outcome"), "sku", "seq"),
             rejects, {"ingredients": rows, "code_counters": counters})
 
 

@@ -496,6 +496,9 @@ acc AS (SELECT a.request_id, 'created' AS outcome, coalesce(a.known_seq, b.new_s
 {_out({'sku': "printf('%d_%04d_%d', category_code, seq, pack_size_value)", 'seq': 'seq'}, 'SELECT * FROM acc',
       'SELECT * FROM bad UNION ALL SELECT * FROM dups')}""")
 
+_ORD = "submitted_at, request_id"
+_ITEM_COLS = "category_code, trade_name_inci, supplier, spec_grade, format, pack_size_unit, pack_size_value"
+_PROD_COLS = "category_code, trade_name_inci, supplier, spec_grade, format, pack_size_unit"
 register("register_import", f"""
 WITH p AS (SELECT *, trim(sku) AS t, nullif(trim(spec_grade), '') AS sg FROM req_imports),
 parsed AS (SELECT *,
@@ -514,20 +517,37 @@ q AS (SELECT request_id, submitted_at, t AS sku, pc AS category_code, ps AS seq,
       WHERE request_id NOT IN (SELECT request_id FROM unparsable)),
 bad AS ({_Q1}),
 ok AS (SELECT * FROM q WHERE request_id NOT IN (SELECT request_id FROM bad)),
-dup AS (SELECT request_id, 'duplicate' AS rule, 'Ingredient already exists' AS message FROM ok a
+surv AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY {_ITEM_COLS} ORDER BY {_ORD}) = 1),
+dup AS (SELECT request_id, 'duplicate' AS rule, 'Ingredient already exists' AS message FROM ok
+        WHERE request_id NOT IN (SELECT request_id FROM surv)
+        UNION ALL SELECT request_id, 'duplicate', 'Ingredient already exists' FROM surv a
         WHERE EXISTS (SELECT 1 FROM ingredients b WHERE {_ITEM_EQ})),
-ok2 AS (SELECT a.*, (SELECT min(b.seq) FROM ingredients b WHERE {_PROD_EQ}) AS pseq,
-               EXISTS (SELECT 1 FROM ingredients b WHERE b.category_code = a.category_code AND b.seq = a.seq) AS taken
-        FROM ok a WHERE request_id NOT IN (SELECT request_id FROM dup)),
-mism AS (SELECT request_id, 'seq_mismatch' AS rule, 'SKU sequence must match existing product' AS message FROM ok2
+fresh AS (SELECT * FROM surv a WHERE NOT EXISTS (SELECT 1 FROM ingredients b WHERE {_ITEM_EQ})),
+j AS (SELECT a.*, (SELECT min(b.seq) FROM ingredients b WHERE {_PROD_EQ}) AS pseq,
+             EXISTS (SELECT 1 FROM ingredients b WHERE b.category_code = a.category_code AND b.seq = a.seq) AS taken
+      FROM fresh a),
+mism AS (SELECT request_id, 'seq_mismatch' AS rule, 'SKU sequence must match existing product' AS message FROM j
          WHERE pseq IS NOT NULL AND pseq <> seq),
-used AS (SELECT request_id, 'seq_taken' AS rule, 'SKU sequence already assigned' AS message FROM ok2
+used AS (SELECT request_id, 'seq_taken' AS rule, 'SKU sequence already assigned' AS message FROM j
          WHERE pseq IS NULL AND taken),
-rej AS (SELECT * FROM unparsable UNION ALL SELECT * FROM bad UNION ALL SELECT * FROM dup UNION ALL SELECT * FROM mism
-        UNION ALL SELECT * FROM used)
-{_out({'sku': 'sku', 'seq': 'seq'},
-      "SELECT request_id, 'created' AS outcome, sku, seq FROM ok2 WHERE request_id NOT IN (SELECT request_id FROM rej)",
-      'SELECT * FROM rej')}""")
+known_ok AS (SELECT * FROM j WHERE pseq IS NOT NULL AND pseq = seq),
+nw AS (SELECT *, first_value(seq) OVER (PARTITION BY {_PROD_COLS} ORDER BY {_ORD}) AS bseq FROM j
+       WHERE pseq IS NULL AND NOT taken),
+b_mism AS (SELECT request_id, 'seq_mismatch' AS rule, 'SKU sequence must match existing product' AS message FROM nw
+           WHERE bseq <> seq),
+nw2 AS (SELECT *, first_value({{'c': category_code, 't': trade_name_inci, 's': supplier, 'g': spec_grade, 'f': format,
+                                 'u': pack_size_unit}}) OVER (PARTITION BY category_code, seq ORDER BY {_ORD}) AS own
+        FROM nw WHERE bseq = seq),
+b_used AS (SELECT request_id, 'seq_taken' AS rule, 'SKU sequence already assigned' AS message FROM nw2
+           WHERE own IS DISTINCT FROM {{'c': category_code, 't': trade_name_inci, 's': supplier, 'g': spec_grade,
+                                        'f': format, 'u': pack_size_unit}}),
+rej AS ({_first('SELECT * FROM unparsable', 'SELECT * FROM bad', 'SELECT * FROM dup', 'SELECT * FROM mism',
+                'SELECT * FROM used', 'SELECT * FROM b_mism', 'SELECT * FROM b_used')}),
+acc AS (SELECT request_id, sku, seq FROM known_ok
+        UNION ALL SELECT request_id, sku, seq FROM nw2
+        WHERE own IS NOT DISTINCT FROM {{'c': category_code, 't': trade_name_inci, 's': supplier, 'g': spec_grade,
+                                          'f': format, 'u': pack_size_unit}})
+{_out({'sku': 'sku', 'seq': 'seq'}, "SELECT request_id, 'created' AS outcome, sku, seq FROM acc", 'SELECT * FROM rej')}""")
 
 register("register_locations", f"""
 WITH r AS (SELECT request_id, upper(trim(set_code)) AS s, upper(trim(weight_code)) AS w,

@@ -101,3 +101,21 @@ def test_how_code_resolution_truth_table(spark):
     code, err = M.resolve_how_code("p", "q", "a")
     got = [(r[0], r[1] is not None) for r in df.select(code, err).collect()]
     assert got == [("CD", False), ("AB", False), ("CD", False), ("", True), ("", False)]
+
+
+def test_import_in_batch_conflicts(spark):
+    cols = ("request_id string, submitted_at timestamp_ntz, sku string, category_code long, trade_name_inci string, "
+            "supplier string, spec_grade string, format string, pack_size_value long, pack_size_unit string, "
+            "actor string")
+    t1, t2, t3, t4 = (dt.datetime(2026, 1, d) for d in (1, 2, 3, 4))
+    req = spark.createDataFrame([
+        ("r1", t1, "1_0005_10", 0, "agar", "S", None, "Powder", 0, "kg", "u"),     # new product P, seq 5
+        ("r2", t2, "1_0006_20", 0, "agar", "S", None, "Powder", 0, "kg", "u"),     # same product, other seq
+        ("r3", t3, "1_0005_30", 0, "gum", "S", None, "Powder", 0, "kg", "u"),      # other product claims (1, 5)
+        ("r4", t4, "1_0005_10", 0, "agar", "S", None, "Powder", 0, "kg", "u"),     # exact copy of r1
+    ], cols)
+    acc, rej, new = M.import_ingredients(req, state(spark), AS_OF)
+    assert [(r.request_id, r.seq) for r in acc.collect()] == [("r1", 5)]
+    assert sorted((r.request_id, r.rule) for r in rej.collect()) == [
+        ("r2", "seq_mismatch"), ("r3", "seq_taken"), ("r4", "duplicate")]
+    assert new["code_counters"].where("counter_name = 'ingredient_seq'").first().next_value == 6
