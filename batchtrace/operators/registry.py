@@ -101,14 +101,13 @@ def _dedupe_by_hash(valid: DataFrame, scope: list[str], existing: DataFrame, cod
     found = v.where("_existing IS NOT NULL").withColumn(code_col, F.col("_existing")) \
              .withColumn("outcome", F.lit("existing")).drop("_existing")
     fresh = v.where("_existing IS NULL").drop("_existing")
-    firsts = O.first_per_key(fresh.select(*keys, *ORDER), keys, [(c, False) for c in ORDER]) \
-              .withColumn("_first", F.lit(True))
-    fresh = fresh.join(firsts, [*keys, *ORDER], "left")
-    leaders = fresh.where("_first").drop("_first")
+    # the first request per hash (whole row kept by the aggregate) creates it; the others
+    # are found by id and resolve to its code
+    leaders = O.first_per_key(fresh, keys, [(c, False) for c in ORDER])
     numbered, floors = assign_scoped(leaders, scope, counters, counter_name, start)
     created, exhausted = _codes(numbered, code_col)
     created = created.drop("value").withColumn("outcome", F.lit("created"))
-    dup = fresh.where(F.col("_first").isNull()).drop("_first").join(
+    dup = fresh.join(leaders.select("request_id"), "request_id", "left_anti").join(
         created.select(*keys, code_col), keys, "left")
     dup_ok = dup.where(F.col(code_col).isNotNull()).withColumn("outcome", F.lit("duplicate"))
     dup_bad = _reject(dup.where(F.col(code_col).isNull()), "code_space_exhausted",
