@@ -28,8 +28,10 @@ def is_yymmdd(c) -> Column:
 
 
 def to_yymmdd(ts) -> Column:
-    """timestamp/date -> 'yyMMdd'."""
-    return F.date_format(col(ts), "yyMMdd")
+    """timestamp/date -> 'yyMMdd', built from the wall-clock fields (independent of the
+    session time zone, unlike ``date_format`` on a local-time conversion)."""
+    ts = col(ts)
+    return F.format_string("%02d%02d%02d", F.year(ts) % 100, F.month(ts), F.dayofmonth(ts))
 
 
 def yymmdd_label(c) -> Column:
@@ -47,10 +49,12 @@ def yymmdd_valid_date(c) -> Column:
 def ts_display(c) -> Column:
     """'HH:mm:ss  - dd/MM/yyyy'; text that does not parse as a timestamp is kept as is."""
     c = col(c)
-    # Wall-clock formatting of a timestamp_ntz value: independent of the session time zone.
-    wall = c.cast("string").try_cast("timestamp_ntz")
+    # Wall-clock fields of a timestamp_ntz value: independent of the session time zone.
+    w = c.cast("string").try_cast("timestamp_ntz")
+    text = F.format_string("%02d:%02d:%02d  - %02d/%02d/%04d", F.hour(w), F.minute(w), F.second(w),
+                           F.dayofmonth(w), F.month(w), F.year(w))
     return F.when(c.isNull() | (c.cast("string") == ""), F.lit("")).otherwise(
-        F.coalesce(F.date_format(wall, "HH:mm:ss  - dd/MM/yyyy"), c.cast("string")))
+        F.when(w.isNotNull(), text).otherwise(c.cast("string")))
 
 
 def percent_display(c) -> Column:

@@ -25,7 +25,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
-from batchtrace.functions import codes as C, hashing as H
+from batchtrace.functions import codes as C, hashing as H, text as TX
 from batchtrace.sources import registries as R
 from batchtrace.sources.schemas import SCHEMAS, clustered, evolve, read_table
 
@@ -223,7 +223,7 @@ class TpchDomain:
     def _locations(self) -> DataFrame:
         h = self.order_heads
         partner = C.int_to_code(F.col("c_nationkey") + 10)
-        pdate = F.date_format(_days(F.col("o_orderdate"), 3), "yyMMdd")
+        pdate = TX.to_yymmdd(_days(F.col("o_orderdate"), 3))
         loc = F.concat_ws(" ", "set_code", "weight_code", "batch_variant_code", partner, pdate)
         suffix = C.int_to_code(F.col("o_orderkey") % 676)
         return h.select("*", partner.alias("partner_code"), pdate.alias("production_date"),
@@ -318,7 +318,7 @@ class TpchDomain:
         o, p = F.col("l_orderkey"), F.col("l_partkey")
         created = _days(F.col("ship"), 10)
         partner = C.int_to_code(o % 25 + 10)
-        date = F.date_format(created, "yyMMdd")
+        date = TX.to_yymmdd(created)
         ctx = F.concat_ws(" ", "pellet_bag_code", partner, date)
         proc = C.int_to_code(p % 676)
         return b.select("*", partner.alias("partner_code"), date.alias("date_yymmdd"), ctx.alias("context_code"),
@@ -506,7 +506,7 @@ class TpchDomain:
         return h.select(F.col("o_orderkey").alias("request_id"), _days(F.col("o_orderdate"), 5).alias("submitted_at"),
                         "set_code", "weight_code", "batch_variant_code",
                         C.int_to_code(F.col("o_custkey") % 40).alias("partner_code"),
-                        F.date_format(_days(F.col("o_orderdate"), 7), "yyMMdd").alias("production_date"),
+                        TX.to_yymmdd(_days(F.col("o_orderdate"), 7)).alias("production_date"),
                         F.col("created_by").alias("actor"))
 
     @cached_property
@@ -553,7 +553,7 @@ class TpchDomain:
         return c.select(F.concat(F.lit("C"), o.cast("string"), F.lit("-"), p.cast("string")).alias("request_id"),
                         _days(F.col("ship"), 25).alias("submitted_at"), "pellet_bag_code", "partner_code",
                         F.concat(F.lit("M"), (p % 5).cast("string")).alias("machine_code"),
-                        F.date_format(_days(F.col("ship"), shift), "yyMMdd").alias("date_yymmdd"),
+                        TX.to_yymmdd(_days(F.col("ship"), shift)).alias("date_yymmdd"),
                         F.col("created_by").alias("actor"))
 
     @cached_property
@@ -617,7 +617,7 @@ class TpchDomain:
         o, p = F.col("l_orderkey"), F.col("l_partkey")
         return b.select("pellet_bag_code",
                         F.when(o % 2 == 0, (F.col("qty") - F.col("n_lines")) / 2).alias("remaining_mass_kg"),
-                        F.when(p % 3 == 0, F.concat(F.lit("checked "), F.date_format("ship", "yyMMdd"))).alias("notes"),
+                        F.when(p % 3 == 0, F.concat(F.lit("checked "), TX.to_yymmdd(F.col("ship")))).alias("notes"),
                         F.lit(None).cast("string").alias("customer"),
                         _user(o % 7).alias("actor"))
 
