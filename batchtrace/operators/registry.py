@@ -23,7 +23,7 @@ from batchtrace.functions.text import blank_to_null, collapse_ws, is_allowed_lin
 from batchtrace.operators import changes as CH, paging as O, quality as Q
 from batchtrace.operators.joins import bounded_broadcast, overlay
 from batchtrace.operators.numbering import scope_key, sequence_within
-from batchtrace.session import checkpoint_dir
+from batchtrace.session import pin
 from batchtrace.sources import registries as R
 
 ORDER = ["submitted_at", "request_id"]
@@ -35,11 +35,8 @@ def _ts(as_of) -> Column:
 
 
 def _pin(df: DataFrame) -> DataFrame:
-    """Cut lineage before a frame feeds several branches (and the numbering pass): a
-    reliable checkpoint in ``spark.checkpoint.dir``, so branches do not recompute the
-    validation joins and a lost executor recomputes nothing upstream."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage before a frame feeds several branches (and the numbering pass)."""
+    return pin(df)
 
 
 def _reject(df: DataFrame, rule: str, message: Column | str) -> DataFrame:

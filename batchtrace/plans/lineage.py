@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from batchtrace.functions import text as TX
 from batchtrace.operators import aggregates as A, filters as P, joins as J, paging as O
 from batchtrace.plans import views as V
+from batchtrace.session import pin
 from batchtrace.sources import registries as R
 
 FORM_KEYS = ["set_code", "weight_code", "batch_variant_code"]
@@ -130,8 +131,10 @@ def batch_selection_detail(t, base_codes: DataFrame | None = None) -> DataFrame:
     hows = P.active(t["compounding_how"]).select(F.col("location_code").alias("location_id"), "processing_code")
     bags = P.active(t["pellet_bags"]).select(F.col("compounding_how_code").alias("processing_code"),
                                              "pellet_bag_code", "bag_mass_kg")
-    chain = J.skew_safe_left_join(f, locs, FORM_KEYS)
-    chain = J.skew_safe_left_join(chain, hows, ["location_id"])
+    # Each hop reads its left input twice (matched + unmatched rows), so the accumulated
+    # chain is pinned between hops instead of being recomputed once per branch.
+    chain = pin(J.skew_safe_left_join(f, locs, FORM_KEYS))
+    chain = pin(J.skew_safe_left_join(chain, hows, ["location_id"]))
     return J.skew_safe_left_join(chain, bags, ["processing_code"])
 
 

@@ -57,3 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         pass
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def pin(df):
+    """Materialize ``df`` with a reliable checkpoint in ``spark.checkpoint.dir`` and return
+    the checkpointed frame: cuts lineage before a frame is used by several branches (no
+    recomputation, and a lost executor recomputes nothing upstream)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
