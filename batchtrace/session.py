@@ -40,8 +40,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster the folder is configured by the deployment and is read from the
-    session. Only when it is unset (local tests) do we create one under /tmp and
-    register it, so ``DataFrame.checkpoint()`` works everywhere.
+    session (a cluster session without it is an error: a machine-local folder would not
+    survive a lost executor). Only a local-mode session without the setting (tests)
+    gets a folder under /tmp.
     """
     sc = spark.sparkContext
     configured = (spark.conf.get("spark.checkpoint.dir", None)
@@ -50,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for cluster runs")
     local = tempfile.mkdtemp(prefix="batchtrace-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     try:
         spark.conf.set("spark.checkpoint.dir", local)
