@@ -741,6 +741,17 @@ def _code_version() -> str:
     return hashlib.sha1(src.encode()).hexdigest()[:12]
 
 
+def _source_version(spark: SparkSession, sf_dir: str) -> str:
+    """Fingerprint of the source files (name, size, modification time) from the file
+    system listing, so changed input data never reuses an old materialization."""
+    import hashlib
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    entries = sorted((st.getPath().getName(), st.getLen(), st.getModificationTime()) for st in fs.listStatus(path))
+    return hashlib.sha1(repr(entries).encode()).hexdigest()[:10]
+
+
 _STORES: dict[tuple, StoredDomain] = {}
 
 
@@ -752,7 +763,7 @@ def domain(spark: SparkSession, sf_dir: str) -> StoredDomain:
     key = (id(spark), sf_dir)
     if key not in _STORES:
         name = sf_dir.strip("/").replace("/", "_")
-        root = f"{checkpoint_dir(spark).rstrip('/')}/domain/{_code_version()}/{name}"
+        root = f"{checkpoint_dir(spark).rstrip('/')}/domain/{_code_version()}/{name}-{_source_version(spark, sf_dir)}"
         _STORES[key] = StoredDomain(spark, sf_dir, root)
     return _STORES[key]
 
