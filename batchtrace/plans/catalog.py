@@ -577,10 +577,12 @@ def cascade_delete(spark, sf_dir):
 
 @query
 def seed_assignees(spark, sf_dir):
-    """Default assignees only if no active assignee exists."""
+    """Default assignees (here: everyone who created a bag) only if no active assignee
+    exists."""
     t = domain(spark, sf_dir)
-    defaults = spark.createDataFrame([(e, True) for e in R.DEFAULT_ASSIGNEE_EMAILS], "email string, is_active boolean") \
-        .withColumn("created_at", F.lit(AS_OF).cast("timestamp_ntz")).withColumn("created_by", F.lit(None).cast("string"))
+    defaults = t.pellet_bags.where("created_by IS NOT NULL").select(F.col("created_by").alias("email")).distinct() \
+        .select("email", F.lit(True).alias("is_active"), F.lit(AS_OF).cast("timestamp_ntz").alias("created_at"),
+                F.lit(None).cast("string").alias("created_by"))
     return CH.seed_if_empty(t.pellet_bag_assignees, defaults)
 
 

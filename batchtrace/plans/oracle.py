@@ -845,7 +845,7 @@ UNION ALL SELECT set_code, 'blocked', reason FROM blocked""")
 register("seed_assignees", f"""
 SELECT email, is_active, created_at, created_by FROM pellet_bag_assignees
 UNION ALL SELECT email, TRUE, {AS_OF_SQL}, CAST(NULL AS VARCHAR)
-FROM (VALUES {', '.join(f'({_lit(e)})' for e in _R.DEFAULT_ASSIGNEE_EMAILS)}) AS d(email)
+FROM (SELECT DISTINCT created_by AS email FROM pellet_bags WHERE created_by IS NOT NULL) d
 WHERE NOT EXISTS (SELECT 1 FROM pellet_bag_assignees WHERE is_active)""")
 
 # ---- quality -------------------------------------------------------------------------------------

@@ -73,7 +73,8 @@ STORAGE_LOCATION_OPTIONS = ["Notpla", "Expect Warehouse", "FM Warehouse"]
 OTHER_STATUS_OPTIONS = ["Not Requested", "Requested", "Planned", "In Progress", "Complete"]
 TENSILE_STATUS_OPTIONS = ["Awaiting Moulding", "Ready", "Not Started", "Not Requested", "Planned",
                           "In Progress", "Complete", "Conditioning"]
-DEFAULT_ASSIGNEE_EMAILS = ["callum@notpla.com", "peter@notpla.com", "emily@notpla.com"]
+# The default assignee list is deployment configuration (people's addresses), so it is not
+# stored here: ``changes.seed_if_empty`` takes the defaults from the caller.
 # Status values that do not belong in a work queue (compared lower-cased and trimmed).
 QUEUE_EXCLUDED_STATUSES = ["not requested", "not received", "complete"]
 # Page size default and maximum for every paged listing; dashboard and page queue sizes.
