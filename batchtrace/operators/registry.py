@@ -146,11 +146,22 @@ def register_sets(requests: DataFrame, state, as_of, start: int = 1):
 
 # ---- M4: dry weights --------------------------------------------------------------------
 
-def register_weights(requests: DataFrame, state, as_of, start: int = 1):
+def register_weights(requests: DataFrame, state, as_of, start: int = 1, exact_rounding: bool = False):
     """M4: set must exist; every SKU must be in the set; weights rounded to 2 dp must sum
-    to exactly 100.00; hash per set scope; codes from counter 'weight_code', scope set."""
-    req = requests.withColumn("set_code", F.upper(F.trim("set_code"))).withColumn(
-        "items", F.transform("items", lambda x: F.struct(
+    to exactly 100.00; hash per set scope; codes from counter 'weight_code', scope set.
+    Rounding is HALF_UP on the decimal value; ``exact_rounding`` rounds the exact binary
+    value of each double instead (UD1, an Arrow-batched pandas UDF on the exploded items)."""
+    req = requests.withColumn("set_code", F.upper(F.trim("set_code")))
+    if exact_rounding:
+        from batchtrace.functions.udfs import round_weight_exact
+        e = req.select("request_id", F.posexplode("items").alias("_pos", "_it")).select(
+            "request_id", "_pos", F.struct(F.trim("_it.sku").alias("sku"),
+                                          round_weight_exact("_it.wt_percent").alias("wt_percent")).alias("_it"))
+        rounded = e.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("_pos", "_it"))).alias("_r")) \
+                   .select("request_id", F.transform("_r", lambda x: x["_it"]).alias("items"))
+        req = req.drop("items").join(rounded, "request_id")
+    else:
+        req = req.withColumn("items", F.transform("items", lambda x: F.struct(
             F.trim(x["sku"]).alias("sku"), F.round(x["wt_percent"].cast("decimal(38,9)"), 2)
             .cast("decimal(9,2)").alias("wt_percent"))))
     sets = state["ingredient_sets"].select("set_code").distinct()

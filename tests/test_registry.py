@@ -119,3 +119,24 @@ def test_import_in_batch_conflicts(spark):
     assert sorted((r.request_id, r.rule) for r in rej.collect()) == [
         ("r2", "seq_mismatch"), ("r3", "seq_taken"), ("r4", "duplicate")]
     assert new["code_counters"].where("counter_name = 'ingredient_seq'").first().next_value == 6
+
+
+def test_weights_exact_rounding_mode(spark):
+    sets = spark.createDataFrame([("AB", "h", T, None, None, None)], SCHEMAS["ingredient_sets"])
+    items = spark.createDataFrame([("AB", "a", T, None), ("AB", "b", T, None)], SCHEMAS["ingredient_set_items"])
+    req = spark.createDataFrame([(1, T, "ab", [("a", 1.005), ("b", 98.995)], None, "u")],
+                                "request_id long, submitted_at timestamp_ntz, set_code string, "
+                                "items array<struct<sku:string,wt_percent:double>>, notes string, actor string")
+    st = state(spark, ingredient_sets=sets, ingredient_set_items=items)
+    acc_native, rej_native, _ = M.register_weights(req, st, AS_OF)
+    acc_exact, rej_exact, _ = M.register_weights(req, st, AS_OF, exact_rounding=True)
+    # native decimal rounding: 1.005 -> 1.01, 98.995 -> 99.00, total 100.01 -> rejected;
+    # exact binary value: 1.005 -> 1.00 (1.00499...), 98.995 -> 99.00 (98.99500...45), total 100.00 -> accepted
+    assert rej_native.first().rule == "weight_sum" and rej_exact.count() == 0
+    assert [r.weight_code for r in acc_exact.collect()] == ["AB"]
+    req2 = req.withColumn("items", F.array(F.struct(F.lit("a").alias("sku"), F.lit(2.675).alias("wt_percent")),
+                                           F.struct(F.lit("b").alias("sku"), F.lit(97.33).alias("wt_percent"))))
+    acc2, rej2, _ = M.register_weights(req2, st, AS_OF, exact_rounding=True)
+    assert [r.weight_code for r in acc2.collect()] == ["AB"] and rej2.count() == 0
+    acc3, rej3, _ = M.register_weights(req2, st, AS_OF)
+    assert acc3.count() == 0 and rej3.first().rule == "weight_sum"
