@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from batchtrace.functions import codes as C, hashing as H
-from batchtrace.functions.text import blank_to_null, collapse_ws, is_allowed_link
+from batchtrace.functions.text import blank_to_null, collapse_ws, is_allowed_link, norm_code, round_weight
 from batchtrace.operators import changes as CH, paging as O, quality as Q
-from batchtrace.operators.joins import bounded_broadcast, overlay
+from batchtrace.operators.joins import bounded_broadcast, insert_absent, overlay, split_existing
 from batchtrace.operators.numbering import scope_key, sequence_within
 from batchtrace.session import pin
 from batchtrace.sources import registries as R
@@ -151,7 +151,7 @@ def register_weights(requests: DataFrame, state, as_of, start: int = 1, exact_ro
     to exactly 100.00; hash per set scope; codes from counter 'weight_code', scope set.
     Rounding is HALF_UP on the decimal value; ``exact_rounding`` rounds the exact binary
     value of each double instead (UD1, an Arrow-batched pandas UDF on the exploded items)."""
-    req = requests.withColumn("set_code", F.upper(F.trim("set_code")))
+    req = requests.withColumn("set_code", norm_code("set_code"))
     if exact_rounding:
         from batchtrace.functions.udfs import round_weight_exact
         e = req.select("request_id", F.posexplode("items").alias("_pos", "_it")).select(
@@ -162,8 +162,7 @@ def register_weights(requests: DataFrame, state, as_of, start: int = 1, exact_ro
         req = req.drop("items").join(rounded, "request_id")
     else:
         req = req.withColumn("items", F.transform("items", lambda x: F.struct(
-            F.trim(x["sku"]).alias("sku"), F.round(x["wt_percent"].cast("decimal(38,9)"), 2)
-            .cast("decimal(9,2)").alias("wt_percent"))))
+            F.trim(x["sku"]).alias("sku"), round_weight(x["wt_percent"]).alias("wt_percent"))))
     sets = state["ingredient_sets"].select("set_code").distinct()
     no_set = _reject(req.join(sets, "set_code", "left_anti"), "unknown_set", "set does not exist")
     known = req.join(sets, "set_code", "left_semi")
@@ -198,8 +197,8 @@ def register_batch_variants(requests: DataFrame, state, as_of, start: int = 1):
     """M5: the weight variant must exist; every (sku, batch) must be a stored batch (blank
     or missing parts are rejected, J11); SKUs must be in the weight variant; hash per
     (set, weight) scope; codes from counter 'batch_variant_code', scope 'set weight'."""
-    req = requests.withColumn("set_code", F.upper(F.trim("set_code"))) \
-                  .withColumn("weight_code", F.upper(F.trim("weight_code"))) \
+    req = requests.withColumn("set_code", norm_code("set_code")) \
+                  .withColumn("weight_code", norm_code("weight_code")) \
                   .withColumn("items", F.transform("items", lambda x: F.struct(
                       F.trim(x["sku"]).alias("sku"), F.trim(x["ingredient_batch_code"]).alias("ingredient_batch_code"))))
     wv = state["dry_weight_variants"].select("set_code", "weight_code").distinct()
@@ -446,8 +445,8 @@ def register_hows(requests: DataFrame, state, as_of):
     req = req.withColumn("_r", reason)
     bad = req.where("_r IS NOT NULL").select("request_id", F.col("_r").alias("rule"), F.col("_r").alias("message"))
     ok = req.where("_r IS NULL")
-    stored = _reject(ok.join(state["compounding_how"].select(F.col("processing_code").alias("_code")), "_code",
-                             "left_semi"), "duplicate", "Processing code already exists")
+    taken, _ = split_existing(ok, state["compounding_how"], ["_code"], ["processing_code"])
+    stored = _reject(taken, "duplicate", "Processing code already exists")
     firsts = O.first_per_key(ok.select("_code", *ORDER), ["_code"], [(c, False) for c in ORDER])
     batch_dup = _reject(ok.join(firsts, ["_code", *ORDER], "left_anti"), "duplicate", "Processing code already exists")
     rejects = _first_reject(bad, stored, batch_dup)
@@ -616,7 +615,7 @@ def mint_products(requests: DataFrame, state, as_of, start: int = 0):
           ["seal_strength", "shelf_stability", "solubility", "defect_analysis", "blocking", "film_emc", "friction"]],
         _ts(as_of).alias("created_at"), F.col("actor").alias("created_by"), _ts(as_of).alias("updated_at"),
         F.col("actor").alias("updated_by"), F.lit(True).alias("is_active"), "request_id")
-    rows = rows.join(state["conversion1_products"].select("product_code"), "product_code", "left_anti")
+    rows = insert_absent(rows, state["conversion1_products"], ["product_code"])
     new_counter = floors.select(F.col("scope").alias("id"), F.col("next_value").alias("next_suffix"),
                                 _ts(as_of).alias("updated_at"))
     return (rows.select("request_id", F.lit("created").alias("outcome"), "product_code"), bad,

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from batchtrace.functions import codes as C
+from batchtrace.functions.text import array_size
 
 
 def _sorted_items(*fields: str):
@@ -93,7 +94,7 @@ def formulations_flat(bv: DataFrame, wv: DataFrame) -> DataFrame:
         "set_code", "weight_code", "batch_variant_code",
         C.base_code("set_code", "weight_code", "batch_variant_code").alias("base_code"),
         "created_at", "created_by", "sku_list",
-        F.size("sku_list").alias("sku_count"),
+        array_size("sku_list").cast("int").alias("sku_count"),
         "batch_items",
         aligned_weights(F.col("sku_list"), F.col("_w_items")).alias("dry_weight_items"))
 

@@ -96,3 +96,19 @@ def test_misplaced_sku_repair(spark):
     skus, ws = TX.misplaced_sku_repair("s", "w")
     got = [(list(r[0]), r[1]) for r in df.select(skus, ws).collect()]
     assert got == [(["1_0001_10", "2_0002_20"], ""), (["x"], "1_0001_10, 2_0002_20"), ([], "GP")]
+
+
+def test_json_row_and_document_path(spark):
+    import datetime as dt
+    df = spark.createDataFrame([("1_0001_10", dt.datetime(2026, 2, 5, 10, 11, 12), "my sheet.pdf")],
+                               "sku string, ts timestamp_ntz, f string")
+    r = df.select(TX.json_row("sku", "ts"), TX.document_path("msds", "sku", TX.safe_filename("f"))).first()
+    assert r[0] == '{"sku":"1_0001_10","ts":"2026-02-05T10:11:12"}'
+    assert r[1] == "msds/ingredients/1_0001_10/my_sheet.pdf"
+
+
+def test_parse_iso_ts_utc_session(spark):
+    import datetime as dt
+    got = one(spark, TX.parse_iso_ts("c"), [("2026-02-05T10:00:00+02:00",), ("2026-02-05 10:00:00",), ("x",)],
+              "c string")
+    assert got == [dt.datetime(2026, 2, 5, 8, 0), dt.datetime(2026, 2, 5, 10, 0), None]

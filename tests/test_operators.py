@@ -82,3 +82,23 @@ def test_skew_safe_left_join_equals_left_join(spark):
     a = J.skew_safe_left_join(left, right, ["k"]).select("k", "a", "b")
     b = left.join(right, "k", "left").select("k", "a", "b")
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_where_in_and_lookup(spark):
+    from batchtrace.operators import filters as P
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v long")
+    vals = spark.createDataFrame([("a",), ("c",), ("c",)], "x string")
+    assert sorted(r.k for r in P.where_in(df, "k", vals, "x").collect()) == ["a", "c"]
+    keys = spark.createDataFrame([("b",)], "k string")
+    assert [r.v for r in P.lookup(df, keys, ["k"]).collect()] == [2]
+
+
+def test_find_duplicates_null_safe(spark):
+    from batchtrace.operators import filters as P
+    cols = "category_code long, trade_name_inci string, supplier string, spec_grade string, format string, " \
+           "pack_size_unit string, pack_size_value long"
+    new = spark.createDataFrame([(1, "agar", "S", None, "Powder", "kg", 5), (1, "agar", "S", "X", "Powder", "kg", 5)], cols)
+    existing = spark.createDataFrame([(1, "agar", "S", None, "Powder", "kg", 5, "1_0007_5", 7)],
+                                     cols + ", sku string, seq long")
+    hits = P.find_duplicates(new, existing, P.duplicate_keys()).collect()
+    assert [(h.spec_grade, h.sku) for h in hits] == [(None, "1_0007_5")]
