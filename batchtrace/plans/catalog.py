@@ -701,27 +701,41 @@ from batchtrace.streaming import register_stream as T  # noqa: E402
 STREAM_ARRIVALS = 3
 
 
-@query
-def stream_register_sets(spark, sf_dir):
-    """Set registration as a stream. The request batch arrives as three files groups in
-    request order; each arrival is processed by one availableNow run of the same streaming
-    query (restarting from its checkpoint), appending new sets to the state. The final
-    codes equal those of the one-shot job."""
-    t = domain(spark, sf_dir)
-    work = f"{checkpoint_dir(spark).rstrip('/')}/stream-sets-{uuid.uuid4().hex}"
-    req = t.req_sets
+def _stream_in_arrivals(spark, t, kind: str, req: DataFrame, label: str) -> DataFrame:
+    """Feed ``req`` to the registration stream in STREAM_ARRIVALS groups of request files (in
+    request order), one availableNow run of the same query per arrival; return outcomes."""
+    work = f"{checkpoint_dir(spark).rstrip('/')}/stream-{label}-{uuid.uuid4().hex}"
     ordered = sequence_within(req, [], M.ORDER, out="_pos")
     n = ordered.count()
     ordered = ordered.withColumn("_arrival", F.floor(F.col("_pos") * STREAM_ARRIVALS / F.lit(max(n, 1))))
     for i in range(STREAM_ARRIVALS):
         ordered.where(F.col("_arrival") == i).drop("_pos", "_arrival").write.mode("append").parquet(f"{work}/in")
-        q = T.stream_register(spark, f"{work}/in", "sets", t, f"{work}/state", f"{work}/checkpoint",
+        q = T.stream_register(spark, f"{work}/in", kind, t, f"{work}/state", f"{work}/checkpoint",
                               req.schema, AS_OF, files_per_trigger=1_000_000)
         q.awaitTermination()
-    out = T.read_outcomes(spark, f"{work}/state")
+    return T.read_outcomes(spark, f"{work}/state")
+
+
+@query
+def stream_register_sets(spark, sf_dir):
+    """Set registration as a stream. The request batch arrives as three file groups in
+    request order; each arrival is processed by one availableNow run of the same streaming
+    query (restarting from its checkpoint), appending new sets to the state. The final
+    codes equal those of the one-shot job."""
+    t = domain(spark, sf_dir)
+    out = _stream_in_arrivals(spark, t, "sets", t.req_sets, "sets")
     return out.select("request_id", (F.col("outcome") != "rejected").alias("accepted"), "set_code", "rule")
 
 
+@query
+def stream_register_weights(spark, sf_dir):
+    """T1 for dry weights (codes numbered per set scope across micro-batches)."""
+    t = domain(spark, sf_dir)
+    out = _stream_in_arrivals(spark, t, "weights", t.req_weights, "weights")
+    return out.select("request_id", (F.col("outcome") != "rejected").alias("accepted"), "set_code", "weight_code",
+                      "rule")
+
+
 # ---- sources, schema checks, lookups, paging variants -------------------------------------
 from batchtrace.operators import filters as P, joins as J  # noqa: E402
 from batchtrace.sources import schemas as S  # noqa: E402

@@ -998,3 +998,5 @@ UNION ALL SELECT set_code, weight_code, batch_variant_code, count(*), 'duplicate
 FROM batch_variants GROUP BY set_code, weight_code, batch_variant_code HAVING count(*) > 1
 UNION ALL SELECT set_code, NULL, NULL, count(*), 'duplicate_key', 'ingredient_sets: key set_code is not unique'
 FROM ingredient_sets GROUP BY set_code HAVING count(*) > 1""")
+register("stream_register_weights", "SELECT request_id, outcome <> 'rejected' AS accepted, set_code, weight_code, rule "
+         "FROM (" + SQL["register_weights"] + ") x")
