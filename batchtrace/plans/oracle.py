@@ -937,9 +937,13 @@ register("stream_register_sets", "SELECT request_id, outcome <> 'rejected' AS ac
 # ---- sources, schema checks, lookups, paging variants -------------------------------------------
 register("archived_backfill", """
 SELECT coalesce(archived, FALSE) AS archived, count(*) AS n FROM ingredient_batches GROUP BY coalesce(archived, FALSE)""")
-register("schema_problems", """
-SELECT CAST(NULL AS VARCHAR) AS table_name, CAST(NULL AS VARCHAR) AS column_name, CAST(NULL AS VARCHAR) AS problem
-WHERE FALSE""")
+from batchtrace.sources.schemas import SCHEMAS as _SCHEMAS  # noqa: E402
+
+_NULL_CHECKS = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{f.name}' AS column_name, 'null_in_required_column' AS problem "
+    f"WHERE EXISTS (SELECT 1 FROM {t} WHERE {f.name} IS NULL)"
+    for t, schema in sorted(_SCHEMAS.items()) for f in schema.fields if not f.nullable)
+register("schema_problems", _NULL_CHECKS)
 register("formulation_codes_fallback", "SELECT DISTINCT set_code, weight_code, batch_variant_code FROM batch_variants")
 register("active_role_count", "SELECT count(*) AS active_roles FROM user_roles WHERE is_active")
 register("assignee_list", "SELECT email FROM pellet_bag_assignees WHERE is_active")

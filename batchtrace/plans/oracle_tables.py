@@ -465,6 +465,12 @@ FROM (SELECT sku, seq, created_at, n,
                   ELSE 'sheet ' || CAST(n AS VARCHAR) || '.pdf' END AS fname
       FROM ingredients, (SELECT unnest([1, 2]) AS n))""")
 
+_cte("audit_log", [], """
+SELECT CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS VARCHAR) AS event_type, CAST(NULL AS VARCHAR) AS actor,
+       CAST(NULL AS TIMESTAMP) AS event_at, CAST(NULL AS VARCHAR) AS entity_type, CAST(NULL AS VARCHAR) AS entity_id,
+       CAST(NULL AS VARCHAR) AS payload_json
+WHERE FALSE""")
+
 _cte("query_log", [], """
 SELECT CAST(user_id AS VARCHAR) AS request_id, value AS elapsed_ms, event_id AS query_id, ts AS logged_at
 FROM events""")

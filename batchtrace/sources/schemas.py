@@ -159,10 +159,11 @@ def backfill(df: DataFrame, col: str, value) -> DataFrame:
 
 
 def require_schema(spark: SparkSession, frames: dict[str, DataFrame],
-                   contract: dict[str, list[str]] | None = None) -> DataFrame:
-    """Compare the columns of the given frames with the required columns and report
-    every problem at once: one row per (table_name, column_name, problem). Works on schemas only
-    (plan-time metadata), so nothing is scanned."""
+                   contract: dict[str, list[str]] | None = None, check_nulls: bool = True) -> DataFrame:
+    """Compare the frames with the table contract and report every problem at once:
+    one row per (table_name, column_name, problem). Missing tables and columns come from
+    the schemas (plan-time metadata); with ``check_nulls`` each table is also scanned once
+    (one aggregate, partial per task) for NULLs in its NOT NULL columns."""
     contract = contract or {name: [f.name for f in SCHEMAS[name].fields] for name in frames}
     rows = []
     for table, cols in sorted(contract.items()):
@@ -171,7 +172,22 @@ def require_schema(spark: SparkSession, frames: dict[str, DataFrame],
             continue
         have = set(frames[table].columns)
         rows.extend((table, c, "missing_column") for c in cols if c not in have)
-    return spark.createDataFrame(rows, "table_name string, column_name string, problem string")
+    out = spark.createDataFrame(rows, "table_name string, column_name string, problem string")
+    if not check_nulls:
+        return out
+    for table in sorted(frames):
+        if table not in SCHEMAS:
+            continue
+        required = [f.name for f in SCHEMAS[table].fields if not f.nullable and f.name in frames[table].columns]
+        if not required:
+            continue
+        counts = frames[table].agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in required])
+        stacked = counts.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in required])).alias("x"))
+        out = out.unionByName(stacked.where("x.n > 0").select(
+            F.lit(table).alias("table_name"), F.col("x.column_name").alias("column_name"),
+            F.lit("null_in_required_column").alias("problem")))
+    return out
 
 
 def write_snapshot(df: DataFrame, root: str, name: str, snapshot: str) -> str:

@@ -63,3 +63,10 @@ def test_stream_replay_is_idempotent(spark):
                         (1, "1", "existing", "AB"), (1, "2", "existing", "AC")]
     state = ST.StreamState(spark, base, f"{work}/state")
     assert state["ingredient_sets"].count() == 2
+
+
+def test_require_schema_reports_nulls_in_required_columns(spark):
+    rows = spark.createDataFrame([("AA", None, T, None, None, None)], S.SCHEMAS["ingredient_sets"].simpleString()
+                                 .replace("struct<", "").replace(">", "").replace(":", " "))
+    probs = {(p.table_name, p.column_name, p.problem) for p in S.require_schema(spark, {"ingredient_sets": rows}).collect()}
+    assert probs == {("ingredient_sets", "set_hash", "null_in_required_column")}
