@@ -93,14 +93,16 @@ def bags_to_formulations(bags: DataFrame, hows: DataFrame, forms: DataFrame, act
 
 
 def containing_sku(forms: DataFrame, skus: DataFrame, ignore_case: bool = False,
-                   list_col: str = "sku_list") -> DataFrame:
+                   list_col: str = "sku_list", dedupe: bool = True) -> DataFrame:
     """J7/J8 bulk form: (requested sku, formulation) pairs where the formulation's SKU list
     contains the SKU. Exploding the small recipe arrays turns the correlated EXISTS
-    into an equi-join (no nested loop); duplicate SKUs in one recipe count once."""
+    into an equi-join (no nested loop); duplicate SKUs in one recipe count once
+    (``dedupe=False`` leaves that to a caller that ends with its own DISTINCT)."""
     key = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
     row_cols = [c for c in forms.columns if c != list_col]
-    e = forms.select(*row_cols, F.explode(list_col).alias("_sku")).withColumn("_k", key(F.col("_sku"))) \
-             .drop("_sku").dropDuplicates([*row_cols, "_k"])
+    e = forms.select(*row_cols, F.explode(list_col).alias("_sku")).withColumn("_k", key(F.col("_sku"))).drop("_sku")
+    if dedupe:
+        e = e.dropDuplicates([*row_cols, "_k"])
     s = skus.select(F.col("sku").alias("requested_sku"), key(F.col("sku")).alias("_k"))
     return s.join(e, "_k").drop("_k")
 

@@ -62,7 +62,7 @@ def sku_summary_bags(t, skus: DataFrame | None = None) -> DataFrame:
                                              "updated_at", "created_at")
     forms = V.formulations(t).select(*FORM_KEYS, "sku_list")
     linked = J.bags_to_formulations(bags, t["compounding_how"], forms, active_how=False)
-    hits = J.containing_sku(linked, skus, ignore_case=True)
+    hits = J.containing_sku(linked, skus, ignore_case=True, dedupe=False)  # DISTINCT below
     return hits.select("requested_sku", "pellet_bag_id", "pellet_bag_code", "compounding_how_code",
                        "updated_at", "created_at").distinct()
 
