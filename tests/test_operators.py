@@ -102,3 +102,16 @@ def test_find_duplicates_null_safe(spark):
                                      cols + ", sku string, seq long")
     hits = P.find_duplicates(new, existing, P.duplicate_keys()).collect()
     assert [(h.spec_grade, h.sku) for h in hits] == [(None, "1_0007_5")]
+
+
+def test_sku_matrix_dense_and_sparse(spark):
+    from batchtrace.operators import aggregates as A
+    v = spark.createDataFrame([("S", "W1", [("a", "10"), ("b", "90")]), ("S", "W2", [("b", "40"), ("c", "60")])],
+                              "set_code string, weight_code string, items array<struct<sku:string,wt_percent:string>>")
+    dense = {r.weight_code: (r.columns, r.cells) for r in
+             A.sku_matrix(v, ["set_code", "weight_code"], "wt_percent", ["set_code"]).collect()}
+    assert dense["W1"] == (["a", "b", "c"], ["10", "90", None])
+    assert dense["W2"] == (["a", "b", "c"], [None, "40", "60"])
+    sparse = {r.weight_code: (r.n_columns, [(c.col, c.value) for c in r.cells]) for r in
+              A.sku_matrix_sparse(v, ["set_code", "weight_code"], "wt_percent", ["set_code"]).collect()}
+    assert sparse == {"W1": (3, [(0, "10"), (1, "90")]), "W2": (3, [(1, "40"), (2, "60")])}
