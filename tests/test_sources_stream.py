@@ -70,3 +70,22 @@ def test_require_schema_reports_nulls_in_required_columns(spark):
                                  .replace("struct<", "").replace(">", "").replace(":", " "))
     probs = {(p.table_name, p.column_name, p.problem) for p in S.require_schema(spark, {"ingredient_sets": rows}).collect()}
     assert probs == {("ingredient_sets", "set_hash", "null_in_required_column")}
+
+
+def test_stream_compaction_keeps_state(spark):
+    from batchtrace.session import checkpoint_dir
+    from batchtrace.streaming import register_stream as ST
+    base = {n: spark.createDataFrame([], S.SCHEMAS[n]) for n in S.SCHEMAS}
+    base["ingredients"] = spark.createDataFrame([("a",), ("b",), ("c",)], "sku string")
+    work = os.path.join(checkpoint_dir(spark), "stream-compact-test")
+    schema = "request_id long, submitted_at timestamp_ntz, skus array<string>, notes string, " \
+             "material_workstream string, actor string"
+    for i, skus in enumerate([["a"], ["b"], ["a", "c"]]):
+        spark.createDataFrame([(i, T, skus, None, None, "u")], schema).write.mode("append").parquet(f"{work}/in")
+        ST.stream_register(spark, f"{work}/in", "sets", base, f"{work}/state", f"{work}/ckpt",
+                           spark.createDataFrame([], schema).schema, "2026-02-01 00:00:00", 1000).awaitTermination()
+        if i == 1:
+            assert ST.compact(spark, f"{work}/state", "sets") == 1
+    state = ST.StreamState(spark, base, f"{work}/state")
+    assert sorted(r.set_code for r in state["ingredient_sets"].collect()) == ["AB", "AC", "AD"]
+    assert state["ingredient_set_items"].count() == 4
