@@ -79,6 +79,11 @@ def token(code, i: int) -> Column:
     return F.get(F.split(col(code), " "), i)
 
 
+def code_tokens(code) -> Column:
+    """The space-separated tokens of a composite code, as stored with pellet bags."""
+    return F.split(col(code), " ")
+
+
 def base_code(set_code, weight_code, variant_code) -> Column:
     """``set weight variant``; NULL if any part is NULL (null-propagating concat)."""
     return F.concat(col(set_code), F.lit(" "), col(weight_code), F.lit(" "), col(variant_code))

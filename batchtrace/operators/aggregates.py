@@ -22,10 +22,17 @@ def dashboard_kpis(ingredients: DataFrame, bags: DataFrame) -> DataFrame:
 def dependency_counts(weights: DataFrame, variants: DataFrame, locations: DataFrame) -> DataFrame:
     """A7 + U1 bulk form: per set, labelled counts of dependent rows (one row per
     (set_code, source) with count > 0)."""
-    def per(df, label):
-        return df.groupBy("set_code").agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.lit(label))
-    return (per(weights, "dry_weight_variants").unionByName(per(variants, "batch_variants"))
-            .unionByName(per(locations, "location_codes")))
+    from batchtrace.operators.setops import union_labelled
+
+    def per(df):
+        return df.groupBy("set_code").agg(F.count(F.lit(1)).alias("n"))
+    return union_labelled({"dry_weight_variants": per(weights), "batch_variants": per(variants),
+                           "location_codes": per(locations)})
+
+
+def first_of(col) -> F.Column:
+    """A4: ANY_VALUE of a column inside an aggregation (first value seen)."""
+    return F.first(col, ignorenulls=False)
 
 
 def active_role_count(roles: DataFrame) -> DataFrame:

@@ -487,7 +487,7 @@ def mint_bags(requests: DataFrame, state, as_of, start: int = 0):
     code = F.concat_ws(" ", "compounding_how_code", "product_type", C.seq4("value"))
     rows = bags.select(
         F.sha2(code, 256).substr(1, 32).alias("pellet_bag_id"), code.alias("pellet_bag_code"),
-        F.split(code, " ").alias("pellet_bag_code_tokens"), "compounding_how_code", "product_type",
+        C.code_tokens(code).alias("pellet_bag_code_tokens"), "compounding_how_code", "product_type",
         F.col("value").alias("sequence_number"), F.col("bag_mass_kg").cast("double").alias("bag_mass_kg"),
         F.coalesce(F.col("remaining_mass_kg"), F.col("bag_mass_kg")).cast("double").alias("remaining_mass_kg"),
         "qc_status", "purpose", _ts(as_of).alias("created_at"), _ts(as_of).alias("updated_at"),

@@ -17,9 +17,14 @@ from batchtrace.functions import codes as C
 from batchtrace.functions.text import array_size
 
 
+def ordered_items(items) -> F.Column:
+    """An item array in order (struct fields compared left to right, SKU first)."""
+    return F.sort_array(items)
+
+
 def _sorted_items(*fields: str):
     """sort_array(collect_list(struct(fields))): total order, first field first."""
-    return F.sort_array(F.collect_list(F.struct(*fields)))
+    return ordered_items(F.collect_list(F.struct(*fields)))
 
 
 def sets_view(sets: DataFrame, items: DataFrame) -> DataFrame:

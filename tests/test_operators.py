@@ -115,3 +115,14 @@ def test_sku_matrix_dense_and_sparse(spark):
     sparse = {r.weight_code: (r.n_columns, [(c.col, c.value) for c in r.cells]) for r in
               A.sku_matrix_sparse(v, ["set_code", "weight_code"], "wt_percent", ["set_code"]).collect()}
     assert sparse == {"W1": (3, [(0, "10"), (1, "90")]), "W2": (3, [(1, "40"), (2, "60")])}
+
+
+def test_setops(spark):
+    from batchtrace.operators import setops as U
+    a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, v long")
+    b = spark.createDataFrame([("y", 9), ("y", 8)], "k string, w long")
+    assert [r.k for r in U.common(a, b, ["k"]).collect()] == ["y"]
+    u = U.union_labelled({"A": a, "B": a.where("k = 'x'")})
+    assert sorted((r.k, r.source) for r in u.collect()) == [("x", "A"), ("x", "B"), ("y", "A")]
+    req = spark.createDataFrame([(1, ["q", "x", "q"])], "request_id long, vals array<string>")
+    assert U.unknown(req, "vals", a, "k", "Unknown: ").first().message == "Unknown: q"
