@@ -134,9 +134,14 @@ def where_in(df: DataFrame, col: str, values: DataFrame, values_col: str | None
     return df.join(v, col, "left_semi")
 
 
-def distinct_nonblank(df: DataFrame, col: str) -> DataFrame:
-    """P10: distinct trimmed non-blank values for a dropdown."""
-    return df.where(F.trim(F.col(col)) != "").select(F.trim(F.col(col)).alias(col)).distinct()
+def distinct_nonblank(df: DataFrame, col: str, trim_first: bool = False) -> DataFrame:
+    """P10: distinct non-blank values for a dropdown, trimmed. As in the reference, DISTINCT
+    runs on the stored text and trimming follows, so untrimmed twins stay separate rows;
+    ``trim_first`` collapses them instead."""
+    nonblank = df.where(F.trim(F.col(col)) != "")
+    if trim_first:
+        return nonblank.select(F.trim(F.col(col)).alias(col)).distinct()
+    return nonblank.select(col).distinct().select(F.trim(F.col(col)).alias(col))
 
 
 def lookup(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

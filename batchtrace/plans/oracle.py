@@ -234,8 +234,8 @@ SELECT partner_code, partner_name, machine_specification AS machine_code,
 FROM location_partners
 WHERE nullif(trim(partner_code), '') || '||' || nullif(trim(machine_specification), '') IS NOT NULL""")
 register("bag_code_list", """
-SELECT DISTINCT trim(pellet_bag_code) AS pellet_bag_code FROM pellet_bags
-WHERE is_active AND trim(pellet_bag_code) <> ''""")
+SELECT trim(pellet_bag_code) AS pellet_bag_code FROM (
+  SELECT DISTINCT pellet_bag_code FROM pellet_bags WHERE is_active AND trim(pellet_bag_code) <> '')""")
 
 
 def _pct(x: str) -> str:
