@@ -122,7 +122,8 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 def find_duplicates(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` that match an existing row on all keys (NULL equals NULL).
-    Plain equi-keys are used for the non-null columns so the join stays a hash join."""
+    Spark plans the ``<=>`` conditions as equi-join keys, so this stays a hash or
+    sort-merge join (no nested loop)."""
     e = existing.select(*[F.col(k).alias(f"_e_{k}") for k in keys], "sku", "seq")
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys])
     return new.join(e, cond, "inner")
