@@ -448,7 +448,7 @@ _cte("chg_hows", ["_loc"], f"""
 SELECT processing_code, {pick('(o_orderkey + 1) % 13', R.FAILURE_MODES)} AS failure_mode, ' ' AS machine_setup_url,
        'https://drive.google.com/r/' || CAST(o_orderkey AS VARCHAR) AS processed_data_url, 'revised' AS notes,
        'admin@example.com' AS actor
-FROM _loc WHERE o_orderkey % 10 = 0""")
+FROM _loc""")
 
 _cte("chg_set_meta", ["_fps"], f"""
 SELECT set_code, upper(o_orderpriority) AS notes,

@@ -648,7 +648,7 @@ class TpchDomain:
 
     @cached_property
     def chg_hows(self) -> DataFrame:
-        h = self._locations.where(F.col("o_orderkey") % 10 == 0)
+        h = self._locations
         k = F.col("o_orderkey")
         return h.select("processing_code", _pick((k + 1) % 13, R.FAILURE_MODES).alias("failure_mode"),
                         F.lit(" ").alias("machine_setup_url"),
