@@ -842,3 +842,12 @@ def quality_unique_keys(spark, sf_dir):
     s = Q.check_unique(t.ingredient_sets, ["set_code"], "ingredient_sets")
     cols = ["set_code", "weight_code", "batch_variant_code", "n", "rule", "message"]
     return w.unionByName(b, allowMissingColumns=True).unionByName(s, allowMissingColumns=True).select(*cols)
+
+
+@query
+def stream_register_variants(spark, sf_dir):
+    """T1 for batch variants (codes numbered per (set, weight) scope across micro-batches)."""
+    t = domain(spark, sf_dir)
+    out = _stream_in_arrivals(spark, t, "variants", t.req_variants, "variants")
+    return out.select("request_id", (F.col("outcome") != "rejected").alias("accepted"), "set_code", "weight_code",
+                      "batch_variant_code", "rule")

@@ -1004,3 +1004,5 @@ UNION ALL SELECT set_code, NULL, NULL, count(*), 'duplicate_key', 'ingredient_se
 FROM ingredient_sets GROUP BY set_code HAVING count(*) > 1""")
 register("stream_register_weights", "SELECT request_id, outcome <> 'rejected' AS accepted, set_code, weight_code, rule "
          "FROM (" + SQL["register_weights"] + ") x")
+register("stream_register_variants", "SELECT request_id, outcome <> 'rejected' AS accepted, set_code, weight_code, "
+         "batch_variant_code, rule FROM (" + SQL["register_variants"] + ") x")
