@@ -301,15 +301,6 @@ def register_ingredients(requests: DataFrame, state, as_of):
     return accepted, bad.unionByName(dups), {"ingredients": rows, "code_counters": counters}
 
 
-def _not_first(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Requests that are not the first (by submitted_at, request_id) of their key."""
-    firsts = O.first_per_key(df.select(*keys, *ORDER), keys, [(c, False) for c in ORDER]) \
-        .select(*keys, *[F.col(c).alias(f"_f_{c}") for c in ORDER])
-    j = _ns_join(df, firsts, keys, "left")
-    return j.where(~((F.col("submitted_at") == F.col("_f_submitted_at"))
-                     & (F.col("request_id") == F.col("_f_request_id"))))
-
-
 def import_ingredients(requests: DataFrame, state, as_of):
     """M7: the SKU is parsed (F4) and overrides category and pack size; Q1 checks; exact
     duplicates of stored or earlier requests are rejected; a stored product must keep its
