@@ -139,8 +139,12 @@ PRODUCT_STATUS_STREAMS = tuple(_PRODUCT_STATUS)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Typed scan of one base-table snapshot directory (no inference, no footer merge)."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
+    """Typed scan of one base-table directory (no inference, no footer merge). Rows
+    appended with ``append_batch`` live in ``batch=<id>`` sub-directories and are read too
+    (the partition column is dropped)."""
+    df = spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true") \
+        .parquet(f"{root.rstrip('/')}/{name}")
+    return df.select(*[f.name for f in SCHEMAS[name].fields])
 
 
 def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -206,6 +210,15 @@ def clustered(df: DataFrame, name: str) -> DataFrame:
     return df.sortWithinPartitions(*keys) if keys else df
 
 
+def append_batch(df: DataFrame, root: str, name: str, batch_id: str | int) -> str:
+    """S3, idempotent form: the rows of one registration batch go to
+    ``<root>/<name>/batch=<id>`` with overwrite, so re-running a failed or repeated batch
+    replaces its own rows instead of appending them twice."""
+    path = f"{root.rstrip('/')}/{name}/batch={batch_id}"
+    clustered(evolve(df, SCHEMAS[name]), name).write.mode("overwrite").parquet(path)
+    return path
+
+
 def append(df: DataFrame, root: str, name: str) -> str:
     """S3: append new rows to a table directory (typed to the table contract first).
     Appends are new files; readers of ``read_table`` see them on the next scan."""

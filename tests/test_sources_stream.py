@@ -89,3 +89,21 @@ def test_stream_compaction_keeps_state(spark):
     state = ST.StreamState(spark, base, f"{work}/state")
     assert sorted(r.set_code for r in state["ingredient_sets"].collect()) == ["AB", "AC", "AD"]
     assert state["ingredient_set_items"].count() == 4
+
+
+def test_append_batch_is_idempotent(spark):
+    root = tempfile.mkdtemp(prefix="bt-batches-")
+    rows = spark.createDataFrame([("AA", "h", T), ("AB", "h2", T)], "set_code string, set_hash string, created_at timestamp_ntz")
+    S.append(rows.where("set_code = 'AA'"), root, "ingredient_sets")
+    S.append_batch(rows, root, "ingredient_sets", 7)
+    S.append_batch(rows, root, "ingredient_sets", 7)  # the same batch again (e.g. after a failure)
+    got = sorted(r.set_code for r in S.read_table(spark, root, "ingredient_sets").collect())
+    assert got == ["AA", "AA", "AB"]
+
+
+def test_read_table_ignores_snapshot_dirs(spark):
+    root = tempfile.mkdtemp(prefix="bt-snap-")
+    rows = spark.createDataFrame([("AA", "h", T)], "set_code string, set_hash string, created_at timestamp_ntz")
+    S.append(rows, root, "ingredient_sets")
+    S.write_snapshot(rows.union(rows), root, "ingredient_sets", "s1")
+    assert S.read_table(spark, root, "ingredient_sets").count() == 1
