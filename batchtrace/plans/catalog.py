@@ -7,12 +7,25 @@ engines; the library functions themselves return the nested form.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from batchtrace.plans import views as V
-from batchtrace.sources.tpch import domain
+from batchtrace.functions import codes as C
+from batchtrace.functions import hashing as H
+from batchtrace.functions import text as TX
+from batchtrace.operators import aggregates as A, paging as O
+from batchtrace.operators import changes as CH, policy as X, quality as Q
+from batchtrace.operators import filters as P, joins as J
+from batchtrace.operators import registry as M
+from batchtrace.operators.numbering import sequence_within
+from batchtrace.plans import lineage as LN, views as V
+from batchtrace.session import checkpoint_dir
+from batchtrace.sources import registries as R
+from batchtrace.sources import schemas as S
+from batchtrace.sources.tpch import BAG_SCOPE, domain
+from batchtrace.streaming import register_stream as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -57,11 +70,6 @@ def formulations_flat(spark, sf_dir):
 
 
 # ---- search, paging, lineage (L4-L18) ----------------------------------------------------
-from batchtrace.functions import codes as C  # noqa: E402
-from batchtrace.functions import hashing as H  # noqa: E402
-from batchtrace.functions import text as TX  # noqa: E402
-from batchtrace.operators import aggregates as A, paging as O  # noqa: E402
-from batchtrace.plans import lineage as LN  # noqa: E402
 
 # Fixed query parameters of the registered examples.
 SKU_TEXT = "_001"
@@ -328,8 +336,6 @@ def misplaced_sku_repair(spark, sf_dir):
 
 
 # ---- registration (M1-M14) -----------------------------------------------------------------
-from batchtrace.operators import registry as M  # noqa: E402
-from batchtrace.sources.tpch import BAG_SCOPE  # noqa: E402
 
 AS_OF = "2025-01-01 00:00:00"
 
@@ -449,8 +455,6 @@ def register_products(spark, sf_dir):
 
 
 # ---- table changes (R1-R12) ------------------------------------------------------------------
-from batchtrace.operators import changes as CH, policy as X, quality as Q  # noqa: E402
-from batchtrace.sources import registries as R  # noqa: E402
 
 
 @query
@@ -692,11 +696,7 @@ def sku_summary_masked(spark, sf_dir):
 
 
 # ---- streaming (T1) ----------------------------------------------------------------------------
-import uuid  # noqa: E402
 
-from batchtrace.operators.numbering import sequence_within  # noqa: E402
-from batchtrace.session import checkpoint_dir  # noqa: E402
-from batchtrace.streaming import register_stream as T  # noqa: E402
 
 STREAM_ARRIVALS = 3
 
@@ -737,8 +737,6 @@ def stream_register_weights(spark, sf_dir):
 
 
 # ---- sources, schema checks, lookups, paging variants -------------------------------------
-from batchtrace.operators import filters as P, joins as J  # noqa: E402
-from batchtrace.sources import schemas as S  # noqa: E402
 
 
 @query
