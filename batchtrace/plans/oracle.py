@@ -6,7 +6,9 @@ projection CTEs. Nested outputs are compared as text (``sku=value|...``).
 
 from __future__ import annotations
 
-from batchtrace.plans.oracle_tables import with_tables
+from batchtrace.plans.oracle_tables import code as _code, lit as _lit, with_tables
+from batchtrace.sources import registries as _R
+from batchtrace.sources.schemas import SCHEMAS as _SCHEMAS
 
 # ---- view bodies ---------------------------------------------------------------------
 V_SETS = """
@@ -97,8 +99,6 @@ FROM v_flat""")
 
 
 # ---- search, paging, lineage ---------------------------------------------------------------
-from batchtrace.sources import registries as _R  # noqa: E402
-from batchtrace.plans.oracle_tables import lit as _lit  # noqa: E402
 
 FLAT_TEXT = f"""set_code, weight_code, batch_variant_code, base_code, created_at, created_by, sku_count,
        {skus('sku_list')} AS sku_list_text,
@@ -342,7 +342,6 @@ FROM m""")
 
 
 # ---- registration ------------------------------------------------------------------------------
-from batchtrace.plans.oracle_tables import code as _code  # noqa: E402
 
 EXHAUSTED = "'code_space_exhausted' AS rule, 'no two-letter code left in this scope' AS message"
 
@@ -937,7 +936,6 @@ register("stream_register_sets", "SELECT request_id, outcome <> 'rejected' AS ac
 # ---- sources, schema checks, lookups, paging variants -------------------------------------------
 register("archived_backfill", """
 SELECT coalesce(archived, FALSE) AS archived, count(*) AS n FROM ingredient_batches GROUP BY coalesce(archived, FALSE)""")
-from batchtrace.sources.schemas import SCHEMAS as _SCHEMAS  # noqa: E402
 
 _NULL_CHECKS = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{f.name}' AS column_name, 'null_in_required_column' AS problem "
