@@ -85,3 +85,17 @@ def test_union_permissions_and_role_table(spark):
     roles = {r.role_group: r.n for r in X.role_permissions(spark).groupBy("role_group").count()
              .withColumnRenamed("count", "n").collect()}
     assert roles["admin"] == 24 and roles["formulations_mix"] == len(set(R.FORMULATIONS_PERMISSIONS)) + 6
+
+
+def test_upsert_is_idempotent(spark):
+    target = spark.createDataFrame([("a@x.com", None, None, "formulations", None, True, T, "root", None, None)],
+                                   SCHEMAS["user_roles"])
+    changes = spark.createDataFrame(
+        [("A@X.com", "Ann", None, "mixing_1", None, True, "admin", 1), ("b@x.com", "B", None, "admin", None, True,
+                                                                      "admin", 2)],
+        "email string, first_name string, last_name string, role_group string, permissions array<string>, "
+        "is_active boolean, actor string, seq long")
+    once, _ = CH.upsert_roles(target, changes, "2026-02-01 00:00:00", ["seq"])
+    twice, counts = CH.upsert_roles(once, changes, "2026-02-01 00:00:00", ["seq"])
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str)
+    assert tuple(counts.first()) == (2, 0)

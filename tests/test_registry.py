@@ -140,3 +140,26 @@ def test_weights_exact_rounding_mode(spark):
     assert [r.weight_code for r in acc2.collect()] == ["AB"] and rej2.count() == 0
     acc3, rej3, _ = M.register_weights(req2, st, AS_OF)
     assert acc3.count() == 0 and rej3.first().rule == "weight_sum"
+
+
+def test_codes_are_gap_free_per_scope(spark):
+    ing = spark.createDataFrame([(f"s{i}",) for i in range(40)], "sku string")
+    sets = spark.createDataFrame([(c, f"h{c}", T, None, None, None) for c in ("AA", "AB")], SCHEMAS["ingredient_sets"])
+    items = spark.createDataFrame([(c, f"s{i}", T, None) for c in ("AA", "AB") for i in range(40)],
+                                  SCHEMAS["ingredient_set_items"])
+    ctr = spark.createDataFrame([("weight_code", "AA", 5, T)], SCHEMAS["code_counters"])
+    rows = [(i, dt.datetime(2026, 1, 1 + i % 20), "AA" if i % 3 else "AB", [(f"s{i}", 60.0), (f"s{i + 1}", 40.0)],
+             None, "u") for i in range(30)]
+    req = spark.createDataFrame(rows, "request_id long, submitted_at timestamp_ntz, set_code string, "
+                                      "items array<struct<sku:string,wt_percent:double>>, notes string, actor string")
+    acc, rej, new = M.register_weights(req, state(spark, ingredients=ing, ingredient_sets=sets,
+                                                  ingredient_set_items=items, code_counters=ctr), AS_OF)
+    assert rej.count() == 0
+    from batchtrace.functions.codes import code_to_int
+    got = {}
+    for r in acc.select("set_code", code_to_int("weight_code").alias("n")).collect():
+        got.setdefault(r.set_code, []).append(r.n)
+    assert sorted(got["AA"]) == list(range(5, 5 + len(got["AA"])))   # continues the scope's counter
+    assert sorted(got["AB"]) == list(range(1, 1 + len(got["AB"])))   # no counter yet: starts at 1
+    counters = {(r.counter_name, r.scope): r.next_value for r in new["code_counters"].collect()}
+    assert counters[("weight_code", "AA")] == 5 + len(got["AA"])
