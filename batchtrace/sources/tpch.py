@@ -17,6 +17,12 @@ Rules (all keys are the TPC-H keys):
   location, how      one per order; bags one per recipe line; conversion chain for PF bags
   partners           one per nation, code(nationkey + 10) (overlaps the defaults)
   user_roles         one per customer, role by market segment
+  req_*              request batches for the registration jobs (orders, parts, suppliers)
+  chg_*              change batches for the table-change jobs (events, bags, products, ...)
+
+``domain(spark, sf_dir)`` returns a ``StoredDomain``: each table is written once as a
+typed Parquet snapshot under ``spark.checkpoint.dir`` (keyed by code version and source
+file fingerprint) and scanned back with ``schemas.read_table``.
 """
 
 from __future__ import annotations
