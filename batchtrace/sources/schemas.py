@@ -142,9 +142,20 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Typed scan of one base-table directory (no inference, no footer merge). Rows
     appended with ``append_batch`` live in ``batch=<id>`` sub-directories and are read too
     (the partition column is dropped)."""
-    df = spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true") \
-        .parquet(f"{root.rstrip('/')}/{name}")
-    return df.select(*[f.name for f in SCHEMAS[name].fields])
+    path = f"{root.rstrip('/')}/{name}"
+    reader = spark.read.schema(SCHEMAS[name])
+    if _has_batch_dirs(spark, path):  # recursive listing only where batch directories exist
+        reader = reader.option("recursiveFileLookup", "true")
+    return reader.parquet(path).select(*[f.name for f in SCHEMAS[name].fields])
+
+
+def _has_batch_dirs(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    return any(st.isDirectory() and st.getPath().getName().startswith("batch=") for st in fs.listStatus(p))
 
 
 def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
