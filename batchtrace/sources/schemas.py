@@ -236,3 +236,21 @@ def append(df: DataFrame, root: str, name: str) -> str:
     path = f"{root.rstrip('/')}/{name}"
     evolve(df, SCHEMAS[name]).write.mode("append").parquet(path)
     return path
+
+
+class Tables:
+    """The stored tables under ``root`` as a lazy mapping name -> typed DataFrame, the form
+    every plan function takes (``t["pellet_bags"]`` or ``t.pellet_bags``)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self._frames = spark, root.rstrip("/"), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = read_table(self.spark, self.root, name)
+        return self._frames[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in SCHEMAS:
+            raise AttributeError(name)
+        return self[name]

@@ -107,3 +107,19 @@ def test_read_table_ignores_snapshot_dirs(spark):
     S.append(rows, root, "ingredient_sets")
     S.write_snapshot(rows.union(rows), root, "ingredient_sets", "s1")
     assert S.read_table(spark, root, "ingredient_sets").count() == 1
+
+
+def test_tables_mapping_feeds_plans(spark):
+    from batchtrace.plans import views as V
+    root = tempfile.mkdtemp(prefix="bt-tables-map-")
+    S.append(spark.createDataFrame([("AA", "AB", "AC", "h", T)], "set_code string, weight_code string, "
+                                   "batch_variant_code string, batch_hash string, created_at timestamp_ntz"),
+             root, "batch_variants")
+    S.append(spark.createDataFrame([("AA", "AB", "AC", "s1", "B1", T)], "set_code string, weight_code string, "
+                                   "batch_variant_code string, sku string, ingredient_batch_code string, "
+                                   "created_at timestamp_ntz"), root, "batch_variant_items")
+    for name in ("dry_weight_variants", "dry_weight_items"):
+        S.append(spark.createDataFrame([], S.SCHEMAS[name]), root, name)
+    t = S.Tables(spark, root)
+    f = V.formulations(t).first()
+    assert (f.base_code, f.sku_list, f.dry_weight_items[0].wt_percent) == ("AA AB AC", ["s1"], None)
