@@ -12,8 +12,8 @@ import __spark_entry__ as E  # noqa: E402
 from check_oracle import compare, duck_conn  # noqa: E402
 from conftest import SMALL  # noqa: E402
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from batchtrace.plans.catalog import QUERIES  # noqa: E402
+from batchtrace.plans.oracle import SQL as ORACLE  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
