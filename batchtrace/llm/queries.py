@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from batchtrace.llm import exact, quality
+from batchtrace.llm import chat, exact, langid, quality, simhash
 from batchtrace.llm.shared import table
 
 
@@ -13,9 +13,40 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (4-word shingles, at most 4 differing bits)."""
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), carry=["doc_id"], shingle=4, max_bits=4)
+    return groups.select("doc_id", "fingerprint", "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group, survivor and text hash of every document."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op8_exact_dedup)}
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and conversation -7, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    chats = chat.format_chats(rows.unionByName(extra))
+    chats = chats.withColumn("turns", chat.read_back(F.col("formatted")))
+    chats = chats.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a quarter (by crc32 of doc_id) is held out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.train(docs.where(~held_out).select("text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_quality_rules, op6_simhash, op8_exact_dedup, op9_chat, op10_language_id)}
