@@ -4,8 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from batchtrace.llm import chat, exact, langid, quality, simhash
-from batchtrace.llm.shared import table
+from batchtrace.llm import chat, exact, langid, mix, pack, quality, rollup, secret_scan, simhash, spans
+from batchtrace.llm.shared import scratch, table
+
+
+#: Share of the tokens each domain of the labelled table is to have after mixing.
+TARGETS = {"clean": 0.95, "poor": 0.03, "toxic": 0.02}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, domain of the labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, rate and copies of every document."""
+    return mix.mix(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), TARGETS, carry=["doc_id"])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,12 +28,49 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after three batches of changes, one of them sent twice.
+
+    Stand-in change rows: every document is inserted; then some are deleted, and some revised to
+    the first half of their text; the second batch is sent again before the third."""
+    docs = table(spark, sf_dir, "documents")
+    image = F.struct("text", "source", "lang")
+    half = F.struct(F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("text"), "source", "lang")
+    none = F.lit(None).cast(rollup.IMAGE)
+    part = F.col("doc_id") % 16
+
+    def changes(rows: DataFrame, op: str, before, after) -> DataFrame:
+        return rows.select(F.lit(op).alias("op"), before.alias("before"), after.alias("after"))
+
+    root = scratch(spark, "rollup")
+    second = changes(docs.where(part == 5), "delete", image, none).unionByName(changes(docs.where(part == 3), "revise", image, half))
+    for batch, rows in ((1, changes(docs, "insert", none, image)), (2, second), (2, second),
+                        (3, changes(docs.where(part == 5), "insert", none, half))):
+        rollup.commit(rows, root, batch)
+    return rollup.totals(spark, root)
+
+
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that lie in a repeated run found earlier."""
+    return spans.dedup_spans(table(spark, sf_dir, "documents"), carry=["doc_id", "text"])
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of at most 2048 tokens."""
+    return pack.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (4-word shingles, at most 4 differing bits)."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), carry=["doc_id"], shingle=4, max_bits=4)
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group, survivor and text hash of every document."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -49,4 +101,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op6_simhash, op8_exact_dedup, op9_chat, op10_language_id)}
+    op1_mixing, op2_quality_rules, op3_token_rollup, op4_sentence_spans, op5_packing, op6_simhash, op7_secrets,
+    op8_exact_dedup, op9_chat, op10_language_id)}

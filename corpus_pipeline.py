@@ -1,14 +1,16 @@
 """Corpus pipeline: quality rules, exact dedup, SimHash near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-back as the next stage's docs; all but the last return the columns of ``docs``.
+back as the next stage's docs; all but the last return the columns of ``docs``. Nulls, empty texts,
+repeated rows and empty tables are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from batchtrace.llm import exact, quality
+from batchtrace.llm import exact, mix, pack, quality, simhash
+from batchtrace.llm.queries import TARGETS, labelled_domains
 from batchtrace.llm.shared import store, table
 
 
@@ -22,7 +24,30 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs).where("kept").select(docs.columns)
 
 
-STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked fingerprints."""
+    return simhash.simhash_groups(docs, shingle=4, max_bits=4).where("kept").select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its fitted rate says (copies 0, 1 or more)."""
+    mixed = mix.mix(docs, labelled_domains(spark, sf_dir), TARGETS)
+    copy = F.explode(F.expr("case when copies > 0 then sequence(1, copies) else cast(array() as array<int>) end"))
+    return mixed.withColumn("_copy", copy).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in training sequences."""
+    return pack.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", exact_stage),
+    ("SimHash near-dedup", near_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: The classifier, the least squares fit and the packing have no SQL form; tests compare each stage by brute force.
 ORACLE_SQL = None
