@@ -76,7 +76,8 @@ def fit_rates(rows: DataFrame, targets: list[float], max_rounds: int = MAX_ROUND
     """Gradient steps of the least squares fit of sum(rate * n_tokens * p) to ``targets`` shares.
 
     Minimises the squared residuals relative to each domain's own tokens, in the metric that weighs
-    a document by its tokens. The targets' scale is the largest at which no domain has to grow.
+    a document by its tokens. The targets' scale is that at which the first domain keeps its tokens
+    (if it has none, the largest at which no domain has to grow).
     Only a few numbers a round reach the driver."""
     d = len(targets)
     p = [F.col("p")[i] for i in range(d)]
@@ -86,7 +87,7 @@ def fit_rates(rows: DataFrame, targets: list[float], max_rounds: int = MAX_ROUND
     live = [i for i in range(d) if start[i] > 0 and targets[i] > 0]
     if not live:
         return []
-    goal = np.array(targets) * min(start[i] / targets[i] for i in live)
+    goal = np.array(targets) * (start[0] / targets[0] if live[0] == 0 else min(start[i] / targets[i] for i in live))
     unit = np.where(start > 0, start, 1.0)
     h = np.array([[gram[f"g{i}_{j}"] or 0.0 for j in range(d)] for i in range(d)]) / np.sqrt(np.outer(unit, unit))
     step = 1 / np.linalg.eigvalsh(h)[-1]

@@ -8,8 +8,8 @@ from batchtrace.llm import chat, exact, langid, mix, pack, quality, rollup, secr
 from batchtrace.llm.shared import scratch, table
 
 
-#: Share of the tokens each domain of the labelled table is to have after mixing.
-TARGETS = {"clean": 0.95, "poor": 0.03, "toxic": 0.02}
+#: Share of the tokens each domain of the labelled table is to have after mixing; the first keeps its tokens.
+TARGETS = {"clean": 0.97, "poor": 0.01, "toxic": 0.02}
 
 
 def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
