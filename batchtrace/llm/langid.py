@@ -176,5 +176,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         return pd.DataFrame([m.score(t) for t in texts], columns=["lang_pred", "score"])
 
-    keep = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_p", predict("text")).select(*keep, "_p.lang_pred", "_p.score")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*keep).alias("_row"), predict("text").alias("_p"))
+    return rows.select("_row.*", "_p.lang_pred", "_p.score")

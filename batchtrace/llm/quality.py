@@ -26,9 +26,9 @@ CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": r"[#*$%&|<>]", "punct":
            "other": r"[^\x00-\x7F]"}
 
 MAX_CHAR_JS = 0.25
-MAX_WORD_JS = 0.30
+MAX_WORD_JS = 0.28
 MIN_CHARS = 600
-MIN_WORDS = 100
+MIN_WORDS = 400
 
 
 def _hists(text: Column) -> list[Column]:

@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The table's columns, whatever characters their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the cluster's shared folder (``spark.checkpoint.dir``)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"

@@ -11,29 +11,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from batchtrace.llm import exact, mix, pack, quality, simhash
 from batchtrace.llm.queries import TARGETS, labelled_domains
-from batchtrace.llm.shared import store, table
+from batchtrace.llm.shared import columns, store, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(docs).where("kept").select(docs.columns)
+    return quality.quality_rules(docs).where("kept").select(columns(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    return exact.exact_dedup(docs).where("kept").select(docs.columns)
+    return exact.exact_dedup(docs).where("kept").select(columns(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked fingerprints."""
-    return simhash.simhash_groups(docs, shingle=4, max_bits=4).where("kept").select(docs.columns)
+    return simhash.simhash_groups(docs, shingle=4, max_bits=4).where("kept").select(columns(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says (copies 0, 1 or more)."""
     mixed = mix.mix(docs, labelled_domains(spark, sf_dir), TARGETS)
     copy = F.explode(F.expr("case when copies > 0 then sequence(1, copies) else cast(array() as array<int>) end"))
-    return mixed.withColumn("_copy", copy).select(docs.columns)
+    return mixed.withColumn("_copy", copy).select(columns(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
