@@ -115,6 +115,8 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, groups: int
                 used = [(p, use + (p is last)) for p, use in used]
             else:
                 used.append((last, 1))
+            if capacity - sum(p[0] * use for p, use in used) > small:
+                return  # groups have run out, or a configuration that only evens out: best fit does better
             n = min(times, *(p[1] // use for p, use in used))
             for p, use in used:
                 p[1] -= n * use
