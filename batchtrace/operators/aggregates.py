@@ -30,11 +30,6 @@ def dependency_counts(weights: DataFrame, variants: DataFrame, locations: DataFr
                            "location_codes": per(locations)})
 
 
-def first_of(col) -> F.Column:
-    """A4: ANY_VALUE of a column inside an aggregation (first value seen)."""
-    return F.first(col, ignorenulls=False)
-
-
 def active_role_count(roles: DataFrame) -> DataFrame:
     """Number of active roles (bootstrap check)."""
     return active(roles).agg(F.count(F.lit(1)).alias("active_roles"))
@@ -62,20 +57,13 @@ def next_code_per_context(hows: DataFrame, context_col: str = "context_code",
 
 
 def next_suffix(hows: DataFrame) -> DataFrame:
-    """Highest suffix text (descending text order) and the code after it; 'AB' when
-    there is none."""
-    m = hows.agg(F.max("process_code_suffix").alias("max_suffix"))
+    """Highest suffix text of the active hows (descending text order) and the code after
+    it; 'AB' when there is none."""
+    m = hows.where("is_active").agg(F.max("process_code_suffix").alias("max_suffix"))
     nxt = F.coalesce(C.code_to_int("max_suffix") + 1, F.lit(1))
     return m.select("max_suffix", C.int_to_code(nxt).alias("next_suffix"))
 
 
-def weight_total(items) -> F.Column:
-    """Sum of wt_percent over an item array; NULL/blank counts as 0."""
-    return F.aggregate(items, F.lit(0.0).cast("double"),
-                       lambda acc, x: acc + F.coalesce(x["wt_percent"].cast("string").try_cast("double"),
-                                                       F.lit(0.0)))
-
-
 def query_cost_rollup(log: DataFrame) -> DataFrame:
     """Per request, sum of non-negative query durations and the query count."""
     return log.groupBy("request_id").agg(

@@ -8,13 +8,10 @@ batch of any size costs one shuffle of target and changes; the clock is ``as_of`
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from batchtrace.functions.text import blank_to_null, normalize_email, repair_status
+from batchtrace.functions.text import blank_to_null, repair_status
 from batchtrace.operators import paging as O
-from batchtrace.operators.joins import bounded_broadcast
 from batchtrace.sources import registries as R
 
 
@@ -33,9 +30,16 @@ def _with_counts(df: DataFrame, **named: Column) -> DataFrame:
 def upsert_roles(target: DataFrame, changes: DataFrame, as_of, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """MERGE by lower-cased email. Matched rows get the new names, role, permissions and
     active flag plus update stamps (email and created_* kept); unmatched changes are
-    inserted. The change batch is first reduced to its last change per email (``order``)."""
-    ch = changes.withColumn("_k", normalize_email("email"))
+    inserted. Emails and roles are trimmed and lower-cased, blank names become NULL, and the
+    permissions are those of the role. The change batch is first reduced to its last change
+    per email (``order``)."""
+    ch = changes.withColumn("_k", F.lower(F.trim("email"))).withColumn("role_group", F.lower(F.trim("role_group")))
+    ch = ch.withColumn("first_name", blank_to_null("first_name")).withColumn("last_name", blank_to_null("last_name"))
     ch = O.first_per_key(ch, ["_k"], [(c, True) for c in order])
+    granted = F.create_map(*[x for r, p in R.ROLE_GROUPS.items()
+                             for x in (F.lit(r), F.array(*[F.lit(v) for v in sorted(set(p))]))])
+    ch = ch.withColumn("permissions", F.coalesce(F.element_at(granted, F.col("role_group")),
+                                                 F.array().cast("array<string>")))
     cols = ["first_name", "last_name", "role_group", "permissions", "is_active"]
     t = target.withColumn("_k", F.lower(F.col("email"))).alias("t")
     s = ch.select("_k", *[F.col(c).alias(f"_s_{c}") for c in cols], F.col("actor").alias("_s_actor"),
@@ -75,13 +79,23 @@ def raise_floor(counters: DataFrame, floors: DataFrame, as_of) -> tuple[DataFram
     return out.drop("_r", "_i"), counts
 
 
+def last_per_key(changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last change per key by those of the ``order`` columns that the batch has; equal
+    changes are ranked by their values, so one remains in any case."""
+    by = [c for c in order if c in changes.columns] or [c for c in changes.columns if c not in key]
+    return O.first_per_key(changes, key, [(c, True) for c in by])
+
+
 def _patch(target: DataFrame, changes: DataFrame, key: list[str], value_of, as_of,
-           stamp: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Left join target with its changes (one per key) and rewrite columns."""
+           stamp: bool = True, active_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Left join target with its changes (one per key) and rewrite columns; ``active_only``
+    leaves inactive rows alone."""
     ch = changes.select(*key, *[F.col(c).alias(f"_s_{c}") for c in changes.columns if c not in key],
                         F.lit(True).alias("_hit"))
     j = target.join(ch, key, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
+    if active_only:
+        hit = hit & F.coalesce(F.col("is_active"), F.lit(False))
     cols = []
     for c in target.columns:
         v = value_of(c, hit)
@@ -94,20 +108,45 @@ def _patch(target: DataFrame, changes: DataFrame, key: list[str], value_of, as_o
     return out.drop("_hit"), _with_counts(out, updated=F.col("_hit"))
 
 
+# The editable columns of bags and products.
+BAG_PATCH_COLUMNS = [
+    "remaining_mass_kg", "short_moisture_percent", "purpose", "reference_sample_taken", "qc_status",
+    "long_moisture_status", "density_status", "injection_moulding_status", "film_forming_status",
+    "long_moisture_assignee_email", "density_assignee_email", "injection_moulding_assignee_email",
+    "film_forming_assignee_email", "notes", "customer",
+]
+PRODUCT_PATCH_COLUMNS = [
+    "storage_location", "notes", "number_units_produced", "numbered_in_order", "tensile_rigid_status",
+    "tensile_films_status", "seal_strength_status", "shelf_stability_status", "solubility_status",
+    "defect_analysis_status", "blocking_status", "film_emc_status", "friction_status", "width_mm", "length_m",
+    "avg_film_thickness_um", "sd_film_thickness", "film_thickness_variation_percent",
+]
+ORDER = ["submitted_at"]
+
+
 def patch_keep_null(target: DataFrame, changes: DataFrame, key: list[str], cols: list[str],
-                    as_of) -> tuple[DataFrame, DataFrame]:
-    """``col = COALESCE(new, old)`` for each listed column (NULL means keep)."""
+                    as_of, order: list[str] = ORDER) -> tuple[DataFrame, DataFrame]:
+    """``col = COALESCE(new, old)`` for each listed column that the batch carries (NULL
+    means keep), active rows only. Several changes of a key act one after the other, so each
+    column gets its last non-NULL value; the actor is that of the last change."""
+    present = [c for c in cols if c in changes.columns]
+    by = [c for c in order if c in changes.columns] or [c for c in changes.columns if c not in key]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*by))).alias(c) for c in present]
+    actor = [F.max_by("actor", F.struct(*by)).alias("actor")] if "actor" in changes.columns else []
+    ch = changes.groupBy(*key).agg(*last, *actor)
+
     def value_of(c, hit):
-        return F.when(hit, F.coalesce(F.col(f"_s_{c}"), F.col(c))).otherwise(F.col(c)) if c in cols else None
-    return _patch(target, changes, key, value_of, as_of)
+        return F.when(hit, F.coalesce(F.col(f"_s_{c}"), F.col(c))).otherwise(F.col(c)) if c in present else None
+    return _patch(target, ch, key, value_of, as_of, active_only="is_active" in target.columns)
 
 
 def patch_columns(target: DataFrame, changes: DataFrame, key: list[str], editable: list[str], as_of,
-                  overwrite_all: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Overwrite the editable columns present in ``changes`` (NULL overwrites); absent
-    columns stay. ``overwrite_all`` also NULLs editable columns the change did not carry
-    (quirk K6 of the reference's product patch)."""
+                  overwrite_all: bool = False, order: list[str] = ORDER) -> tuple[DataFrame, DataFrame]:
+    """Overwrite the editable columns present in ``changes`` (NULL overwrites), active rows
+    only; absent columns stay. The last change of a key wins. ``overwrite_all`` also NULLs
+    editable columns the change did not carry (quirk K6 of the reference's product patch)."""
     present = set(changes.columns)
+    changes = last_per_key(changes, key, order)
 
     def value_of(c, hit):
         if c not in editable:
@@ -115,11 +154,12 @@ def patch_columns(target: DataFrame, changes: DataFrame, key: list[str], editabl
         if c in present:
             return F.when(hit, F.col(f"_s_{c}")).otherwise(F.col(c))
         return F.when(hit, F.lit(None).cast(target.schema[c].dataType)).otherwise(F.col(c)) if overwrite_all else None
-    return _patch(target, changes, key, value_of, as_of)
+    return _patch(target, changes, key, value_of, as_of, active_only="is_active" in target.columns)
 
 
 def set_archived(batches: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """Archive toggle; archived_at/by are set when archiving and cleared when not."""
+    """Archive toggle; archived_at/by are set when archiving and cleared when not. The
+    last change of a batch wins."""
     def value_of(c, hit):
         arch = F.col("_s_archived")
         if c == "archived":
@@ -129,7 +169,8 @@ def set_archived(batches: DataFrame, changes: DataFrame, as_of) -> tuple[DataFra
         if c == "archived_by":
             return F.when(hit, F.when(arch, F.col("_s_actor"))).otherwise(F.col(c))
         return None
-    return _patch(batches, changes, ["sku", "ingredient_batch_code"], value_of, as_of)
+    key = ["sku", "ingredient_batch_code"]
+    return _patch(batches, last_per_key(changes, key, ORDER), key, value_of, as_of)
 
 
 def update_status(bags: DataFrame, changes: DataFrame, assignees: DataFrame, as_of,
@@ -146,7 +187,7 @@ def update_status(bags: DataFrame, changes: DataFrame, assignees: DataFrame, as_
                 .withColumn("_assignee", blank_to_null("assigned_value"))
     active_emails = assignees.where("is_active").select(F.col("email").alias("_assignee"), F.lit(True).alias("_ok_a"))
     matches = bags.where("is_active").groupBy("pellet_bag_code").agg(F.count(F.lit(1)).alias("_n"))
-    ch = ch.join(bounded_broadcast(active_emails), "_assignee", "left").join(matches, "pellet_bag_code", "left")
+    ch = ch.join(active_emails, "_assignee", "left").join(matches, "pellet_bag_code", "left")
     reason = (F.when(~F.col("status_column").isin(*editable), F.lit("invalid_status_column"))
               .when(F.col("_value").isNull() | ~F.array_contains(F.element_at(vocab, F.col("status_column")),
                                                                   F.col("_value")), F.lit("invalid_status_value"))
@@ -183,15 +224,23 @@ def update_status(bags: DataFrame, changes: DataFrame, assignees: DataFrame, as_
 
 
 def update_hows(hows: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """Overwrite the editable fields of compounding hows (blank -> NULL)."""
+    """Overwrite the editable fields of active compounding hows (blank -> NULL); the last
+    change of a code wins."""
     editable = ["failure_mode", "machine_setup_url", "processed_data_url", "notes"]
-    ch = changes.select("processing_code", "actor",
+    ch = changes.select("processing_code", "actor", *[c for c in ORDER if c in changes.columns],
                         *[(blank_to_null(c) if c != "failure_mode" else F.col(c)).alias(c) for c in editable])
     return patch_columns(hows, ch, ["processing_code"], editable, as_of)
 
 
 def update_set_meta(sets: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Notes and workstream overwritten; ``created_by = COALESCE(created_by, updater)``."""
+    """Notes and workstream overwritten by the last change of a set; ``created_by =
+    COALESCE(created_by, updater)``, where the first updater fills a NULL."""
+    key = ["set_code"]
+    by = [c for c in ORDER if c in changes.columns] or [c for c in changes.columns if c not in key]
+    filler = changes.groupBy(*key).agg(F.min_by("actor", F.when(F.col("actor").isNotNull(), F.struct(*by))).alias("actor"))
+    changes = last_per_key(changes.select(*key, "notes", "material_workstream", *[c for c in by if c not in ("notes", "material_workstream")]),
+                           key, ORDER).drop("actor").join(filler, key)
+
     def value_of(c, hit):
         if c in ("notes", "material_workstream"):
             return F.when(hit, F.col(f"_s_{c}")).otherwise(F.col(c))
@@ -238,7 +287,3 @@ def seed_if_empty(target: DataFrame, defaults: DataFrame) -> DataFrame:
     """Add default rows only when the target has no active row (one-row flag join)."""
     flag = target.where("is_active").agg((F.count(F.lit(1)) == 0).alias("_empty"))
     return target.unionByName(defaults.crossJoin(flag).where("_empty").drop("_empty"), allowMissingColumns=True)
-
-
-def and_all(preds: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, preds)

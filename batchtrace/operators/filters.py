@@ -149,8 +149,3 @@ def lookup(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """P13 bulk form: rows whose key is requested (semi join); one row per key is
     guaranteed separately by ``paging.first_per_key``."""
     return df.join(keys.select(*on).distinct(), on, "left_semi")
-
-
-def blank_null(df: DataFrame, cols: list[str]) -> DataFrame:
-    """F8 on several columns."""
-    return df.select(*[blank_to_null(c).alias(c) if c in cols else F.col(c) for c in df.columns])

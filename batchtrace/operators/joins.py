@@ -17,30 +17,6 @@ from batchtrace.functions import codes as C
 from batchtrace.functions.text import blank_to_null
 from batchtrace.operators.filters import active
 
-# Registries bigger than this are not broadcast by hand (checked with a count).
-BROADCAST_ROW_LIMIT = 100_000
-
-
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, known_small: bool = False) -> DataFrame:
-    """Broadcast hint only for a side with a proven bound: a fixed registry
-    (``known_small``) or a frame whose row count is checked to be under ``limit``.
-    Larger frames are returned unchanged and joined by shuffle."""
-    if known_small:
-        return F.broadcast(df)
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
-
-
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on a 1-3 column key."""
-    return left.join(right, keys, how)
-
-
-def attach_weights(variants: DataFrame, weights: DataFrame) -> DataFrame:
-    """Left join formulation x weight variant on (set, weight)."""
-    return variants.join(weights, ["set_code", "weight_code"], "left")
-
-
 def overlay(custom: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     """Custom rows replace seed rows with the same key (keyed union)."""
     return custom.unionByName(seeds.join(custom.select(key), key, "left_anti"), allowMissingColumns=True)
@@ -48,20 +24,20 @@ def overlay(custom: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
 
 def with_partner(df: DataFrame, registry: DataFrame, key: str = "partner_code") -> DataFrame:
     """Partner name (else 'Unknown') and machine (else '') from the partner registry
-    (two-letter codes: at most 676 rows; broadcast after a size check)."""
+    (two-letter codes); Spark broadcasts it when it is under its own threshold."""
     r = registry.select(F.col("partner_code").alias(key), F.col("partner_name").alias("_pn"),
                         F.col("machine_specification").alias("_ms"))
-    return (df.join(bounded_broadcast(r), key, "left")
+    return (df.join(r, key, "left")
             .withColumn("partner_name", F.coalesce(F.nullif(F.col("_pn"), F.lit("")), F.lit("Unknown")))
             .withColumn("machine_specification", F.coalesce(F.nullif(F.col("_ms"), F.lit("")), F.lit("")))
             .drop("_pn", "_ms"))
 
 
 def context_labels(ctx: DataFrame, partners: DataFrame) -> DataFrame:
-    """Context x partner (left join, broadcast registry) with the display label
+    """Context x partner (left join) with the display label
     'partner name (else partner code, else '') - machine code (else '')'."""
     p = partners.select("partner_code", F.col("partner_name").alias("_pn"))
-    j = ctx.join(bounded_broadcast(p), "partner_code", "left")
+    j = ctx.join(p, "partner_code", "left")
     label = F.concat(F.coalesce(F.col("_pn"), F.col("partner_code"), F.lit("")), F.lit(" - "),
                      F.coalesce(F.col("machine_code"), F.lit("")))
     return j.withColumn("conversion_partner", label).withColumnRenamed("_pn", "partner_name")
@@ -150,15 +126,6 @@ def split_existing(requests: DataFrame, ref: DataFrame, keys: list[str],
     return requests.join(r, keys, "left_semi"), requests.join(r, keys, "left_anti")
 
 
-def norm_key(c) -> Column:
-    """Case-insensitive key."""
-    return F.lower(F.col(c) if isinstance(c, str) else c)
-
-
-def and_all(preds: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, preds)
-
-
 def skew_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """``left LEFT JOIN right`` when one left key may match a huge number of right rows.
 

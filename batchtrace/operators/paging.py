@@ -18,13 +18,13 @@ from batchtrace.sources import registries as R
 SORT_SPECS: dict[str, list[tuple[str, bool]]] = {
     # (column, descending)
     "ingredients": [("seq", False), ("category_code", False), ("pack_size_value", False), ("sku", False)],
-    "batches": [("created_at", True), ("sku", False), ("ingredient_batch_code", False)],
-    "sets": [("created_at", True), ("set_code", True)],
+    "batches": [("created_at", False), ("sku", False), ("ingredient_batch_code", False)],
+    "sets": [("created_at", False), ("set_code", False)],
     "formulations": [("created_at", True), ("set_code", True), ("weight_code", True), ("batch_variant_code", True)],
     "location_codes": [("created_at", True), ("location_id", True)],
     "contexts": [("created_at", True), ("context_code", True)],
     "conversion_hows": [("created_at", True), ("conversion1_how_code", True)],
-    "products": [("created_at", True), ("product_code", True)],
+    "products": [("created_at", True), ("product_suffix", True), ("product_code", True)],
     "compounding_how": [("created_at", True), ("processing_code", True)],
     "pellet_bags": [("created_at", True), ("sequence_number", True), ("pellet_bag_code", True)],
 }

@@ -29,24 +29,24 @@ def user_permissions(spark: SparkSession, roles: DataFrame) -> DataFrame:
 
 
 def effective_access(spark: SparkSession, users: DataFrame, roles: DataFrame) -> DataFrame:
-    """Per user (``email`` column, provider prefix stripped, lower-cased): the active
-    role's permissions; admin has all. When there is no active role at all, every user is
-    a bootstrap admin. Returns email, role_group, is_admin, is_bootstrap_admin,
-    permissions (sorted array), can_view_dry_weights."""
-    active = roles.where("is_active").select(F.lower(F.trim("email")).alias("email"),
-                                             F.lower(F.trim("role_group")).alias("role_group"))
+    """Per user (``email`` column, provider prefix stripped, lower-cased): the permissions
+    of the active role, looked up trimmed and lower-cased. Only the exact role ``admin`` makes
+    an admin. When there is no active role at all, a user is a bootstrap admin with role
+    ``admin``; a user without a role is ``unassigned``. Returns email, role_group, is_admin,
+    is_bootstrap_admin, permissions (sorted array), can_view_dry_weights."""
+    active = roles.where("is_active").select(F.lower("email").alias("email"), "role_group", F.lit(True).alias("_has"))
     n_active = roles.where("is_active").agg((F.count(F.lit(1)) == 0).alias("_bootstrap"))
     u = users.select(normalize_email("email").alias("email")).distinct()
     j = u.join(active, "email", "left").crossJoin(n_active)
     perms = R.role_table(spark).groupBy("role_group").agg(F.sort_array(F.collect_list("permission")).alias("_p"))
-    j = j.join(F.broadcast(perms), "role_group", "left")
-    admin = (F.col("role_group") == "admin") | F.col("_bootstrap")
-    all_perms = F.array(*[F.lit(p) for p in sorted(R.PERMISSIONS)])
-    p = F.when(F.coalesce(admin, F.lit(False)), all_perms).otherwise(
-        F.coalesce(F.col("_p"), F.array().cast("array<string>")))
-    return j.select("email", "role_group", F.coalesce(admin, F.lit(False)).alias("is_admin"),
-                    F.col("_bootstrap").alias("is_bootstrap_admin"), p.alias("permissions"),
-                    F.array_contains(p, DRY_WEIGHTS_VIEW).alias("can_view_dry_weights"))
+    boot = F.col("_has").isNull() & F.col("_bootstrap")
+    role = F.when(boot, F.lit("admin")).otherwise(F.coalesce("role_group", F.lit("")))
+    j = j.withColumn("_boot", boot).withColumn("_role", role).withColumn("_key", F.lower(F.trim("_role")))
+    j = j.join(F.broadcast(perms.withColumnRenamed("role_group", "_key")), "_key", "left")
+    p = F.coalesce(F.col("_p"), F.array().cast("array<string>"))
+    return j.select("email", F.when(F.col("_role") == "", "unassigned").otherwise(F.col("_role")).alias("role_group"),
+                    (F.col("_role") == "admin").alias("is_admin"), F.col("_boot").alias("is_bootstrap_admin"),
+                    p.alias("permissions"), F.array_contains(p, DRY_WEIGHTS_VIEW).alias("can_view_dry_weights"))
 
 
 def mask_weights(forms: DataFrame, can_view: bool | None = None, flag_col: str | None = None,
@@ -58,10 +58,11 @@ def mask_weights(forms: DataFrame, can_view: bool | None = None, flag_col: str |
     return forms if can_view else forms.drop(col)
 
 
-def mask_section(df: DataFrame, can_view: bool) -> DataFrame:
-    """An empty section when the viewer may not see it (a constant filter, folded away
-    at plan time)."""
-    return df.where(F.lit(bool(can_view)))
+def mask_section(df: DataFrame, viewers: DataFrame, permission: str) -> DataFrame:
+    """The section's rows for each viewer (``df`` has their email in ``viewer``) who holds
+    ``permission``; the section is empty for the others. ``viewers`` has email, permissions."""
+    may = viewers.where(F.array_contains("permissions", permission)).select(F.col("email").alias("viewer"))
+    return df.join(may.distinct(), "viewer", "left_semi")
 
 
 def union_permissions(a, b) -> F.Column:

@@ -79,16 +79,13 @@ def weight_sum_close(items, tol: float = 0.01) -> Column:
 def check_enums(df: DataFrame, keys: list[str], vocab: dict[str, list[str]], repair: bool = True) -> DataFrame:
     """Q4: each listed column, blank-normalised (and 'Recieved' repaired), must be NULL or in
     its vocabulary. One reject row per (row, column)."""
-    parts = []
+    bad = []
     for c, values in vocab.items():
         v = repair_status(c) if repair else blank_to_null(c)
-        parts.append(df.select(*keys, F.lit(c).alias("column"), v.alias("value"))
-                     .where(F.col("value").isNotNull() & ~F.col("value").isin(*values)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*keys, "column", "value", F.lit("enum").alias("rule"),
-                      F.concat(F.lit("Invalid "), F.col("column")).alias("message"))
+        bad.append(F.when(v.isNotNull() & ~v.isin(*values), F.struct(F.lit(c).alias("column"), v.alias("value"))))
+    out = df.select(*keys, F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("_b"))
+    return out.select(*keys, "_b.column", "_b.value", F.lit("enum").alias("rule"),
+                      F.concat(F.lit("Invalid "), F.col("_b.column")).alias("message"))
 
 
 def check_membership(req: DataFrame, array_col: str, ref: DataFrame, ref_col: str, prefix: str,
@@ -127,13 +124,14 @@ def check_nonempty_patch(df: DataFrame, keys: list[str], cols: list[str]) -> Dat
 
 
 def check_documents(manifest: DataFrame, targets: DataFrame, keys: list[str], pointer_col: str) -> DataFrame:
-    """Q8: uploads must be PDF, non-empty and at most 20 MiB; replacing an existing document
-    (target already has ``pointer_col``) needs ``confirm_replace``."""
+    """Q8: the target must exist; uploads must be of content type PDF, non-empty and at most
+    20 MiB; replacing an existing document (target already has ``pointer_col``) needs
+    ``confirm_replace``."""
     t = targets.select(*keys, F.col(pointer_col).isNotNull().alias("_has"))
     m = manifest.join(t, keys, "left")
-    is_pdf = (F.lower(F.coalesce("content_type", F.lit(""))) == PDF_CONTENT_TYPE) | \
-        F.lower(F.coalesce("filename", F.lit(""))).endswith(".pdf")
+    is_pdf = F.coalesce("content_type", F.lit("")) == PDF_CONTENT_TYPE
     return _explode_checks(m, [*keys, "filename"], [
+        (F.col("_has").isNull(), "unknown_target", "Target not found"),
         (~is_pdf, "not_pdf", "Only PDF files are allowed"),
         (F.coalesce(F.col("size_bytes"), F.lit(0)) <= 0, "empty_file", "File is empty"),
         (F.coalesce(F.col("size_bytes"), F.lit(0)) > MAX_DOCUMENT_BYTES, "too_large", "File too large"),
@@ -145,13 +143,10 @@ def check_documents(manifest: DataFrame, targets: DataFrame, keys: list[str], po
 def check_assignees(df: DataFrame, keys: list[str], cols: list[str], assignees: DataFrame) -> DataFrame:
     """Q9: every non-blank assignee must be an active assignee (one reject per field)."""
     active = assignees.where("is_active").select(F.col("email").alias("value")).distinct()
-    parts = [df.select(*keys, F.lit(c).alias("column"), blank_to_null(c).alias("value")).where("value IS NOT NULL")
-             for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    from batchtrace.operators.joins import bounded_broadcast
-    return out.join(bounded_broadcast(active), "value", "left_anti").select(
+    named = F.array(*[F.struct(F.lit(c).alias("column"), blank_to_null(c).alias("value")) for c in cols])
+    out = df.select(*keys, F.explode(F.filter(named, lambda x: x["value"].isNotNull())).alias("_a"))
+    out = out.select(*keys, "_a.column", "_a.value")
+    return out.join(active, "value", "left_anti").select(
         *keys, "column", "value", F.lit("assignee").alias("rule"),
         F.lit("Assignee must be an active assignee").alias("message"))
 

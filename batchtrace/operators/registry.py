@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from batchtrace.functions import codes as C, hashing as H
 from batchtrace.functions.text import blank_to_null, collapse_ws, is_allowed_link, norm_code, round_weight
 from batchtrace.operators import changes as CH, paging as O, quality as Q
-from batchtrace.operators.joins import bounded_broadcast, insert_absent, overlay, split_existing
+from batchtrace.operators.joins import insert_absent, overlay, split_existing
 from batchtrace.operators.numbering import scope_key, sequence_within
 from batchtrace.session import pin
 from batchtrace.sources import registries as R
@@ -132,7 +132,8 @@ def register_sets(requests: DataFrame, state, as_of, start: int = 1):
                           blank_to_null("material_workstream").alias("material_workstream"))
     items = created.select("set_code", F.explode("skus").alias("sku"), _ts(as_of).alias("created_at"),
                            F.col("actor").alias("created_by"))
-    meta = accepted.where((F.col("outcome") == "existing")
+    # a request whose hash is known, stored or from earlier in the batch, only updates the metadata
+    meta = accepted.where(F.col("outcome").isin("existing", "duplicate")
                           & (blank_to_null("notes").isNotNull() | blank_to_null("material_workstream").isNotNull())) \
                    .select("set_code", blank_to_null("notes").alias("notes"),
                            blank_to_null("material_workstream").alias("material_workstream"), "actor", *ORDER)
@@ -208,10 +209,14 @@ def register_batch_variants(requests: DataFrame, state, as_of, start: int = 1):
     blank = _reject(known.where(F.exists("items", lambda x: (x["sku"] == "") | (x["ingredient_batch_code"] == "")
                                          | x["sku"].isNull() | x["ingredient_batch_code"].isNull())),
                     "malformed_pair", "sku and ingredient_batch_code are required")
-    pairs = known.withColumn("_pairs", F.transform("items", lambda x: F.concat_ws("=", x["sku"],
-                                                                                x["ingredient_batch_code"])))
-    stored = state["ingredient_batches"].select(F.concat_ws("=", "sku", "ingredient_batch_code").alias("pair"))
-    unknown = Q.check_membership(pairs, "_pairs", stored, "pair", "Unknown batches: ")
+    stored = state["ingredient_batches"].select("sku", "ingredient_batch_code").distinct()
+    named = known.select("request_id", F.posexplode("items").alias("_pos", "_i")).select("request_id", "_pos", "_i.*")
+    missing = named.join(stored, ["sku", "ingredient_batch_code"], "left_anti").groupBy(
+        "request_id", "sku", "ingredient_batch_code").agg(F.min("_pos").alias("_pos"))
+    unknown = missing.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(
+        "_pos", F.concat_ws(":", "sku", "ingredient_batch_code").alias("_val")))).alias("_m")).select(
+        "request_id", F.lit("membership").alias("rule"),
+        F.concat(F.lit("Unknown batches: "), F.array_join(F.transform("_m", lambda x: x["_val"]), ", ")).alias("message"))
     outside = Q.check_membership(known.withColumn("_skus", F.transform("items", lambda x: x["sku"])), "_skus",
                                  state["dry_weight_items"].select("set_code", "weight_code", "sku"), "sku",
                                  "SKUs not in dry weight variant: ", scope=["set_code", "weight_code"])
@@ -376,7 +381,7 @@ def register_locations(requests: DataFrame, state, spark, as_of):
                        "partner_code").select(F.col("partner_code").alias("_p"))
     forms = state["batch_variants"].select(F.col("set_code").alias("_s"), F.col("weight_code").alias("_w"),
                                            F.col("batch_variant_code").alias("_v")).distinct()
-    j = req.join(bounded_broadcast(registry.withColumn("_okp", F.lit(True))), "_p", "left") \
+    j = req.join(registry.withColumn("_okp", F.lit(True)), "_p", "left") \
            .join(forms.withColumn("_okf", F.lit(True)), ["_s", "_w", "_v"], "left")
     reason = (F.when(F.col("_okp").isNull(), F.lit("unknown_partner"))
               .when(~F.col("_d").rlike("^[0-9]{6}$") | F.col("_d").isNull(), F.lit("invalid_date"))
@@ -427,7 +432,7 @@ def register_partners(requests: DataFrame, state, spark, as_of):
 
 def register_hows(requests: DataFrame, state, as_of):
     """Suffix must be two letters (upper-cased), failure mode from the list, and the
-    processing code 'location suffix' must be new (stored or earlier in the batch)."""
+    processing code 'location suffix' must be new (stored and active, or earlier in the batch)."""
     req = requests.withColumn("_suffix", F.upper(F.trim("process_code_suffix"))) \
                   .withColumn("_code", F.trim(F.concat_ws(" ", "location_code", "_suffix")))
     reason = (F.when(~C.is_two_letter_code("_suffix"), F.lit("invalid_suffix"))
@@ -436,7 +441,7 @@ def register_hows(requests: DataFrame, state, as_of):
     req = req.withColumn("_r", reason)
     bad = req.where("_r IS NOT NULL").select("request_id", F.col("_r").alias("rule"), F.col("_r").alias("message"))
     ok = req.where("_r IS NULL")
-    taken, _ = split_existing(ok, state["compounding_how"], ["_code"], ["processing_code"])
+    taken, _ = split_existing(ok, state["compounding_how"].where("is_active"), ["_code"], ["processing_code"])
     stored = _reject(taken, "duplicate", "Processing code already exists")
     firsts = O.first_per_key(ok.select("_code", *ORDER), ["_code"], [(c, False) for c in ORDER])
     batch_dup = _reject(ok.join(firsts, ["_code", *ORDER], "left_anti"), "duplicate", "Processing code already exists")

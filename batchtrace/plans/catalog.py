@@ -462,8 +462,8 @@ def upsert_roles(spark, sf_dir):
     """Role upsert by normalised email; the new user_roles snapshot."""
     t = domain(spark, sf_dir)
     new, _ = CH.upsert_roles(t.user_roles, t.chg_roles, AS_OF, ["ts", "event_id"])
-    return new.select("email", "first_name", "last_name", "role_group", "is_active", "created_at", "created_by",
-                      "updated_at", "updated_by")
+    return new.select("email", "first_name", "last_name", "role_group", F.array_join("permissions", ",").alias("permissions"),
+                      "is_active", "created_at", "created_by", "updated_at", "updated_by")
 
 
 @query
@@ -495,22 +495,19 @@ def seed_counters(spark, sf_dir):
 
 @query
 def patch_bags(spark, sf_dir):
-    """Keep-null patch of bags (NULL means keep)."""
+    """Keep-null patch of bags by bag id (NULL means keep; a bag may have several changes)."""
     t = domain(spark, sf_dir)
-    new, _ = CH.patch_keep_null(t.pellet_bags, t.chg_bags, ["pellet_bag_code"],
-                                ["remaining_mass_kg", "notes", "customer"], AS_OF)
-    return new.select("pellet_bag_id", "pellet_bag_code", "remaining_mass_kg", "notes", "customer", "updated_at",
-                      "updated_by")
+    new, _ = CH.patch_keep_null(t.pellet_bags, t.chg_bags.drop("pellet_bag_code"), ["pellet_bag_id"],
+                                CH.BAG_PATCH_COLUMNS, AS_OF)
+    return new.select("pellet_bag_id", "pellet_bag_code", *CH.BAG_PATCH_COLUMNS, "updated_at", "updated_by")
 
 
 @query
 def patch_products(spark, sf_dir):
     """Listed-column patch of products (NULL overwrites supplied columns only)."""
     t = domain(spark, sf_dir)
-    editable = ["storage_location", "notes", "tensile_rigid_status", "tensile_films_status", "number_units_produced"]
-    new, _ = CH.patch_columns(t.conversion1_products, t.chg_products, ["product_code"], editable, AS_OF)
-    return new.select("product_code", "storage_location", "notes", "tensile_rigid_status", "tensile_films_status",
-                      "number_units_produced", "updated_at", "updated_by")
+    new, _ = CH.patch_columns(t.conversion1_products, t.chg_products, ["product_code"], CH.PRODUCT_PATCH_COLUMNS, AS_OF)
+    return new.select("product_code", *CH.PRODUCT_PATCH_COLUMNS, "updated_at", "updated_by")
 
 
 @query
@@ -691,27 +688,28 @@ def masked_formulations(spark, sf_dir):
 
 @query
 def sku_summary_masked(spark, sf_dir):
-    """The formulations section of the SKU summary for a viewer without access (empty)."""
-    return X.mask_section(LN.sku_summary_formulations(domain(spark, sf_dir)), False)
+    """The formulations section of the SKU summary for each formulation's owner; empty for
+    owners who may not view batch selections."""
+    t = domain(spark, sf_dir)
+    owners = t.batch_variants.select(*LN.FORM_KEYS, F.col("created_by").alias("viewer")).distinct()
+    section = LN.sku_summary_formulations(t).join(owners, LN.FORM_KEYS)
+    return X.mask_section(section, X.effective_access(spark, _users(t), t.user_roles), "batch_selection.view")
 
 
 # ---- streaming (T1) ----------------------------------------------------------------------------
 
 
-STREAM_ARRIVALS = 3
-
-
-def _stream_in_arrivals(spark, t, kind: str, req: DataFrame, label: str) -> DataFrame:
-    """Feed ``req`` to the registration stream in STREAM_ARRIVALS groups of request files (in
+def _stream_in_arrivals(spark, t, kind: str, req: DataFrame, label: str, arrivals: int = 3) -> DataFrame:
+    """Feed ``req`` to the registration stream in ``arrivals`` groups of request files (in
     request order), one availableNow run of the same query per arrival; return outcomes."""
     work = f"{checkpoint_dir(spark).rstrip('/')}/stream-{label}-{uuid.uuid4().hex}"
     ordered = sequence_within(req, [], M.ORDER, out="_pos")
     n = ordered.count()
-    ordered = ordered.withColumn("_arrival", F.floor(F.col("_pos") * STREAM_ARRIVALS / F.lit(max(n, 1))))
-    for i in range(STREAM_ARRIVALS):
+    ordered = ordered.withColumn("_arrival", F.floor(F.col("_pos") * arrivals / F.lit(max(n, 1))))
+    for i in range(arrivals):
         ordered.where(F.col("_arrival") == i).drop("_pos", "_arrival").write.mode("append").parquet(f"{work}/in")
         q = T.stream_register(spark, f"{work}/in", kind, t, f"{work}/state", f"{work}/checkpoint",
-                              req.schema, AS_OF, files_per_trigger=1_000_000)
+                              req.schema, AS_OF, files_per_trigger=None)
         q.awaitTermination()
     return T.read_outcomes(spark, f"{work}/state")
 

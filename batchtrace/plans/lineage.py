@@ -93,7 +93,7 @@ def bag_detail(t) -> DataFrame:
                                              F.col("machine_specification").alias("_machine"))
     d = (bags.join(hows, "compounding_how_code", "left")
          .join(locs, "location_code", "left")
-         .join(J.bounded_broadcast(partners), "location_partner_code", "left")
+         .join(partners, "location_partner_code", "left")
          .withColumn("machine", F.coalesce(F.col("_machine"), F.col("location_partner_code")))
          .drop("_machine"))
     forms = V.formulations(t).select(*FORM_KEYS, "base_code")
@@ -152,8 +152,8 @@ def context_rows(t, q: str | None = None) -> DataFrame:
 
 
 def conversion_how_rows(t, q: str | None = None) -> DataFrame:
-    """Conversion hows, P4 on the code."""
-    return P.search_contains(t["conversion1_how"], "conversion1_how_code", q)
+    """Active conversion hows, P4 on the code."""
+    return P.search_contains(P.active(t["conversion1_how"]), "conversion1_how_code", q)
 
 
 def product_rows(t, how_code: str | None = None, q: str | None = None) -> DataFrame:

@@ -177,13 +177,13 @@ WHERE c.is_active AND contains(lower(c.context_code), ' pf ')
 ORDER BY c.created_at DESC NULLS LAST, c.context_code DESC NULLS LAST LIMIT 50 OFFSET 50""")
 register("conversion_how_page", """
 SELECT conversion1_how_code, context_code, process_code, failure_mode, created_at FROM conversion1_how
-WHERE contains(lower(conversion1_how_code), 'ab')
+WHERE is_active AND contains(lower(conversion1_how_code), 'ab')
 ORDER BY created_at DESC NULLS LAST, conversion1_how_code DESC NULLS LAST LIMIT 50""")
 register("products_page", """
 SELECT product_code, conversion1_how_code, product_suffix, storage_location, tensile_rigid_status,
        tensile_films_status, created_at
 FROM conversion1_products WHERE is_active AND contains(lower(product_code), '0001')
-ORDER BY created_at DESC NULLS LAST, product_code DESC NULLS LAST LIMIT 200""")
+ORDER BY created_at DESC NULLS LAST, product_suffix DESC NULLS LAST, product_code DESC NULLS LAST LIMIT 200""")
 register("bags_search", """
 SELECT pellet_bag_id, pellet_bag_code, compounding_how_code, product_type, sequence_number, bag_mass_kg,
        remaining_mass_kg, qc_status, created_at
@@ -195,7 +195,7 @@ WHERE (lower(sku) LIKE '%ring%' OR lower(trade_name_inci) LIKE '%ring%' OR lower
 register("batches_page", """
 SELECT sku, ingredient_batch_code, archived, quantity_value, created_at FROM ingredient_batches
 WHERE NOT coalesce(archived, FALSE)
-ORDER BY created_at DESC NULLS LAST, sku ASC NULLS FIRST, ingredient_batch_code ASC NULLS FIRST
+ORDER BY created_at ASC NULLS FIRST, sku ASC NULLS FIRST, ingredient_batch_code ASC NULLS FIRST
 LIMIT 100 OFFSET 100""")
 
 
@@ -298,7 +298,7 @@ register("next_compounding_suffix", f"""
 SELECT max_suffix, CASE WHEN n BETWEEN 0 AND 675 THEN chr(CAST(65 + n // 26 AS INTEGER)) || chr(CAST(65 + n % 26 AS INTEGER)) END
          AS next_suffix
 FROM (SELECT max_suffix, coalesce({_ci.format('max_suffix')} + 1, 1) AS n
-      FROM (SELECT max(process_code_suffix) AS max_suffix FROM compounding_how))""")
+      FROM (SELECT max(process_code_suffix) AS max_suffix FROM compounding_how WHERE is_active))""")
 register("query_cost_rollup", """
 SELECT request_id, round(sum(greatest(elapsed_ms, 0.0)), 2) AS query_ms, count(*) AS query_count
 FROM query_log GROUP BY request_id""")
@@ -438,14 +438,14 @@ WITH r AS (SELECT request_id, submitted_at, upper(trim(set_code)) AS set_code, u
                   list_transform(items, lambda x: {{'sku': trim(x.sku), 'ingredient_batch_code': trim(x.ingredient_batch_code)}})
                     AS items FROM req_variants),
 k AS (SELECT *, list_transform(items, lambda x: x.sku) AS skus,
-             list_transform(items, lambda x: concat_ws('=', x.sku, x.ingredient_batch_code)) AS pairs
+             list_transform(items, lambda x: concat_ws(':', x.sku, x.ingredient_batch_code)) AS pairs
       FROM r WHERE (set_code, weight_code) IN (SELECT (set_code, weight_code) FROM dry_weight_variants)),
 rej AS ({_first(
     "SELECT request_id, 'unknown_weight_variant' AS rule, 'dry weight variant does not exist' AS message FROM r "
     "WHERE (set_code, weight_code) NOT IN (SELECT (set_code, weight_code) FROM dry_weight_variants)",
     "SELECT request_id, 'malformed_pair', 'sku and ingredient_batch_code are required' FROM k WHERE "
     "list_bool_or(list_transform(items, lambda x: coalesce(x.sku = '' OR x.ingredient_batch_code = '', TRUE)))",
-    _membership('k', 'pairs', "SELECT concat_ws('=', sku, ingredient_batch_code) AS val FROM ingredient_batches",
+    _membership('k', 'pairs', "SELECT concat_ws(':', sku, ingredient_batch_code) AS val FROM ingredient_batches",
                 'Unknown batches: '),
     _membership('k', 'skus', 'SELECT set_code, weight_code, sku AS val FROM dry_weight_items',
                 'SKUs not in dry weight variant: ', ['set_code', 'weight_code']))}),
@@ -586,7 +586,7 @@ ok AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY submitted_at, req
        WHERE request_id NOT IN (SELECT request_id FROM bad)),
 rej AS ({_first('SELECT * FROM bad',
                 "SELECT request_id, 'duplicate' AS rule, 'Processing code already exists' AS message FROM ok "
-                "WHERE code IN (SELECT processing_code FROM compounding_how)",
+                "WHERE code IN (SELECT processing_code FROM compounding_how WHERE is_active)",
                 "SELECT request_id, 'duplicate', 'Processing code already exists' FROM ok WHERE rk > 1")})
 {_out({'processing_code': 'code'},
       "SELECT request_id, 'created' AS outcome, code FROM ok WHERE request_id NOT IN (SELECT request_id FROM rej)",
@@ -686,11 +686,14 @@ SELECT request_id, unnest(range(number_of_bags)) AS "offset",
 
 # ---- table changes ---------------------------------------------------------------------------
 AS_OF_SQL = "TIMESTAMP '2025-01-01 00:00:00'"
-_NORM = "lower(trim(regexp_replace(email, '^[^:]*:', '')))"
+_ROLE_MAP = "CASE lower(trim(role_group)) " + " ".join(
+    f"WHEN {_lit(r)} THEN {_lit(','.join(sorted(set(p))))}" for r, p in _R.ROLE_GROUPS.items()) + " ELSE '' END"
 _ROLES_J = f"""
-ch AS (SELECT *, {_NORM} AS k FROM chg_roles
-       QUALIFY row_number() OVER (PARTITION BY {_NORM} ORDER BY ts DESC, event_id DESC) = 1),
+ch AS (SELECT lower(trim(email)) AS k, nullif(trim(first_name), '') AS first_name, nullif(trim(last_name), '') AS last_name,
+              lower(trim(role_group)) AS role_group, {_ROLE_MAP} AS permissions, is_active, actor FROM chg_roles
+       QUALIFY row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY ts DESC, event_id DESC) = 1),
 j AS (SELECT t.email AS temail, t.first_name AS tf, t.last_name AS tl, t.role_group AS tr, t.is_active AS ta,
+             array_to_string(t.permissions, ',') AS tp, ch.permissions,
              t.created_at AS tca, t.created_by AS tcb, t.updated_at AS tua, t.updated_by AS tub,
              ch.k, ch.first_name, ch.last_name, ch.role_group, ch.is_active, ch.actor,
              ch.k IS NOT NULL AS hit
@@ -702,6 +705,7 @@ SELECT coalesce(temail, k) AS email,
        CASE WHEN upd OR new THEN first_name ELSE tf END AS first_name,
        CASE WHEN upd OR new THEN last_name ELSE tl END AS last_name,
        CASE WHEN upd OR new THEN role_group ELSE tr END AS role_group,
+       CASE WHEN upd OR new THEN permissions ELSE tp END AS permissions,
        CASE WHEN upd OR new THEN is_active ELSE ta END AS is_active,
        CASE WHEN new THEN {AS_OF_SQL} ELSE tca END AS created_at,
        CASE WHEN new THEN actor ELSE tcb END AS created_by,
@@ -727,25 +731,35 @@ WITH s AS (SELECT * FROM (VALUES ('set_code', '', 1), ('location_partner_code',
 SELECT counter_name, scope, next_value, updated_at FROM code_counters
 UNION ALL SELECT counter_name, scope, next_value, {AS_OF_SQL} FROM s
 WHERE NOT EXISTS (SELECT 1 FROM code_counters c WHERE c.counter_name = s.counter_name AND c.scope = s.scope)""")
+_BAG_PRESENT = ["remaining_mass_kg", "qc_status", "notes", "customer"]
+_BAG_COLS = [
+    "remaining_mass_kg", "short_moisture_percent", "purpose", "reference_sample_taken", "qc_status",
+    "long_moisture_status", "density_status", "injection_moulding_status", "film_forming_status",
+    "long_moisture_assignee_email", "density_assignee_email", "injection_moulding_assignee_email",
+    "film_forming_assignee_email", "notes", "customer"]
 register("patch_bags", f"""
+WITH c AS (SELECT pellet_bag_id, arg_max(actor, submitted_at) AS actor,
+                  {", ".join(f"arg_max({x}, submitted_at) FILTER ({x} IS NOT NULL) AS {x}" for x in _BAG_PRESENT)}
+           FROM chg_bags GROUP BY pellet_bag_id)
 SELECT b.pellet_bag_id, b.pellet_bag_code,
-       CASE WHEN c.pellet_bag_code IS NOT NULL THEN coalesce(c.remaining_mass_kg, b.remaining_mass_kg)
-            ELSE b.remaining_mass_kg END AS remaining_mass_kg,
-       CASE WHEN c.pellet_bag_code IS NOT NULL THEN coalesce(c.notes, b.notes) ELSE b.notes END AS notes,
-       CASE WHEN c.pellet_bag_code IS NOT NULL THEN coalesce(c.customer, b.customer) ELSE b.customer END AS customer,
-       CASE WHEN c.pellet_bag_code IS NOT NULL THEN {AS_OF_SQL} ELSE b.updated_at END AS updated_at,
-       CASE WHEN c.pellet_bag_code IS NOT NULL THEN c.actor ELSE b.updated_by END AS updated_by
-FROM pellet_bags b LEFT JOIN chg_bags c ON c.pellet_bag_code = b.pellet_bag_code""")
+       {", ".join(f"CASE WHEN c.pellet_bag_id IS NOT NULL THEN coalesce(c.{x}, b.{x}) ELSE b.{x} END AS {x}" if x in _BAG_PRESENT
+                  else f"b.{x}" for x in _BAG_COLS)},
+       CASE WHEN c.pellet_bag_id IS NOT NULL THEN {AS_OF_SQL} ELSE b.updated_at END AS updated_at,
+       CASE WHEN c.pellet_bag_id IS NOT NULL THEN c.actor ELSE b.updated_by END AS updated_by
+FROM pellet_bags b LEFT JOIN c ON c.pellet_bag_id = b.pellet_bag_id AND b.is_active""")
+_PRODUCT_PRESENT = ["storage_location", "notes", "tensile_rigid_status"]
+_PRODUCT_COLS = [
+    "storage_location", "notes", "number_units_produced", "numbered_in_order", "tensile_rigid_status",
+    "tensile_films_status", "seal_strength_status", "shelf_stability_status", "solubility_status",
+    "defect_analysis_status", "blocking_status", "film_emc_status", "friction_status", "width_mm", "length_m",
+    "avg_film_thickness_um", "sd_film_thickness", "film_thickness_variation_percent"]
 register("patch_products", f"""
 SELECT p.product_code,
-       CASE WHEN c.product_code IS NOT NULL THEN c.storage_location ELSE p.storage_location END AS storage_location,
-       CASE WHEN c.product_code IS NOT NULL THEN c.notes ELSE p.notes END AS notes,
-       CASE WHEN c.product_code IS NOT NULL THEN c.tensile_rigid_status ELSE p.tensile_rigid_status END
-         AS tensile_rigid_status,
-       p.tensile_films_status, p.number_units_produced,
+       {", ".join(f"CASE WHEN c.product_code IS NOT NULL THEN c.{x} ELSE p.{x} END AS {x}" if x in _PRODUCT_PRESENT
+                  else f"p.{x}" for x in _PRODUCT_COLS)},
        CASE WHEN c.product_code IS NOT NULL THEN {AS_OF_SQL} ELSE p.updated_at END AS updated_at,
        CASE WHEN c.product_code IS NOT NULL THEN c.actor ELSE p.updated_by END AS updated_by
-FROM conversion1_products p LEFT JOIN chg_products c ON c.product_code = p.product_code""")
+FROM conversion1_products p LEFT JOIN chg_products c ON c.product_code = p.product_code AND p.is_active""")
 register("archive_batches", f"""
 SELECT b.sku, b.ingredient_batch_code,
        CASE WHEN c.sku IS NOT NULL THEN c.archived ELSE b.archived END AS archived,
@@ -798,18 +812,22 @@ SELECT h.processing_code,
        CASE WHEN c.processing_code IS NOT NULL THEN nullif(trim(c.notes), '') ELSE h.notes END AS notes,
        CASE WHEN c.processing_code IS NOT NULL THEN {AS_OF_SQL} ELSE h.updated_at END AS updated_at,
        CASE WHEN c.processing_code IS NOT NULL THEN c.actor ELSE h.updated_by END AS updated_by
-FROM compounding_how h LEFT JOIN chg_hows c ON c.processing_code = h.processing_code""")
+FROM compounding_how h LEFT JOIN (SELECT * FROM chg_hows QUALIFY row_number() OVER (PARTITION BY processing_code
+                             ORDER BY submitted_at DESC) = 1) c ON c.processing_code = h.processing_code AND h.is_active""")
 register("set_meta", """
 SELECT s.set_code, CASE WHEN c.set_code IS NOT NULL THEN c.notes ELSE s.notes END AS notes,
        CASE WHEN c.set_code IS NOT NULL THEN c.material_workstream ELSE s.material_workstream END AS material_workstream,
-       CASE WHEN c.set_code IS NOT NULL THEN coalesce(s.created_by, c.actor) ELSE s.created_by END AS created_by
-FROM ingredient_sets s LEFT JOIN chg_set_meta c ON c.set_code = s.set_code""")
+       CASE WHEN c.set_code IS NOT NULL THEN coalesce(s.created_by, f.actor) ELSE s.created_by END AS created_by
+FROM ingredient_sets s LEFT JOIN (SELECT * FROM chg_set_meta QUALIFY row_number() OVER (PARTITION BY set_code
+                                  ORDER BY submitted_at DESC) = 1) c ON c.set_code = s.set_code
+LEFT JOIN (SELECT set_code, arg_min(actor, submitted_at) AS actor FROM chg_set_meta GROUP BY set_code) f ON f.set_code = s.set_code""")
 _DOCS_BAD = """
 SELECT sku, filename, rule, message FROM (
   SELECT m.*, i.msds_object_path IS NOT NULL AS has,
-         lower(coalesce(content_type, '')) = 'application/pdf' OR lower(coalesce(filename, '')) LIKE '%.pdf' AS is_pdf
+         coalesce(content_type, '') = 'application/pdf' AS is_pdf, i.sku IS NULL AS unknown
   FROM doc_manifest m LEFT JOIN ingredients i ON i.sku = m.sku) x,
 LATERAL (SELECT * FROM (VALUES
+   (unknown, 'unknown_target', 'Target not found'),
    (NOT is_pdf, 'not_pdf', 'Only PDF files are allowed'),
    (coalesce(size_bytes, 0) <= 0, 'empty_file', 'File is empty'),
    (coalesce(size_bytes, 0) > 20971520, 'too_large', 'File too large'),
@@ -899,20 +917,20 @@ ROLE_TABLE = f"(SELECT * FROM (VALUES {_ROLE_ROWS}) AS rt(role_group, permission
 register("role_permissions", f"""
 SELECT lower(trim(u.email)) AS email, u.role_group, u.is_active, rt.permission
 FROM user_roles u JOIN {ROLE_TABLE} rt ON rt.role_group = lower(trim(u.role_group))""")
-_ALL = "[" + ", ".join(_lit(p) for p in sorted(_R.PERMISSIONS)) + "]"
 _ACCESS = f"""
 users AS (SELECT DISTINCT lower(trim(regexp_replace(email, '^[^:]*:', ''))) AS email FROM (
             SELECT created_by AS email FROM pellet_bags WHERE created_by IS NOT NULL
             UNION ALL SELECT CASE WHEN length(email) % 2 = 0 THEN 'idp.example.com:' || upper(email) ELSE email END
             FROM user_roles)),
-act AS (SELECT lower(trim(email)) AS email, lower(trim(role_group)) AS role_group FROM user_roles WHERE is_active),
+act AS (SELECT lower(email) AS email, role_group FROM user_roles WHERE is_active),
 boot AS (SELECT count(*) = 0 AS b FROM user_roles WHERE is_active),
 perms AS (SELECT role_group, list(permission ORDER BY permission) AS p FROM {ROLE_TABLE} GROUP BY role_group),
-acc AS (SELECT u.email, a.role_group, coalesce(a.role_group = 'admin' OR boot.b, FALSE) AS is_admin,
-               boot.b AS is_bootstrap_admin,
-               CASE WHEN coalesce(a.role_group = 'admin' OR boot.b, FALSE) THEN {_ALL}
-                    ELSE coalesce(p.p, []::VARCHAR[]) END AS permissions
-        FROM users u LEFT JOIN act a ON a.email = u.email CROSS JOIN boot LEFT JOIN perms p ON p.role_group = a.role_group)"""
+held AS (SELECT u.email, CASE WHEN a.email IS NULL AND boot.b THEN 'admin' ELSE coalesce(a.role_group, '') END AS r,
+                a.email IS NULL AND boot.b AS is_bootstrap_admin
+         FROM users u LEFT JOIN act a ON a.email = u.email CROSS JOIN boot),
+acc AS (SELECT h.email, CASE WHEN r = '' THEN 'unassigned' ELSE r END AS role_group, r = 'admin' AS is_admin,
+               is_bootstrap_admin, coalesce(p.p, []::VARCHAR[]) AS permissions
+        FROM held h LEFT JOIN perms p ON p.role_group = lower(trim(r)))"""
 register("effective_access", f"""
 WITH {_ACCESS}
 SELECT email, role_group, is_admin, is_bootstrap_admin, len(permissions) AS n_permissions,
@@ -925,10 +943,12 @@ SELECT f.set_code, f.weight_code, f.batch_variant_code, f.base_code, f.created_a
        CASE WHEN coalesce(list_contains(a.permissions, 'dry_weights.view'), FALSE)
             THEN {pairs('f.dry_weight_items', 'sku', 'wt_percent')} END AS dry_weight_items_text
 FROM v_flat f LEFT JOIN acc a ON a.email = f.created_by""")
-register("sku_summary_masked", """
-SELECT DISTINCT i.sku AS requested_sku, f.set_code, f.weight_code, f.batch_variant_code, f.base_code, f.created_at
-FROM ingredients i JOIN (SELECT f.*, unnest(f.sku_list) AS s FROM v_flat f) f ON f.s = i.sku WHERE FALSE""")
-
+register("sku_summary_masked", f"""
+WITH {_ACCESS}
+SELECT DISTINCT i.sku AS requested_sku, f.set_code, f.weight_code, f.batch_variant_code, f.base_code, f.created_at,
+       f.created_by AS viewer
+FROM ingredients i JOIN (SELECT f.*, unnest(f.sku_list) AS s FROM v_flat f) f ON f.s = i.sku
+WHERE f.created_by IN (SELECT email FROM acc WHERE list_contains(permissions, 'batch_selection.view'))""")
 register("stream_register_sets", "SELECT request_id, outcome <> 'rejected' AS accepted, set_code, rule FROM ("
          + SQL["register_sets"].replace("WITH ", "WITH ", 1) + ") x")
 
@@ -950,7 +970,7 @@ register("set_list", "SELECT set_code, array_to_string(sku_list, ',') AS sku_lis
 register("sets_page", """
 SELECT set_code, created_at, array_to_string(sku_list, ',') AS sku_list_text FROM v_sets
 WHERE contains(lower(set_code), '_00') OR list_bool_or(list_transform(sku_list, lambda x: contains(lower(x), '_00')))
-ORDER BY created_at DESC NULLS LAST, set_code DESC NULLS LAST LIMIT 50 OFFSET 50""")
+ORDER BY created_at ASC NULLS FIRST, set_code ASC NULLS FIRST LIMIT 50 OFFSET 50""")
 _K = "TIMESTAMP '1998-06-01 00:00:00'"
 register("formulations_keyset", f"""
 SELECT {FLAT_TEXT} FROM v_flat

@@ -243,7 +243,7 @@ SELECT conversion1_how_code, context_code, process_code, process_code AS process
        {pick('(l_orderkey + l_partkey) % 13', R.FAILURE_MODES)} AS failure_mode,
        CAST(NULL AS VARCHAR) AS machine_setup_url, CAST(NULL AS VARCHAR) AS processed_data_url,
        {days('ctx_created', '1')} AS created_at, created_by, CAST(NULL AS TIMESTAMP) AS updated_at,
-       CAST(NULL AS VARCHAR) AS updated_by, TRUE AS is_active
+       CAST(NULL AS VARCHAR) AS updated_by, (l_orderkey + l_partkey) % 7 <> 0 AS is_active
 FROM _ctx""")
 
 _cte("conversion1_products", ["_ctx"], f"""
@@ -262,7 +262,7 @@ SELECT conversion1_how_code || ' ' || printf('%04d', i) AS product_code, convers
        CAST(NULL AS BIGINT) AS avg_film_thickness_um, CAST(NULL AS DOUBLE) AS sd_film_thickness,
        CAST(NULL AS DOUBLE) AS film_thickness_variation_percent,
        {days('ctx_created', '2')} AS created_at, created_by, CAST(NULL AS TIMESTAMP) AS updated_at,
-       CAST(NULL AS VARCHAR) AS updated_by, TRUE AS is_active
+       CAST(NULL AS VARCHAR) AS updated_by, (l_orderkey + l_partkey) % 5 <> 0 AS is_active
 FROM (SELECT c.*, unnest(range(0, CAST(c.l_orderkey % 3 AS BIGINT) + 1)) AS i FROM _ctx c)""")
 
 _ROLE = pick("CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 "
@@ -421,10 +421,15 @@ SELECT 'ingredient_seq' AS counter_name, 'global' AS scope, max(p_partkey) + 6 A
 UNION ALL SELECT 'weight_code', set_code, count(*) FROM _heads GROUP BY set_code""")
 
 _cte("chg_bags", ["_bags"], f"""
-SELECT pellet_bag_code, CASE WHEN l_orderkey % 2 = 0 THEN (qty - n_lines) / 2 END AS remaining_mass_kg,
+SELECT 'PB-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS pellet_bag_id,
+       pellet_bag_code, CASE WHEN l_orderkey % 2 = 0 THEN (qty - n_lines) / 2 END AS remaining_mass_kg,
        CASE WHEN l_partkey % 3 = 0 THEN 'checked ' || strftime(ship, '%y%m%d') END AS notes,
-       CAST(NULL AS VARCHAR) AS customer, {user('l_orderkey % 7')} AS actor
-FROM _bags WHERE sequence_number = 1""")
+       CAST(NULL AS VARCHAR) AS customer, 'Planned' AS qc_status, {user('l_orderkey % 7')} AS actor, ship AS submitted_at
+FROM _bags WHERE sequence_number = 1
+UNION ALL
+SELECT 'PB-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR), pellet_bag_code, NULL,
+       CASE WHEN l_partkey % 2 = 0 THEN 'second check' END, 'Acme', NULL, 'editor@example.com', {days('ship', '1')}
+FROM _bags WHERE sequence_number = 1 AND l_orderkey % 4 = 0""")
 
 _cte("chg_products", ["conversion1_products"], """
 SELECT product_code, 'FM Warehouse' AS storage_location, CAST(NULL AS VARCHAR) AS notes,
@@ -447,20 +452,27 @@ FROM _bags WHERE sequence_number = 2""")
 _cte("chg_hows", ["_loc"], f"""
 SELECT processing_code, {pick('(o_orderkey + 1) % 13', R.FAILURE_MODES)} AS failure_mode, ' ' AS machine_setup_url,
        'https://drive.google.com/r/' || CAST(o_orderkey AS VARCHAR) AS processed_data_url, 'revised' AS notes,
-       'admin@example.com' AS actor
-FROM _loc""")
+       'admin@example.com' AS actor, o_orderdate AS submitted_at
+FROM _loc
+UNION ALL
+SELECT processing_code, 'N/A', NULL, '', 'revised again', 'editor@example.com', {days('o_orderdate', '1')}
+FROM _loc WHERE o_orderkey % 3 = 0""")
 
 _cte("chg_set_meta", ["_fps"], f"""
 SELECT set_code, upper(o_orderpriority) AS notes,
-       {pick('o_custkey % 12', R.MATERIAL_WORKSTREAM_OPTIONS)} AS material_workstream, 'editor@example.com' AS actor
-FROM _fps""")
+       {pick('o_custkey % 12', R.MATERIAL_WORKSTREAM_OPTIONS)} AS material_workstream, 'editor@example.com' AS actor,
+       o_orderdate AS submitted_at
+FROM _fps
+UNION ALL
+SELECT set_code, NULL, NULL, 'second@example.com', {days('o_orderdate', '1')} FROM _fps WHERE o_custkey % 2 = 0""")
 
 _cte("doc_manifest", ["ingredients"], """
-SELECT sku, fname AS filename, CASE WHEN seq % 9 = 0 THEN 'image/png' ELSE 'application/pdf' END AS content_type,
+SELECT sku, fname AS filename, CASE seq % 9 WHEN 0 THEN 'image/png' WHEN 1 THEN 'Application/PDF'
+                                            ELSE 'application/pdf' END AS content_type,
        seq * 12345 * n AS size_bytes, seq % 2 = 0 AS confirm_replace, created_at + INTERVAL (n) HOUR AS uploaded_at,
        'msds/ingredients/' || sku || '/' || CAST(n AS VARCHAR) || '_' || replace(fname, ' ', '_') AS object_path,
        'admin@example.com' AS actor
-FROM (SELECT sku, seq, created_at, n,
+FROM (SELECT CASE WHEN seq % 17 = 0 THEN 'X' || sku ELSE sku END AS sku, seq, created_at, n,
              CASE WHEN seq % 9 = 0 THEN 'photo ' || CAST(n AS VARCHAR) || '.png'
                   ELSE 'sheet ' || CAST(n AS VARCHAR) || '.pdf' END AS fname
       FROM ingredients, (SELECT unnest([1, 2]) AS n))""")

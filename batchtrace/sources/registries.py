@@ -154,12 +154,6 @@ def partner_seeds(spark: SparkSession) -> DataFrame:
                                  "partner_code string, partner_name string, machine_specification string")
 
 
-def vocabulary(spark: SparkSession, vocab: dict[str, list[str]]) -> DataFrame:
-    """Q4 helper: long form (column, value) of allowed values."""
-    rows = [(c, v) for c, values in vocab.items() for v in values]
-    return spark.createDataFrame(rows, "column string, value string")
-
-
 def role_table(spark: SparkSession) -> DataFrame:
     """(role_group, permission) pairs, one row per granted permission (about 90 rows)."""
     rows = [(r, p) for r, perms in ROLE_GROUPS.items() for p in sorted(set(perms))]

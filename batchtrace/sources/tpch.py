@@ -348,7 +348,7 @@ class TpchDomain:
             "conversion1_how_code", "context_code", "process_code", F.col("process_code").alias("processing_code"),
             _pick((o + p) % 13, R.FAILURE_MODES).alias("failure_mode"),
             _days(F.col("ctx_created"), 1).alias("created_at"), "created_by",
-            F.lit(True).alias("is_active"))
+            ((o + p) % 7 != 0).alias("is_active"))
         return evolve(df, SCHEMAS["conversion1_how"])
 
     @cached_property
@@ -365,7 +365,7 @@ class TpchDomain:
             _pick((p + i) % 9, R.TENSILE_STATUS_OPTIONS).alias("tensile_films_status"),
             _pick((p + i) % 6, R.OTHER_STATUS_OPTIONS).alias("seal_strength_status"),
             _days(F.col("ctx_created"), 2).alias("created_at"), "created_by",
-            F.lit(True).alias("is_active"))
+            ((o + p) % 5 != 0).alias("is_active"))
         return evolve(df, SCHEMAS["conversion1_products"])
 
     @cached_property
@@ -621,11 +621,18 @@ class TpchDomain:
     def chg_bags(self) -> DataFrame:
         b = self._bags.where(F.col("sequence_number") == 1)
         o, p = F.col("l_orderkey"), F.col("l_partkey")
-        return b.select("pellet_bag_code",
-                        F.when(o % 2 == 0, (F.col("qty") - F.col("n_lines")) / 2).alias("remaining_mass_kg"),
-                        F.when(p % 3 == 0, F.concat(F.lit("checked "), TX.to_yymmdd(F.col("ship")))).alias("notes"),
-                        F.lit(None).cast("string").alias("customer"),
-                        _user(o % 7).alias("actor"))
+        bag = F.concat(F.lit("PB-"), o.cast("string"), F.lit("-"), p.cast("string"))
+        first = b.select(bag.alias("pellet_bag_id"), "pellet_bag_code",
+                         F.when(o % 2 == 0, (F.col("qty") - F.col("n_lines")) / 2).alias("remaining_mass_kg"),
+                         F.when(p % 3 == 0, F.concat(F.lit("checked "), TX.to_yymmdd(F.col("ship")))).alias("notes"),
+                         F.lit(None).cast("string").alias("customer"), F.lit("Planned").alias("qc_status"),
+                         _user(o % 7).alias("actor"), F.col("ship").alias("submitted_at"))
+        again = b.where(o % 4 == 0).select(
+            bag.alias("pellet_bag_id"), "pellet_bag_code", F.lit(None).cast("double").alias("remaining_mass_kg"),
+            F.when(p % 2 == 0, F.lit("second check")).alias("notes"), F.lit("Acme").alias("customer"),
+            F.lit(None).cast("string").alias("qc_status"), F.lit("editor@example.com").alias("actor"),
+            _days(F.col("ship"), 1).alias("submitted_at"))
+        return first.unionByName(again)
 
     @cached_property
     def chg_products(self) -> DataFrame:
@@ -656,17 +663,27 @@ class TpchDomain:
     def chg_hows(self) -> DataFrame:
         h = self._locations
         k = F.col("o_orderkey")
-        return h.select("processing_code", _pick((k + 1) % 13, R.FAILURE_MODES).alias("failure_mode"),
-                        F.lit(" ").alias("machine_setup_url"),
-                        F.concat(F.lit("https://drive.google.com/r/"), k.cast("string")).alias("processed_data_url"),
-                        F.lit("revised").alias("notes"), F.lit("admin@example.com").alias("actor"))
+        first = h.select("processing_code", _pick((k + 1) % 13, R.FAILURE_MODES).alias("failure_mode"),
+                         F.lit(" ").alias("machine_setup_url"),
+                         F.concat(F.lit("https://drive.google.com/r/"), k.cast("string")).alias("processed_data_url"),
+                         F.lit("revised").alias("notes"), F.lit("admin@example.com").alias("actor"),
+                         F.col("o_orderdate").alias("submitted_at"))
+        again = h.where(k % 3 == 0).select(
+            "processing_code", F.lit("N/A").alias("failure_mode"), F.lit(None).cast("string").alias("machine_setup_url"),
+            F.lit("").alias("processed_data_url"), F.lit("revised again").alias("notes"),
+            F.lit("editor@example.com").alias("actor"), _days(F.col("o_orderdate"), 1).alias("submitted_at"))
+        return first.unionByName(again)
 
     @cached_property
     def chg_set_meta(self) -> DataFrame:
         s = self._first_per_set
-        return s.select("set_code", F.upper(F.col("o_orderpriority")).alias("notes"),
-                        _pick(F.col("o_custkey") % 12, R.MATERIAL_WORKSTREAM_OPTIONS).alias("material_workstream"),
-                        F.lit("editor@example.com").alias("actor"))
+        first = s.select("set_code", F.upper(F.col("o_orderpriority")).alias("notes"),
+                         _pick(F.col("o_custkey") % 12, R.MATERIAL_WORKSTREAM_OPTIONS).alias("material_workstream"),
+                         F.lit("editor@example.com").alias("actor"), F.col("o_orderdate").alias("submitted_at"))
+        again = s.where(F.col("o_custkey") % 2 == 0).select(
+            "set_code", F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("material_workstream"),
+            F.lit("second@example.com").alias("actor"), _days(F.col("o_orderdate"), 1).alias("submitted_at"))
+        return first.unionByName(again)
 
     @cached_property
     def doc_manifest(self) -> DataFrame:
@@ -676,8 +693,10 @@ class TpchDomain:
         k = F.col("seq")
         fname = F.when(k % 9 == 0, F.concat(F.lit("photo "), F.col("n").cast("string"), F.lit(".png"))) \
                  .otherwise(F.concat(F.lit("sheet "), F.col("n").cast("string"), F.lit(".pdf")))
+        n = n.withColumn("sku", F.when(k % 17 == 0, F.concat(F.lit("X"), F.col("sku"))).otherwise(F.col("sku")))
         return n.select("sku", fname.alias("filename"),
-                        F.when(k % 9 == 0, "image/png").otherwise("application/pdf").alias("content_type"),
+                        F.when(k % 9 == 0, "image/png").when(k % 9 == 1, "Application/PDF").otherwise("application/pdf")
+                        .alias("content_type"),
                         (k * 12345 * F.col("n")).alias("size_bytes"),
                         (k % 2 == 0).alias("confirm_replace"),
                         F.timestamp_add("HOUR", F.col("n"), F.col("created_at")).alias("uploaded_at"),
@@ -740,11 +759,12 @@ class StoredDomain:
 
 
 def _code_version() -> str:
+    """Fingerprint of every module the projection is built with."""
     import hashlib
     import inspect
     from batchtrace.sources import schemas as _s
-    src = inspect.getsource(inspect.getmodule(TpchDomain)) + inspect.getsource(_s)
-    return hashlib.sha1(src.encode()).hexdigest()[:12]
+    modules = [inspect.getmodule(TpchDomain), _s, C, H, TX, R]
+    return hashlib.sha1("".join(map(inspect.getsource, modules)).encode()).hexdigest()[:12]
 
 
 def _source_version(spark: SparkSession, sf_dir: str) -> str:
@@ -766,7 +786,7 @@ def domain(spark: SparkSession, sf_dir: str) -> StoredDomain:
     version in the shared checkpoint folder."""
     from batchtrace.session import checkpoint_dir
     sf_dir = sf_dir.rstrip("/")
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         name = sf_dir.strip("/").replace("/", "_")
         root = f"{checkpoint_dir(spark).rstrip('/')}/domain/{_code_version()}/{name}-{_source_version(spark, sf_dir)}"

@@ -57,17 +57,3 @@ def test_hot_scope_numbering_and_first_per_key(spark):
     assert hot.agg(F.min("_seq0"), F.max("_seq0"), F.countDistinct("_seq0")).first() == (0, 2999, 3000)
     first = O.first_per_key(df, ["scope"], [("o", False), ("rid", False)]).where("scope = 'hot'").first()
     assert (first.o, first.rid) == (0, 0)
-
-
-def test_bounded_broadcast_checks_size(spark):
-    old = _settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"})
-    try:
-        big = spark.range(0, 5000).select(F.col("id").alias("k"))
-        small = spark.range(0, 10).select(F.col("id").alias("k"), F.lit("x").alias("v"))
-        hinted = big.join(J.bounded_broadcast(small, limit=100), "k")
-        assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
-        too_big = big.join(J.bounded_broadcast(small, limit=5), "k")  # over the bound: shuffle join
-        assert "BroadcastHashJoin" not in too_big._jdf.queryExecution().executedPlan().toString()
-        assert hinted.count() == too_big.count() == 10
-    finally:
-        _restore(spark, old)
