@@ -6,10 +6,19 @@ installed on every node); it is never copied into this repository.
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
 
 #: Distinct chunks cached per Python worker.
-CACHE = 500_000
+CACHE = 1_000_000
+
+
+def _byte_level() -> dict[int, int]:
+    """Byte-level form: printable Latin-1 bytes stand for themselves, the others for U+0100 and on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+BYTE_LEVEL = _byte_level()
 
 
 class WordTokens(dict):
@@ -27,16 +36,23 @@ class WordTokens(dict):
         import public_tokenizers
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
+        self.pieces = self.tokenizer.model.tokenize
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(chunk) > 1 and chunk[-1:] in b".," and chunk[-2:-1].isalnum():
             ids = self[chunk[:-1]] + self[chunk[-1:]]
         else:
-            ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self._ids(chunk.decode())).tobytes()
         if len(self) < CACHE:
             self[chunk] = ids
         return ids
 
+    def _ids(self, chunk: str) -> list[int]:
+        # letters below U+0180 are one piece and unchanged by normalising, so the merges alone are run
+        if chunk.isalpha() and max(chunk) < "\u0180" and (low := chunk.lower()).isalpha():
+            return [t.id for t in self.pieces(low.encode().decode("latin-1").translate(BYTE_LEVEL))]
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
     def encode(self, text: str | None) -> bytes:
         raw = (text or "").encode()
         # special tokens are matched before lower-casing, so a text that may hold one keeps its case
