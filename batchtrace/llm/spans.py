@@ -38,7 +38,7 @@ def dedup_spans(docs: DataFrame, carry: list[str] | None = None, run: int = RUN,
     counted = " + ".join(f"_w[i + {k}]" for k in range(run))
     rows = rows.withColumn("_runs", F.expr(f"""case when size(_h) < {run} then cast(array() as array<bigint>)
         else transform(sequence(0, size(_h) - {run}), i -> case when {counted} >= {min_words} then xxhash64({hashed}) end) end"""))
-    rows = store(rows.select("_row", "_rank", "_rid", "text", "_p", "_runs"), "span-rows")
+    rows = store(rows.select("_row", "_rank", "_rid", "text", F.size("_p").alias("_np"), "_runs"), "span-rows")
 
     # places where a row repeats itself; most rows have no such run, and then nothing is searched
     found = rows.withColumn("_again", F.expr("size(array_distinct(array_compact(_runs))) < size(array_compact(_runs))")).select(
@@ -49,9 +49,12 @@ def dedup_spans(docs: DataFrame, carry: list[str] | None = None, run: int = RUN,
                                          F.min_by("_rid", "_rank").alias("rid")).where("n > 1"), "span-first")
     gone = (found.join(first, "h").where("again or _rank > rank or _rid <> rid")
             .groupBy("_rid").agg(F.collect_list("pos").alias("_at")))
-    covered = f"array_distinct(flatten(transform(coalesce(_at, cast(array() as array<int>)), p -> sequence(p, p + {run - 1}))))"
+    covered = f"flatten(transform(_at, p -> sequence(p, p + {run - 1})))"
     out = rows.join(gone, "_rid", "left").withColumn("_kept", F.expr(
-        f"case when size(_p) = 0 then cast(array() as array<int>) else array_except(sequence(0, size(_p) - 1), {covered}) end"))
-    text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_p", i)), ""))
-    return out.select("_row.*", text.alias("text"), F.size("_p").cast("long").alias("n_sentences"),
-                      (F.size("_p") - F.size("_kept")).cast("long").alias("n_removed"))
+        f"case when _at is not null then array_except(sequence(0, _np - 1), {covered}) end"))
+    # sentences are found again, in the changed texts only: storing them would store the text twice
+    out = out.withColumn("_p", F.when(F.col("_at").isNotNull(), F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))))
+    text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform("_kept", lambda i: F.get("_p", i)), ""))
+    return out.select("_row.*", text.alias("text"), F.col("_np").cast("long").alias("n_sentences"),
+                      F.coalesce(F.col("_np") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"))
