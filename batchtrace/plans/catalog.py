@@ -565,11 +565,11 @@ def set_document(spark, sf_dir):
 
 @query
 def cascade_delete(spark, sf_dir):
-    """Delete requests for every set code in use or in the customer code range;
-    sets with dependants are blocked with their counts."""
+    """A delete request for the set of every second order; sets with dependants are
+    blocked with their counts."""
     t = domain(spark, sf_dir)
-    codes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        C.int_to_code(F.col("c_custkey") % 676).alias("set_code")).distinct()
+    codes = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 2 = 0").select(
+        F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("set_code"))
     deps = A.dependency_counts(t.dry_weight_variants, t.batch_variants, t.location_codes)
     sets, _, blocked = CH.delete_sets(t.ingredient_sets, t.ingredient_set_items, codes, deps)
     kept = sets.select("set_code", F.lit("kept").alias("outcome"), F.lit(None).cast("string").alias("reason"))
@@ -618,11 +618,12 @@ def quality_enums(spark, sf_dir):
 
 @query
 def quality_membership(spark, sf_dir):
-    """Q5: batch variants whose SKUs are not all in their set."""
+    """Q5: batch variants whose SKUs are not all active SKUs of their set."""
     t = domain(spark, sf_dir)
     bv = V.variants(t).select(F.concat_ws(" ", "set_code", "weight_code", "batch_variant_code").alias("base_code"),
                               "set_code", F.transform("items", lambda x: x["sku"]).alias("skus"))
-    return Q.check_membership(bv, "skus", t.ingredient_set_items.select("set_code", "sku"), "sku",
+    usable = t.ingredient_set_items.join(t.ingredients.where("is_active").select("sku"), "sku", "left_semi")
+    return Q.check_membership(bv, "skus", usable.select("set_code", "sku"), "sku",
                               "SKUs outside set: ", scope=["set_code"], key="base_code")
 
 

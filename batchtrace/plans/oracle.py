@@ -850,7 +850,7 @@ _DEPS = """SELECT set_code, count(*) AS n, 'dry_weight_variants' AS source FROM
 UNION ALL SELECT set_code, count(*), 'batch_variants' FROM batch_variants GROUP BY set_code
 UNION ALL SELECT set_code, count(*), 'location_codes' FROM location_codes GROUP BY set_code"""
 register("cascade_delete", f"""
-WITH req AS (SELECT DISTINCT {_code('c_custkey % 676')} AS set_code FROM customer),
+WITH req AS (SELECT 'S' || CAST(o_orderkey AS VARCHAR) AS set_code FROM orders WHERE o_orderkey % 2 = 0),
 deps AS ({_DEPS}),
 blocked AS (SELECT set_code, string_agg(source || '=' || CAST(n AS VARCHAR), ', '
                                         ORDER BY source || '=' || CAST(n AS VARCHAR)) AS reason
@@ -892,7 +892,7 @@ register("quality_membership", f"""
 WITH bv AS (SELECT set_code || ' ' || weight_code || ' ' || batch_variant_code AS request_id, set_code,
                    list_transform(items, lambda x: x.sku) AS skus FROM v_batches)
 SELECT request_id AS base_code, rule, message FROM (
-  {_membership('bv', 'skus', 'SELECT set_code, sku AS val FROM ingredient_set_items', 'SKUs outside set: ', ['set_code'])})""")
+  {_membership('bv', 'skus', 'SELECT set_code, sku AS val FROM ingredient_set_items WHERE sku IN (SELECT sku FROM ingredients WHERE is_active)', 'SKUs outside set: ', ['set_code'])})""")
 register("quality_bounds", """
 SELECT pellet_bag_id, rule, message FROM pellet_bags,
 LATERAL (SELECT * FROM (VALUES

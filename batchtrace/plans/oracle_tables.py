@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from batchtrace.sources import registries as R
-from batchtrace.sources.tpch import BAG_STATUS_MIX, SET_MODULUS, T0
+from batchtrace.sources.tpch import BAG_STATUS_MIX, T0
 
 
 def code(e: str) -> str:
@@ -92,46 +92,38 @@ JOIN ingredients i ON i.seq = g.l_partkey""")
 
 _cte("_heads", [], f"""
 SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_orderstatus, o.o_orderpriority, c.c_nationkey,
-       {code(f'o.o_custkey % {SET_MODULUS}')} AS set_code,
+       'S' || CAST(o.o_orderkey AS VARCHAR) AS set_code,
        {code('o.o_orderkey % 676')} AS weight_code,
        {code('(o.o_orderkey // 676) % 676')} AS batch_variant_code,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE {user('o.o_custkey % 50')} END AS created_by
 FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
 WHERE o.o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 
-_cte("_fps", ["_heads"], """
-SELECT h.* FROM _heads h
-WHERE h.o_orderkey IN (SELECT min(o_orderkey) FROM _heads GROUP BY set_code)""")
-
-_cte("_fpw", ["_heads"], """
-SELECT h.* FROM _heads h
-WHERE h.o_orderkey IN (SELECT min(o_orderkey) FROM _heads GROUP BY set_code, weight_code)""")
-
-_cte("ingredient_set_items", ["_rl", "_fps"], """
+_cte("ingredient_set_items", ["_rl", "_heads"], """
 SELECT h.set_code, r.sku, h.o_orderdate AS created_at, h.created_by
-FROM _rl r JOIN _fps h ON h.o_orderkey = r.l_orderkey""")
+FROM _rl r JOIN _heads h ON h.o_orderkey = r.l_orderkey""")
 
-_cte("ingredient_sets", ["_rl", "_fps"], f"""
+_cte("ingredient_sets", ["_rl", "_heads"], f"""
 SELECT h.set_code, s.set_hash, h.o_orderdate AS created_at, h.created_by,
        CASE WHEN h.o_orderkey % 4 <> 0 THEN h.o_orderpriority END AS notes,
        {pick('h.o_custkey % 13', R.MATERIAL_WORKSTREAM_OPTIONS)} AS material_workstream
-FROM _fps h JOIN (
+FROM _heads h JOIN (
   SELECT r.l_orderkey, sha256(string_agg(r.sku, '|' ORDER BY r.sku)) AS set_hash
   FROM _rl r GROUP BY r.l_orderkey) s ON s.l_orderkey = h.o_orderkey""")
 
-_cte("_wl", ["_rl", "_fpw"], """
+_cte("_wl", ["_rl", "_heads"], """
 SELECT x.*, CAST(printf('%d.%02d', x.centi // 100, x.centi % 100) AS DECIMAL(38,9)) AS wt_percent
 FROM (SELECT r.*, h.set_code, h.weight_code, h.o_orderdate, h.created_by,
              CAST(floor(r.qty * 10000 / sum(r.qty) OVER (PARTITION BY r.l_orderkey) + 0.5) AS BIGINT) AS centi
-      FROM _rl r JOIN _fpw h ON h.o_orderkey = r.l_orderkey) x""")
+      FROM _rl r JOIN _heads h ON h.o_orderkey = r.l_orderkey) x""")
 
 _cte("dry_weight_items", ["_wl"], """
 SELECT set_code, weight_code, sku, wt_percent, o_orderdate AS created_at, created_by FROM _wl""")
 
-_cte("dry_weight_variants", ["_wl", "_fpw"], """
+_cte("dry_weight_variants", ["_wl", "_heads"], """
 SELECT h.set_code, h.weight_code, w.weight_hash, h.o_orderdate AS created_at, h.created_by,
        h.o_orderpriority AS notes
-FROM _fpw h JOIN (
+FROM _heads h JOIN (
   SELECT set_code, weight_code,
          sha256(string_agg(sku || '=' || CAST(CAST(wt_percent AS DECIMAL(38,2)) AS VARCHAR), '|' ORDER BY sku))
            AS weight_hash
@@ -285,7 +277,7 @@ FROM conversion1_products""")
 
 _cte("code_counters", ["ingredient_sets", "dry_weight_variants", "batch_variants", "location_partners",
                        "pellet_bags", "ingredients"], f"""
-SELECT 'set_code' AS counter_name, '' AS scope, max({code_to_int('set_code')}) + 1 AS next_value,
+SELECT 'set_code' AS counter_name, '' AS scope, coalesce(max({code_to_int('set_code')}), 0) + 1 AS next_value,
        {T0_SQL} AS updated_at FROM ingredient_sets
 UNION ALL
 SELECT 'weight_code', set_code, max({code_to_int('weight_code')}) + 1, {T0_SQL}
@@ -308,22 +300,31 @@ SELECT r.*, h.set_code, h.weight_code, h.batch_variant_code, h.o_orderdate, h.cr
 FROM _rl r JOIN _heads h ON h.o_orderkey = r.l_orderkey""")
 
 _cte("req_sets", ["_ol"], f"""
-SELECT l_orderkey AS request_id, {days('o_orderdate', '30')} AS submitted_at, list(sku ORDER BY l_partkey) AS skus,
+SELECT l_orderkey AS request_id, {days('o_orderdate', '30')} AS submitted_at, CASE l_orderkey % 50 WHEN 0 THEN [first(sku ORDER BY l_partkey)] WHEN 1 THEN ['0_0000_0', first(sku ORDER BY l_partkey)]
+            ELSE list(sku ORDER BY l_partkey) END AS skus,
        CASE WHEN l_orderkey % 3 = 0 THEN o_orderpriority END AS notes,
        CAST(NULL AS VARCHAR) AS material_workstream, created_by AS actor
 FROM _ol GROUP BY l_orderkey, o_orderdate, o_orderpriority, created_by""")
 
 _cte("req_weights", ["_ol"], f"""
-SELECT l_orderkey AS request_id, {days('o_orderdate', '31')} AS submitted_at, set_code,
-       list({{'sku': sku, 'wt_percent': pct}} ORDER BY l_partkey) AS items,
+SELECT l_orderkey AS request_id, {days('o_orderdate', '31')} AS submitted_at,
+       CASE WHEN l_orderkey % 11 = 0 THEN 'ZZ' ELSE set_code END AS set_code,
+       list({{'sku': CASE WHEN l_orderkey % 7 = 0 AND i = 1 THEN '0_0000_0' ELSE sku END,
+              'wt_percent': CASE WHEN l_orderkey % 3 = 0 THEN mirrored ELSE pct END}} ORDER BY i) AS items,
        CAST(NULL AS VARCHAR) AS notes, created_by AS actor
-FROM _ol GROUP BY l_orderkey, o_orderdate, set_code, created_by""")
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS i,
+             list(pct) OVER (PARTITION BY l_orderkey ORDER BY l_partkey DESC
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)[
+                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey)] AS mirrored FROM _ol)
+GROUP BY l_orderkey, o_orderdate, set_code, created_by""")
 
 _cte("req_variants", ["_ol"], f"""
-SELECT o.l_orderkey AS request_id, {days('o.o_orderdate', '32')} AS submitted_at, o.set_code, o.weight_code,
-       list({{'sku': o.sku, 'ingredient_batch_code': 'B' || CAST(m.maxsupp AS VARCHAR)}} ORDER BY o.l_partkey) AS items,
+SELECT o.l_orderkey AS request_id, {days('o.o_orderdate', '32')} AS submitted_at, o.set_code,
+       CASE WHEN o.l_orderkey % 9 = 0 THEN 'ZZ' ELSE o.weight_code END AS weight_code,
+       list({{'sku': o.sku, 'ingredient_batch_code': CASE WHEN o.l_orderkey % 5 = 0 AND o.i = 1 THEN 'B0'
+                                                        ELSE 'B' || CAST(m.maxsupp AS VARCHAR) END}} ORDER BY o.l_partkey) AS items,
        o.created_by AS actor
-FROM _ol o JOIN (SELECT l_orderkey, l_partkey, max(l_suppkey) AS maxsupp FROM lineitem GROUP BY l_orderkey, l_partkey) m
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS i FROM _ol) o JOIN (SELECT l_orderkey, l_partkey, max(l_suppkey) AS maxsupp FROM lineitem GROUP BY l_orderkey, l_partkey) m
   ON m.l_orderkey = o.l_orderkey AND m.l_partkey = o.l_partkey
 GROUP BY o.l_orderkey, o.o_orderdate, o.set_code, o.weight_code, o.created_by""")
 
@@ -418,7 +419,7 @@ FROM events""")
 
 _cte("chg_floors", ["_heads"], """
 SELECT 'ingredient_seq' AS counter_name, 'global' AS scope, max(p_partkey) + 6 AS next_value FROM part
-UNION ALL SELECT 'weight_code', set_code, count(*) FROM _heads GROUP BY set_code""")
+UNION ALL SELECT 'weight_code', set_code, o_orderkey * 7 % 676 FROM _heads""")
 
 _cte("chg_bags", ["_bags"], f"""
 SELECT 'PB-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS pellet_bag_id,
@@ -458,13 +459,13 @@ UNION ALL
 SELECT processing_code, 'N/A', NULL, '', 'revised again', 'editor@example.com', {days('o_orderdate', '1')}
 FROM _loc WHERE o_orderkey % 3 = 0""")
 
-_cte("chg_set_meta", ["_fps"], f"""
+_cte("chg_set_meta", ["_heads"], f"""
 SELECT set_code, upper(o_orderpriority) AS notes,
        {pick('o_custkey % 12', R.MATERIAL_WORKSTREAM_OPTIONS)} AS material_workstream, 'editor@example.com' AS actor,
        o_orderdate AS submitted_at
-FROM _fps
+FROM _heads
 UNION ALL
-SELECT set_code, NULL, NULL, 'second@example.com', {days('o_orderdate', '1')} FROM _fps WHERE o_custkey % 2 = 0""")
+SELECT set_code, NULL, NULL, 'second@example.com', {days('o_orderdate', '1')} FROM _heads WHERE o_custkey % 2 = 0""")
 
 _cte("doc_manifest", ["ingredients"], """
 SELECT sku, fname AS filename, CASE seq % 9 WHEN 0 THEN 'image/png' WHEN 1 THEN 'Application/PDF'

@@ -10,10 +10,9 @@ Rules (all keys are the TPC-H keys):
   ingredients        one per part; category = size % 10, seq = partkey, pack = size
   ingredient_batches one per (partkey, suppkey) in lineitem; code 'B<suppkey>'
   recipe lines       lineitem grouped by (orderkey, partkey): one SKU per line group
-  formulation        one per order with lines: set = code(custkey % 500),
-                     weight = code(orderkey % 676), variant = code(orderkey div 676 % 676)
-  sets / weights     the first order (lowest key) of each set / (set, weight) defines
-                     the set items / the dry weights
+  formulation        one per order with lines: set = 'S<orderkey>', so sets are never shared or
+                     wrapped; weight and variant are two-letter codes inside the set
+  sets / weights     every order's lines are its set items and its dry weights
   location, how      one per order; bags one per recipe line; conversion chain for PF bags
   partners           one per nation, code(nationkey + 10) (overlaps the defaults)
   user_roles         one per customer, role by market segment
@@ -35,7 +34,6 @@ from batchtrace.functions import codes as C, hashing as H, text as TX
 from batchtrace.sources import registries as R
 from batchtrace.sources.schemas import SCHEMAS, clustered, evolve, read_table
 
-SET_MODULUS = 500
 BAG_SCOPE = "pellet_bag:global"
 T0 = "2024-01-01 00:00:00"
 
@@ -91,7 +89,7 @@ class TpchDomain:
         c = self.src("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
         return o.join(c, "o_custkey").select(
             "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "c_nationkey",
-            C.int_to_code(F.col("o_custkey") % SET_MODULUS).alias("set_code"),
+            F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("set_code"),
             C.int_to_code(F.col("o_orderkey") % 676).alias("weight_code"),
             C.int_to_code(F.floor(F.col("o_orderkey") / 676) % 676).alias("batch_variant_code"),
             F.when(F.col("o_orderkey") % 11 == 0, F.lit(None).cast("string"))
@@ -100,16 +98,6 @@ class TpchDomain:
     def _lines_of(self, heads: DataFrame) -> DataFrame:
         return self.recipe_lines.join(heads.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
 
-    @cached_property
-    def _first_per_set(self) -> DataFrame:
-        firsts = self.order_heads.groupBy("set_code").agg(F.min("o_orderkey").alias("o_orderkey"))
-        return self.order_heads.join(firsts, ["set_code", "o_orderkey"], "left_semi")
-
-    @cached_property
-    def _first_per_weight(self) -> DataFrame:
-        firsts = self.order_heads.groupBy("set_code", "weight_code").agg(F.min("o_orderkey").alias("o_orderkey"))
-        return self.order_heads.join(firsts, ["set_code", "weight_code", "o_orderkey"], "left_semi")
-
     # ---- base tables ---------------------------------------------------------------
     @cached_property
     def ingredients(self) -> DataFrame:
@@ -157,14 +145,14 @@ class TpchDomain:
 
     @cached_property
     def ingredient_set_items(self) -> DataFrame:
-        df = self._lines_of(self._first_per_set).select(
+        df = self._lines_of(self.order_heads).select(
             "set_code", "sku", F.col("o_orderdate").alias("created_at"), "created_by")
         return evolve(df, SCHEMAS["ingredient_set_items"])
 
     @cached_property
     def ingredient_sets(self) -> DataFrame:
-        skus = self._lines_of(self._first_per_set).groupBy("set_code").agg(F.collect_list("sku").alias("skus"))
-        df = self._first_per_set.join(skus, "set_code").select(
+        skus = self._lines_of(self.order_heads).groupBy("set_code").agg(F.collect_list("sku").alias("skus"))
+        df = self.order_heads.join(skus, "set_code").select(
             "set_code", H.hash_set("skus").alias("set_hash"), F.col("o_orderdate").alias("created_at"),
             "created_by",
             F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("notes"),
@@ -173,7 +161,7 @@ class TpchDomain:
 
     @cached_property
     def _weight_lines(self) -> DataFrame:
-        lines = self._lines_of(self._first_per_weight)
+        lines = self._lines_of(self.order_heads)
         tot = F.sum("qty").over(Window.partitionBy("l_orderkey"))
         centi = F.floor(F.col("qty") * 10000 / tot + 0.5).cast("long")
         return lines.withColumn("centi", centi).withColumn(
@@ -190,7 +178,7 @@ class TpchDomain:
     def dry_weight_variants(self) -> DataFrame:
         items = self._weight_lines.groupBy("set_code", "weight_code").agg(
             F.collect_list(F.struct("sku", "wt_percent")).alias("items"))
-        df = self._first_per_weight.join(items, ["set_code", "weight_code"]).select(
+        df = self.order_heads.join(items, ["set_code", "weight_code"]).select(
             "set_code", "weight_code", H.hash_weights("items").alias("weight_hash"),
             F.col("o_orderdate").alias("created_at"), "created_by", F.col("o_orderpriority").alias("notes"))
         return evolve(df, SCHEMAS["dry_weight_variants"])
@@ -391,7 +379,8 @@ class TpchDomain:
         """Counter state consistent with the projected tables: next = highest used + 1."""
         ts = F.lit(T0).cast("timestamp_ntz")
         sets = self.ingredient_sets.agg(F.max(C.code_to_int("set_code")).alias("m")).select(
-            F.lit("set_code").alias("counter_name"), F.lit("").alias("scope"), (F.col("m") + 1).alias("next_value"))
+            F.lit("set_code").alias("counter_name"), F.lit("").alias("scope"),
+            (F.coalesce("m", F.lit(0)) + 1).alias("next_value"))
         weights = self.dry_weight_variants.groupBy("set_code").agg(F.max(C.code_to_int("weight_code")).alias("m")) \
             .select(F.lit("weight_code").alias("counter_name"), F.col("set_code").alias("scope"),
                     (F.col("m") + 1).alias("next_value"))
@@ -443,7 +432,9 @@ class TpchDomain:
     def req_sets(self) -> DataFrame:
         g = self._per_order("sku")
         return g.select(F.col("l_orderkey").alias("request_id"), _days(F.col("o_orderdate"), 30).alias("submitted_at"),
-                        F.transform("_items", lambda x: x["sku"]).alias("skus"),
+                        F.when(F.col("l_orderkey") % 50 == 0, F.array(F.col("_items")[0]["sku"]))
+                        .when(F.col("l_orderkey") % 50 == 1, F.array(F.lit("0_0000_0"), F.col("_items")[0]["sku"]))
+                        .otherwise(F.transform("_items", lambda x: x["sku"])).alias("skus"),
                         F.when(F.col("l_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("notes"),
                         F.lit(None).cast("string").alias("material_workstream"),
                         F.col("created_by").alias("actor"))
@@ -452,9 +443,11 @@ class TpchDomain:
     def req_weights(self) -> DataFrame:
         g = self._per_order("sku", "pct")
         return g.select(F.col("l_orderkey").alias("request_id"), _days(F.col("o_orderdate"), 31).alias("submitted_at"),
-                        "set_code",
-                        F.transform("_items", lambda x: F.struct(x["sku"].alias("sku"),
-                                                                 x["pct"].alias("wt_percent"))).alias("items"),
+                        F.when(F.col("l_orderkey") % 11 == 0, "ZZ").otherwise(F.col("set_code")).alias("set_code"),
+                        F.transform("_items", lambda x, i: F.struct(
+                            F.when((F.col("l_orderkey") % 7 == 0) & (i == 0), "0_0000_0").otherwise(x["sku"]).alias("sku"),
+                            F.when(F.col("l_orderkey") % 3 == 0, F.get("_items", F.size("_items") - 1 - i)["pct"])
+                            .otherwise(x["pct"]).alias("wt_percent"))).alias("items"),
                         F.lit(None).cast("string").alias("notes"), F.col("created_by").alias("actor"))
 
     @cached_property
@@ -465,9 +458,12 @@ class TpchDomain:
             "l_partkey", "sku", F.concat(F.lit("B"), F.col("maxsupp").cast("string")).alias("b")))).alias("_items"))
         g = g.join(self.order_heads.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
         return g.select(F.col("l_orderkey").alias("request_id"), _days(F.col("o_orderdate"), 32).alias("submitted_at"),
-                        "set_code", "weight_code",
-                        F.transform("_items", lambda x: F.struct(x["sku"].alias("sku"),
-                                                                 x["b"].alias("ingredient_batch_code"))).alias("items"),
+                        "set_code",
+                        F.when(F.col("l_orderkey") % 9 == 0, "ZZ").otherwise(F.col("weight_code")).alias("weight_code"),
+                        F.transform("_items", lambda x, i: F.struct(
+                            x["sku"].alias("sku"),
+                            F.when((F.col("l_orderkey") % 5 == 0) & (i == 0), "B0").otherwise(x["b"])
+                            .alias("ingredient_batch_code"))).alias("items"),
                         F.col("created_by").alias("actor"))
 
     @cached_property
@@ -613,8 +609,9 @@ class TpchDomain:
     def chg_floors(self) -> DataFrame:
         seq = self.src("part").agg((F.max("p_partkey") + 6).alias("next_value")).select(
             F.lit("ingredient_seq").alias("counter_name"), F.lit("global").alias("scope"), "next_value")
-        per_set = self.order_heads.groupBy("set_code").agg(F.count(F.lit(1)).alias("next_value")).select(
-            F.lit("weight_code").alias("counter_name"), F.col("set_code").alias("scope"), "next_value")
+        per_set = self.order_heads.select(
+            F.lit("weight_code").alias("counter_name"), F.col("set_code").alias("scope"),
+            (F.col("o_orderkey") * 7 % 676).cast("long").alias("next_value"))
         return seq.unionByName(per_set)
 
     @cached_property
@@ -676,7 +673,7 @@ class TpchDomain:
 
     @cached_property
     def chg_set_meta(self) -> DataFrame:
-        s = self._first_per_set
+        s = self.order_heads
         first = s.select("set_code", F.upper(F.col("o_orderpriority")).alias("notes"),
                          _pick(F.col("o_custkey") % 12, R.MATERIAL_WORKSTREAM_OPTIONS).alias("material_workstream"),
                          F.lit("editor@example.com").alias("actor"), F.col("o_orderdate").alias("submitted_at"))
