@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from batchtrace.llm.shared import store, words
 
 #: Hashed word features, labelled rows the classifier is fitted on (about), rounds of the fit.
-FEATURES, MAX_LABELLED, MAX_ROUNDS, TOLERANCE = 1 << 14, 20_000, 200, 1e-4
+FEATURES, MAX_LABELLED, MAX_ROUNDS, TOLERANCE = 1 << 14, 20_000, 40, 1e-4
 
 
 def _features(text: Column) -> Column:
@@ -65,41 +65,55 @@ def posteriors(features: Column, prior: list[float], weights: np.ndarray) -> Col
 
 def rate(p: Column, steps: list[list[float]]) -> Column:
     """A document's rate after these gradient steps, from 1 and never below 0."""
-    if not steps:
-        return F.lit(1.0)
-    folded = F.from_json(F.lit(repr(steps)), "array<array<double>>")
-    dot = lambda g: F.aggregate(F.zip_with(g, p, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(folded, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+    out = F.lit(1.0)
+    for step in steps:
+        down = F.lit(0.0)
+        for d, x in enumerate(step):
+            down = down + p[d] * F.lit(x)
+        out = F.greatest(F.lit(0.0), out - down)
+    return out
 
 
 def fit_rates(rows: DataFrame, targets: list[float], max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """Gradient steps of the least squares fit of sum(rate * n_tokens * p) to ``targets`` shares.
+    """Projected-gradient steps of the least squares fit of sum(rate * n_tokens * p) to ``targets`` shares.
 
     Minimises the squared residuals relative to each domain's own tokens, in the metric that weighs
-    a document by its tokens. The targets' scale is that at which the first domain keeps its tokens
-    (if it has none, the largest at which no domain has to grow).
-    Only a few numbers a round reach the driver."""
+    a document by its tokens. Each round scales the gradient by the inverse of the domains' Gram
+    matrix over the documents whose rate is above 0, and halves the step if the fit got worse, so
+    a few rounds do. The targets' scale is that at which the first domain keeps its tokens (if it
+    has none, the largest at which no domain has to grow). Only a few sums a round reach the driver."""
     d = len(targets)
     p = [F.col("p")[i] for i in range(d)]
-    gram = rows.agg(*[F.sum(F.col("n_tokens") * a).alias(f"s{i}") for i, a in enumerate(p)],
-                    *[F.sum(F.col("n_tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(d)]).first()
-    start = np.array([gram[f"s{i}"] or 0.0 for i in range(d)])
-    live = [i for i in range(d) if start[i] > 0 and targets[i] > 0]
+
+    def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected domain tokens under the steps, and the Gram matrix of the rows with a rate."""
+        rated = rows.select("n_tokens", "p", rate(F.col("p"), steps).alias("r"))
+        w = F.when(F.col("r") > 0, F.col("n_tokens")).otherwise(0)
+        got = rated.agg(*[F.sum(F.col("n_tokens") * F.col("r") * a) for a in p],
+                        *[F.sum(w * p[i] * p[j]) for i in range(d) for j in range(d)]).first()
+        got = [x or 0.0 for x in got]
+        return np.array(got[:d]), np.array(got[d:]).reshape(d, d)
+
+    total, gram = sums([])
+    live = [i for i in range(d) if total[i] > 0 and targets[i] > 0]
     if not live:
         return []
-    goal = np.array(targets) * (start[0] / targets[0] if live[0] == 0 else min(start[i] / targets[i] for i in live))
-    unit = np.where(start > 0, start, 1.0)
-    h = np.array([[gram[f"g{i}_{j}"] or 0.0 for j in range(d)] for i in range(d)]) / np.sqrt(np.outer(unit, unit))
-    step = 1 / np.linalg.eigvalsh(h)[-1]
-    steps, total = [], start
+    goal = np.array(targets) * (total[0] / targets[0] if live[0] == 0 else min(total[i] / targets[i] for i in live))
+    unit = np.where(total > 0, total, 1.0)
+    steps: list[list[float]] = []
+    best = float("inf")
     for _ in range(max_rounds):
         residual = total - goal
-        if (np.abs(residual) <= tolerance * np.maximum(goal, 1e-3 * start.sum())).all():
+        error = float((((residual / unit) ** 2).sum()))
+        if steps and error > best:  # too far: half of the last step from where it began
+            steps[-1] = [x / 2 for x in steps[-1]]
+        elif (np.abs(residual) <= tolerance * np.maximum(goal, 1e-3 * unit.sum())).all() or error > best * (1 - 1e-9):
             break
-        steps.append([float(v) for v in step * residual / unit])
-        r = rate(F.col("p"), steps)
-        got = rows.agg(*[F.sum(F.col("n_tokens") * r * a).alias(f"s{i}") for i, a in enumerate(p)]).first()
-        total = np.array([got[f"s{i}"] for i in range(d)])
+        else:
+            best = error
+            scaled = np.linalg.pinv(gram + 1e-12 * np.diag(unit), rcond=1e-10) @ residual
+            steps.append([float(x) for x in scaled])
+        total, gram = sums(steps)
     return steps
 
 
