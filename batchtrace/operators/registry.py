@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from batchtrace.functions import codes as C, hashing as H
-from batchtrace.functions.text import blank_to_null, collapse_ws, is_allowed_link, norm_code, round_weight
+from batchtrace.functions.text import (
+    blank_to_null, collapse_ws, is_allowed_link, norm_code, repair_status, round_weight, yymmdd_valid_date)
 from batchtrace.operators import changes as CH, paging as O, quality as Q
 from batchtrace.operators.joins import insert_absent, overlay, split_existing
 from batchtrace.operators.numbering import scope_key, sequence_within
@@ -307,19 +308,19 @@ def register_ingredients(requests: DataFrame, state, as_of):
 
 
 def import_ingredients(requests: DataFrame, state, as_of):
-    """M7: the SKU is parsed (F4) and overrides category and pack size; Q1 checks; exact
+    """M7: Q1 checks of the payload; the SKU is parsed (F4) and overrides category and pack size; exact
     duplicates of stored or earlier requests are rejected; a stored product must keep its
     seq; a new product's seq must not be taken in its category. Inside the batch, the first
     request of a new product fixes its seq (later ones with another seq: 'seq_mismatch') and
     the first claimant of a (category, seq) owns it (another product later: 'seq_taken').
     Stored conflicts are checked before in-batch ones. The seq counter is raised to
     seq + 1."""
-    p = requests.withColumn("_p", C.parse_sku(F.trim("sku"))).withColumn("spec_grade", blank_to_null("spec_grade"))
+    valid, bad = _q1_split(requests)
+    p = valid.withColumn("_p", C.parse_sku(F.trim("sku"))).withColumn("spec_grade", blank_to_null("spec_grade"))
     unparsable = _reject(p.where("_p.error IS NOT NULL"), "invalid_sku", F.col("_p.error"))
     ok = p.where("_p.error IS NULL").withColumn("category_code", F.col("_p.category_code")) \
           .withColumn("seq", F.col("_p.seq")).withColumn("pack_size_value", F.col("_p.pack_size_value")) \
           .withColumn("sku", F.trim("sku")).drop("_p")
-    ok, bad = _q1_split(ok)
     ing = state["ingredients"]
     survivors = O.first_per_key(ok, ITEM_KEYS, [(c, False) for c in ORDER])
     dup_batch = ok.select("request_id").join(survivors.select("request_id"), "request_id", "left_anti")
@@ -354,7 +355,7 @@ def import_ingredients(requests: DataFrame, state, as_of):
         same = c if same is None else same & c
     b_used = _reject(new.where(~same), "seq_taken", "SKU sequence already assigned")
     new = new.where(same)
-    rejects = _first_reject(unparsable, bad, dup, mismatch, used, b_mismatch, b_used)
+    rejects = _first_reject(bad, unparsable, dup, mismatch, used, b_mismatch, b_used)
     acc = known_ok.select("request_id", "sku", "seq", *ITEM_KEYS, "actor").unionByName(
         new.select("request_id", "sku", "seq", *ITEM_KEYS, "actor"))
     floors = acc.agg(F.max(F.col("seq") + 1).alias("next_value")).where("next_value IS NOT NULL").select(
@@ -458,27 +459,47 @@ def register_hows(requests: DataFrame, state, as_of):
             rejects, {"compounding_how": rows})
 
 
+def _optional(df: DataFrame, col: str, dtype: str = "string") -> Column:
+    """An optional request field: blank text is NULL, and so is a field the batch does not carry."""
+    if col not in df.columns:
+        return F.lit(None).cast(dtype).alias(col)
+    return (blank_to_null(col) if dtype == "string" else F.col(col).cast(dtype)).alias(col)
+
+
+def _with_options(req: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
+    """``req`` with the listed optional fields cleaned, and ``_bad``: the first that is not in its list."""
+    bad = F.lit(None).cast("string")
+    for c in reversed(vocab):
+        req = req.withColumn(c, repair_status(c) if c in req.columns else F.lit(None).cast("string"))
+        bad = F.when(F.col(c).isNotNull() & ~F.col(c).isin(*vocab[c]), F.lit(f"invalid_{c}")).otherwise(bad)
+    return req.withColumn("_bad", bad)
+
+
 # ---- M11: pellet bags ---------------------------------------------------------------------------
 
 def mint_bags(requests: DataFrame, state, as_of, start: int = 0):
-    """The how must exist and be active, product type PR/PF/PI, 1..500 bags, mass >= 0;
-    each request takes ``number_of_bags`` consecutive global sequence numbers (counter
+    """The how must exist and be active, product type PR/PF/PI, 1..500 bags, mass >= 0, and
+    the optional purpose, reference sample and statuses (blank: none, 'Recieved' repaired) from
+    their lists; each request takes ``number_of_bags`` consecutive global sequence numbers (counter
     'pellet_bag_sequence', scope 'pellet_bag:global', from 0). Code = 'how type 0001'.
     Bag ids are derived from the code (deterministic, so reruns give the same ids)."""
     req = requests.withColumn("compounding_how_code", collapse_ws("compounding_how_code")) \
                   .withColumn("product_type", F.upper(F.trim("product_type")))
     hows = state["compounding_how"].where("is_active").select(
         F.col("processing_code").alias("compounding_how_code"), F.lit(True).alias("_okh"))
+    req = _with_options(req, {**R.STATUS_VOCAB, "purpose": R.PURPOSE_OPTIONS,
+                              "reference_sample_taken": R.REFERENCE_SAMPLE_OPTIONS})
     j = req.join(hows, "compounding_how_code", "left")
     reason = (F.when(~F.coalesce(F.col("product_type").isin(*R.PRODUCT_TYPES), F.lit(False)),
                      F.lit("invalid_product_type"))
               .when(~F.coalesce(F.col("number_of_bags").between(1, R.MAX_BAGS_PER_REQUEST), F.lit(False)),
                     F.lit("invalid_number_of_bags"))
               .when(~F.coalesce(F.col("bag_mass_kg") >= 0, F.lit(False)), F.lit("invalid_bag_mass"))
-              .when(F.col("_okh").isNull(), F.lit("unknown_or_inactive_how")))
+              .when(F.col("_okh").isNull(), F.lit("unknown_or_inactive_how"))
+              .when(F.col("_bad").isNotNull(), F.col("_bad")))
     j = j.withColumn("_r", reason)
     rejects = j.where("_r IS NOT NULL").select("request_id", F.col("_r").alias("rule"), F.col("_r").alias("message"))
-    ok = j.where("_r IS NULL").drop("_okh", "_r").withColumn("_g", F.lit("pellet_bag:global"))
+    ok = j.where("_r IS NULL").drop("_okh", "_r", "_bad").withColumn("_g", F.lit("pellet_bag:global"))
     bags, floors = assign_ranges(ok, ["_g"], "number_of_bags", state["code_counters"], "pellet_bag_sequence", start)
     code = F.concat_ws(" ", "compounding_how_code", "product_type", C.seq4("value"))
     rows = bags.select(
@@ -486,7 +507,9 @@ def mint_bags(requests: DataFrame, state, as_of, start: int = 0):
         C.code_tokens(code).alias("pellet_bag_code_tokens"), "compounding_how_code", "product_type",
         F.col("value").alias("sequence_number"), F.col("bag_mass_kg").cast("double").alias("bag_mass_kg"),
         F.coalesce(F.col("remaining_mass_kg"), F.col("bag_mass_kg")).cast("double").alias("remaining_mass_kg"),
-        "qc_status", "purpose", _ts(as_of).alias("created_at"), _ts(as_of).alias("updated_at"),
+        _optional(bags, "short_moisture_percent", "double"), "purpose", "reference_sample_taken", *R.STATUS_VOCAB,
+        *[_optional(bags, R.STATUS_ASSIGNEE[c]) for c in R.EDITABLE_STATUS_COLUMNS],
+        _optional(bags, "notes"), _optional(bags, "customer"), _ts(as_of).alias("created_at"), _ts(as_of).alias("updated_at"),
         F.col("actor").alias("created_by"), F.col("actor").alias("updated_by"), F.lit(True).alias("is_active"),
         "request_id")
     counters, _ = CH.raise_floor(state["code_counters"], floors, as_of)
@@ -497,14 +520,25 @@ def mint_bags(requests: DataFrame, state, as_of, start: int = 0):
 # ---- M12 / M13 / M14: conversion chain ------------------------------------------------------------
 
 def get_or_create_contexts(requests: DataFrame, state, as_of):
-    """Context code = 'bag partner machine? yymmdd' built deterministically; an
-    existing code is returned as is, a new one is created once (first request wins)."""
-    req = requests.withColumn("context_code", collapse_ws(F.concat_ws(
-        " ", "pellet_bag_code", F.upper(F.trim("partner_code")), "date_yymmdd")))
-    bad = _reject(req.where(~F.coalesce(F.trim("date_yymmdd").rlike("^[0-9]{6}$"), F.lit(False))),
-                  "invalid_date", "date must be YYMMDD")
-    ok = req.join(bad.select("request_id"), "request_id", "left_anti")
-    stored = state["conversion1_context"].select("context_code").distinct().withColumn("_stored", F.lit(True))
+    """The bag must be an active one, partner and machine a stored option, the date a
+    calendar date; context code = 'bag partner yymmdd' built deterministically; an existing
+    active code is returned as is, a new one is created once (first request wins)."""
+    req = requests.withColumn("pellet_bag_code", collapse_ws("pellet_bag_code")) \
+                  .withColumn("_p", F.trim("partner_code")).withColumn("_m", F.trim("machine_code")) \
+                  .withColumn("date_yymmdd", F.trim("date_yymmdd"))
+    bags = state["pellet_bags"].where("is_active").select(F.trim("pellet_bag_code").alias("pellet_bag_code")).distinct()
+    options = state["location_partners"].select(F.trim("partner_code").alias("_p"), F.trim("machine_specification").alias("_m")) \
+        .where("_p <> '' AND _m <> ''").distinct()
+    req = req.join(bags.withColumn("_okb", F.lit(True)), "pellet_bag_code", "left") \
+             .join(options.withColumn("_oko", F.lit(True)), ["_p", "_m"], "left")
+    req = req.withColumn("context_code", collapse_ws(F.concat_ws(" ", "pellet_bag_code", F.upper("_p"), "date_yymmdd")))
+    reason = (F.when(F.col("_okb").isNull(), F.lit("unknown_bag"))
+              .when(F.col("_oko").isNull(), F.lit("unknown_partner_option"))
+              .when(~F.coalesce(yymmdd_valid_date("date_yymmdd"), F.lit(False)), F.lit("invalid_date")))
+    req = req.withColumn("_r", reason)
+    bad = req.where("_r IS NOT NULL").select("request_id", F.col("_r").alias("rule"), F.col("_r").alias("message"))
+    ok = req.where("_r IS NULL").drop("_r", "_okb", "_oko")
+    stored = state["conversion1_context"].where("is_active").select("context_code").distinct().withColumn("_stored", F.lit(True))
     firsts = O.first_per_key(ok.select("context_code", *ORDER), ["context_code"], [(c, False) for c in ORDER]) \
               .withColumn("_first", F.lit(True))
     j = ok.join(stored, "context_code", "left").join(firsts, ["context_code", *ORDER], "left")
@@ -587,28 +621,43 @@ def register_conversion_hows(requests: DataFrame, state, as_of):
     return accepted, rejects.unionByName(dup).unionByName(gen_full), {"conversion1_how": rows}
 
 
+# Product statuses besides the tensile ones.
+_OTHER_STATUSES = ["seal_strength_status", "shelf_stability_status", "solubility_status", "defect_analysis_status",
+                   "blocking_status", "film_emc_status", "friction_status"]
+
+
 def mint_products(requests: DataFrame, state, as_of, start: int = 0):
-    """1..200 products per request, global suffixes from the product counter (from 0);
-    tensile rigid defaults to 'Not Requested', tensile films inherits tensile rigid, other
-    statuses default to 'Not Requested'; insert only absent product codes (J12)."""
+    """1..200 products per request, of an active how, global suffixes from the product
+    counter (from 0); optional storage location and statuses must be from their lists; tensile
+    rigid defaults to 'Not Requested', tensile films inherits tensile rigid, other statuses
+    default to 'Not Requested'; insert only absent product codes (J12)."""
     req = requests.withColumn("conversion1_how_code", collapse_ws("conversion1_how_code"))
-    bad = _reject(req.where(~F.coalesce(F.col("number_of_records").between(1, R.MAX_PRODUCTS_PER_REQUEST),
-                                        F.lit(False))), "invalid_number_of_records", "number_of_records must be 1..200")
-    ok = req.join(bad.select("request_id"), "request_id", "left_anti").withColumn("_g", F.lit("global"))
+    req = _with_options(req, {"storage_location": R.STORAGE_LOCATION_OPTIONS, "tensile_rigid_status": R.TENSILE_STATUS_OPTIONS,
+                              "tensile_films_status": R.TENSILE_STATUS_OPTIONS,
+                              **{c: R.OTHER_STATUS_OPTIONS for c in _OTHER_STATUSES}})
+    hows = state["conversion1_how"].where("is_active").select("conversion1_how_code").distinct()
+    req = req.join(hows.withColumn("_okh", F.lit(True)), "conversion1_how_code", "left")
+    reason = (F.when(~F.coalesce(F.col("number_of_records").between(1, R.MAX_PRODUCTS_PER_REQUEST), F.lit(False)),
+                     F.lit("invalid_number_of_records"))
+              .when(F.col("_okh").isNull(), F.lit("unknown_or_inactive_how")).when(F.col("_bad").isNotNull(), F.col("_bad")))
+    req = req.withColumn("_r", reason)
+    bad = req.where("_r IS NOT NULL").select("request_id", F.col("_r").alias("rule"), F.col("_r").alias("message"))
+    ok = req.where("_r IS NULL").drop("_okh", "_r", "_bad").withColumn("_g", F.lit("global"))
     counters = state["conversion1_product_counter"].select(F.lit("product_suffix").alias("counter_name"),
                                                           F.col("id").alias("scope"),
                                                           F.col("next_suffix").alias("next_value"))
     prods, floors = assign_ranges(ok, ["_g"], "number_of_records", counters, "product_suffix", start)
-    rigid = F.coalesce(blank_to_null("tensile_rigid_status"), F.lit("Not Requested"))
+    rigid = F.coalesce("tensile_rigid_status", F.lit("Not Requested"))
     suffix = C.seq4("value")
     code = F.trim(F.concat_ws(" ", "conversion1_how_code", suffix))
     rows = prods.select(
         code.alias("product_code"), "conversion1_how_code", suffix.alias("product_suffix"),
-        blank_to_null("storage_location").alias("storage_location"),
-        rigid.alias("tensile_rigid_status"),
-        F.coalesce(blank_to_null("tensile_films_status"), rigid).alias("tensile_films_status"),
-        *[F.lit("Not Requested").alias(f"{s}_status") for s in
-          ["seal_strength", "shelf_stability", "solubility", "defect_analysis", "blocking", "film_emc", "friction"]],
+        "storage_location", _optional(prods, "notes"), _optional(prods, "number_units_produced", "long"),
+        _optional(prods, "numbered_in_order", "boolean"), rigid.alias("tensile_rigid_status"),
+        F.coalesce("tensile_films_status", rigid).alias("tensile_films_status"),
+        *[F.coalesce(F.col(c), F.lit("Not Requested")).alias(c) for c in _OTHER_STATUSES],
+        *[_optional(prods, c, "long") for c in ("width_mm", "length_m", "avg_film_thickness_um")],
+        *[_optional(prods, c, "double") for c in ("sd_film_thickness", "film_thickness_variation_percent")],
         _ts(as_of).alias("created_at"), F.col("actor").alias("created_by"), _ts(as_of).alias("updated_at"),
         F.col("actor").alias("updated_by"), F.lit(True).alias("is_active"), "request_id")
     rows = insert_absent(rows, state["conversion1_products"], ["product_code"])

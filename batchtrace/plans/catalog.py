@@ -454,6 +454,56 @@ def register_products(spark, sf_dir):
     return _outcomes(acc, rej, ["product_code"])
 
 
+# ---- rows that registration writes (M3, M11, M12, M14) -----------------------------------------
+
+@query
+def written_sets(spark, sf_dir):
+    """M3: headers, items, metadata updates and the counter that the set registration writes."""
+    t = domain(spark, sf_dir)
+    _, _, new = M.register_sets(t.req_sets, t, AS_OF)
+    none = F.lit(None).cast("string")
+    counter = new["code_counters"].where("counter_name = 'set_code'")
+    return (new["ingredient_sets"].select(F.lit("header").alias("part"), "set_code", F.col("set_hash").alias("value"), "notes",
+                                          F.col("created_by").alias("actor"))
+            .unionByName(new["ingredient_set_items"].select(F.lit("item").alias("part"), "set_code", F.col("sku").alias("value"),
+                                                            none.alias("notes"), F.col("created_by").alias("actor")))
+            .unionByName(new["set_meta_updates"].select(F.lit("meta").alias("part"), "set_code", none.alias("value"), "notes", "actor"))
+            .unionByName(counter.select(F.lit("counter").alias("part"), F.col("scope").alias("set_code"),
+                                        F.col("next_value").cast("string").alias("value"), none.alias("notes"),
+                                        none.alias("actor"))))
+
+
+@query
+def written_bags(spark, sf_dir):
+    """The bag rows written, optional fields included."""
+    t = domain(spark, sf_dir)
+    _, _, new = M.mint_bags(t.req_bags, t, AS_OF)
+    return new["pellet_bags"].select(
+        "pellet_bag_code", "pellet_bag_id", "compounding_how_code", "product_type", "sequence_number", "bag_mass_kg",
+        "remaining_mass_kg", "short_moisture_percent", "purpose", "reference_sample_taken", "qc_status", "density_status",
+        "long_moisture_status", "density_assignee_email", "notes", "customer", "created_by")
+
+
+@query
+def written_contexts(spark, sf_dir):
+    """The context rows written."""
+    t = domain(spark, sf_dir)
+    _, _, new = M.get_or_create_contexts(t.req_contexts, t, AS_OF)
+    return new["conversion1_context"].select("context_code", "pellet_bag_code", "partner_code", "machine_code", "date_yymmdd",
+                                             "created_by", "is_active")
+
+
+@query
+def written_products(spark, sf_dir):
+    """The product rows written, optional fields and defaults included."""
+    t = domain(spark, sf_dir)
+    _, _, new = M.mint_products(t.req_products, t, AS_OF)
+    return new["conversion1_products"].select(
+        "product_code", "conversion1_how_code", "product_suffix", "storage_location", "notes", "numbered_in_order",
+        "tensile_rigid_status", "tensile_films_status", "solubility_status", "friction_status", "width_mm",
+        "sd_film_thickness", "created_by")
+
+
 # ---- table changes (R1-R12) ------------------------------------------------------------------
 
 

@@ -69,9 +69,11 @@ def skus(items: str) -> str:
 
 
 SQL: dict[str, str] = {}
+SQL_BODY: dict[str, str] = {}  # without the projection, for queries that build on another
 
 
 def register(name: str, sql: str) -> None:
+    SQL_BODY[name] = sql
     SQL[name] = views_with(sql)
 
 
@@ -499,7 +501,10 @@ _ORD = "submitted_at, request_id"
 _ITEM_COLS = "category_code, trade_name_inci, supplier, spec_grade, format, pack_size_unit, pack_size_value"
 _PROD_COLS = "category_code, trade_name_inci, supplier, spec_grade, format, pack_size_unit"
 register("register_import", f"""
-WITH p AS (SELECT *, trim(sku) AS t, nullif(trim(spec_grade), '') AS sg FROM req_imports),
+WITH q AS (SELECT * FROM req_imports),
+bad AS ({_Q1}),
+p AS (SELECT *, trim(sku) AS t, nullif(trim(spec_grade), '') AS sg FROM req_imports
+      WHERE request_id NOT IN (SELECT request_id FROM bad)),
 parsed AS (SELECT *,
   CASE WHEN strpos(t, '_') > 0 THEN CASE WHEN len(string_split(t, '_')) = 3 THEN TRY_CAST(string_split(t, '_')[1] AS BIGINT) END
        WHEN length(t) >= 6 THEN TRY_CAST(substr(t, 1, 1) AS BIGINT) END AS pc,
@@ -511,11 +516,9 @@ parsed AS (SELECT *,
        WHEN strpos(t, '_') = 0 AND length(t) < 6 THEN 'sku too short' END AS perr FROM p),
 unparsable AS (SELECT request_id, 'invalid_sku' AS rule, coalesce(perr, 'sku parts must be integers') AS message
                FROM parsed WHERE perr IS NOT NULL OR pc IS NULL OR ps IS NULL OR pp IS NULL),
-q AS (SELECT request_id, submitted_at, t AS sku, pc AS category_code, ps AS seq, pp AS pack_size_value, pack_size_unit,
+ok AS (SELECT request_id, submitted_at, t AS sku, pc AS category_code, ps AS seq, pp AS pack_size_value, pack_size_unit,
              trade_name_inci, supplier, sg AS spec_grade, format FROM parsed
       WHERE request_id NOT IN (SELECT request_id FROM unparsable)),
-bad AS ({_Q1}),
-ok AS (SELECT * FROM q WHERE request_id NOT IN (SELECT request_id FROM bad)),
 surv AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY {_ITEM_COLS} ORDER BY {_ORD}) = 1),
 dup AS (SELECT request_id, 'duplicate' AS rule, 'Ingredient already exists' AS message FROM ok
         WHERE request_id NOT IN (SELECT request_id FROM surv)
@@ -540,7 +543,7 @@ nw2 AS (SELECT *, first_value({{'c': category_code, 't': trade_name_inci, 's': s
 b_used AS (SELECT request_id, 'seq_taken' AS rule, 'SKU sequence already assigned' AS message FROM nw2
            WHERE own IS DISTINCT FROM {{'c': category_code, 't': trade_name_inci, 's': supplier, 'g': spec_grade,
                                         'f': format, 'u': pack_size_unit}}),
-rej AS ({_first('SELECT * FROM unparsable', 'SELECT * FROM bad', 'SELECT * FROM dup', 'SELECT * FROM mism',
+rej AS ({_first('SELECT * FROM bad', 'SELECT * FROM unparsable', 'SELECT * FROM dup', 'SELECT * FROM mism',
                 'SELECT * FROM used', 'SELECT * FROM b_mism', 'SELECT * FROM b_used')}),
 acc AS (SELECT request_id, sku, seq FROM known_ok
         UNION ALL SELECT request_id, sku, seq FROM nw2
@@ -593,34 +596,56 @@ rej AS ({_first('SELECT * FROM bad',
       'SELECT * FROM rej')}""")
 
 _PT = ", ".join(_lit(x) for x in _R.PRODUCT_TYPES)
-register("register_bags", f"""
-WITH r AS (SELECT *, trim(regexp_replace(compounding_how_code, '\\s+', ' ', 'g')) AS how, upper(trim(product_type)) AS pt
-           FROM req_bags),
+
+
+def _opt(c: str) -> str:
+    return f"CASE WHEN trim({c}) = 'Recieved' THEN 'Received' ELSE nullif(trim({c}), '') END"
+
+
+def _vals(values: list[str]) -> str:
+    return ", ".join(_lit(x) for x in values)
+
+
+_BAGS_CTES = f"""
+r AS (SELECT * REPLACE ({_opt('qc_status')} AS qc_status, {_opt('density_status')} AS density_status, {_opt('purpose')} AS purpose),
+             trim(regexp_replace(compounding_how_code, '\\s+', ' ', 'g')) AS how, upper(trim(product_type)) AS pt
+      FROM req_bags),
 j AS (SELECT r.*, CASE WHEN NOT coalesce(pt IN ({_PT}), FALSE) THEN 'invalid_product_type'
                        WHEN NOT coalesce(number_of_bags BETWEEN 1 AND {_R.MAX_BAGS_PER_REQUEST}, FALSE) THEN 'invalid_number_of_bags'
                        WHEN NOT coalesce(bag_mass_kg >= 0, FALSE) THEN 'invalid_bag_mass'
                        WHEN how NOT IN (SELECT processing_code FROM compounding_how WHERE is_active)
-                         THEN 'unknown_or_inactive_how' END AS reason FROM r),
+                         THEN 'unknown_or_inactive_how'
+                       WHEN qc_status NOT IN ({_vals(_R.STATUS_VOCAB['qc_status'])}) THEN 'invalid_qc_status'
+                       WHEN density_status NOT IN ({_vals(_R.STATUS_VOCAB['density_status'])}) THEN 'invalid_density_status'
+                       WHEN purpose NOT IN ({_vals(_R.PURPOSE_OPTIONS)}) THEN 'invalid_purpose' END AS reason FROM r),
 ok AS (SELECT *, coalesce((SELECT max(next_value) FROM code_counters WHERE counter_name = 'pellet_bag_sequence'
                             AND scope = 'pellet_bag:global'), 0)
                  + coalesce(sum(number_of_bags) OVER (ORDER BY submitted_at, request_id
                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_value
        FROM j WHERE reason IS NULL),
-bags AS (SELECT request_id, how, pt, first_value + unnest(range(number_of_bags)) AS value FROM ok)
+bags AS (SELECT *, first_value + unnest(range(number_of_bags)) AS value FROM ok)"""
+register("register_bags", f"""
+WITH {_BAGS_CTES}
 {_out({'pellet_bag_code': "concat_ws(' ', how, pt, printf('%04d', value))", 'sequence_number': 'value'},
       "SELECT *, 'created' AS outcome FROM bags",
       'SELECT request_id, reason AS rule, reason AS message FROM j WHERE reason IS NOT NULL')}""")
 
+_CTX_CTES = """
+r AS (SELECT *, trim(regexp_replace(pellet_bag_code, '\\s+', ' ', 'g')) AS bag, trim(partner_code) AS pc, trim(machine_code) AS mc,
+             trim(date_yymmdd) AS d,
+             trim(regexp_replace(concat_ws(' ', pellet_bag_code, upper(trim(partner_code)), trim(date_yymmdd)),
+                                 '\\s+', ' ', 'g')) AS code FROM req_contexts),
+e AS (SELECT *, CASE WHEN bag NOT IN (SELECT trim(pellet_bag_code) FROM pellet_bags WHERE is_active) THEN 'unknown_bag'
+                     WHEN NOT EXISTS (SELECT 1 FROM location_partners o WHERE trim(o.partner_code) = pc
+                                      AND trim(o.machine_specification) = mc AND pc <> '' AND mc <> '') THEN 'unknown_partner_option'
+                     WHEN NOT coalesce(regexp_full_match(d, '[0-9]{6}') AND try_strptime('20' || d, '%Y%m%d') IS NOT NULL, FALSE)
+                       THEN 'invalid_date' END AS reason FROM r),
+bad AS (SELECT request_id, reason AS rule, reason AS message FROM e WHERE reason IS NOT NULL),
+ok AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY submitted_at, request_id) AS rk FROM e WHERE reason IS NULL),
+acc AS (SELECT *, CASE WHEN code IN (SELECT context_code FROM conversion1_context WHERE is_active) THEN 'existing'
+                       WHEN rk = 1 THEN 'created' ELSE 'duplicate' END AS outcome FROM ok)"""
 register("register_contexts", f"""
-WITH r AS (SELECT *, trim(regexp_replace(concat_ws(' ', pellet_bag_code, upper(trim(partner_code)), date_yymmdd),
-                                        '\\s+', ' ', 'g')) AS context_code_new FROM req_contexts),
-bad AS (SELECT request_id, 'invalid_date' AS rule, 'date must be YYMMDD' AS message FROM r
-        WHERE NOT coalesce(regexp_full_match(trim(date_yymmdd), '[0-9]{{6}}'), FALSE)),
-ok AS (SELECT *, row_number() OVER (PARTITION BY context_code_new ORDER BY submitted_at, request_id) AS rk FROM r
-       WHERE request_id NOT IN (SELECT request_id FROM bad)),
-acc AS (SELECT request_id, context_code_new AS code,
-               CASE WHEN context_code_new IN (SELECT context_code FROM conversion1_context) THEN 'existing'
-                    WHEN rk = 1 THEN 'created' ELSE 'duplicate' END AS outcome FROM ok)
+WITH {_CTX_CTES}
 {_out({'context_code': 'code'}, 'SELECT * FROM acc', 'SELECT * FROM bad')}""")
 
 register("register_conversion_hows", f"""
@@ -653,16 +678,25 @@ rej AS (SELECT request_id, 'invalid_request' AS rule, reason AS message FROM e W
         WHERE code IS NULL)
 {_out({'conversion1_how_code': 'code'}, 'SELECT * FROM acc', 'SELECT * FROM rej')}""")
 
-register("register_products", f"""
-WITH r AS (SELECT *, trim(regexp_replace(conversion1_how_code, '\\s+', ' ', 'g')) AS how FROM req_products),
-bad AS (SELECT request_id, 'invalid_number_of_records' AS rule, 'number_of_records must be 1..200' AS message FROM r
-        WHERE NOT coalesce(number_of_records BETWEEN 1 AND {_R.MAX_PRODUCTS_PER_REQUEST}, FALSE)),
+_PROD_CTES = f"""
+r AS (SELECT * REPLACE ({_opt('storage_location')} AS storage_location, {_opt('tensile_rigid_status')} AS tensile_rigid_status,
+                        {_opt('tensile_films_status')} AS tensile_films_status, {_opt('solubility_status')} AS solubility_status),
+             trim(regexp_replace(conversion1_how_code, '\\s+', ' ', 'g')) AS how FROM req_products),
+e AS (SELECT *, CASE WHEN NOT coalesce(number_of_records BETWEEN 1 AND {_R.MAX_PRODUCTS_PER_REQUEST}, FALSE) THEN 'invalid_number_of_records'
+                     WHEN how NOT IN (SELECT conversion1_how_code FROM conversion1_how WHERE is_active) THEN 'unknown_or_inactive_how'
+                     WHEN storage_location NOT IN ({_vals(_R.STORAGE_LOCATION_OPTIONS)}) THEN 'invalid_storage_location'
+                     WHEN tensile_rigid_status NOT IN ({_vals(_R.TENSILE_STATUS_OPTIONS)}) THEN 'invalid_tensile_rigid_status'
+                     WHEN tensile_films_status NOT IN ({_vals(_R.TENSILE_STATUS_OPTIONS)}) THEN 'invalid_tensile_films_status'
+                     WHEN solubility_status NOT IN ({_vals(_R.OTHER_STATUS_OPTIONS)}) THEN 'invalid_solubility_status' END AS reason FROM r),
+bad AS (SELECT request_id, reason AS rule, reason AS message FROM e WHERE reason IS NOT NULL),
 ok AS (SELECT *, coalesce((SELECT max(next_suffix) FROM conversion1_product_counter WHERE id = 'global'), 0)
                  + coalesce(sum(number_of_records) OVER (ORDER BY submitted_at, request_id
                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_value
-       FROM r WHERE request_id NOT IN (SELECT request_id FROM bad)),
-p AS (SELECT request_id, trim(concat_ws(' ', how, printf('%04d', first_value + unnest(range(number_of_records)))))
-             AS product_code FROM ok)
+       FROM e WHERE reason IS NULL),
+n AS (SELECT *, first_value + unnest(range(number_of_records)) AS value FROM ok),
+p AS (SELECT *, trim(concat_ws(' ', how, printf('%04d', value))) AS product_code FROM n)"""
+register("register_products", f"""
+WITH {_PROD_CTES}
 {_out({'product_code': 'product_code'},
       "SELECT request_id, 'created' AS outcome, product_code FROM p "
       "WHERE product_code NOT IN (SELECT product_code FROM conversion1_products)", 'SELECT * FROM bad')}""")
@@ -684,6 +718,42 @@ SELECT request_id, unnest(range(number_of_bags)) AS "offset",
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_value FROM req_bags)""")
 
 
+# ---- rows that registration writes ------------------------------------------------------------
+register("written_bags", f"""
+WITH {_BAGS_CTES}
+SELECT concat_ws(' ', how, pt, printf('%04d', value)) AS pellet_bag_code,
+       substr(sha256(concat_ws(' ', how, pt, printf('%04d', value))), 1, 32) AS pellet_bag_id, how AS compounding_how_code,
+       pt AS product_type, value AS sequence_number, bag_mass_kg, coalesce(remaining_mass_kg, bag_mass_kg) AS remaining_mass_kg,
+       short_moisture_percent, purpose, CAST(NULL AS VARCHAR) AS reference_sample_taken, qc_status, density_status,
+       CAST(NULL AS VARCHAR) AS long_moisture_status, trim(density_assignee_email) AS density_assignee_email,
+       nullif(trim(notes), '') AS notes, customer, actor AS created_by
+FROM bags""")
+register("written_contexts", f"""
+WITH {_CTX_CTES}
+SELECT code AS context_code, bag AS pellet_bag_code, upper(pc) AS partner_code, mc AS machine_code, d AS date_yymmdd,
+       actor AS created_by, TRUE AS is_active FROM acc WHERE outcome = 'created'""")
+register("written_products", f"""
+WITH {_PROD_CTES}
+SELECT product_code, how AS conversion1_how_code, printf('%04d', value) AS product_suffix, storage_location,
+       nullif(trim(notes), '') AS notes, numbered_in_order, coalesce(tensile_rigid_status, 'Not Requested') AS tensile_rigid_status,
+       coalesce(tensile_films_status, tensile_rigid_status, 'Not Requested') AS tensile_films_status,
+       coalesce(solubility_status, 'Not Requested') AS solubility_status, 'Not Requested' AS friction_status, width_mm,
+       sd_film_thickness, actor AS created_by
+FROM p WHERE product_code NOT IN (SELECT product_code FROM conversion1_products)""")
+register("written_sets", """
+WITH o AS (SELECT request_id, outcome, set_code, set_hash FROM (""" + SQL_BODY["register_sets"] + """) WHERE outcome <> 'rejected'),
+c AS (SELECT o.set_code, o.set_hash, r.* FROM o JOIN req_sets r ON CAST(r.request_id AS VARCHAR) = o.request_id
+      WHERE o.outcome = 'created'),
+m AS (SELECT o.set_code, nullif(trim(r.notes), '') AS notes, r.actor FROM o JOIN req_sets r ON CAST(r.request_id AS VARCHAR) = o.request_id
+      WHERE o.outcome <> 'created' AND nullif(trim(r.notes), '') IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY o.set_code ORDER BY r.submitted_at DESC, r.request_id DESC) = 1)
+SELECT 'header' AS part, set_code, set_hash AS value, nullif(trim(notes), '') AS notes, actor FROM c
+UNION ALL SELECT 'item', set_code, unnest(skus), NULL, actor FROM c
+UNION ALL SELECT 'meta', set_code, NULL, notes, actor FROM m
+UNION ALL SELECT 'counter', scope, CAST(greatest(next_value, coalesce((SELECT max(""" + _ci.format("set_code") + """) + 1 FROM c), 0)) AS VARCHAR),
+                 NULL, NULL FROM code_counters WHERE counter_name = 'set_code'""")
+
+
 # ---- table changes ---------------------------------------------------------------------------
 AS_OF_SQL = "TIMESTAMP '2025-01-01 00:00:00'"
 _ROLE_MAP = "CASE lower(trim(role_group)) " + " ".join(

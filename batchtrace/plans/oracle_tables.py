@@ -227,7 +227,7 @@ SELECT x.*, concat_ws(' ', x.context_code, x.process_code) AS conversion1_how_co
 _cte("conversion1_context", ["_ctx"], """
 SELECT context_code, pellet_bag_code, partner_code, 'M' || CAST(l_partkey % 5 AS VARCHAR) AS machine_code,
        date_yymmdd, ctx_created AS created_at, created_by, ctx_created AS updated_at, created_by AS updated_by,
-       TRUE AS is_active
+       (l_orderkey + l_partkey) % 6 <> 0 AS is_active
 FROM _ctx""")
 
 _cte("conversion1_how", ["_ctx"], f"""
@@ -349,7 +349,8 @@ SELECT 'X' || CAST(p_partkey AS VARCHAR) AS request_id,
        CAST({_IMP_CAT} AS BIGINT) AS category_code, p_name AS trade_name_inci, p_brand AS supplier,
        CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS spec_grade,
        coalesce({pick('p_partkey % 7', R.FORMAT_VALUES)}, 'Flakes') AS format,
-       CAST(p_size AS BIGINT) AS pack_size_value, CASE WHEN p_size % 2 = 0 THEN 'kg' ELSE 'L' END AS pack_size_unit,
+       CAST(CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE p_size END AS BIGINT) AS pack_size_value,
+       CASE WHEN p_size % 2 = 0 THEN 'kg' ELSE 'L' END AS pack_size_unit,
        {user('p_partkey % 50')} AS actor
 FROM part""")
 
@@ -377,16 +378,21 @@ SELECT l.o_orderkey AS request_id, {days('l.o_orderdate', '12')} AS submitted_at
        ' ' || l.processing_code AS compounding_how_code, lower({pick('l.o_orderkey % 3', R.PRODUCT_TYPES)}) AS product_type,
        m.mass AS bag_mass_kg, CAST(l.o_orderkey % 5 + 1 AS INTEGER) AS number_of_bags,
        CAST(NULL AS DOUBLE) AS remaining_mass_kg, {pick('l.o_orderkey % 5', R.QC_STATUS_OPTIONS)} AS qc_status,
-       {pick('l.o_orderkey % 9', R.PURPOSE_OPTIONS)} AS purpose, l.created_by AS actor
+       CASE WHEN l.o_orderkey % 19 = 0 THEN 'Bogus' ELSE {pick('l.o_orderkey % 9', R.PURPOSE_OPTIONS)} END AS purpose,
+       {pick('l.o_orderkey % 12', BAG_STATUS_MIX)} AS density_status,
+       CASE WHEN l.o_orderkey % 2 = 0 THEN ' a1@example.com ' END AS density_assignee_email,
+       l.o_orderkey % 100 / 10 AS short_moisture_percent,
+       CASE WHEN l.o_orderkey % 4 = 0 THEN '  ' ELSE 'first run' END AS notes, 'Acme' AS customer, l.created_by AS actor
 FROM _loc l JOIN (SELECT l_orderkey, sum(qty) AS mass FROM _rl GROUP BY l_orderkey) m ON m.l_orderkey = l.o_orderkey""")
 
 _cte("req_contexts", ["_ctx"], f"""
 SELECT 'C' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS request_id,
        {days('ship', '25')} AS submitted_at, pellet_bag_code, partner_code,
-       'M' || CAST(l_partkey % 5 AS VARCHAR) AS machine_code,
-       strftime({days('ship', 'CASE WHEN (l_orderkey + l_partkey) % 2 = 0 THEN 10 ELSE 20 END')}, '%y%m%d') AS date_yymmdd,
+       'M-' || CAST(n_regionkey AS VARCHAR) AS machine_code,
+       CASE WHEN l_partkey % 37 = 0 THEN '240230' ELSE
+         strftime({days('ship', 'CASE WHEN (l_orderkey + l_partkey) % 2 = 0 THEN 10 ELSE 20 END')}, '%y%m%d') END AS date_yymmdd,
        created_by AS actor
-FROM _ctx""")
+FROM _ctx LEFT JOIN nation ON n_nationkey % 25 = l_orderkey % 25""")
 
 _cte("req_conversion_hows", ["_ctx"], f"""
 SELECT 'H' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS request_id,
@@ -403,7 +409,10 @@ SELECT 'P' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) A
        CAST(l_orderkey % 3 + 1 AS INTEGER) AS number_of_records,
        {pick('l_partkey % 10', R.STORAGE_LOCATION_OPTIONS)} AS storage_location,
        {pick('l_orderkey % 11', R.TENSILE_STATUS_OPTIONS)} AS tensile_rigid_status,
-       CASE WHEN l_partkey % 4 = 0 THEN 'Ready' END AS tensile_films_status, created_by AS actor
+       CASE WHEN l_partkey % 4 = 0 THEN 'Ready' END AS tensile_films_status,
+       CASE WHEN l_partkey % 23 = 0 THEN 'Bogus' ELSE {pick('l_partkey % 7', R.OTHER_STATUS_OPTIONS)} END AS solubility_status,
+       CASE WHEN l_orderkey % 2 = 0 THEN ' roll ' END AS notes, l_orderkey % 300 AS width_mm,
+       l_orderkey % 2 = 1 AS numbered_in_order, l_partkey % 10 / 4 AS sd_film_thickness, created_by AS actor
 FROM _ctx""")
 
 # ---- change batches (mirror of TpchDomain.chg_*) and the document manifest ----------------

@@ -326,7 +326,7 @@ class TpchDomain:
             F.concat(F.lit("M"), (F.col("l_partkey") % 5).cast("string")).alias("machine_code"),
             "date_yymmdd", F.col("ctx_created").alias("created_at"), "created_by",
             F.col("ctx_created").alias("updated_at"), F.col("created_by").alias("updated_by"),
-            F.lit(True).alias("is_active"))
+            ((F.col("l_orderkey") + F.col("l_partkey")) % 6 != 0).alias("is_active"))
         return evolve(df, SCHEMAS["conversion1_context"])
 
     @cached_property
@@ -498,7 +498,7 @@ class TpchDomain:
             cat.cast("long").alias("category_code"), F.col("p_name").alias("trade_name_inci"),
             F.col("p_brand").alias("supplier"), F.when(k % 3 != 0, F.col("p_type")).alias("spec_grade"),
             F.coalesce(_pick(k % 7, R.FORMAT_VALUES), F.lit("Flakes")).alias("format"),
-            F.col("p_size").cast("long").alias("pack_size_value"),
+            F.when(k % 13 == 0, F.lit(0)).otherwise(F.col("p_size")).cast("long").alias("pack_size_value"),
             F.when(F.col("p_size") % 2 == 0, "kg").otherwise("L").alias("pack_size_unit"),
             _user(k % 50).alias("actor"))
 
@@ -544,18 +544,25 @@ class TpchDomain:
                         (k % 5 + 1).cast("int").alias("number_of_bags"),
                         F.lit(None).cast("double").alias("remaining_mass_kg"),
                         _pick(k % 5, R.QC_STATUS_OPTIONS).alias("qc_status"),
-                        _pick(k % 9, R.PURPOSE_OPTIONS).alias("purpose"),
-                        F.col("created_by").alias("actor"))
+                        F.when(k % 19 == 0, "Bogus").otherwise(_pick(k % 9, R.PURPOSE_OPTIONS)).alias("purpose"),
+                        _pick(k % 12, BAG_STATUS_MIX).alias("density_status"),
+                        F.when(k % 2 == 0, F.lit(" a1@example.com ")).alias("density_assignee_email"),
+                        (k % 100 / 10).alias("short_moisture_percent"),
+                        F.when(k % 4 == 0, F.lit("  ")).otherwise("first run").alias("notes"),
+                        F.lit("Acme").alias("customer"), F.col("created_by").alias("actor"))
 
     @cached_property
     def req_contexts(self) -> DataFrame:
         c = self._contexts
         o, p = F.col("l_orderkey"), F.col("l_partkey")
         shift = F.when((o + p) % 2 == 0, F.lit(10)).otherwise(F.lit(20))
+        n = self.src("nation").select((F.col("n_nationkey") % 25).alias("_n"), "n_regionkey")
+        c = c.join(n, o % 25 == F.col("_n"), "left")
+        date = TX.to_yymmdd(_days(F.col("ship"), shift))
         return c.select(F.concat(F.lit("C"), o.cast("string"), F.lit("-"), p.cast("string")).alias("request_id"),
                         _days(F.col("ship"), 25).alias("submitted_at"), "pellet_bag_code", "partner_code",
-                        F.concat(F.lit("M"), (p % 5).cast("string")).alias("machine_code"),
-                        TX.to_yymmdd(_days(F.col("ship"), shift)).alias("date_yymmdd"),
+                        F.concat(F.lit("M-"), F.col("n_regionkey").cast("string")).alias("machine_code"),
+                        F.when(p % 37 == 0, F.lit("240230")).otherwise(date).alias("date_yymmdd"),
                         F.col("created_by").alias("actor"))
 
     @cached_property
@@ -584,6 +591,9 @@ class TpchDomain:
                         _pick(p % 10, R.STORAGE_LOCATION_OPTIONS).alias("storage_location"),
                         _pick(o % 11, R.TENSILE_STATUS_OPTIONS).alias("tensile_rigid_status"),
                         F.when(p % 4 == 0, F.lit("Ready")).alias("tensile_films_status"),
+                        F.when(p % 23 == 0, "Bogus").otherwise(_pick(p % 7, R.OTHER_STATUS_OPTIONS)).alias("solubility_status"),
+                        F.when(o % 2 == 0, F.lit(" roll ")).alias("notes"), (o % 300).alias("width_mm"),
+                        (o % 2 == 1).alias("numbered_in_order"), (p % 10 / 4).alias("sd_film_thickness"),
                         F.col("created_by").alias("actor"))
 
     # ---- change batches for the table-change jobs (R1-R12) and document manifests -------
