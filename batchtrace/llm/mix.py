@@ -1,6 +1,6 @@
 """Mixing to target weights with soft domain membership, in DataFrame operations only.
 
-A naive Bayes classifier over hashed words, fitted on labelled rows, gives every document a
+A softmax regression over the presence of words, fitted on labelled rows, gives every document a
 posterior for each domain. Projected-gradient least squares then fits one nonnegative rate a
 document such that the expected domain token totals, sum of rate * tokens * posterior, match the
 targets. The gradient of a document's rate depends on the few domain residuals alone, so a round is
@@ -9,19 +9,13 @@ one aggregation, and a rate is a fold of the rounds' residuals over the document
 
 from __future__ import annotations
 
-from math import log
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from batchtrace.llm.shared import store, words
 
-#: Hashed word features, labelled rows the classifier is fitted on (about), rounds of the fit.
-FEATURES, MAX_LABELLED, MAX_ROUNDS, TOLERANCE = 1 << 14, 20_000, 40, 1e-4
-
-
-def _features(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int"))
+#: Words the classifier keeps, labelled rows it is fitted on (about), rounds of the fit of the rates.
+MAX_WORDS, MAX_LABELLED, MAX_ROUNDS, TOLERANCE = 512, 20_000, 40, 1e-4
 
 
 def _array(values) -> Column:
@@ -29,36 +23,71 @@ def _array(values) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labelled: int = MAX_LABELLED):
-    """(log prior, weights): log P(domain) and, per domain, log P(feature | domain).
+def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labelled: int = MAX_LABELLED,
+                   max_words: int = MAX_WORDS) -> tuple[list[float], list[str], np.ndarray]:
+    """(bias, words, weights): a document's score for domain d is bias[d] plus weights[d, w] of each
+    word w it holds; the softmax of the scores is its posterior.
 
-    Fitted on about ``max_labelled`` rows of ``labelled`` (doc_id, domain), chosen by a hash of
-    doc_id; rows with nulls or other domains are left out. At most len(domains) * FEATURES counts
-    reach the driver."""
+    The words are the ``max_words`` whose presence tells the domains apart best (likelihood ratio;
+    ties in order of the words). Fitted on about ``max_labelled`` rows of ``labelled`` (doc_id,
+    domain), chosen by a hash of doc_id; rows with nulls or other domains are left out. What reaches
+    the driver is bounded by the two parameters: the kept words and, for each row of the sample,
+    which of them it holds."""
     labelled = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain")
     share = min(1.0, max_labelled / max(1, labelled.count()))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("domain", _features(F.col("text")).alias("f"))
-    counts = rows.select("domain", F.explode(F.concat("f", F.array(F.lit(-1)))).alias("f")).groupBy("domain", "f").count().collect()
-    n = np.zeros((len(domains), FEATURES))
-    seen = np.zeros(len(domains))
-    for r in counts:  # feature -1 counts the rows
-        if r["f"] < 0:
-            seen[domains.index(r["domain"])] = r["count"]
-        else:
-            n[domains.index(r["domain"]), r["f"]] = r["count"]
-    weights = np.log((n + 0.1) / (n.sum(axis=1, keepdims=True) + 0.1 * FEATURES))
-    return [log((s + 1) / (seen.sum() + len(domains))) for s in seen], weights
-
-
-def posteriors(features: Column, prior: list[float], weights: np.ndarray) -> Column:
-    """array<double>: softmax of the domains' log scores."""
+    rows = store(docs.select("doc_id", "text").join(sample, "doc_id")
+                 .select("domain", F.array_distinct(words(F.col("text"))).alias("w")), "mix-labelled")
+    found = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
+    seen = np.array([found.get(d, 0) for d in domains], float)
+    held = [F.sum((F.col("domain") == d).cast("long")).cast("double").alias(f"n{i}") for i, d in enumerate(domains)]
+    counts = rows.select("domain", F.explode("w").alias("word")).groupBy("word").agg(*held)
+    n = sum((F.col(f"n{i}") for i in range(1, len(domains))), F.col("n0"))
+    ratio = F.lit(0.0)
+    for i, total in enumerate(seen):
+        for have, expect in ((F.col(f"n{i}"), n * (total / max(1.0, seen.sum()))),
+                             (F.lit(total) - F.col(f"n{i}"), (F.lit(seen.sum()) - n) * (total / max(1.0, seen.sum())))):
+            ratio = ratio + F.when(have > 0, have * F.log(have / expect)).otherwise(0.0)
+    kept = counts.withColumn("ratio", ratio).orderBy(F.desc("ratio"), "word").limit(max_words).collect()
+    kept = [r["word"] for r in kept]
+    if not kept:
+        return np.log((seen + 1) / (seen.sum() + len(domains))).tolist(), [], np.zeros((len(domains), 0))
+    listed = F.array(*[F.lit(w) for w in kept])
+    held = F.transform(F.filter("w", lambda w: w.isin(kept)), lambda w: F.array_position(listed, w).cast("int") - 1)
+    sample_rows = rows.select("domain", held.alias("held")).collect()
+    x, y = np.zeros((len(sample_rows), len(kept)), np.float32), np.zeros((len(sample_rows), len(domains)), np.float32)
+    for k, r in enumerate(sample_rows):
+        x[k, r["held"]] = 1
+        y[k, domains.index(r["domain"])] = 1
+    bias, weights = softmax_regression(x, y)
+    return bias.tolist(), kept, weights
+
+
+def softmax_regression(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """(bias, weights) of the penalised fit, by accelerated gradient descent from zero."""
+    n = len(x)
+    x = np.hstack([x, np.ones((n, 1), np.float32)])
+    step = 1 / (0.5 * float(np.linalg.eigvalsh(x.T @ x / n)[-1]) + penalty)
+    w = before = np.zeros((y.shape[1], x.shape[1]))
+    for k in range(rounds):
+        v = w + (k / (k + 3)) * (w - before)
+        z = x @ v.T.astype(np.float32)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        grad = ((p / p.sum(axis=1, keepdims=True) - y).T @ x) / n + penalty * v
+        before, w = w, v - step * grad
+    return w[:, -1], w[:, :-1]
+
+
+def posteriors(held: Column, bias: list[float], kept: list[str], weights: np.ndarray) -> tuple[Column, object]:
+    """The softmax of the domains' log scores in two steps: exponentials, then their shares.
+    ``held`` has the kept words of a document, each once."""
+    listed = F.array(*[F.lit(w) for w in kept]) if kept else F.array().cast("array<string>")
 
     def relative(d: int) -> Column:
-        w = _array(weights[d] - weights[0])
-        return F.aggregate(features, F.lit(prior[d] - prior[0]), lambda a, f: a + F.get(w, f))
+        w = _array(weights[d] - weights[0]) if kept else F.array().cast("array<double>")
+        return F.aggregate(held, F.lit(bias[d] - bias[0]), lambda a, x: a + F.get(w, F.array_position(listed, x).cast("int") - 1))
 
-    score = F.array(F.lit(0.0), *[relative(d) for d in range(1, len(prior))])
+    score = F.array(F.lit(0.0), *[relative(d) for d in range(1, len(bias))])
     grown = F.transform(score, lambda s: F.exp(s - F.array_max(score)))
     return grown, lambda g: F.transform(g, lambda e: e / F.aggregate(g, F.lit(0.0), lambda a, x: a + x))
 
@@ -124,18 +153,20 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry:
     ``labelled`` has doc_id and domain; ``targets`` the share of tokens each domain is to have.
     n_tokens counts words. domain is the most probable one (ties: first in ``targets``). copies is
     the rate rounded up or down by a hash of doc_id and text, so its mean over documents is the
-    rate. Null and empty texts have no tokens and the prior as posterior. Repeated rows count
+    rate. Null and empty texts have no tokens and a posterior from the bias alone. Repeated rows count
     each and get equal rates and copies. No labelled row: even posteriors. Empty table: empty
     result. Input columns with the names of result columns are replaced.
     """
     domains = list(targets)
     added = ["n_tokens", "domain", *[f"p_{d}" for d in domains], "rate", "copies"]
     cols = [c for c in (docs.columns if carry is None else carry) if c not in added]
-    prior, weights = fit_classifier(docs, labelled, domains, max_labelled)
-    grown, shares = posteriors(F.col("_f"), prior, weights)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), _features(F.col("text")).alias("_f"),
+    bias, kept, weights = fit_classifier(docs, labelled, domains, max_labelled)
+    grown, shares = posteriors(F.col("_f"), bias, kept, weights)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), words(F.col("text")).alias("_w"),
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("_u"))
-    rows = rows.withColumn("_g", grown).select("_row", "_u", F.size("_f").cast("long").alias("n_tokens"), shares(F.col("_g")).alias("p"))
+    held = F.array_distinct(F.filter("_w", lambda w: w.isin(kept))) if kept else F.array().cast("array<string>")
+    rows = rows.withColumn("_f", held).withColumn("_g", grown).select(
+        "_row", "_u", F.size("_w").cast("long").alias("n_tokens"), shares(F.col("_g")).alias("p"))
     rows = store(rows, "mix-rows")
     steps = fit_rates(rows, [targets[d] for d in domains])
     out = rows.withColumn("rate", rate(F.col("p"), steps))
