@@ -1,7 +1,81 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+from __future__ import annotations
+
+from batchtrace.llm.quality import (
+    CLASSES, COMMON, MAX_CHAR_JS, MAX_WORD_JS, MIN_CHARS, MIN_WORDS, WORD_LIST)
+from batchtrace.llm.secret_scan import BASE, MORE
+from batchtrace.llm.spans import MIN_WORDS as MIN_RUN_WORDS
+
 SQL: dict[str, str] = {}
 
+
+def _quality() -> str:
+    """Counts by lists and unnested windows; histograms as columns c0.. and w0.., summed per language."""
+    blank = r"[ \t\n\x0B\f\r]"
+    classes = []
+    for pattern in CLASSES.values():
+        inverse = pattern.replace("[^", "[", 1) if pattern.startswith("[^") else pattern.replace("[", "[^", 1)
+        classes.append("CAST(length(regexp_replace(t, '" + inverse.replace("'", "''") + "', '', 'g')) AS DOUBLE)")
+    nc, nw = len(CLASSES) + 2, len(WORD_LIST) + 1
+    c = [f"c{i}" for i in range(nc)]
+    w = [f"w{i}" for i in range(nw)]
+    sums = ", ".join(f"sum({x}) AS q{x}" for x in c + w)
+
+    def js(cols: list[str]) -> str:
+        p, q = " + ".join(cols), " + ".join(f"q{x}" for x in cols)
+        part = lambda a, b, x: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+        terms = " + ".join(part(f"({x} / ({p}))", f"(q{x} / ({q}))", x) + " + " + part(f"(q{x} / ({q}))", f"({x} / ({p}))", x) for x in cols)
+        return f"CASE WHEN {p} > 0 AND {q} > 0 THEN round(sqrt(greatest(0, ({terms}) / 2)), 6) END"
+
+    langs = ", ".join(f"'{x}'" for x in COMMON)
+    return f"""
+WITH d AS (SELECT doc_id, CASE WHEN lang IN ({langs}) THEN lang ELSE '*' END AS lang, coalesce(text, '') AS t,
+                  list_filter(string_split_regex(coalesce(text, ''), '{blank}+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS k FROM g) WHERE k > 1)
+      GROUP BY doc_id),
+b AS (SELECT d.doc_id, d.lang, length(t) AS chars, CAST(len(w) AS BIGINT) AS n_words,
+             CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')))
+                - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')))) AS BIGINT)
+               AS n_dup_lines,
+             coalesce(r.n, 0) AS n_repeat_words, list_transform(w, lambda x: lower(x)) AS low,
+             {", ".join(f"{e} AS c{i}" for i, e in enumerate(classes))}
+      FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+h AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+             CAST(chars - word_chars AS DOUBLE) AS c{nc - 2},
+             word_chars - ({" + ".join(c[:nc - 2])}) AS c{nc - 1},
+             {", ".join(f"CAST(len(list_filter(low, lambda x: x = '{x}')) AS DOUBLE) AS w{i}" for i, x in enumerate(WORD_LIST))} FROM b),
+f AS (SELECT *, n_words - ({" + ".join(w[:-1])}) AS w{nw - 1} FROM h),
+refs AS (SELECT lang, {sums} FROM f WHERE NOT base_failed AND lang <> '*' GROUP BY lang
+         UNION ALL SELECT '*', {sums} FROM f WHERE NOT base_failed),
+j AS (SELECT f.*, {js(c)} AS char_js, {js(w)} AS word_js FROM f LEFT JOIN refs ON refs.lang = f.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_js, word_js,
+       NOT base_failed AND NOT ((chars >= {MIN_CHARS} AND coalesce(char_js, 0) > {MAX_CHAR_JS})
+                                OR (n_words >= {MIN_WORDS} AND coalesce(word_js, 0) > {MAX_WORD_JS})) AS kept FROM j"""
+
+
+SQL["op2_quality_rules"] = _quality()
+
+# formatted_chars: texts, one backslash for each escaped control string, and the markers of each block of one role
+SQL["op9_chat"] = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?(INST|SYS|ROLE)\]|SEP\])')) AS n,
+             length(role) + len(regexp_extract_all(role, '[<\[]\\*(/?s>|/?(INST|SYS|ROLE)\]|SEP\])')) AS nr,
+             lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM r)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + CASE WHEN before IS NOT DISTINCT FROM role THEN 5 WHEN role = 'user' THEN 13 WHEN role = 'system' THEN 11
+                         WHEN role = 'assistant' THEN 7 ELSE 18 + nr END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
 SQL["op8_exact_dedup"] = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
            FROM documents),
@@ -9,3 +83,44 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g ON d.t = g.t
 """
+
+_WS = r"[ \t\n\x0B\f\r]"
+SQL["op4_sentence_spans"] = rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '(?s).+?(?:[.!?]{_WS}+|\n{_WS}*|\z)') AS p FROM documents),
+s AS (SELECT doc_id, i, p[i] AS piece, list_filter(string_split_regex(lower(p[i]), '{_WS}+'), lambda x: x <> '') AS w
+      FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
+r AS (SELECT doc_id, i, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM s),
+k AS (SELECT doc_id, i, array_to_string(w, ' ') || chr(10) || array_to_string(w2, ' ') AS run FROM r
+      WHERE w2 IS NOT NULL AND len(w) + len(w2) >= {MIN_RUN_WORDS}),
+n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS rk FROM k),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM n WHERE rk > 1),
+t AS (SELECT s.doc_id, string_agg(piece, '' ORDER BY s.i) FILTER (gone.i IS NULL) AS kept, count(*) AS n_sentences,
+             count(gone.i) AS n_removed
+      FROM s LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.i = s.i GROUP BY s.doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(t.n_removed, 0) = 0 THEN d.text ELSE coalesce(t.kept, '') END AS text,
+       coalesce(t.n_sentences, 0) AS n_sentences, coalesce(t.n_removed, 0) AS n_removed
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+
+def _secrets() -> str:
+    """Spans from the texts between matches; no index, every rule over every text."""
+    parts = []
+    for o, rule in enumerate((*BASE, *MORE)):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+SELECT doc_id, '{rule.kind}' AS kind, {o} AS ord, pos - length(hit) AS start, pos AS stop, length(value) AS size, {max(1, rule.min_length)} AS least
+FROM (SELECT doc_id, hit, value, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS pos
+      FROM (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(vals) AS value, unnest(gaps[:len(hits)]) AS gap
+            FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits,
+                         regexp_extract_all(text, '{pattern}', {rule.group}) AS vals, string_split_regex(text, '{pattern}') AS gaps
+                  FROM documents WHERE text IS NOT NULL)))""")
+    line = "string_agg(kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY start, ord)"
+    return f"""
+WITH s AS ({" UNION ALL ".join(parts)}),
+m AS (SELECT * FROM s WHERE size >= least)
+SELECT d.doc_id, {", ".join(f"count(m.kind) FILTER (m.kind = '{r.kind}') AS n_{r.kind}" for r in BASE)},
+       sha256(coalesce({line} FILTER (m.ord < {len(BASE)}), '')) AS base_sha256, coalesce({line}, '') AS spans
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+SQL["op7_secrets"] = _secrets()
