@@ -68,19 +68,13 @@ def bags_to_formulations(bags: DataFrame, hows: DataFrame, forms: DataFrame, act
     return hows_to_formulations(bags.join(h, "compounding_how_code"), forms)
 
 
-def containing_sku(forms: DataFrame, skus: DataFrame, ignore_case: bool = False,
-                   list_col: str = "sku_list", dedupe: bool = True) -> DataFrame:
-    """J7/J8 bulk form: (requested sku, formulation) pairs where the formulation's SKU list
-    contains the SKU. Exploding the small recipe arrays turns the correlated EXISTS
-    into an equi-join (no nested loop); duplicate SKUs in one recipe count once
-    (``dedupe=False`` leaves that to a caller that ends with its own DISTINCT)."""
-    key = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
-    row_cols = [c for c in forms.columns if c != list_col]
-    e = forms.select(*row_cols, F.explode(list_col).alias("_sku")).withColumn("_k", key(F.col("_sku"))).drop("_sku")
-    if dedupe:
-        e = e.dropDuplicates([*row_cols, "_k"])
-    s = skus.select(F.col("sku").alias("requested_sku"), key(F.col("sku")).alias("_k"))
-    return s.join(e, "_k").drop("_k")
+def using_sku(items: DataFrame, skus: DataFrame, ignore_case: bool = False) -> DataFrame:
+    """J7/J8 bulk form: SKU x formulation whose items contain it, from the item table itself; the
+    requested SKU is ``requested_sku``. A filter on the SKUs reaches both scans."""
+    fold = F.lower if ignore_case else F.col
+    want = skus.select(F.col("sku").alias("requested_sku"), fold("sku").alias("_k")).distinct()
+    have = items.select("set_code", "weight_code", "batch_variant_code", fold("sku").alias("_k")).distinct()
+    return have.join(want, "_k").drop("_k")
 
 
 def sets_matching(sets: DataFrame, q: str | None) -> DataFrame:
@@ -92,13 +86,11 @@ def sets_matching(sets: DataFrame, q: str | None) -> DataFrame:
                       | F.exists("sku_list", lambda x: F.contains(F.lower(x), F.lit(ql))))
 
 
-def using_batch(forms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """J10 bulk form: (sku, batch) pair x formulation whose batch items contain the pair.
-    Explode + equi-join on both fields."""
-    e = forms.select("*", F.explode("batch_items").alias("_bi")) \
-             .withColumn("sku", F.col("_bi.sku")).withColumn("ingredient_batch_code", F.col("_bi.ingredient_batch_code")) \
-             .drop("_bi").dropDuplicates(["set_code", "weight_code", "batch_variant_code", "sku", "ingredient_batch_code"])
-    return pairs.select("sku", "ingredient_batch_code").distinct().join(e, ["sku", "ingredient_batch_code"])
+def using_batch(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """J10 bulk form: (sku, batch) pair x formulation whose items contain the pair, from the item
+    table itself (equi-join on both fields)."""
+    have = items.select("set_code", "weight_code", "batch_variant_code", "sku", "ingredient_batch_code").distinct()
+    return pairs.select("sku", "ingredient_batch_code").distinct().join(have, ["sku", "ingredient_batch_code"])
 
 
 def existing_batches(pairs: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -108,6 +108,35 @@ def sku_summary_formulations(spark, sf_dir):
     return LN.sku_summary_formulations(domain(spark, sf_dir))
 
 
+@query
+def sku_summary_ingredient(spark, sf_dir):
+    """Ingredient rows of every SKU in a recipe."""
+    t = domain(spark, sf_dir)
+    return LN.sku_summary_ingredient(t, t.batch_variant_items).select("sku", "trade_name_inci", "supplier", "format", "created_at")
+
+
+@query
+def compounding_how_page(spark, sf_dir):
+    """Compounding hows whose code or suffix has 'ab', newest first, first page."""
+    rows, _ = O.page(LN.compounding_how_rows(domain(spark, sf_dir), "ab"), "compounding_how", 1, PAGE_SIZE)
+    return rows.select("processing_code", "process_code_suffix", "failure_mode", "location_code", "created_at")
+
+
+@query
+def conversion_how_codes(spark, sf_dir):
+    return LN.lookup_list(domain(spark, sf_dir), spark, "conversion_how_codes")
+
+
+@query
+def compounding_how_codes(spark, sf_dir):
+    return LN.lookup_list(domain(spark, sf_dir), spark, "compounding_how_codes")
+
+
+@query
+def location_ids(spark, sf_dir):
+    return LN.lookup_list(domain(spark, sf_dir), spark, "location_ids")
+
+
 @query
 def sku_summary_bags(spark, sf_dir):
     return LN.sku_summary_bags(domain(spark, sf_dir))
@@ -845,8 +874,7 @@ KEYSET_AFTER = {"created_at": "1998-06-01 00:00:00", "set_code": "MM", "weight_c
 @query
 def formulations_keyset(spark, sf_dir):
     """O2 keyset: the 50 formulations after a fixed listing key (newest first)."""
-    rows = O.page_after(V.formulations(domain(spark, sf_dir)), "formulations", KEYSET_AFTER, PAGE_SIZE)
-    return render_formulations(rows)
+    return render_formulations(LN.formulations_after(domain(spark, sf_dir), KEYSET_AFTER, PAGE_SIZE))
 
 
 @query

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from batchtrace.functions import text as TX
+from batchtrace.functions import codes as C, text as TX
 from batchtrace.operators import aggregates as A, filters as P, joins as J, paging as O
 from batchtrace.plans import views as V
 from batchtrace.session import pin
@@ -35,23 +35,49 @@ def formulations_search(t, filters: dict | None = None, sku: str | None = None,
     return f
 
 
+def _headers(t, filters: dict | None = None) -> DataFrame:
+    """Formulation headers that have items (the inner join of L3), without their items."""
+    return P.filter_eq(t["batch_variants"], filters or {}).join(t["batch_variant_items"].select(*FORM_KEYS), FORM_KEYS, "left_semi")
+
+
+def _fetch(t, headers: DataFrame) -> DataFrame:
+    """L4 of a page of headers: their items and weights only."""
+    keys, weights = headers.select(*FORM_KEYS), headers.select("set_code", "weight_code").distinct()
+    return V.formulations({
+        "batch_variants": headers, "batch_variant_items": t["batch_variant_items"].join(keys, FORM_KEYS, "left_semi"),
+        **{n: t[n].join(weights, ["set_code", "weight_code"], "left_semi") for n in ("dry_weight_variants", "dry_weight_items")}})
+
+
 def formulations_page(t, filters=None, sku=None, page_no=1, size=None):
-    """L4 + O2: newest first with code tie-breakers, plus the filtered total."""
-    return O.page(formulations_search(t, filters, sku), "formulations", page_no, size)
+    """L4 + O2: newest first with code tie-breakers, plus the filtered total. Without a SKU
+    filter the page is cut from the headers and only its own items and weights are fetched."""
+    if sku:
+        return O.page(formulations_search(t, filters, sku), "formulations", page_no, size)
+    rows, total = O.page(_headers(t, filters), "formulations", page_no, size)
+    return _fetch(t, rows), total
+
+
+def formulations_after(t, last_key: dict | None, size=None, filters: dict | None = None) -> DataFrame:
+    """L4 + O2 keyset: the page after ``last_key``, fetched like ``formulations_page``."""
+    return _fetch(t, O.page_after(_headers(t, filters), "formulations", last_key, size))
+
+
+def _codes(t) -> DataFrame:
+    """Header columns that the where-used listings show."""
+    return t["batch_variants"].select(*FORM_KEYS, C.base_code(*FORM_KEYS).alias("base_code"), "created_at")
 
 
 def formulations_by_batch(t, pairs: DataFrame | None = None) -> DataFrame:
     """L5 (J10): for each requested (sku, batch) pair - by default every stored batch -
     the formulations whose batch items use it."""
     pairs = pairs if pairs is not None else t["ingredient_batches"]
-    return J.using_batch(V.formulations(t), pairs)
+    return J.using_batch(t["batch_variant_items"], pairs).join(_codes(t), FORM_KEYS)
 
 
 def sku_summary_formulations(t, skus: DataFrame | None = None) -> DataFrame:
     """L6 part 1 (J7, case-sensitive): formulations containing each SKU."""
     skus = skus if skus is not None else t["ingredients"].select("sku")
-    f = V.formulations(t).select(*FORM_KEYS, "base_code", "created_at", "sku_list")
-    return J.containing_sku(f, skus).drop("sku_list")
+    return J.using_sku(t["batch_variant_items"], skus).join(_codes(t), FORM_KEYS)
 
 
 def sku_summary_bags(t, skus: DataFrame | None = None) -> DataFrame:
@@ -60,9 +86,8 @@ def sku_summary_bags(t, skus: DataFrame | None = None) -> DataFrame:
     skus = skus if skus is not None else t["ingredients"].select("sku")
     bags = P.active(t["pellet_bags"]).select("pellet_bag_id", "pellet_bag_code", "compounding_how_code",
                                              "updated_at", "created_at")
-    forms = V.formulations(t).select(*FORM_KEYS, "sku_list")
-    linked = J.bags_to_formulations(bags, t["compounding_how"], forms, active_how=False)
-    hits = J.containing_sku(linked, skus, ignore_case=True, dedupe=False)  # DISTINCT below
+    used = J.using_sku(t["batch_variant_items"], skus, ignore_case=True).join(_codes(t).select(*FORM_KEYS), FORM_KEYS, "left_semi")
+    hits = J.bags_to_formulations(bags, t["compounding_how"], used, active_how=False)
     return hits.select("requested_sku", "pellet_bag_id", "pellet_bag_code", "compounding_how_code",
                        "updated_at", "created_at").distinct()
 
@@ -151,6 +176,36 @@ def context_rows(t, q: str | None = None) -> DataFrame:
     return J.context_labels(ctx, t["location_partners"])
 
 
+def compounding_how_rows(t, q: str | None = None) -> DataFrame:
+    """Active compounding hows, LIKE on the code or the suffix (P3), listing columns (P1),
+    newest first."""
+    rows = P.search_like(P.active(t["compounding_how"]), ["processing_code", "process_code_suffix"], q)
+    return O.sort_listing(P.project(rows, "compounding_how"), "compounding_how")
+
+
+def weights_of_set(t, set_code: str) -> DataFrame:
+    """L2: weight variants of one set, by weight code."""
+    return V.weights(t).where(F.col("set_code") == set_code).orderBy("weight_code")
+
+
+def variants_of_weight(t, set_code: str, weight_code: str) -> DataFrame:
+    """L3: batch variants of one (set, weight), by variant code."""
+    v = V.variants(t).where((F.col("set_code") == set_code) & (F.col("weight_code") == weight_code))
+    return v.orderBy("batch_variant_code")
+
+
+def sku_summary_ingredient(t, skus: DataFrame) -> DataFrame:
+    """The ingredient rows of the requested SKUs (case-insensitive), newest first."""
+    want = skus.select(F.lower("sku").alias("_sku")).distinct()
+    rows = t["ingredients"].withColumn("_sku", F.lower("sku")).join(want, "_sku", "left_semi").drop("_sku")
+    return rows.orderBy(F.col("created_at").desc_nulls_last())
+
+
+def batches_of_sku(t, sku: str, include_archived: bool = False) -> DataFrame:
+    """Batches of one SKU, by batch code."""
+    return batch_rows(t, sku, include_archived).orderBy("ingredient_batch_code")
+
+
 def conversion_how_rows(t, q: str | None = None) -> DataFrame:
     """Active conversion hows, P4 on the code."""
     return P.search_contains(P.active(t["conversion1_how"]), "conversion1_how_code", q)
@@ -164,8 +219,8 @@ def product_rows(t, how_code: str | None = None, q: str | None = None) -> DataFr
 
 
 def bag_rows(t, q: str | None = None) -> DataFrame:
-    """Active bags, LIKE on the lower-cased code (P3), listing columns."""
-    return P.project(P.search_like(P.active(t["pellet_bags"]), ["pellet_bag_code"], q), "pellet_bags")
+    """Active bags, LIKE on the lower-cased code (P3), listing columns (P1), newest first."""
+    return O.sort_listing(P.project(P.search_like(P.active(t["pellet_bags"]), ["pellet_bag_code"], q), "pellet_bags"), "pellet_bags")
 
 
 def ingredient_rows(t, q: str | None = None, filters: dict | None = None) -> DataFrame:
@@ -203,6 +258,13 @@ def lookup_list(t, spark, name: str) -> DataFrame:
                         TX.option_key("partner_code", "machine_specification").alias("option_key"),
                         TX.partner_machine_label("partner_name", "machine_specification").alias("label")) \
                 .where("option_key IS NOT NULL")
+    if name == "conversion_how_codes":
+        h = P.active(t["conversion1_how"]).select("conversion1_how_code").distinct()
+        return h.orderBy(F.col("conversion1_how_code").desc())
+    if name == "compounding_how_codes":
+        return P.active(t["compounding_how"]).select("processing_code").distinct().orderBy(F.col("processing_code").desc())
+    if name == "location_ids":
+        return t["location_codes"].select("location_id").distinct().orderBy("location_id")
     if name == "assignees":
         return P.active(t["pellet_bag_assignees"]).select("email")
     if name == "roles":

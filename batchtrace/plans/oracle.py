@@ -190,6 +190,16 @@ register("bags_search", """
 SELECT pellet_bag_id, pellet_bag_code, compounding_how_code, product_type, sequence_number, bag_mass_kg,
        remaining_mass_kg, qc_status, created_at
 FROM pellet_bags WHERE is_active AND lower(pellet_bag_code) LIKE '%pf 000%'""")
+register("sku_summary_ingredient", """
+SELECT sku, trade_name_inci, supplier, format, created_at FROM ingredients
+WHERE lower(sku) IN (SELECT lower(sku) FROM batch_variant_items)""")
+register("compounding_how_page", """
+SELECT processing_code, process_code_suffix, failure_mode, location_code, created_at FROM compounding_how
+WHERE is_active AND (lower(processing_code) LIKE '%ab%' OR lower(process_code_suffix) LIKE '%ab%')
+ORDER BY created_at DESC NULLS LAST, processing_code DESC NULLS LAST LIMIT 50""")
+register("conversion_how_codes", "SELECT DISTINCT conversion1_how_code FROM conversion1_how WHERE is_active")
+register("compounding_how_codes", "SELECT DISTINCT processing_code FROM compounding_how WHERE is_active")
+register("location_ids", "SELECT DISTINCT location_id FROM location_codes")
 register("ingredients_search", """
 SELECT sku, category_code, seq, pack_size_value, trade_name_inci, supplier, spec_grade FROM ingredients
 WHERE (lower(sku) LIKE '%ring%' OR lower(trade_name_inci) LIKE '%ring%' OR lower(supplier) LIKE '%ring%')
