@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from batchtrace.functions import codes as C
 from batchtrace.functions import hashing as H
 from batchtrace.functions import text as TX
+from batchtrace.functions.udfs import nfkc_casefold, round_weight_exact
 from batchtrace.operators import aggregates as A, paging as O
 from batchtrace.operators import changes as CH, policy as X, quality as Q
 from batchtrace.operators import filters as P, joins as J
 from batchtrace.operators import registry as M
 from batchtrace.operators.numbering import sequence_within
 from batchtrace.plans import lineage as LN, views as V
-from batchtrace.session import checkpoint_dir
+from batchtrace.session import checkpoint_dir, ship
 from batchtrace.sources import registries as R
 from batchtrace.sources import schemas as S
 from batchtrace.sources.tpch import BAG_SCOPE, domain
@@ -483,6 +484,72 @@ def register_products(spark, sf_dir):
     return _outcomes(acc, rej, ["product_code"])
 
 
+# ---- single functions over whole tables ---------------------------------------------------------
+
+@query
+def used_ingredients(spark, sf_dir):
+    """Ingredients whose SKU is in the list of SKUs that recipes use."""
+    t = domain(spark, sf_dir)
+    return P.where_in(t.ingredients, "sku", t.batch_variant_items.select("sku")).select("sku", "category_code", "seq")
+
+
+@query
+def batch_lookup(spark, sf_dir):
+    """The stored batch of each requested (sku, batch) key."""
+    t = domain(spark, sf_dir)
+    keys = t.req_variants.select(F.explode("items").alias("i")).select("i.sku", "i.ingredient_batch_code")
+    return P.lookup(t.ingredient_batches, keys, ["sku", "ingredient_batch_code"]).select(
+        "sku", "ingredient_batch_code", "quantity_value", "archived")
+
+
+@query
+def clamped_page(spark, sf_dir):
+    """Page 0 of size 1000 is clamped to page 1 of size 200."""
+    rows, _ = O.page(domain(spark, sf_dir).location_codes, "location_codes", 0, 1000)
+    return rows.select("location_id", "partner_code", "created_at")
+
+
+@query
+def combined_permissions(spark, sf_dir):
+    """U4: each user's role permissions together with the mixing role's."""
+    t = domain(spark, sf_dir)
+    held = X.effective_access(spark, _users(t), t.user_roles)
+    both = X.union_permissions("permissions", F.array(*[F.lit(p) for p in R.MIXING_1_PERMISSIONS]))
+    return held.select("email", F.array_join(both, ",").alias("permissions_text"))
+
+
+@query
+def json_rows(spark, sf_dir):
+    """ingredients as JSON-safe rows."""
+    t = domain(spark, sf_dir)
+    return t.ingredients.select("sku", TX.json_row("sku", "seq", "created_at", "is_active").alias("row_json"))
+
+
+@query
+def parsed_timestamps(spark, sf_dir):
+    """order times written as ISO text, naive, in UTC or with an offset."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey") % 3
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(k == 0, "").when(k == 1, "Z").otherwise("+02:00"))
+    return o.select("o_orderkey", TX.parse_iso_ts(text).alias("at"))
+
+
+@query
+def exact_weights(spark, sf_dir):
+    """UD1: exact half-up rounding of eighths, Arrow-batched."""
+    ship(spark)
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return li.select("l_orderkey", "l_linenumber", round_weight_exact(F.col("l_quantity") / 8).alias("rounded"))
+
+
+@query
+def folded_names(spark, sf_dir):
+    """UD2: case-folded search text of trade names, Arrow-batched."""
+    ship(spark)
+    return domain(spark, sf_dir).ingredients.select("sku", nfkc_casefold("trade_name_inci").alias("folded"))
+
+
 # ---- rows that registration writes (M3, M11, M12, M14) -----------------------------------------
 
 @query

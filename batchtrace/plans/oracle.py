@@ -728,6 +728,24 @@ SELECT request_id, unnest(range(number_of_bags)) AS "offset",
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_value FROM req_bags)""")
 
 
+# ---- single functions over whole tables ---------------------------------------------------------
+register("used_ingredients", "SELECT sku, category_code, seq FROM ingredients WHERE sku IN (SELECT sku FROM batch_variant_items)")
+register("batch_lookup", """
+SELECT sku, ingredient_batch_code, quantity_value, archived FROM ingredient_batches b
+WHERE EXISTS (SELECT 1 FROM (SELECT unnest(items) AS i FROM req_variants) r
+              WHERE r.i.sku = b.sku AND r.i.ingredient_batch_code = b.ingredient_batch_code)""")
+register("clamped_page", """
+SELECT location_id, partner_code, created_at FROM location_codes
+ORDER BY created_at DESC NULLS LAST, location_id DESC NULLS LAST LIMIT 200""")
+register("json_rows", """
+SELECT sku, '{"sku":"' || sku || '","seq":' || CAST(seq AS VARCHAR) || ',"created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S')
+            || '","is_active":' || CAST(is_active AS VARCHAR) || '}' AS row_json FROM ingredients""")
+register("parsed_timestamps", """
+SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) - CASE WHEN o_orderkey % 3 = 2 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS at FROM orders""")
+register("exact_weights", """
+SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity * 12.5 + 0.5) / 100 AS DECIMAL(38, 2)) AS rounded FROM lineitem""")
+register("folded_names", "SELECT sku, lower(trade_name_inci) AS folded FROM ingredients")
+
 # ---- rows that registration writes ------------------------------------------------------------
 register("written_bags", f"""
 WITH {_BAGS_CTES}
@@ -1015,6 +1033,10 @@ register("effective_access", f"""
 WITH {_ACCESS}
 SELECT email, role_group, is_admin, is_bootstrap_admin, len(permissions) AS n_permissions,
        list_contains(permissions, 'dry_weights.view') AS can_view_dry_weights FROM acc""")
+register("combined_permissions", f"""
+WITH {_ACCESS}
+SELECT email, array_to_string(list_sort(list_distinct(list_concat(permissions, [{", ".join(_lit(p) for p in _R.MIXING_1_PERMISSIONS)}]))), ',')
+         AS permissions_text FROM acc""")
 register("masked_formulations", f"""
 WITH {_ACCESS}
 SELECT f.set_code, f.weight_code, f.batch_variant_code, f.base_code, f.created_at, f.created_by, f.sku_count,

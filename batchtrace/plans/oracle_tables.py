@@ -198,7 +198,7 @@ _cte("pellet_bags", ["_bags"], f"""
 SELECT 'PB-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS pellet_bag_id,
        pellet_bag_code, string_split(pellet_bag_code, ' ') AS pellet_bag_code_tokens,
        processing_code AS compounding_how_code, product_type, sequence_number,
-       qty AS bag_mass_kg, qty - n_lines AS remaining_mass_kg, tax AS short_moisture_percent,
+       qty AS bag_mass_kg, qty - n_lines * 4 AS remaining_mass_kg, tax AS short_moisture_percent,
        {pick('(l_orderkey + l_partkey) % 9', R.PURPOSE_OPTIONS)} AS purpose,
        {pick('l_partkey % 3', R.REFERENCE_SAMPLE_OPTIONS)} AS reference_sample_taken,
        {_status(1, 1)} AS qc_status, {_status(1, 2)} AS long_moisture_status, {_status(3, 1)} AS density_status,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -82,6 +83,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_SHIPPED: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors' Python workers, once per application, so that
+    pandas UDFs work whether or not the package is installed there."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="batchtrace-code-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "batchtrace_code"), "zip",
+                                     os.path.dirname(package), os.path.basename(package)))
+    _SHIPPED["app"] = sc.applicationId
+
+
 def pin(df):
     """Materialize ``df`` with a reliable checkpoint in ``spark.checkpoint.dir`` and return
     the checkpointed frame: cuts lineage before a frame is used by several branches (no

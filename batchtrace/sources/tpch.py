@@ -277,7 +277,7 @@ class TpchDomain:
             F.col("processing_code").alias("compounding_how_code"),
             "product_type", "sequence_number",
             F.col("qty").alias("bag_mass_kg"),
-            (F.col("qty") - F.col("n_lines")).alias("remaining_mass_kg"),
+            (F.col("qty") - F.col("n_lines") * 4).alias("remaining_mass_kg"),
             F.col("tax").alias("short_moisture_percent"),
             _pick((o + p) % 9, R.PURPOSE_OPTIONS).alias("purpose"),
             _pick(p % 3, R.REFERENCE_SAMPLE_OPTIONS).alias("reference_sample_taken"),
