@@ -41,8 +41,10 @@ def _headers(t, filters: dict | None = None) -> DataFrame:
 
 
 def _fetch(t, headers: DataFrame) -> DataFrame:
-    """L4 of a page of headers: their items and weights only."""
-    keys, weights = headers.select(*FORM_KEYS), headers.select("set_code", "weight_code").distinct()
+    """L4 of a page of headers: their items and weights only. A page has at most
+    ``R.MAX_PAGE_SIZE`` rows, so its keys are broadcast and the item tables are not shuffled."""
+    keys = F.broadcast(headers.select(*FORM_KEYS))
+    weights = F.broadcast(headers.select("set_code", "weight_code").distinct())
     return V.formulations({
         "batch_variants": headers, "batch_variant_items": t["batch_variant_items"].join(keys, FORM_KEYS, "left_semi"),
         **{n: t[n].join(weights, ["set_code", "weight_code"], "left_semi") for n in ("dry_weight_variants", "dry_weight_items")}})
