@@ -84,13 +84,16 @@ def test_bag_code_from_counter(spark):
 
 def test_product_suffixes_and_status_defaults(spark):
     ctr = spark.createDataFrame([("global", 42, T)], SCHEMAS["conversion1_product_counter"])
-    req = spark.createDataFrame([(1, T, "EV AB", 2, None, "Ready", None, "u")],
+    hows = spark.createDataFrame([("EV AB", True), ("EV AC", False)], "conversion1_how_code string, is_active boolean")
+    req = spark.createDataFrame([(1, T, "EV AB", 2, None, "Ready", None, "u"), (2, T, "EV AC", 1, None, None, None, "u"),
+                                 (3, T, "EV AB", 1, "Attic", None, None, "u")],
                                 "request_id long, submitted_at timestamp_ntz, conversion1_how_code string, "
                                 "number_of_records int, storage_location string, tensile_rigid_status string, "
                                 "tensile_films_status string, actor string")
-    acc, _, new = M.mint_products(req, {"conversion1_product_counter": ctr,
+    acc, rej, new = M.mint_products(req, {"conversion1_product_counter": ctr, "conversion1_how": hows,
                                         "conversion1_products": empty(spark, "conversion1_products")}, AS_OF)
     assert sorted(r.product_code for r in acc.collect()) == ["EV AB 0042", "EV AB 0043"]
+    assert {r.rule for r in rej.collect()} == {"unknown_or_inactive_how", "invalid_storage_location"}
     assert {r.tensile_films_status for r in new["conversion1_products"].collect()} == {"Ready"}
     assert new["conversion1_product_counter"].first().next_suffix == 44
 
@@ -109,10 +112,10 @@ def test_import_in_batch_conflicts(spark):
             "actor string")
     t1, t2, t3, t4 = (dt.datetime(2026, 1, d) for d in (1, 2, 3, 4))
     req = spark.createDataFrame([
-        ("r1", t1, "1_0005_10", 0, "agar", "S", None, "Powder", 0, "kg", "u"),     # new product P, seq 5
-        ("r2", t2, "1_0006_20", 0, "agar", "S", None, "Powder", 0, "kg", "u"),     # same product, other seq
-        ("r3", t3, "1_0005_30", 0, "gum", "S", None, "Powder", 0, "kg", "u"),      # other product claims (1, 5)
-        ("r4", t4, "1_0005_10", 0, "agar", "S", None, "Powder", 0, "kg", "u"),     # exact copy of r1
+        ("r1", t1, "1_0005_10", 0, "agar", "S", None, "Powder", 10, "kg", "u"),     # new product P, seq 5
+        ("r2", t2, "1_0006_20", 0, "agar", "S", None, "Powder", 10, "kg", "u"),     # same product, other seq
+        ("r3", t3, "1_0005_30", 0, "gum", "S", None, "Powder", 10, "kg", "u"),      # other product claims (1, 5)
+        ("r4", t4, "1_0005_10", 0, "agar", "S", None, "Powder", 10, "kg", "u"),     # exact copy of r1
     ], cols)
     acc, rej, new = M.import_ingredients(req, state(spark), AS_OF)
     assert [(r.request_id, r.seq) for r in acc.collect()] == [("r1", 5)]
