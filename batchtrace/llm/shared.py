@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from batchtrace.session import checkpoint_dir
+from batchtrace.session import checkpoint_dir, ship  # noqa: F401  (ship: for the operators)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_SHIPPED: dict[str, str] = {}
+#: Paths of the tables stored by this process, in order.
+STORED: list[str] = []
 
 #: Word rule of every contract: a run without ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -42,6 +40,7 @@ def store(df: DataFrame, label: str) -> DataFrame:
     several readers share one evaluation (row ids and samples in it are fixed)."""
     spark = df.sparkSession
     path = scratch(spark, label)
+    STORED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,15 +65,3 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Array of the words of a whole text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors' Python workers, once per application."""
-    sc = spark.sparkContext
-    if _SHIPPED.get("app") == sc.applicationId:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="batchtrace-code-")
-    sc.addPyFile(shutil.make_archive(os.path.join(folder, "batchtrace_code"), "zip",
-                                     os.path.dirname(package), os.path.basename(package)))
-    _SHIPPED["app"] = sc.applicationId

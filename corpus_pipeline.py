@@ -7,28 +7,55 @@ repeated rows and empty tables are handled as the operators' docstrings say.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from batchtrace.llm import exact, mix, pack, quality, simhash
 from batchtrace.llm.queries import TARGETS, labelled_domains
-from batchtrace.llm.shared import columns, store, table
-
-
+from batchtrace.llm.shared import STORED, columns, delete, store, table
+
+#: Tables that the latest call of each stage has stored for its own use.
+_OWN: dict[int, list[str]] = {}
+
+
+def _stage(number: int):
+    """A stage that, when it begins, deletes the tables its predecessor's latest call stored, unless
+    ``docs`` still reads them: the predecessor's result has been written by then."""
+    def wrap(stage):
+        @functools.wraps(stage)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            read = docs.inputFiles() if _OWN.get(number - 1) else []
+            for path in _OWN.pop(number - 1, []):
+                if not any(path.rsplit("/", 1)[1] in file for file in read):
+                    delete(path, spark)
+            before = len(STORED)
+            out = stage(spark, docs, sf_dir)
+            _OWN[number] = STORED[before:]
+            return out
+        return run_stage
+    return wrap
+
+
+@_stage(1)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.quality_rules(docs).where("kept").select(columns(docs))
 
 
+@_stage(2)
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     return exact.exact_dedup(docs).where("kept").select(columns(docs))
 
 
+@_stage(3)
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked fingerprints."""
     return simhash.simhash_groups(docs, shingle=4, max_bits=4).where("kept").select(columns(docs))
 
 
+@_stage(4)
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says (copies 0, 1 or more)."""
     mixed = mix.mix(docs, labelled_domains(spark, sf_dir), TARGETS)
@@ -36,6 +63,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.withColumn("_copy", copy).select(columns(docs))
 
 
+@_stage(5)
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in training sequences."""
     return pack.pack(docs)
@@ -52,9 +80,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            delete(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
