@@ -49,7 +49,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max
                              (F.lit(total) - F.col(f"n{i}"), (F.lit(seen.sum()) - n) * (total / max(1.0, seen.sum())))):
             ratio = ratio + F.when(have > 0, have * F.log(have / expect)).otherwise(0.0)
     kept = counts.withColumn("ratio", ratio).orderBy(F.desc("ratio"), "word").limit(max_words).collect()
-    kept = [r["word"] for r in kept]
+    # frequent words first, as they are looked up in this order
+    kept = [r["word"] for r in sorted(kept, key=lambda r: (-sum(r[f"n{i}"] for i in range(len(domains))), r["word"]))]
     if not kept:
         return np.log((seen + 1) / (seen.sum() + len(domains))).tolist(), [], np.zeros((len(domains), 0))
     listed = F.array(*[F.lit(w) for w in kept])
@@ -80,12 +81,10 @@ def softmax_regression(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, roun
 
 def posteriors(held: Column, bias: list[float], kept: list[str], weights: np.ndarray) -> tuple[Column, object]:
     """The softmax of the domains' log scores in two steps: exponentials, then their shares.
-    ``held`` has the kept words of a document, each once."""
-    listed = F.array(*[F.lit(w) for w in kept]) if kept else F.array().cast("array<string>")
-
+    ``held`` has the places in ``kept`` of the words a document holds, each once."""
     def relative(d: int) -> Column:
         w = _array(weights[d] - weights[0]) if kept else F.array().cast("array<double>")
-        return F.aggregate(held, F.lit(bias[d] - bias[0]), lambda a, x: a + F.get(w, F.array_position(listed, x).cast("int") - 1))
+        return F.aggregate(held, F.lit(bias[d] - bias[0]), lambda a, x: a + F.get(w, x))
 
     score = F.array(F.lit(0.0), *[relative(d) for d in range(1, len(bias))])
     grown = F.transform(score, lambda s: F.exp(s - F.array_max(score)))
@@ -164,7 +163,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry:
     grown, shares = posteriors(F.col("_f"), bias, kept, weights)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), words(F.col("text")).alias("_w"),
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("_u"))
+    listed = F.array(*[F.lit(w) for w in kept])
     held = F.array_distinct(F.filter("_w", lambda w: w.isin(kept))) if kept else F.array().cast("array<string>")
+    held = F.transform(held, lambda w: F.array_position(listed, w).cast("int") - 1) if kept else held.cast("array<int>")
     rows = rows.withColumn("_f", held).withColumn("_g", grown).select(
         "_row", "_u", F.size("_w").cast("long").alias("n_tokens"), shares(F.col("_g")).alias("p"))
     rows = store(rows, "mix-rows")
