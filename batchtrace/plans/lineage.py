@@ -168,7 +168,7 @@ def batch_selection_detail(t, base_codes: DataFrame | None = None) -> DataFrame:
 def location_rows(t, spark, q: str | None = None) -> DataFrame:
     """L10 rows: location codes (P4 on the id) with partner labels from the overlay
     registry (J15 + J16)."""
-    locs = P.search_contains(t["location_codes"], "location_id", q)
+    locs = P.project(P.search_contains(t["location_codes"], "location_id", q), "location_codes")
     return J.with_partner(locs, _partner_registry(t, spark))
 
 
@@ -210,7 +210,7 @@ def batches_of_sku(t, sku: str, include_archived: bool = False) -> DataFrame:
 
 def conversion_how_rows(t, q: str | None = None) -> DataFrame:
     """Active conversion hows, P4 on the code."""
-    return P.search_contains(P.active(t["conversion1_how"]), "conversion1_how_code", q)
+    return P.project(P.search_contains(P.active(t["conversion1_how"]), "conversion1_how_code", q), "conversion1_how")
 
 
 def product_rows(t, how_code: str | None = None, q: str | None = None) -> DataFrame:

@@ -158,10 +158,3 @@ def role_table(spark: SparkSession) -> DataFrame:
     """(role_group, permission) pairs, one row per granted permission (about 90 rows)."""
     rows = [(r, p) for r, perms in ROLE_GROUPS.items() for p in sorted(set(perms))]
     return spark.createDataFrame(rows, "role_group string, permission string")
-
-
-def seeds_with_audit(spark: SparkSession) -> DataFrame:
-    """Default partners with the location_partners audit columns (NULL)."""
-    return partner_seeds(spark).select(
-        "partner_code", "partner_name", "machine_specification",
-        F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("string").alias("created_by"))

@@ -126,3 +126,24 @@ def test_setops(spark):
     assert sorted((r.k, r.source) for r in u.collect()) == [("x", "A"), ("x", "B"), ("y", "A")]
     req = spark.createDataFrame([(1, ["q", "x", "q"])], "request_id long, vals array<string>")
     assert U.unknown(req, "vals", a, "k", "Unknown: ").first().message == "Unknown: q"
+
+
+def test_check_unique_reports_repeated_keys(spark):
+    from batchtrace.operators import quality as Q
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1)], "k string, v int")
+    got = Q.check_unique(df, ["k", "v"], "t").collect()
+    assert [(r.k, r.v, r.n, r.rule) for r in got] == [("a", 1, 2, "duplicate_key")]
+
+
+def test_weights_and_variants_of_one_parent(spark):
+    from batchtrace.plans import lineage as LN
+    from batchtrace.sources.tpch import domain
+    t = domain(spark, "/root/testdata/sf0.001")
+    head = t.batch_variants.orderBy("set_code").first()
+    w = LN.weights_of_set(t, head.set_code).collect()
+    v = LN.variants_of_weight(t, head.set_code, head.weight_code).collect()
+    assert [r.weight_code for r in w] == [head.weight_code] and [r.batch_variant_code for r in v] == [head.batch_variant_code]
+    sku = v[0]["items"][0].sku
+    codes = [r.ingredient_batch_code for r in LN.batches_of_sku(t, sku, include_archived=True).collect()]
+    assert codes and codes == sorted(codes)
+    assert LN.sku_summary_ingredient(t, spark.createDataFrame([(sku.lower(),)], "sku string")).first().sku == sku
