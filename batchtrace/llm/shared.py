@@ -41,7 +41,8 @@ def store(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     STORED.append(path)
-    df.write.parquet(path)
+    # small row groups: a task that writes whole texts buffers one group in memory
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
