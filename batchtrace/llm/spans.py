@@ -4,6 +4,9 @@ Every run of ``run`` consecutive sentences of a document is hashed; the runs of
 counted by hash in one shuffle (with partial sums, so a passage found everywhere is one row a task),
 and the runs of repeated hashes are joined back. Sentences covered by a repeated run that is not
 its first occurrence are removed; the rest of the text stays as it was, white space included.
+
+``dedup_passages`` finds every repeated passage of 51 words or more: long sentences are cut further at
+words chosen by their hash, and a run takes as many pieces as it needs to hold enough words.
 """
 
 from __future__ import annotations
@@ -16,6 +19,11 @@ RUN = 2
 MIN_WORDS = 16
 #: A sentence ends after . ! or ? before white space, or at a line end; it owns the white space behind it.
 SENTENCE = r"(?s).+?(?:[.!?]\s+|\n\s*|\z)"
+#: Of every so many neighbouring words of a sentence, the one with the smallest hash ends a piece.
+WINDOW = 17
+#: Bits of the filter of repeated runs: at most BITS / 64 rows of two longs (4 MB), whatever the corpus;
+#: with more repeated runs only more others are shuffled.
+BITS = 1 << 24
 
 
 def dedup_spans(docs: DataFrame, carry: list[str] | None = None, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -58,3 +66,80 @@ def dedup_spans(docs: DataFrame, carry: list[str] | None = None, run: int = RUN,
         F.array_join(F.transform("_kept", lambda i: F.get("_p", i)), ""))
     return out.select("_row.*", text.alias("text"), F.col("_np").cast("long").alias("n_sentences"),
                       F.coalesce(F.col("_np") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def _pieces(sentences: str, window: int) -> str:
+    """SQL for the pieces of a column of sentences: each sentence of ``window`` words or more is cut
+    behind the word with the smallest hash (ties: the last) of every ``window`` neighbouring words.
+    No piece is longer than that, and a cut depends on the words near it alone."""
+    low = (1 << 24) - 1
+    key = rf"(xxhash64(lower(trim('\t\n\u000B\u000C\r ', x))) & {~low}) | ({low} - (i & {low}))"
+    least = f"transform(sequence(0, size(t) - {window}), i -> cast({low} - (array_min(slice(k, i + 1, {window})) & {low}) as int))"
+    # arrays of one element give a name to a value that is used more than once
+    ends = f"concat(array(-1), filter(array_distinct({least}), c -> c < size(t) - 1), array(size(t) - 1))"
+    cut = f"""transform(array(transform(t, (x, i) -> {key})), k -> transform(array({ends}), c ->
+        transform(sequence(1, size(c) - 1), j -> array_join(slice(t, c[j - 1] + 2, c[j] - c[j - 1]), '')))[0])[0]"""
+    words = r"array(regexp_extract_all(s, '\\s*\\S+\\s*', 0))"
+    return f"""flatten(transform({sentences}, s -> case when length(s) < {2 * window - 1} then array(s)
+        else transform({words}, t -> case when size(t) < {window} then array(s) else {cut} end)[0] end))"""
+
+
+def dedup_passages(docs: DataFrame, carry: list[str] | None = None, run: int = RUN, min_words: int = MIN_WORDS,
+                   window: int = WINDOW) -> DataFrame:
+    """``carry`` columns (default: all) with ``text`` after removal, plus n_pieces and n_removed.
+
+    A run begins (or ends) at any piece and takes as many pieces as it needs, ``run`` at least, to
+    hold ``min_words`` words; so a repeated passage is removed from its first whole piece to its
+    last, whatever the length of its pieces. Two copies of w words have equal pieces of w - 2 * window
+    + 1 words or more between them, so with the defaults (18 words, two pieces) any passage of 51
+    words or more loses all but the ends of its later copies. Words are
+    compared after lower-casing; sentence ends must be the same in both places. First
+    occurrences, repeated rows, null and empty texts and tables as in ``dedup_spans``. Input columns
+    n_pieces and n_removed are replaced.
+    """
+    added = ["n_pieces", "n_removed"]
+    cols = [c for c in (docs.columns if carry is None else carry) if c not in (*added, "text")]
+    sentences = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SENTENCE), F.lit(0))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"),
+                       F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_rank"), F.monotonically_increasing_id().alias("_rid"),
+                       F.col("text"), sentences.alias("_s"))
+    rows = rows.withColumn("_p", F.expr(_pieces("_s", window)))
+    rows = rows.withColumn("_n", F.expr(r"""transform(_p, s ->
+        filter(split(lower(trim('\t\n\u000B\u000C\r ', s)), '\\s+'), w -> w <> ''))"""))
+    rows = rows.withColumn("_h", F.transform("_n", lambda w: F.xxhash64(w))).withColumn("_w", F.transform("_n", F.size))
+    # most runs are the fewest pieces allowed
+    short = {d: " + ".join(f"get(_w, i {d} {k})" for k in range(run)) + f" >= {min_words} then {run}" for d in "+-"}
+    enough, reach = f"a.n >= {run} and a.words >= {min_words}", run + min_words
+    grow = (f"aggregate({{}}, named_struct('n', 0, 'words', 0), (a, x) -> case when {enough} then a "
+            f"else named_struct('n', a.n + 1, 'words', a.words + x) end, a -> case when {enough} then a.n else 0 end)")
+    onward = grow.format(f"slice(_w, i + 1, {reach})")
+    back = grow.format(f"reverse(slice(_w, greatest(1, i + 2 - {reach}), least(i + 1, {reach})))")
+    rows = rows.withColumn("_f", F.expr(f"transform(_w, (w, i) -> case when {short['+']} else {onward} end)"))
+    rows = rows.withColumn("_b", F.expr(f"transform(_w, (w, i) -> case when {short['-']} else {back} end)"))
+    runs = """transform(concat(filter(transform(_f, (n, i) -> named_struct('p', i, 'n', n)), r -> r.n > 0),
+                               filter(transform(_b, (n, i) -> named_struct('p', i + 1 - n, 'n', n)), r -> r.n > 0 and _f[r.p] <> r.n)),
+                        r -> named_struct('h', xxhash64(slice(_h, r.p + 1, r.n)), 'p', r.p, 'n', r.n))"""
+    rows = store(rows.select("_row", "_rank", "_rid", "text", F.size("_p").alias("_np"), F.expr(runs).alias("_runs")), "passage-rows")
+
+    # equal runs all begin or all end at their piece, so of two in a row the first in the list is first in the text
+    found = rows.withColumn("_hs", F.col("_runs.h")).withColumn("_again", F.expr("size(array_distinct(_hs)) < size(_hs)")).select(
+        "_rid", "_rank", F.explode(F.expr("""transform(_runs, (r, i) -> named_struct('h', r.h, 'p', r.p, 'n', r.n,
+            'again', _again and array_position(_hs, r.h) <= i))""")).alias("x")).select("_rid", "_rank", "x.*")
+    first = store(found.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min_by("_rid", "_rank").alias("rid"))
+                  .where("rows > 1").select("h", "rid"), "passage-first")
+    # a broadcast of bounded size keeps most runs that are not repeated out of the second shuffle
+    slot = F.col("h").bitwiseAND(F.lit(BITS - 1))
+    filt = first.groupBy(F.shiftright(slot, 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("_mask"))
+    hits = (found.join(F.broadcast(filt), F.shiftright(slot, 6) == F.col("_word"))
+            .where("(shiftrightunsigned(_mask, cast(h & 63 as int)) & 1L) = 1L").drop("_rank", "_word", "_mask"))
+    gone = (hits.join(first, "h").where("again or _rid <> rid")
+            .groupBy("_rid").agg(F.collect_list(F.struct("p", "n")).alias("_at")))
+    out = rows.drop("_runs").join(gone, "_rid", "left").withColumn("_kept", F.expr("""case when _at is not null then
+        array_except(sequence(0, _np - 1), flatten(transform(_at, r -> sequence(r.p, r.p + r.n - 1)))) end"""))
+    # pieces are found again, in the changed texts only
+    out = out.withColumn("_s", F.when(F.col("_at").isNotNull(), sentences)).withColumn("_p", F.expr(_pieces("_s", window)))
+    text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform("_kept", lambda i: F.get("_p", i)), ""))
+    return out.select("_row.*", text.alias("text"), F.col("_np").cast("long").alias("n_pieces"),
+                      F.coalesce(F.col("_np") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"))

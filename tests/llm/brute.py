@@ -99,3 +99,40 @@ def dedup_spans(docs, run, min_words):
         seen |= set(mine)
         out[i] = "".join(p for k, p in enumerate(parts) if k not in gone) if gone else docs[i]
     return out
+
+
+def pieces(text, window):
+    """Sentences, those of ``window`` words or more cut at the last smallest hash of every window."""
+    out = []
+    for s in sentences(text):
+        t = re.findall(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*", s)
+        if len(t) < window:
+            out.append(s)
+            continue
+        hashes = [xxhash.xxh64_intdigest(x.strip(" \t\n\x0b\f\r").lower().encode(), 42) for x in t]
+        key = [((h - (h >> 63 << 64)) >> 24, -i) for i, h in enumerate(hashes)]
+        ends = sorted({-min(key[i:i + window])[1] for i in range(len(t) - window + 1)} | {len(t) - 1})
+        out += ["".join(t[a + 1:b + 1]) for a, b in zip([-1, *ends], ends)]
+    return out
+
+
+def dedup_passages(docs, run, min_words, window):
+    """doc_id -> text without the pieces of repeated runs, grown both ways, that are not first."""
+    seen, out = set(), {}
+    for i in sorted(docs):
+        parts = pieces(docs[i], window)
+        norm = [tuple(words(p.lower())) for p in parts]
+        runs = set()
+        for a in range(len(norm)):
+            onward = [b for b in range(a + run, len(norm) + 1) if sum(map(len, norm[a:b])) >= min_words]
+            back = [b for b in range(a + 1 - run, -1, -1) if sum(map(len, norm[b:a + 1])) >= min_words]
+            runs |= {(a, b) for b in onward[:1]} | {(b, a + 1) for b in back[:1]}
+        gone, mine = set(), set()
+        for a, b in sorted(runs):
+            key = tuple(norm[a:b])
+            if key in seen or key in mine:
+                gone |= set(range(a, b))
+            mine.add(key)
+        seen |= mine
+        out[i] = "".join(p for k, p in enumerate(parts) if k not in gone) if gone else docs[i]
+    return out
