@@ -124,3 +124,61 @@ FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
 SQL["op7_secrets"] = _secrets()
+
+
+def _urls() -> str:
+    """Reputation by level, each with the strength that its own spread gives."""
+    from batchtrace.llm.queries import URL_RULES
+    from batchtrace.llm.urls import DEVIATIONS, MAX_BAD, MAX_STRENGTH, MIN_STRENGTH, SUFFIXES
+    two = " ".join(f"WHEN ends_with(name, '.{s}') THEN '{s}'" for s in SUFFIXES)
+    least, most = 1 / (MAX_STRENGTH + 1), 1 / (MIN_STRENGTH + 1)
+
+    def level(name: str, rows: str) -> str:
+        return f"""
+{name}_in AS ({rows}),
+{name}_s AS (SELECT 1 / least(greatest(coalesce(CASE WHEN room > 0 THEN over / room END, {least}), {least}), {most}) - 1 AS s
+    FROM (SELECT sum(pow(bad - seen * prior, 2) / seen - prior * (1 - prior)) FILTER (seen > 0) AS over,
+                 sum(prior * (1 - prior) * (seen - 1)) FILTER (seen > 0) AS room FROM {name}_in)),
+{name} AS (SELECT *, (prior * s + bad) / (s + seen) AS mean, s + seen AS size FROM {name}_in, {name}_s)"""
+
+    rules = sorted(URL_RULES, key=lambda r: -len("".join(r[1])))
+    fits = [(v, h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, (h, p) in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for _, r, f in fits) + " END"
+    says = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for v, _, f in fits) + " END"
+    return rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS name, count(l.bad) AS seen,
+             coalesce(sum(l.bad), 0) AS bad FROM p LEFT JOIN l ON l.doc_id = p.page_id GROUP BY host),
+u AS (SELECT *, CASE {two} ELSE string_split(name, '.')[-1] END AS suffix FROM h),
+hosts AS (SELECT *, CASE WHEN length(name) <= length(suffix) + 1 OR regexp_matches(name, '^[0-9.]+$|^\[') THEN name
+                         ELSE string_split(left(name, length(name) - length(suffix) - 1), '.')[-1] || '.' || suffix END AS domain FROM u),
+domains AS (SELECT domain, suffix, sum(seen) AS seen, sum(bad) AS bad FROM hosts GROUP BY ALL),
+tops AS (SELECT suffix, sum(seen) AS seen, sum(bad) AS bad FROM domains GROUP BY ALL),
+{level("t", "SELECT *, (SELECT (sum(bad) + 0.5) / (sum(seen) + 1) FROM tops) AS prior FROM tops")},
+{level("d", "SELECT domains.*, t.mean AS prior FROM domains JOIN t USING (suffix)")},
+{level("r", "SELECT hosts.host, hosts.seen, hosts.bad, d.mean AS prior FROM hosts JOIN d USING (domain)")}
+SELECT p.page_id, p.host, p.path, {rule.replace("host ", "p.host ").replace("(host,", "(p.host,").replace("(path,", "(p.path,")} AS rule,
+       coalesce({says.replace("host ", "p.host ").replace("(host,", "(p.host,").replace("(path,", "(p.path,")},
+                CASE WHEN r.mean - {DEVIATIONS} * sqrt(r.mean * (1 - r.mean) / (r.size + 1)) > {MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN r ON r.host = p.host"""
+
+
+SQL["op11_url_filter"] = _urls()
+
+SQL["op12_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                  list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label,
+             CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+            AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from batchtrace.llm import chat, exact, langid, mix, pack, quality, rollup, secret_scan, simhash, spans
+from batchtrace.llm import chat, exact, langid, mix, negatives, pack, quality, rollup, secret_scan, simhash, spans, urls, whiten
 from batchtrace.llm.shared import scratch, table
 
 
@@ -105,6 +105,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+#: Verdict, host and path of the listed rules.
+URL_RULES = [("block", ("net", "/")), ("allow", ("example.net", "/en/")), ("block", ("example.com", "/de/")), ("allow", ("org", "/fr/"))]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url. The labels' ids are taken as page ids: bad is low quality or toxic."""
+    outcomes = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    out = urls.filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES, carry=["page_id"])
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector's positives; every seventh vector has the next label."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), anchor=vec_id % 100 == 0, label=shifted)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First eight whitened components of every vector."""
+    finite = F.expr("forall(embedding, c -> c is not null and abs(cast(c as double)) < double('infinity'))")
+    near = F.transform("embedding", lambda c: F.least(F.greatest(
+        F.floor(c.cast("double") * 1024), F.lit(-whiten.MAX_ENTRY)), F.lit(whiten.MAX_ENTRY)).cast("long") + 100_000)
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), F.when(finite, near), carry=["vec_id"])
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_quality_rules, op3_token_rollup, op4_sentence_spans, op4_passage_spans, op5_packing, op6_simhash, op7_secrets,
-    op8_exact_dedup, op9_chat, op10_language_id)}
+    op8_exact_dedup, op9_chat, op10_language_id, op11_url_filter, op12_hard_negatives, op13_whitening)}
