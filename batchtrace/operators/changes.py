@@ -27,13 +27,26 @@ def _with_counts(df: DataFrame, **named: Column) -> DataFrame:
     return df.agg(*_counts(**named))
 
 
+def _role_reason() -> Column:
+    """First failed check of a role change, else NULL."""
+    return (F.when(blank_to_null("email").isNull(), F.lit("email_required"))
+            .when(~F.coalesce(F.lower(F.trim("role_group")).isin(*R.ROLE_GROUPS), F.lit(False)), F.lit("invalid_role_group")))
+
+
+def role_rejects(changes: DataFrame) -> DataFrame:
+    """The role changes that ``upsert_roles`` refuses, with the reason: an email and a known role
+    are required."""
+    return changes.withColumn("reason", _role_reason()).where("reason IS NOT NULL")
+
+
 def upsert_roles(target: DataFrame, changes: DataFrame, as_of, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """MERGE by lower-cased email. Matched rows get the new names, role, permissions and
     active flag plus update stamps (email and created_* kept); unmatched changes are
     inserted. Emails and roles are trimmed and lower-cased, blank names become NULL, and the
-    permissions are those of the role. The change batch is first reduced to its last change
-    per email (``order``)."""
-    ch = changes.withColumn("_k", F.lower(F.trim("email"))).withColumn("role_group", F.lower(F.trim("role_group")))
+    permissions are those of the role. Changes without an email or with an unknown role are left
+    out (``role_rejects``). The batch is then reduced to its last change per email (``order``)."""
+    ch = changes.where(_role_reason().isNull())
+    ch = ch.withColumn("_k", F.lower(F.trim("email"))).withColumn("role_group", F.lower(F.trim("role_group")))
     ch = ch.withColumn("first_name", blank_to_null("first_name")).withColumn("last_name", blank_to_null("last_name"))
     ch = O.first_per_key(ch, ["_k"], [(c, True) for c in order])
     granted = F.create_map(*[x for r, p in R.ROLE_GROUPS.items()
@@ -87,9 +100,9 @@ def last_per_key(changes: DataFrame, key: list[str], order: list[str]) -> DataFr
 
 
 def _patch(target: DataFrame, changes: DataFrame, key: list[str], value_of, as_of,
-           stamp: bool = True, active_only: bool = False) -> tuple[DataFrame, DataFrame]:
+           stamp: bool = True, active_only: bool = False, by: bool = True) -> tuple[DataFrame, DataFrame]:
     """Left join target with its changes (one per key) and rewrite columns; ``active_only``
-    leaves inactive rows alone."""
+    leaves inactive rows alone, ``by`` also stamps the actor."""
     ch = changes.select(*key, *[F.col(c).alias(f"_s_{c}") for c in changes.columns if c not in key],
                         F.lit(True).alias("_hit"))
     j = target.join(ch, key, "left")
@@ -101,7 +114,7 @@ def _patch(target: DataFrame, changes: DataFrame, key: list[str], value_of, as_o
         v = value_of(c, hit)
         if stamp and c == "updated_at":
             v = F.when(hit, _ts(as_of)).otherwise(F.col(c))
-        elif stamp and c == "updated_by" and "_s_actor" in j.columns:
+        elif stamp and by and c == "updated_by" and "_s_actor" in j.columns:
             v = F.when(hit, F.col("_s_actor")).otherwise(F.col(c))
         cols.append((v if v is not None else F.col(c)).alias(c))
     out = j.select(*cols, hit.alias("_hit"))
@@ -140,6 +153,17 @@ def patch_keep_null(target: DataFrame, changes: DataFrame, key: list[str], cols:
     return _patch(target, ch, key, value_of, as_of, active_only="is_active" in target.columns)
 
 
+def patch_bags(bags: DataFrame, changes: DataFrame, as_of, key: list[str],
+               order: list[str] = ORDER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """R4 for bags: keep-null patch of the editable columns; changes to a negative remaining mass are
+    refused. Returns (new bags, rejects, counts)."""
+    negative = F.coalesce(F.col("remaining_mass_kg") < 0, F.lit(False)) if "remaining_mass_kg" in changes.columns else F.lit(False)
+    new, counts = patch_keep_null(bags, changes.where(~negative), key, BAG_PATCH_COLUMNS, as_of, order)
+    rejects = changes.where(negative).select(*key, F.lit("bounds_remaining_mass_kg").alias("rule"),
+                                             F.lit("remaining_mass_kg must be >= 0").alias("message"))
+    return new, rejects, counts
+
+
 def patch_columns(target: DataFrame, changes: DataFrame, key: list[str], editable: list[str], as_of,
                   overwrite_all: bool = False, order: list[str] = ORDER) -> tuple[DataFrame, DataFrame]:
     """Overwrite the editable columns present in ``changes`` (NULL overwrites), active rows
@@ -259,7 +283,8 @@ DOCUMENT_COLUMNS = {
 
 def set_document(target: DataFrame, pointers: DataFrame, key: list[str], kind: str,
                  as_of) -> tuple[DataFrame, DataFrame]:
-    """Point each row at its newest uploaded document (O5 by uploaded_at, then path)."""
+    """Point each row at its newest uploaded document (O5 by uploaded_at, then path). A safety
+    sheet stamps its actor, a batch's spec sheet the time only."""
     latest = O.first_per_key(pointers, key, [("uploaded_at", True), ("object_path", True)])
     mapping = DOCUMENT_COLUMNS[kind]
     ch = latest.select(*key, *[F.col(src).alias(dst) for src, dst in mapping.items()],
@@ -267,7 +292,7 @@ def set_document(target: DataFrame, pointers: DataFrame, key: list[str], kind: s
 
     def value_of(c, hit):
         return F.when(hit, F.col(f"_s_{c}")).otherwise(F.col(c)) if c in mapping.values() else None
-    return _patch(target, ch, key, value_of, as_of)
+    return _patch(target, ch, key, value_of, as_of, by=kind != "spec")
 
 
 def delete_sets(sets: DataFrame, items: DataFrame, codes: DataFrame,

@@ -91,13 +91,12 @@ def check_enums(df: DataFrame, keys: list[str], vocab: dict[str, list[str]], rep
 def check_membership(req: DataFrame, array_col: str, ref: DataFrame, ref_col: str, prefix: str,
                      scope: list[str] | None = None, key: str = "request_id") -> DataFrame:
     """Values of ``array_col`` absent from ``ref`` (within ``scope``), reported per
-    request as '<prefix>a, b' in request order (duplicates listed once)."""
+    request as '<prefix>a, b' in request order (a value that is asked for again is listed again)."""
     scope = scope or []
     e = req.select(key, *scope, F.posexplode(array_col).alias("_pos", "_val"))
     r = ref.select(*scope, F.col(ref_col).alias("_val")).distinct()
     missing = e.join(r, [*scope, "_val"], "left_anti")
-    first = missing.groupBy(key, "_val").agg(F.min("_pos").alias("_pos"))
-    g = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_val"))).alias("_m"))
+    g = missing.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_val"))).alias("_m"))
     return g.select(key, F.lit("membership").alias("rule"),
                     F.concat(F.lit(prefix), F.array_join(F.transform("_m", lambda x: x["_val"]), ", ")).alias("message"))
 

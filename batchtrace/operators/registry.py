@@ -212,8 +212,7 @@ def register_batch_variants(requests: DataFrame, state, as_of, start: int = 1):
                     "malformed_pair", "sku and ingredient_batch_code are required")
     stored = state["ingredient_batches"].select("sku", "ingredient_batch_code").distinct()
     named = known.select("request_id", F.posexplode("items").alias("_pos", "_i")).select("request_id", "_pos", "_i.*")
-    missing = named.join(stored, ["sku", "ingredient_batch_code"], "left_anti").groupBy(
-        "request_id", "sku", "ingredient_batch_code").agg(F.min("_pos").alias("_pos"))
+    missing = named.join(stored, ["sku", "ingredient_batch_code"], "left_anti")
     unknown = missing.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(
         "_pos", F.concat_ws(":", "sku", "ingredient_batch_code").alias("_val")))).alias("_m")).select(
         "request_id", F.lit("membership").alias("rule"),
@@ -478,15 +477,16 @@ def _with_options(req: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
 # ---- M11: pellet bags ---------------------------------------------------------------------------
 
 def mint_bags(requests: DataFrame, state, as_of, start: int = 0):
-    """The how must exist and be active, product type PR/PF/PI, 1..500 bags, mass >= 0, and
-    the optional purpose, reference sample and statuses (blank: none, 'Recieved' repaired) from
+    """The how must exist and be active, product type PR/PF/PI, 1..500 bags, mass and (optional)
+    remaining mass >= 0, and the optional purpose, reference sample and statuses (blank: none, 'Recieved' repaired) from
     their lists; each request takes ``number_of_bags`` consecutive global sequence numbers (counter
     'pellet_bag_sequence', scope 'pellet_bag:global', from 0). Code = 'how type 0001'.
     Bag ids are derived from the code (deterministic, so reruns give the same ids)."""
     req = requests.withColumn("compounding_how_code", collapse_ws("compounding_how_code")) \
                   .withColumn("product_type", F.upper(F.trim("product_type")))
-    hows = state["compounding_how"].where("is_active").select(
-        F.col("processing_code").alias("compounding_how_code"), F.lit(True).alias("_okh"))
+    hows = state["compounding_how"].where("is_active").select(F.col("processing_code").alias("compounding_how_code")) \
+        .distinct().withColumn("_okh", F.lit(True))
+    req = req.withColumn("remaining_mass_kg", _optional(req, "remaining_mass_kg", "double"))
     req = _with_options(req, {**R.STATUS_VOCAB, "purpose": R.PURPOSE_OPTIONS,
                               "reference_sample_taken": R.REFERENCE_SAMPLE_OPTIONS})
     j = req.join(hows, "compounding_how_code", "left")
@@ -495,6 +495,7 @@ def mint_bags(requests: DataFrame, state, as_of, start: int = 0):
               .when(~F.coalesce(F.col("number_of_bags").between(1, R.MAX_BAGS_PER_REQUEST), F.lit(False)),
                     F.lit("invalid_number_of_bags"))
               .when(~F.coalesce(F.col("bag_mass_kg") >= 0, F.lit(False)), F.lit("invalid_bag_mass"))
+              .when(F.col("remaining_mass_kg") < 0, F.lit("invalid_remaining_mass"))
               .when(F.col("_okh").isNull(), F.lit("unknown_or_inactive_how"))
               .when(F.col("_bad").isNotNull(), F.col("_bad")))
     j = j.withColumn("_r", reason)

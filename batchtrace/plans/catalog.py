@@ -7,6 +7,7 @@ engines; the library functions themselves return the nested form.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -25,6 +26,7 @@ from batchtrace.plans import lineage as LN, views as V
 from batchtrace.session import checkpoint_dir, ship
 from batchtrace.sources import registries as R
 from batchtrace.sources import schemas as S
+from batchtrace.sources.commits import APPEND, REPLACE, TableStore, change_tables
 from batchtrace.sources.tpch import BAG_SCOPE, domain
 from batchtrace.streaming import register_stream as T
 
@@ -612,6 +614,12 @@ def upsert_roles(spark, sf_dir):
                       "is_active", "created_at", "created_by", "updated_at", "updated_by")
 
 
+@query
+def role_rejects(spark, sf_dir):
+    """Role changes without an email or with an unknown role."""
+    return CH.role_rejects(domain(spark, sf_dir).chg_roles).select("event_id", "email", "role_group", "reason")
+
+
 @query
 def upsert_roles_counts(spark, sf_dir):
     t = domain(spark, sf_dir)
@@ -643,11 +651,17 @@ def seed_counters(spark, sf_dir):
 def patch_bags(spark, sf_dir):
     """Keep-null patch of bags by bag id (NULL means keep; a bag may have several changes)."""
     t = domain(spark, sf_dir)
-    new, _ = CH.patch_keep_null(t.pellet_bags, t.chg_bags.drop("pellet_bag_code"), ["pellet_bag_id"],
-                                CH.BAG_PATCH_COLUMNS, AS_OF)
+    new, _, _ = CH.patch_bags(t.pellet_bags, t.chg_bags.drop("pellet_bag_code"), AS_OF, ["pellet_bag_id"])
     return new.select("pellet_bag_id", "pellet_bag_code", *CH.BAG_PATCH_COLUMNS, "updated_at", "updated_by")
 
 
+@query
+def patch_bag_rejects(spark, sf_dir):
+    """Bag changes to a negative remaining mass."""
+    t = domain(spark, sf_dir)
+    return CH.patch_bags(t.pellet_bags, t.chg_bags.drop("pellet_bag_code"), AS_OF, ["pellet_bag_id"])[1]
+
+
 @query
 def patch_products(spark, sf_dir):
     """Listed-column patch of products (NULL overwrites supplied columns only)."""
@@ -709,15 +723,31 @@ def set_document(spark, sf_dir):
                       "updated_at", "updated_by")
 
 
+@query
+def set_spec_document(spark, sf_dir):
+    """Newest spec sheet of every received batch (two uploads each); the actor is not stamped."""
+    t = domain(spark, sf_dir)
+    b = t.ingredient_batches.where("received_at IS NOT NULL").select("sku", "ingredient_batch_code", "received_at")
+    last = b.select("sku", "ingredient_batch_code", F.concat(F.lit("specs/"), "sku", F.lit("/"), "ingredient_batch_code", F.lit(".pdf"))
+                    .alias("object_path"), F.timestamp_add("DAY", F.lit(3), F.col("received_at")).alias("uploaded_at"))
+    first = b.select("sku", "ingredient_batch_code", F.concat(F.lit("specs/"), "sku", F.lit("/first.pdf")).alias("object_path"),
+                     F.col("received_at").alias("uploaded_at"))
+    uploads = last.unionByName(first).withColumn("actor", F.lit("admin@example.com"))
+    new, _ = CH.set_document(t.ingredient_batches, uploads, ["sku", "ingredient_batch_code"], "spec", AS_OF)
+    return new.select("sku", "ingredient_batch_code", "spec_object_path", "spec_uploaded_at", "updated_at", "updated_by")
+
+
 @query
 def cascade_delete(spark, sf_dir):
-    """A delete request for the set of every second order; sets with dependants are
-    blocked with their counts."""
+    """A delete request for the set of every order and for every newly registered set; sets with
+    dependants are blocked with their counts."""
     t = domain(spark, sf_dir)
-    codes = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 2 = 0").select(
-        F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("set_code"))
+    _, _, made = M.register_sets(t.req_sets, t, AS_OF)
+    codes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("set_code")).unionByName(made["ingredient_sets"].select("set_code"))
     deps = A.dependency_counts(t.dry_weight_variants, t.batch_variants, t.location_codes)
-    sets, _, blocked = CH.delete_sets(t.ingredient_sets, t.ingredient_set_items, codes, deps)
+    sets, _, blocked = CH.delete_sets(t.ingredient_sets.unionByName(made["ingredient_sets"]),
+                                      t.ingredient_set_items.unionByName(made["ingredient_set_items"]), codes, deps)
     kept = sets.select("set_code", F.lit("kept").alias("outcome"), F.lit(None).cast("string").alias("reason"))
     return kept.unionByName(blocked.select("set_code", F.lit("blocked").alias("outcome"), "reason"))
 
@@ -872,6 +902,66 @@ def stream_register_sets(spark, sf_dir):
     return out.select("request_id", (F.col("outcome") != "rejected").alias("accepted"), "set_code", "rule")
 
 
+CHAIN_DAY, CHAIN_CODE = "240115", "AB"
+
+
+@query
+def stream_chain(spark, sf_dir):
+    """Nine kinds of requests through one state, each kind made from the codes that the kinds before
+    it got: sets, weights, variants, locations, hows, bags, contexts, conversion hows, products."""
+    t = domain(spark, sf_dir)
+    work = f"{checkpoint_dir(spark).rstrip('/')}/stream-chain-{uuid.uuid4().hex}"
+    at = F.lit(AS_OF).cast("timestamp_ntz").alias("submitted_at")
+    actor = F.lit("chain@example.com").alias("actor")
+
+    def feed(kind: str, requests: DataFrame) -> T.StreamState:
+        requests.write.parquet(f"{work}/{kind}/in")
+        T.stream_register(spark, f"{work}/{kind}/in", kind, t, f"{work}/state", f"{work}/{kind}/checkpoint", requests.schema,
+                          AS_OF, files_per_trigger=None).awaitTermination()
+        return T.StreamState(spark, t, f"{work}/state")
+
+    def done(kind: str) -> DataFrame:
+        return T.read_outcomes(spark, f"{work}/state", kind).where("outcome = 'created'")
+
+    state = feed("sets", t.req_sets)
+    skus = state["ingredient_set_items"].join(done("sets").select("set_code"), "set_code", "left_semi").groupBy("set_code").agg(
+        F.sort_array(F.collect_set("sku")).alias("skus"))
+    one = F.floor(F.lit(10000) / F.size("skus")) / 100
+    items = F.transform("skus", lambda s, i: F.struct(s.alias("sku"), F.when(i == 0, 100 - one * (F.size("skus") - 1)).otherwise(one)
+                                                      .alias("wt_percent")))
+    state = feed("weights", skus.select(F.col("set_code").alias("request_id"), at, "set_code", items.alias("items"),
+                                        F.lit(None).cast("string").alias("notes"), actor))
+    batch = t.ingredient_batches.groupBy("sku").agg(F.min("ingredient_batch_code").alias("ingredient_batch_code"))
+    lines = state["dry_weight_items"].join(done("weights").select("set_code", "weight_code"), ["set_code", "weight_code"], "left_semi")
+    lines = lines.join(batch, "sku").groupBy("set_code", "weight_code").agg(
+        F.sort_array(F.collect_list(F.struct("sku", "ingredient_batch_code"))).alias("items"))
+    feed("variants", lines.select(F.col("set_code").alias("request_id"), at, "set_code", "weight_code", "items", actor))
+    option = t.location_partners.where("trim(partner_code) <> '' AND trim(machine_specification) <> ''").agg(
+        F.min(F.struct(F.trim("partner_code").alias("partner_code"), F.trim("machine_specification").alias("machine_code"))).alias("o"))
+    option = option.select("o.*")
+    variants = done("variants").select("set_code", "weight_code", "batch_variant_code")
+    feed("locations", variants.crossJoin(F.broadcast(option)).select(  # one row
+        F.col("set_code").alias("request_id"), at, "set_code", "weight_code", "batch_variant_code", "partner_code",
+        F.lit(CHAIN_DAY).alias("production_date"), actor))
+    text = lambda name: F.lit(None).cast("string").alias(name)
+    feed("hows", done("locations").select("request_id", at, F.col("location_id").alias("location_code"),
+                                          F.lit(CHAIN_CODE).alias("process_code_suffix"), F.lit(R.FAILURE_MODES[0]).alias("failure_mode"),
+                                          text("machine_setup_url"), text("processed_data_url"), text("notes"), actor))
+    feed("bags", done("hows").select("request_id", at, F.col("processing_code").alias("compounding_how_code"),
+                                     F.lit("PF").alias("product_type"), F.lit(10.0).alias("bag_mass_kg"), F.lit(2).alias("number_of_bags"), actor))
+    feed("contexts", done("bags").crossJoin(F.broadcast(option)).select(  # one row
+        F.col("pellet_bag_code").alias("request_id"), at, "pellet_bag_code", option["partner_code"], "machine_code",
+        F.lit(CHAIN_DAY).alias("date_yymmdd"), actor))
+    feed("conversion_hows", done("contexts").select(
+        F.col("context_code").alias("request_id"), at, "context_code", text("process_code"), F.lit(CHAIN_CODE).alias("processing_code"),
+        F.lit("save").alias("submit_action"), text("failure_mode"), text("machine_setup_url"), text("processed_data_url"), actor))
+    feed("products", done("conversion_hows").select(
+        F.col("conversion1_how_code").alias("request_id"), at, "conversion1_how_code", F.lit(1).alias("number_of_records"), actor))
+    code = F.coalesce("product_code", "conversion1_how_code", "context_code", "pellet_bag_code", "processing_code", "location_id",
+                      F.concat_ws(" ", "set_code", "weight_code", "batch_variant_code"))
+    return T.read_outcomes(spark, f"{work}/state").where("outcome = 'created'").select("kind", code.alias("code"))
+
+
 @query
 def stream_register_weights(spark, sf_dir):
     """T1 for dry weights (codes numbered per set scope across micro-batches)."""
@@ -898,6 +988,91 @@ def schema_problems(spark, sf_dir):
     return S.require_schema(spark, {n: t[n] for n in S.SCHEMAS})
 
 
+@query
+def schema_file_problems(spark, sf_dir):
+    """S6 on files: partners stored in four part files, three of which drifted (a column less, one of
+    another type, one more), and a table that is not there."""
+    rows = domain(spark, sf_dir).location_partners.coalesce(1)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/drift-{uuid.uuid4().hex}"
+    for part in (rows, rows.drop("machine_specification"), rows.withColumn("created_at", F.col("created_at").cast("string")),
+                 rows.withColumn("region", F.lit("EU"))):
+        part.write.mode("append").parquet(f"{root}/location_partners")
+    found = S.file_problems(spark, root, ["location_partners", "user_roles"])
+    return found.groupBy("table_name", "column_name", "problem", "expected", "found").agg(F.count("file").alias("files"))
+
+
+@query
+def appended_batches(spark, sf_dir):
+    """S3: locations appended in one plain and two numbered batches, the last of them sent twice, and
+    read back."""
+    locs = domain(spark, sf_dir).location_codes
+    root = f"{checkpoint_dir(spark).rstrip('/')}/append-{uuid.uuid4().hex}"
+    part = F.pmod(F.crc32("location_id"), F.lit(3))
+    S.append(locs.where(part == 0), root, "location_codes")
+    for batch in (1, 2, 2):
+        S.append_batch(locs.where(part == batch), root, "location_codes", batch)
+    return S.read_table(spark, root, "location_codes").select("location_id", "partner_code", "created_at")
+
+
+@query
+def changed_snapshots(spark, sf_dir):
+    """R4 + R11 as commits: bags patched, then sets and their items deleted together, all read back."""
+    t = domain(spark, sf_dir)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    make = functools.partial(TableStore, base=t)
+
+    def patched(s):
+        return {"pellet_bags": (REPLACE, CH.patch_bags(s.pellet_bags, t.chg_bags.drop("pellet_bag_code"), AS_OF, ["pellet_bag_id"])[0])}
+
+    def registered(s):
+        _, _, new = M.register_sets(t.req_sets, s, AS_OF)
+        return {n: (APPEND, new[n]) for n in ("ingredient_sets", "ingredient_set_items")}
+
+    def deleted(s):
+        codes = s.ingredient_sets.select("set_code")
+        deps = A.dependency_counts(s.dry_weight_variants, s.batch_variants, s.location_codes)
+        sets, items, _ = CH.delete_sets(s.ingredient_sets, s.ingredient_set_items, codes, deps)
+        return {"ingredient_sets": (REPLACE, sets), "ingredient_set_items": (REPLACE, items)}
+
+    for change in (patched, registered, deleted):
+        change_tables(spark, root, change, make=make)
+    now = make(spark, root)
+    bags = now.pellet_bags.select(F.lit("bag").alias("part"), F.col("pellet_bag_id").alias("key"), "updated_by",
+                                  F.col("remaining_mass_kg").alias("value"))
+    items = now.ingredient_set_items.groupBy("set_code").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    sets = now.ingredient_sets.join(items, "set_code").select(F.lit("set").alias("part"), F.col("set_code").alias("key"),
+                                                              F.lit(None).cast("string").alias("updated_by"), "value")
+    return bags.unionByName(sets)
+
+
+@query
+def weights_of_set(spark, sf_dir):
+    """L2: the weight variants of one set."""
+    w = LN.weights_of_set(domain(spark, sf_dir), "S1")
+    return w.select("set_code", "weight_code", "weight_hash", V.pairs_text("items", "sku", "wt_percent").alias("items_text"))
+
+
+@query
+def variants_of_weight(spark, sf_dir):
+    """L3: the batch variants of one (set, weight)."""
+    v = LN.variants_of_weight(domain(spark, sf_dir), "S1", "AB")
+    return v.select("set_code", "weight_code", "batch_variant_code", V.pairs_text("items", "sku", "ingredient_batch_code").alias("items_text"))
+
+
+@query
+def role_list(spark, sf_dir):
+    """Stored roles."""
+    return LN.lookup_list(domain(spark, sf_dir), spark, "roles")
+
+
+@query
+def failure_mode_list(spark, sf_dir):
+    """Failure modes, with the number of active compounding hows that have each."""
+    t = domain(spark, sf_dir)
+    used = t.compounding_how.where("is_active").groupBy("failure_mode").agg(F.count(F.lit(1)).alias("n_hows"))
+    return LN.lookup_list(t, spark, "failure_modes").join(used, "failure_mode", "left").fillna({"n_hows": 0})
+
+
 @query
 def formulation_codes_fallback(spark, sf_dir):
     """Formulation codes from the base table when the view is unavailable."""

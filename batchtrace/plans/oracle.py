@@ -392,10 +392,9 @@ def _membership(req: str, arr: str, ref: str, prefix: str, scope: list[str] | No
     on = " AND ".join([f"r.{c} = e.{c}" for c in scope] + ["r.val = e.val"])
     return f"""
 SELECT request_id, 'membership' AS rule, '{prefix}' || string_agg(val, ', ' ORDER BY pos) AS message FROM (
-  SELECT e.request_id, e.val, min(e.pos) AS pos FROM (
+  SELECT e.request_id, e.val, e.pos FROM (
     SELECT request_id, {sc}unnest({arr}) AS val, unnest(range(len({arr}))) AS pos FROM {req}) e
-  WHERE NOT EXISTS (SELECT 1 FROM ({ref}) r WHERE {on})
-  GROUP BY e.request_id, e.val) GROUP BY request_id"""
+  WHERE NOT EXISTS (SELECT 1 FROM ({ref}) r WHERE {on})) GROUP BY request_id"""
 
 
 def _first(*parts: str) -> str:
@@ -623,6 +622,7 @@ r AS (SELECT * REPLACE ({_opt('qc_status')} AS qc_status, {_opt('density_status'
 j AS (SELECT r.*, CASE WHEN NOT coalesce(pt IN ({_PT}), FALSE) THEN 'invalid_product_type'
                        WHEN NOT coalesce(number_of_bags BETWEEN 1 AND {_R.MAX_BAGS_PER_REQUEST}, FALSE) THEN 'invalid_number_of_bags'
                        WHEN NOT coalesce(bag_mass_kg >= 0, FALSE) THEN 'invalid_bag_mass'
+                       WHEN remaining_mass_kg < 0 THEN 'invalid_remaining_mass'
                        WHEN how NOT IN (SELECT processing_code FROM compounding_how WHERE is_active)
                          THEN 'unknown_or_inactive_how'
                        WHEN qc_status NOT IN ({_vals(_R.STATUS_VOCAB['qc_status'])}) THEN 'invalid_qc_status'
@@ -789,6 +789,7 @@ _ROLE_MAP = "CASE lower(trim(role_group)) " + " ".join(
 _ROLES_J = f"""
 ch AS (SELECT lower(trim(email)) AS k, nullif(trim(first_name), '') AS first_name, nullif(trim(last_name), '') AS last_name,
               lower(trim(role_group)) AS role_group, {_ROLE_MAP} AS permissions, is_active, actor FROM chg_roles
+       WHERE trim(email) <> '' AND lower(trim(role_group)) IN ({", ".join(_lit(r) for r in _R.ROLE_GROUPS)})
        QUALIFY row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY ts DESC, event_id DESC) = 1),
 j AS (SELECT t.email AS temail, t.first_name AS tf, t.last_name AS tl, t.role_group AS tr, t.is_active AS ta,
              array_to_string(t.permissions, ',') AS tp, ch.permissions,
@@ -838,7 +839,7 @@ _BAG_COLS = [
 register("patch_bags", f"""
 WITH c AS (SELECT pellet_bag_id, arg_max(actor, submitted_at) AS actor,
                   {", ".join(f"arg_max({x}, submitted_at) FILTER ({x} IS NOT NULL) AS {x}" for x in _BAG_PRESENT)}
-           FROM chg_bags GROUP BY pellet_bag_id)
+           FROM chg_bags WHERE NOT coalesce(remaining_mass_kg < 0, FALSE) GROUP BY pellet_bag_id)
 SELECT b.pellet_bag_id, b.pellet_bag_code,
        {", ".join(f"CASE WHEN c.pellet_bag_id IS NOT NULL THEN coalesce(c.{x}, b.{x}) ELSE b.{x} END AS {x}" if x in _BAG_PRESENT
                   else f"b.{x}" for x in _BAG_COLS)},
@@ -947,14 +948,32 @@ FROM ingredients i LEFT JOIN ok o ON o.sku = i.sku""")
 _DEPS = """SELECT set_code, count(*) AS n, 'dry_weight_variants' AS source FROM dry_weight_variants GROUP BY set_code
 UNION ALL SELECT set_code, count(*), 'batch_variants' FROM batch_variants GROUP BY set_code
 UNION ALL SELECT set_code, count(*), 'location_codes' FROM location_codes GROUP BY set_code"""
+register("role_rejects", f"""
+SELECT event_id, email, role_group, CASE WHEN coalesce(trim(email), '') = '' THEN 'email_required' ELSE 'invalid_role_group' END AS reason
+FROM chg_roles WHERE coalesce(trim(email), '') = ''
+                  OR NOT coalesce(lower(trim(role_group)) IN ({", ".join(_lit(r) for r in _R.ROLE_GROUPS)}), FALSE)""")
+register("patch_bag_rejects", """
+SELECT pellet_bag_id, 'bounds_remaining_mass_kg' AS rule, 'remaining_mass_kg must be >= 0' AS message FROM chg_bags
+WHERE remaining_mass_kg < 0""")
+register("set_spec_document", f"""
+WITH u AS (SELECT sku, ingredient_batch_code, 'specs/' || sku || '/' || ingredient_batch_code || '.pdf' AS object_path,
+                  received_at + INTERVAL 3 DAY AS uploaded_at FROM ingredient_batches
+           UNION ALL SELECT sku, ingredient_batch_code, 'specs/' || sku || '/first.pdf', received_at FROM ingredient_batches),
+p AS (SELECT * FROM u WHERE uploaded_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sku, ingredient_batch_code ORDER BY uploaded_at DESC) = 1)
+SELECT b.sku, b.ingredient_batch_code, coalesce(p.object_path, b.spec_object_path) AS spec_object_path,
+       coalesce(p.uploaded_at, b.spec_uploaded_at) AS spec_uploaded_at,
+       CASE WHEN p.sku IS NOT NULL THEN {AS_OF_SQL} ELSE b.updated_at END AS updated_at, b.updated_by
+FROM ingredient_batches b LEFT JOIN p ON p.sku = b.sku AND p.ingredient_batch_code = b.ingredient_batch_code""")
 register("cascade_delete", f"""
-WITH req AS (SELECT 'S' || CAST(o_orderkey AS VARCHAR) AS set_code FROM orders WHERE o_orderkey % 2 = 0),
+WITH made AS (SELECT set_code FROM ({SQL_BODY["register_sets"]}) WHERE outcome = 'created'),
+all_sets AS (SELECT set_code FROM ingredient_sets UNION ALL SELECT set_code FROM made),
+req AS (SELECT 'S' || CAST(o_orderkey AS VARCHAR) AS set_code FROM orders UNION ALL SELECT set_code FROM made),
 deps AS ({_DEPS}),
 blocked AS (SELECT set_code, string_agg(source || '=' || CAST(n AS VARCHAR), ', '
                                         ORDER BY source || '=' || CAST(n AS VARCHAR)) AS reason
             FROM deps WHERE n > 0 AND set_code IN (SELECT set_code FROM req) GROUP BY set_code),
 allowed AS (SELECT set_code FROM req WHERE set_code NOT IN (SELECT set_code FROM blocked))
-SELECT set_code, 'kept' AS outcome, CAST(NULL AS VARCHAR) AS reason FROM ingredient_sets
+SELECT set_code, 'kept' AS outcome, CAST(NULL AS VARCHAR) AS reason FROM all_sets
 WHERE set_code NOT IN (SELECT set_code FROM allowed)
 UNION ALL SELECT set_code, 'blocked', reason FROM blocked""")
 register("seed_assignees", f"""
@@ -1126,3 +1145,42 @@ register("stream_register_weights", "SELECT request_id, outcome <> 'rejected' AS
          "FROM (" + SQL["register_weights"] + ") x")
 register("stream_register_variants", "SELECT request_id, outcome <> 'rejected' AS accepted, set_code, weight_code, "
          "batch_variant_code, rule FROM (" + SQL["register_variants"] + ") x")
+
+# ---- versioned tables, files, chained streams -------------------------------------------------
+register("stream_chain", """
+WITH made AS (SELECT set_code FROM (""" + SQL_BODY["register_sets"] + """) WHERE outcome = 'created'),
+opt AS (SELECT min(trim(partner_code)) AS p FROM location_partners WHERE trim(partner_code) <> '' AND trim(machine_specification) <> ''),
+base AS (SELECT coalesce((SELECT max(next_value) FROM code_counters WHERE counter_name = 'pellet_bag_sequence'
+                           AND scope = 'pellet_bag:global'), 0) AS bag, coalesce((SELECT max(next_suffix) FROM conversion1_product_counter), 0) AS product),
+l AS (SELECT set_code, set_code || ' AB AB ' || upper(p) || ' 240115' AS loc, row_number() OVER (ORDER BY set_code) - 1 AS i FROM made, opt),
+b AS (SELECT loc || ' AB PF ' || printf('%04d', bag + 2 * i + k) AS code FROM l, base, (VALUES (0), (1)) AS v(k)),
+c AS (SELECT code || ' ' || upper(p) || ' 240115' AS code FROM b, opt)
+SELECT 'sets' AS kind, set_code AS code FROM made
+UNION ALL SELECT 'weights', set_code || ' AB' FROM made
+UNION ALL SELECT 'variants', set_code || ' AB AB' FROM made
+UNION ALL SELECT 'locations', loc FROM l
+UNION ALL SELECT 'hows', loc || ' AB' FROM l
+UNION ALL SELECT 'bags', code FROM b
+UNION ALL SELECT 'contexts', code FROM c
+UNION ALL SELECT 'conversion_hows', code || ' AB' FROM c
+UNION ALL SELECT 'products', code || ' AB ' || printf('%04d', product + row_number() OVER (ORDER BY code || ' AB') - 1) FROM c, base""")
+register("schema_file_problems", """
+SELECT * FROM (VALUES ('location_partners', 'machine_specification', 'missing_column', 'string', NULL, 1),
+                      ('location_partners', 'created_at', 'wrong_type', 'timestamp_ntz', 'string', 1),
+                      ('location_partners', 'region', 'extra_column', NULL, 'string', 1),
+                      ('user_roles', NULL, 'missing_table', NULL, NULL, 0)) AS v(table_name, column_name, problem, expected, found, files)""")
+register("appended_batches", "SELECT location_id, partner_code, created_at FROM location_codes")
+register("changed_snapshots", """
+WITH blocked AS (SELECT DISTINCT set_code FROM (""" + _DEPS + """))
+SELECT 'bag' AS part, pellet_bag_id AS key, updated_by, remaining_mass_kg AS value FROM (""" + SQL_BODY["patch_bags"] + """)
+UNION ALL SELECT 'set', s.set_code, NULL, CAST((SELECT count(*) FROM ingredient_set_items i WHERE i.set_code = s.set_code) AS DOUBLE)
+FROM ingredient_sets s WHERE s.set_code IN (SELECT set_code FROM blocked)""")
+register("weights_of_set", f"""
+SELECT set_code, weight_code, weight_hash, {pairs('items', 'sku', 'wt_percent')} AS items_text FROM v_weights WHERE set_code = 'S1'""")
+register("variants_of_weight", f"""
+SELECT set_code, weight_code, batch_variant_code, {pairs('items', 'sku', 'ingredient_batch_code')} AS items_text
+FROM v_batches WHERE set_code = 'S1' AND weight_code = 'AB'""")
+register("role_list", "SELECT email, role_group, is_active FROM user_roles")
+register("failure_mode_list", f"""
+SELECT m.failure_mode, (SELECT count(*) FROM compounding_how h WHERE h.is_active AND h.failure_mode = m.failure_mode) AS n_hows
+FROM (VALUES {", ".join(f"({_lit(m)})" for m in _R.FAILURE_MODES)}) AS m(failure_mode)""")

@@ -377,7 +377,8 @@ _cte("req_bags", ["_loc", "_rl"], f"""
 SELECT l.o_orderkey AS request_id, {days('l.o_orderdate', '12')} AS submitted_at,
        ' ' || l.processing_code AS compounding_how_code, lower({pick('l.o_orderkey % 3', R.PRODUCT_TYPES)}) AS product_type,
        m.mass AS bag_mass_kg, CAST(l.o_orderkey % 5 + 1 AS INTEGER) AS number_of_bags,
-       CAST(NULL AS DOUBLE) AS remaining_mass_kg, {pick('l.o_orderkey % 5', R.QC_STATUS_OPTIONS)} AS qc_status,
+       CASE WHEN l.o_orderkey % 29 = 0 THEN -5.0 WHEN l.o_orderkey % 3 = 0 THEN m.mass / 2 END AS remaining_mass_kg,
+       {pick('l.o_orderkey % 5', R.QC_STATUS_OPTIONS)} AS qc_status,
        CASE WHEN l.o_orderkey % 19 = 0 THEN 'Bogus' ELSE {pick('l.o_orderkey % 9', R.PURPOSE_OPTIONS)} END AS purpose,
        {pick('l.o_orderkey % 12', BAG_STATUS_MIX)} AS density_status,
        CASE WHEN l.o_orderkey % 2 = 0 THEN ' a1@example.com ' END AS density_assignee_email,
@@ -417,12 +418,13 @@ FROM _ctx""")
 
 # ---- change batches (mirror of TpchDomain.chg_*) and the document manifest ----------------
 _cte("chg_roles", [], """
-SELECT CASE WHEN event_id % 10 = 0 THEN 'new' || CAST(user_id AS VARCHAR) || '@example.com'
+SELECT CASE WHEN event_id % 41 = 7 THEN '  ' WHEN event_id % 10 = 0 THEN 'new' || CAST(user_id AS VARCHAR) || '@example.com'
             WHEN event_id % 10 = 1 THEN 'idp.example.com:customer#' || printf('%09d', user_id) || '@example.com'
             ELSE '  CUSTOMER#' || printf('%09d', user_id) || '@EXAMPLE.COM ' END AS email,
        'N' || CAST(user_id AS VARCHAR) AS first_name, event_type AS last_name,
+       CASE WHEN event_id % 13 = 3 THEN ' Owner ' WHEN event_id % 37 = 5 THEN NULL ELSE
        CASE event_type WHEN 'view' THEN 'formulations' WHEN 'click' THEN 'sku_codes' WHEN 'purchase' THEN 'mixing_1'
-                       WHEN 'error' THEN 'admin' ELSE 'formulations_mix' END AS role_group,
+                       WHEN 'error' THEN 'admin' ELSE 'formulations_mix' END END AS role_group,
        CAST(NULL AS VARCHAR[]) AS permissions, value > 2.0 AS is_active, 'admin@example.com' AS actor, ts, event_id
 FROM events""")
 
@@ -432,7 +434,7 @@ UNION ALL SELECT 'weight_code', set_code, o_orderkey * 7 % 676 FROM _heads""")
 
 _cte("chg_bags", ["_bags"], f"""
 SELECT 'PB-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS pellet_bag_id,
-       pellet_bag_code, CASE WHEN l_orderkey % 2 = 0 THEN (qty - n_lines) / 2 END AS remaining_mass_kg,
+       pellet_bag_code, CASE WHEN l_partkey % 31 = 0 THEN -1.0 WHEN l_orderkey % 2 = 0 THEN (qty - n_lines) / 2 END AS remaining_mass_kg,
        CASE WHEN l_partkey % 3 = 0 THEN 'checked ' || strftime(ship, '%y%m%d') END AS notes,
        CAST(NULL AS VARCHAR) AS customer, 'Planned' AS qc_status, {user('l_orderkey % 7')} AS actor, ship AS submitted_at
 FROM _bags WHERE sequence_number = 1

@@ -139,23 +139,8 @@ PRODUCT_STATUS_STREAMS = tuple(_PRODUCT_STATUS)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Typed scan of one base-table directory (no inference, no footer merge). Rows
-    appended with ``append_batch`` live in ``batch=<id>`` sub-directories and are read too
-    (the partition column is dropped)."""
-    path = f"{root.rstrip('/')}/{name}"
-    reader = spark.read.schema(SCHEMAS[name])
-    if _has_batch_dirs(spark, path):  # recursive listing only where batch directories exist
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.parquet(path).select(*[f.name for f in SCHEMAS[name].fields])
-
-
-def _has_batch_dirs(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return False
-    return any(st.isDirectory() and st.getPath().getName().startswith("batch=") for st in fs.listStatus(p))
+    """Typed scan of one base table (no inference, no footer merge) as its newest version has it."""
+    return Tables(spark, root)[name]
 
 
 def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -205,16 +190,49 @@ def require_schema(spark: SparkSession, frames: dict[str, DataFrame],
     return out
 
 
-def write_snapshot(df: DataFrame, root: str, name: str, snapshot: str) -> str:
-    """Write ``df`` as a new snapshot directory of a table and return its path.
+def file_problems(spark: SparkSession, root: str, names: list[str] | None = None, threads: int = 16) -> DataFrame:
+    """S6 against the stored files: table_name, file, column_name, problem, expected, found.
+
+    The schema of every part file of the tables' newest version is read from its footer by Spark's
+    Parquet reader, without the imposed contract, so a file that lacks a column, has it in another type
+    or has a column more is found whatever the other files have. Problems: missing_table (no
+    file), missing_column, wrong_type, extra_column. Only footers are read, several at once."""
+    from concurrent.futures import ThreadPoolExecutor
+    tables = Tables(spark, root)
+    files = [(n, f) for n in names or sorted(SCHEMAS) for f in sorted(tables[n].inputFiles()) or [None]]
+
+    def check(item: tuple[str, str | None]) -> list[tuple]:
+        name, file = item
+        if file is None:
+            return [(name, None, None, "missing_table", None, None)]
+        have = {f.name: f.dataType.simpleString() for f in spark.read.parquet(file).schema.fields}
+        want = {f.name: f.dataType.simpleString() for f in SCHEMAS[name].fields}
+        return [(name, file, c, "missing_column" if c not in have else "wrong_type", want[c], have.get(c))
+                for c in want if have.get(c) != want[c]] + [(name, file, c, "extra_column", None, have[c]) for c in have if c not in want]
 
-    Table changes never update files in place: every change job writes a new
-    snapshot (``<root>/<name>/_snapshots/<snapshot>``) that readers switch to."""
+    with ThreadPoolExecutor(threads) as pool:
+        rows = [r for found in pool.map(check, files) for r in found]
+    return spark.createDataFrame(rows, "table_name string, file string, column_name string, problem string, expected string, found string")
+
+
+def write_snapshot(df: DataFrame, root: str, name: str, snapshot: str) -> str:
+    """Write ``df`` as a new snapshot folder of a table and return its path. Table changes never
+    update files in place; readers go on with the old rows until ``publish`` switches them."""
     path = f"{root.rstrip('/')}/{name}/_snapshots/{snapshot}"
     clustered(evolve(df, SCHEMAS[name]), name).write.mode("errorifexists").parquet(path)
     return path
 
 
+def publish(spark: SparkSession, root: str, snapshots: dict[str, str], version: int | None = None) -> bool:
+    """Switch all readers to the written snapshots (table -> path) of one change at once. With
+    ``version`` (of the store that the change was computed from), False if there is a newer one."""
+    from batchtrace.sources.commits import REPLACE, TableStore
+    store = TableStore(spark, root)
+    if version is not None and store.version != version:
+        return False
+    return store.commit([(REPLACE, n, p.removeprefix(f"{store.root}/")) for n, p in snapshots.items()])
+
+
 def clustered(df: DataFrame, name: str) -> DataFrame:
     """Sort rows by the table's natural key inside each output file (no shuffle)."""
     keys = [k for k in TABLE_KEYS.get(name, []) if k in df.columns]
@@ -222,35 +240,25 @@ def clustered(df: DataFrame, name: str) -> DataFrame:
 
 
 def append_batch(df: DataFrame, root: str, name: str, batch_id: str | int) -> str:
-    """S3, idempotent form: the rows of one registration batch go to
-    ``<root>/<name>/batch=<id>`` with overwrite, so re-running a failed or repeated batch
-    replaces its own rows instead of appending them twice."""
-    path = f"{root.rstrip('/')}/{name}/batch={batch_id}"
-    clustered(evolve(df, SCHEMAS[name]), name).write.mode("overwrite").parquet(path)
-    return path
+    """S3, idempotent form: the rows of one registration batch are committed under the batch's id, so
+    a batch that is repeated (also after its rows went into a snapshot) is not appended twice."""
+    return _append(df, root, name, f"{name}/batch={batch_id}")
 
 
 def append(df: DataFrame, root: str, name: str) -> str:
-    """S3: append new rows to a table directory (typed to the table contract first).
-    Appends are new files; readers of ``read_table`` see them on the next scan."""
-    path = f"{root.rstrip('/')}/{name}"
-    evolve(df, SCHEMAS[name]).write.mode("append").parquet(path)
-    return path
-
+    """S3: append new rows to a table (typed to the table contract first). Readers that open the table
+    afterwards see them."""
+    return _append(df, root, name, None)
 
-class Tables:
-    """The stored tables under ``root`` as a lazy mapping name -> typed DataFrame, the form
-    every plan function takes (``t["pellet_bags"]`` or ``t.pellet_bags``)."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self._frames = spark, root.rstrip("/"), {}
+def _append(df: DataFrame, root: str, name: str, key: str | None) -> str:
+    from batchtrace.sources.commits import APPEND, change_tables
+    change_tables(df.sparkSession, root, lambda _: {name: (APPEND, df)}, key=key)
+    return f"{root.rstrip('/')}/{name}"
 
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._frames:
-            self._frames[name] = read_table(self.spark, self.root, name)
-        return self._frames[name]
 
-    def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in SCHEMAS:
-            raise AttributeError(name)
-        return self[name]
+def Tables(spark: SparkSession, root: str, version: int | None = None):
+    """The stored tables under ``root`` as a lazy mapping name -> typed DataFrame, the form every plan
+    function takes (``t["pellet_bags"]`` or ``t.pellet_bags``), all as of one version."""
+    from batchtrace.sources.commits import TableStore
+    return TableStore(spark, root, version=version)

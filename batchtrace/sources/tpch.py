@@ -542,7 +542,7 @@ class TpchDomain:
                         F.lower(_pick(k % 3, R.PRODUCT_TYPES)).alias("product_type"),
                         F.col("mass").alias("bag_mass_kg"),
                         (k % 5 + 1).cast("int").alias("number_of_bags"),
-                        F.lit(None).cast("double").alias("remaining_mass_kg"),
+                        F.when(k % 29 == 0, F.lit(-5.0)).when(k % 3 == 0, F.col("mass") / 2).alias("remaining_mass_kg"),
                         _pick(k % 5, R.QC_STATUS_OPTIONS).alias("qc_status"),
                         F.when(k % 19 == 0, "Bogus").otherwise(_pick(k % 9, R.PURPOSE_OPTIONS)).alias("purpose"),
                         _pick(k % 12, BAG_STATUS_MIX).alias("density_status"),
@@ -609,6 +609,8 @@ class TpchDomain:
         role = F.when(F.col("event_type") == "view", "formulations").when(F.col("event_type") == "click", "sku_codes") \
                 .when(F.col("event_type") == "purchase", "mixing_1").when(F.col("event_type") == "error", "admin") \
                 .otherwise("formulations_mix")
+        role = F.when(k % 13 == 3, " Owner ").when(k % 37 == 5, F.lit(None)).otherwise(role)
+        email = F.when(k % 41 == 7, "  ").otherwise(email)
         return e.select(email.alias("email"), F.concat(F.lit("N"), u.cast("string")).alias("first_name"),
                         F.col("event_type").alias("last_name"), role.alias("role_group"),
                         F.lit(None).cast("array<string>").alias("permissions"),
@@ -630,7 +632,8 @@ class TpchDomain:
         o, p = F.col("l_orderkey"), F.col("l_partkey")
         bag = F.concat(F.lit("PB-"), o.cast("string"), F.lit("-"), p.cast("string"))
         first = b.select(bag.alias("pellet_bag_id"), "pellet_bag_code",
-                         F.when(o % 2 == 0, (F.col("qty") - F.col("n_lines")) / 2).alias("remaining_mass_kg"),
+                         F.when(p % 31 == 0, F.lit(-1.0)).when(o % 2 == 0, (F.col("qty") - F.col("n_lines")) / 2)
+                         .alias("remaining_mass_kg"),
                          F.when(p % 3 == 0, F.concat(F.lit("checked "), TX.to_yymmdd(F.col("ship")))).alias("notes"),
                          F.lit(None).cast("string").alias("customer"), F.lit("Planned").alias("qc_status"),
                          _user(o % 7).alias("actor"), F.col("ship").alias("submitted_at"))
