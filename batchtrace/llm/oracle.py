@@ -5,7 +5,7 @@ from __future__ import annotations
 from batchtrace.llm.quality import (
     CLASSES, COMMON, MAX_CHAR_JS, MAX_WORD_JS, MIN_CHARS, MIN_WORDS, WORD_LIST)
 from batchtrace.llm.secret_scan import BASE, MORE
-from batchtrace.llm.spans import MIN_WORDS as MIN_RUN_WORDS
+from batchtrace.llm.spans import MIN_WORDS as MIN_RUN_WORDS, RUN, WINDOW
 
 SQL: dict[str, str] = {}
 
@@ -87,19 +87,33 @@ FROM d JOIN g ON d.t = g.t
 _WS = r"[ \t\n\x0B\f\r]"
 SQL["op4_sentence_spans"] = rf"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '(?s).+?(?:[.!?]{_WS}+|\n{_WS}*|\z)') AS p FROM documents),
-s AS (SELECT doc_id, i, p[i] AS piece, list_filter(string_split_regex(lower(p[i]), '{_WS}+'), lambda x: x <> '') AS w
-      FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
-r AS (SELECT doc_id, i, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM s),
-k AS (SELECT doc_id, i, array_to_string(w, ' ') || chr(10) || array_to_string(w2, ' ') AS run FROM r
-      WHERE w2 IS NOT NULL AND len(w) + len(w2) >= {MIN_RUN_WORDS}),
-n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS rk FROM k),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM n WHERE rk > 1),
-t AS (SELECT s.doc_id, string_agg(piece, '' ORDER BY s.i) FILTER (gone.i IS NULL) AS kept, count(*) AS n_sentences,
-             count(gone.i) AS n_removed
-      FROM s LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.i = s.i GROUP BY s.doc_id)
-SELECT d.doc_id, CASE WHEN coalesce(t.n_removed, 0) = 0 THEN d.text ELSE coalesce(t.kept, '') END AS text,
-       coalesce(t.n_sentences, 0) AS n_sentences, coalesce(t.n_removed, 0) AS n_removed
-FROM d LEFT JOIN t ON t.doc_id = d.doc_id"""
+s AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS sentence FROM d),
+c AS (SELECT *, regexp_extract_all(sentence, '{_WS}*[^ \t\n\x0B\f\r]+{_WS}*') AS t FROM s),
+-- long sentences: word by word, and of every {WINDOW} words the one with the smallest hash, ties the last
+w AS (SELECT doc_id, i, sentence, t, unnest(range(len(t))) AS k, unnest(t) AS chunk FROM c WHERE len(t) >= {WINDOW}),
+m AS (SELECT doc_id, i, k, len(t) AS n, min(struct_pack(h := substr(md5(lower(regexp_replace(chunk, '{_WS}', '', 'g'))), 1, 10), o := -k))
+             OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS least FROM w),
+e AS (SELECT DISTINCT doc_id, i, -least.o AS k FROM m WHERE k <= n - {WINDOW} UNION SELECT DISTINCT doc_id, i, n - 1 FROM m),
+b AS (SELECT doc_id, i, k, coalesce(lag(k) OVER (PARTITION BY doc_id, i ORDER BY k), -1) AS before FROM e),
+x AS (SELECT doc_id, i, -1 AS k, sentence AS piece FROM c WHERE len(t) < {WINDOW}
+      UNION ALL SELECT b.doc_id, b.i, b.k, array_to_string(c.t[b.before + 2:b.k + 1], '') FROM b JOIN c ON c.doc_id = b.doc_id AND c.i = b.i),
+q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS i, piece,
+             array_to_string(list_filter(string_split_regex(lower(piece), '{_WS}+'), lambda v: v <> ''), ' ') AS norm,
+             len(list_filter(string_split_regex(piece, '{_WS}+'), lambda v: v <> '')) AS n FROM x),
+z AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM q),
+l AS (SELECT doc_id, list(norm ORDER BY i) AS norms FROM q GROUP BY doc_id),
+r AS (SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM z a JOIN z b ON b.doc_id = a.doc_id AND b.i >= a.i + {RUN - 1}
+             AND b.upto - a.upto + a.n >= {MIN_RUN_WORDS} GROUP BY a.doc_id, a.i
+      UNION SELECT b.doc_id, max(a.i), b.i FROM z a JOIN z b ON b.doc_id = a.doc_id AND b.i >= a.i + {RUN - 1}
+             AND b.upto - a.upto + a.n >= {MIN_RUN_WORDS} GROUP BY b.doc_id, b.i),
+k AS (SELECT r.doc_id, a, b, row_number() OVER (PARTITION BY array_to_string(norms[a:b], chr(10)) ORDER BY r.doc_id, a) AS rk
+      FROM r JOIN l ON l.doc_id = r.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM k WHERE rk > 1),
+f AS (SELECT q.doc_id, string_agg(piece, '' ORDER BY q.i) FILTER (gone.i IS NULL) AS kept, count(*) AS n_pieces, count(gone.i) AS n_removed
+      FROM q LEFT JOIN gone ON gone.doc_id = q.doc_id AND gone.i = q.i GROUP BY q.doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(f.n_removed, 0) = 0 THEN d.text ELSE coalesce(f.kept, '') END AS text,
+       coalesce(f.n_pieces, 0) AS n_pieces, coalesce(f.n_removed, 0) AS n_removed
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id"""
 
 
 def _secrets() -> str:

@@ -51,15 +51,10 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the sentences that lie in a repeated run found earlier."""
+    """Every document without the sentences that lie in a run found earlier."""
     return spans.dedup_spans(table(spark, sf_dir, "documents"), carry=["doc_id", "text"])
 
 
-def op4_passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without what it repeats of passages found earlier, in sentences of any length."""
-    return spans.dedup_passages(table(spark, sf_dir, "documents"), carry=["doc_id", "text"])
-
-
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of at most 2048 tokens."""
     return pack.pack(table(spark, sf_dir, "documents"))
@@ -133,5 +128,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mixing, op2_quality_rules, op3_token_rollup, op4_sentence_spans, op4_passage_spans, op5_packing, op6_simhash, op7_secrets,
+    op1_mixing, op2_quality_rules, op3_token_rollup, op4_sentence_spans, op5_packing, op6_simhash, op7_secrets,
     op8_exact_dedup, op9_chat, op10_language_id, op11_url_filter, op12_hard_negatives, op13_whitening)}

@@ -1,145 +1,173 @@
 """Substring dedup by sliding runs of consecutive sentences.
 
-Every run of ``run`` consecutive sentences of a document is hashed; the runs of all documents are
-counted by hash in one shuffle (with partial sums, so a passage found everywhere is one row a task),
-and the runs of repeated hashes are joined back. Sentences covered by a repeated run that is not
-its first occurrence are removed; the rest of the text stays as it was, white space included.
-
-``dedup_passages`` finds every repeated passage of 51 words or more: long sentences are cut further at
-words chosen by their hash, and a run takes as many pieces as it needs to hold enough words.
+Every run of consecutive sentences of every document is hashed: a run begins (or ends) at any
+sentence and takes two, or as many as it needs to hold MIN_WORDS words, so no sentence is too short to
+count. Long sentences are cut further behind words chosen by their hash, alike wherever they stand.
+The hashes of all documents are counted in one shuffle (with partial sums, so a passage found everywhere
+is one row a task); only runs whose hash may repeat are shuffled again, to find the first one.
+Sentences covered by a repeated run that is not its first occurrence are removed; the rest of the
+text stays as it was, white space included.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from batchtrace.llm.shared import store
+from batchtrace.llm.shared import ship, store
 
 RUN = 2
 MIN_WORDS = 16
-#: A sentence ends after . ! or ? before white space, or at a line end; it owns the white space behind it.
-SENTENCE = r"(?s).+?(?:[.!?]\s+|\n\s*|\z)"
 #: Of every so many neighbouring words of a sentence, the one with the smallest hash ends a piece.
 WINDOW = 17
 #: Bits of the filter of repeated runs: at most BITS / 64 rows of two longs (4 MB), whatever the corpus;
 #: with more repeated runs only more others are shuffled.
 BITS = 1 << 24
-
-
-def dedup_spans(docs: DataFrame, carry: list[str] | None = None, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``carry`` columns (default: all) with ``text`` after removal, plus n_sentences and n_removed.
-
-    Runs are compared after lower-casing and with white space collapsed; runs of fewer than
-    ``min_words`` words are left alone. The first occurrence is the one with the smallest doc_id
-    (null last), then the smallest place; of repeated rows with the same doc_id one row is first.
-    Null text stays null, with no sentences; texts of fewer than ``run`` sentences are not
-    changed. Empty table: empty result. Input columns n_sentences and n_removed are replaced.
-    """
-    added = ["n_sentences", "n_removed"]
-    cols = [c for c in (docs.columns if carry is None else carry) if c not in (*added, "text")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"),
-                       F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_rank"), F.monotonically_increasing_id().alias("_rid"),
-                       F.col("text"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SENTENCE), F.lit(0)).alias("_p"))
-    rows = rows.withColumn("_n", F.expr(r"transform(_p, s -> split(lower(trim('\t\n\x0B\f\r ', s)), '\\s+'))"))
-    rows = rows.withColumn("_h", F.transform("_n", lambda w: F.xxhash64(w))).withColumn("_w", F.transform("_n", F.size))
-    hashed = ", ".join(f"_h[i + {k}]" for k in range(run))
-    counted = " + ".join(f"_w[i + {k}]" for k in range(run))
-    rows = rows.withColumn("_runs", F.expr(f"""case when size(_h) < {run} then cast(array() as array<bigint>)
-        else transform(sequence(0, size(_h) - {run}), i -> case when {counted} >= {min_words} then xxhash64({hashed}) end) end"""))
-    rows = store(rows.select("_row", "_rank", "_rid", "text", F.size("_p").alias("_np"), "_runs"), "span-rows")
-
-    # places where a row repeats itself; most rows have no such run, and then nothing is searched
-    found = rows.withColumn("_again", F.expr("size(array_distinct(array_compact(_runs))) < size(array_compact(_runs))")).select(
-        "_rid", "_rank", F.posexplode(F.expr("""transform(_runs, (h, i) -> struct(h as h,
-            _again and h is not null and array_position(_runs, h) <= i as again))""")).alias("pos", "x"))
-    found = found.select("_rid", "_rank", "pos", "x.h", "x.again").where("h is not null")
-    first = store(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("_rank").alias("rank"),
-                                         F.min_by("_rid", "_rank").alias("rid")).where("n > 1"), "span-first")
-    gone = (found.join(first, "h").where("again or _rank > rank or _rid <> rid")
-            .groupBy("_rid").agg(F.collect_list("pos").alias("_at")))
-    covered = f"flatten(transform(_at, p -> sequence(p, p + {run - 1})))"
-    out = rows.join(gone, "_rid", "left").withColumn("_kept", F.expr(
-        f"case when _at is not null then array_except(sequence(0, _np - 1), {covered}) end"))
-    # sentences are found again, in the changed texts only: storing them would store the text twice
-    out = out.withColumn("_p", F.when(F.col("_at").isNotNull(), F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))))
-    text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform("_kept", lambda i: F.get("_p", i)), ""))
-    return out.select("_row.*", text.alias("text"), F.col("_np").cast("long").alias("n_sentences"),
-                      F.coalesce(F.col("_np") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"))
-
-
-def _pieces(sentences: str, window: int) -> str:
-    """SQL for the pieces of a column of sentences: each sentence of ``window`` words or more is cut
-    behind the word with the smallest hash (ties: the last) of every ``window`` neighbouring words.
-    No piece is longer than that, and a cut depends on the words near it alone."""
-    low = (1 << 24) - 1
-    key = rf"(xxhash64(lower(trim('\t\n\u000B\u000C\r ', x))) & {~low}) | ({low} - (i & {low}))"
-    least = f"transform(sequence(0, size(t) - {window}), i -> cast({low} - (array_min(slice(k, i + 1, {window})) & {low}) as int))"
-    # arrays of one element give a name to a value that is used more than once
-    ends = f"concat(array(-1), filter(array_distinct({least}), c -> c < size(t) - 1), array(size(t) - 1))"
-    cut = f"""transform(array(transform(t, (x, i) -> {key})), k -> transform(array({ends}), c ->
-        transform(sequence(1, size(c) - 1), j -> array_join(slice(t, c[j - 1] + 2, c[j] - c[j - 1]), '')))[0])[0]"""
-    words = r"array(regexp_extract_all(s, '\\s*\\S+\\s*', 0))"
-    return f"""flatten(transform({sentences}, s -> case when length(s) < {2 * window - 1} then array(s)
-        else transform({words}, t -> case when size(t) < {window} then array(s) else {cut} end)[0] end))"""
-
-
-def dedup_passages(docs: DataFrame, carry: list[str] | None = None, run: int = RUN, min_words: int = MIN_WORDS,
-                   window: int = WINDOW) -> DataFrame:
+#: A sentence ends after . ! or ? before white space, or at a line end; it owns the white space behind it.
+_END = re.compile(r"[.!?][ \t\n\x0b\f\r]+|\n[ \t\n\x0b\f\r]*")
+_WORD = re.compile(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*")
+_PLACE = (1 << 23) - 1
+_KEYS = 1 << 18
+#: Odd factor of the polynomial over a run's sentence hashes.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+RUNS = "struct<n: int, h: array<bigint>, at: array<bigint>>"
+
+
+def _cut(sentence: str, chunks: list[str], window: int, keys: dict[str, int]) -> list[str]:
+    """A sentence of ``window`` words or more, cut behind the word with the smallest hash (ties: the last)
+    of every ``window`` neighbouring words. No piece is longer than that, and a cut depends on the
+    words near it alone."""
+    found = []
+    for c in chunks:
+        w = c.strip(" \t\n\x0b\f\r").lower()
+        k = keys.get(w)
+        if k is None:
+            if len(keys) >= _KEYS:
+                keys.clear()
+            k = keys[w] = int(hashlib.md5(w.encode()).hexdigest()[:10], 16)
+        found.append(k)
+    key = (np.array(found, np.int64) << 23) | (_PLACE - np.arange(len(found)))
+    ends = np.unique(_PLACE - (np.lib.stride_tricks.sliding_window_view(key, window).min(axis=1) & _PLACE)).tolist()
+    if ends[-1] != len(chunks) - 1:
+        ends.append(len(chunks) - 1)
+    return ["".join(chunks[a + 1:b + 1]) for a, b in zip([-1, *ends[:-1]], ends, strict=True)]
+
+
+def pieces(text: str, window: int, keys: dict[str, int]) -> tuple[list[str], list[list[bytes]]]:
+    """The sentences of a text, long ones cut, and the lower-cased words of each."""
+    out, words, a, end = [], [], 0, len(text)
+    while a < end:
+        m = _END.search(text, a + 1)
+        b = m.end() if m else end
+        s, a = text[a:b], b
+        w = s.lower().encode().split()
+        # words are told apart by ASCII white space in both forms
+        if len(w) < window or len(w) > _PLACE:
+            out.append(s)
+            words.append(w)
+            continue
+        at = 0
+        for p in _cut(s, _WORD.findall(s), window, keys):
+            n = len(p.lower().encode().split())
+            out.append(p)
+            words.append(w[at:at + n])
+            at += n
+    return out, words
+
+
+def run_hashes(words: list[list[bytes]], run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of every run, in order of its first sentence: sentences i.. onwards and ..j backwards
+    until both bounds are met. place holds first << 32 | count << 1 | whether an equal run came before."""
+    n = len(words)
+    if n < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, n))))
+    first = np.arange(n)
+    end = np.maximum(first + run, np.searchsorted(total, total[:-1] + min_words))
+    last = np.arange(1, n + 1)
+    start = np.minimum(last - run, np.searchsorted(total, total[1:] - min_words, side="right") - 1)
+    onward, back = end <= n, start >= 0
+    back &= end[np.maximum(start, 0)] != last
+    a = np.concatenate((first[onward], start[back]))
+    b = np.concatenate((end[onward], last[back]))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    digest = np.array([xxhash.xxh64_intdigest(b" ".join(w), 42) for w in words], np.uint64)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _BASE))), dtype=np.uint64)
+        inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64))))), dtype=np.uint64)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(digest * power[:-1], dtype=np.uint64)))
+        h = ((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64)
+    _, where = np.unique(h, return_index=True)
+    again = np.ones(len(h), np.int64)
+    again[where] = 0
+    return h, (a << 32) | ((b - a) << 1) | again
+
+
+def dedup_spans(docs: DataFrame, carry: list[str] | None = None, run: int = RUN, min_words: int = MIN_WORDS,
+                window: int = WINDOW) -> DataFrame:
     """``carry`` columns (default: all) with ``text`` after removal, plus n_pieces and n_removed.
 
-    A run begins (or ends) at any piece and takes as many pieces as it needs, ``run`` at least, to
-    hold ``min_words`` words; so a repeated passage is removed from its first whole piece to its
-    last, whatever the length of its pieces. Two copies of w words have equal pieces of w - 2 * window
-    + 1 words or more between them, so with the defaults (18 words, two pieces) any passage of 51
-    words or more loses all but the ends of its later copies. Words are
-    compared after lower-casing; sentence ends must be the same in both places. First
-    occurrences, repeated rows, null and empty texts and tables as in ``dedup_spans``. Input columns
-    n_pieces and n_removed are replaced.
+    Pieces are sentences, and the parts of sentences of ``window`` words or more. A run takes ``run``
+    pieces at least, and as many as hold ``min_words`` words; so a repeated passage is removed from its
+    first whole piece to its last, whatever the length of its pieces. Two copies of w words have equal
+    pieces of w - 2 * window + 1 words or more between them, so with the defaults (18 words, two
+    pieces) any passage of 51 words or more loses all but the ends of its later copies.
+    Words are compared after lower-casing and with white space collapsed, runs by 64-bit hashes;
+    sentence ends must be the same in both places. The first occurrence is the one with the smallest
+    doc_id (null last), then the smallest place; of repeated rows with the same doc_id one row is
+    first. Null text stays null, with no pieces; texts of fewer than ``run`` pieces are not changed.
+    Empty table: empty result. Input columns n_pieces and n_removed are replaced.
     """
+    ship(docs.sparkSession)
     added = ["n_pieces", "n_removed"]
     cols = [c for c in (docs.columns if carry is None else carry) if c not in (*added, "text")]
-    sentences = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SENTENCE), F.lit(0))
+
+    @F.pandas_udf(RUNS)
+    def runs_of(texts: pd.Series) -> pd.DataFrame:
+        keys, out = {}, []
+        for t in texts:
+            words = pieces(t, window, keys)[1] if t else []
+            out.append((len(words), *run_hashes(words, run, min_words)))
+        return pd.DataFrame(out, columns=["n", "h", "at"])
+
+    @F.pandas_udf("struct<text: string, removed: int>")
+    def without(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        keys, out = {}, []
+        for t, found in zip(texts, places, strict=True):
+            parts = pieces(t, window, keys)[0]
+            gone = np.zeros(len(parts) + 1, np.int64)
+            at = np.asarray(found, np.int64)
+            np.add.at(gone, at >> 32, 1)
+            np.add.at(gone, (at >> 32) + ((at & 0xFFFFFFFF) >> 1), -1)
+            cover = np.cumsum(gone[:-1]) > 0
+            out.append(("".join(p for p, g in zip(parts, cover.tolist(), strict=True) if not g), int(cover.sum())))
+        return pd.DataFrame(out, columns=["text", "removed"])
+
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"),
                        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_rank"), F.monotonically_increasing_id().alias("_rid"),
-                       F.col("text"), sentences.alias("_s"))
-    rows = rows.withColumn("_p", F.expr(_pieces("_s", window)))
-    rows = rows.withColumn("_n", F.expr(r"""transform(_p, s ->
-        filter(split(lower(trim('\t\n\u000B\u000C\r ', s)), '\\s+'), w -> w <> ''))"""))
-    rows = rows.withColumn("_h", F.transform("_n", lambda w: F.xxhash64(w))).withColumn("_w", F.transform("_n", F.size))
-    # most runs are the fewest pieces allowed
-    short = {d: " + ".join(f"get(_w, i {d} {k})" for k in range(run)) + f" >= {min_words} then {run}" for d in "+-"}
-    enough, reach = f"a.n >= {run} and a.words >= {min_words}", run + min_words
-    grow = (f"aggregate({{}}, named_struct('n', 0, 'words', 0), (a, x) -> case when {enough} then a "
-            f"else named_struct('n', a.n + 1, 'words', a.words + x) end, a -> case when {enough} then a.n else 0 end)")
-    onward = grow.format(f"slice(_w, i + 1, {reach})")
-    back = grow.format(f"reverse(slice(_w, greatest(1, i + 2 - {reach}), least(i + 1, {reach})))")
-    rows = rows.withColumn("_f", F.expr(f"transform(_w, (w, i) -> case when {short['+']} else {onward} end)"))
-    rows = rows.withColumn("_b", F.expr(f"transform(_w, (w, i) -> case when {short['-']} else {back} end)"))
-    runs = """transform(concat(filter(transform(_f, (n, i) -> named_struct('p', i, 'n', n)), r -> r.n > 0),
-                               filter(transform(_b, (n, i) -> named_struct('p', i + 1 - n, 'n', n)), r -> r.n > 0 and _f[r.p] <> r.n)),
-                        r -> named_struct('h', xxhash64(slice(_h, r.p + 1, r.n)), 'p', r.p, 'n', r.n))"""
-    rows = store(rows.select("_row", "_rank", "_rid", "text", F.size("_p").alias("_np"), F.expr(runs).alias("_runs")), "passage-rows")
-
-    # equal runs all begin or all end at their piece, so of two in a row the first in the list is first in the text
-    found = rows.withColumn("_hs", F.col("_runs.h")).withColumn("_again", F.expr("size(array_distinct(_hs)) < size(_hs)")).select(
-        "_rid", "_rank", F.explode(F.expr("""transform(_runs, (r, i) -> named_struct('h', r.h, 'p', r.p, 'n', r.n,
-            'again', _again and array_position(_hs, r.h) <= i))""")).alias("x")).select("_rid", "_rank", "x.*")
-    first = store(found.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min_by("_rid", "_rank").alias("rid"))
-                  .where("rows > 1").select("h", "rid"), "passage-first")
-    # a broadcast of bounded size keeps most runs that are not repeated out of the second shuffle
+                       F.col("text"), runs_of("text").alias("_r"))
+    rows = store(rows, "span-rows")
+
+    # hashes alone are counted first; the filter of the repeated ones keeps most runs out of the second shuffle
+    repeated = rows.select(F.explode("_r.h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     slot = F.col("h").bitwiseAND(F.lit(BITS - 1))
-    filt = first.groupBy(F.shiftright(slot, 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("_mask"))
-    hits = (found.join(F.broadcast(filt), F.shiftright(slot, 6) == F.col("_word"))
-            .where("(shiftrightunsigned(_mask, cast(h & 63 as int)) & 1L) = 1L").drop("_rank", "_word", "_mask"))
-    gone = (hits.join(first, "h").where("again or _rid <> rid")
-            .groupBy("_rid").agg(F.collect_list(F.struct("p", "n")).alias("_at")))
-    out = rows.drop("_runs").join(gone, "_rid", "left").withColumn("_kept", F.expr("""case when _at is not null then
-        array_except(sequence(0, _np - 1), flatten(transform(_at, r -> sequence(r.p, r.p + r.n - 1)))) end"""))
-    # pieces are found again, in the changed texts only
-    out = out.withColumn("_s", F.when(F.col("_at").isNotNull(), sentences)).withColumn("_p", F.expr(_pieces("_s", window)))
-    text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform("_kept", lambda i: F.get("_p", i)), ""))
-    return out.select("_row.*", text.alias("text"), F.col("_np").cast("long").alias("n_pieces"),
-                      F.coalesce(F.col("_np") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"))
+    filt = store(repeated.groupBy(F.shiftright(slot, 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("_mask")), "span-filter")
+    found = rows.select("_rid", "_rank", F.explode(F.arrays_zip("_r.h", "_r.at")).alias("x")).select("_rid", "_rank", "x.h", "x.at")
+    hits = (found.join(F.broadcast(filt), F.shiftright(slot, 6) == F.col("_word"))  # at most BITS / 64 rows
+            .where("(shiftrightunsigned(_mask, cast(h & 63 as int)) & 1L) = 1L").drop("_word", "_mask"))
+    first = store(hits.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min_by("_rid", "_rank").alias("first"))
+                  .where("n > 1").select("h", "first"), "span-first")
+    gone = (hits.drop("_rank").join(first, "h").where("(at & 1L) = 1L or _rid <> first")
+            .groupBy("_rid").agg(F.collect_list("at").alias("_at")))
+    out = rows.select("_row", "_rid", "text", F.col("_r.n").cast("long").alias("n_pieces")).join(gone, "_rid", "left")
+    changed = out.where("_at is not null").withColumn("_o", without("text", "_at")).select(
+        "_row.*", F.col("_o.text").alias("text"), "n_pieces", F.col("_o.removed").cast("long").alias("n_removed"))
+    same = out.where("_at is null").select("_row.*", "text", "n_pieces", F.lit(0).cast("long").alias("n_removed"))
+    return changed.unionByName(same)

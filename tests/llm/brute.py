@@ -83,24 +83,6 @@ def sentences(text):
     return re.findall(r"(?s).+?(?:[.!?][ \t\n\x0b\f\r]+|\n[ \t\n\x0b\f\r]*|\Z)", text or "")
 
 
-def dedup_spans(docs, run, min_words):
-    """doc_id -> text without the sentences of repeated runs that are not first."""
-    seen, out = set(), {}
-    for i in sorted(docs):
-        parts = sentences(docs[i])
-        norm = [tuple(words(p.lower())) for p in parts]
-        gone, mine = set(), []
-        for a in range(len(norm) - run + 1):
-            if sum(map(len, norm[a:a + run])) >= min_words:
-                key = tuple(norm[a:a + run])
-                if key in seen or key in mine:
-                    gone |= set(range(a, a + run))
-                mine.append(key)
-        seen |= set(mine)
-        out[i] = "".join(p for k, p in enumerate(parts) if k not in gone) if gone else docs[i]
-    return out
-
-
 def pieces(text, window):
     """Sentences, those of ``window`` words or more cut at the last smallest hash of every window."""
     out = []
@@ -109,14 +91,13 @@ def pieces(text, window):
         if len(t) < window:
             out.append(s)
             continue
-        hashes = [xxhash.xxh64_intdigest(x.strip(" \t\n\x0b\f\r").lower().encode(), 42) for x in t]
-        key = [((h - (h >> 63 << 64)) >> 24, -i) for i, h in enumerate(hashes)]
+        key = [(hashlib.md5(x.strip(" \t\n\x0b\f\r").lower().encode()).hexdigest()[:10], -i) for i, x in enumerate(t)]
         ends = sorted({-min(key[i:i + window])[1] for i in range(len(t) - window + 1)} | {len(t) - 1})
         out += ["".join(t[a + 1:b + 1]) for a, b in zip([-1, *ends], ends)]
     return out
 
 
-def dedup_passages(docs, run, min_words, window):
+def dedup_spans(docs, run, min_words, window):
     """doc_id -> text without the pieces of repeated runs, grown both ways, that are not first."""
     seen, out = set(), {}
     for i in sorted(docs):

@@ -13,7 +13,7 @@ from batchtrace.llm import chat, exact, mix, pack, quality, rollup, simhash, spa
 from batchtrace.llm.queries import QUERIES, TARGETS, labelled_domains
 from batchtrace.llm.shared import scratch
 
-from .brute import dedup_passages, dedup_spans, fingerprint, groups, sha
+from .brute import dedup_spans, fingerprint, groups, sha
 from .test_filters import EDGE, SF, rows_of
 
 
@@ -68,7 +68,7 @@ def test_long_chain_is_one_component(spark):
 def test_spans_match_plain_version(spark):
     docs = {r.doc_id: r.text for r in documents(spark)}
     got = {r.doc_id: r.text for r in QUERIES["op4_sentence_spans"](spark, SF).collect()}
-    assert got == dedup_spans(docs, spans.RUN, spans.MIN_WORDS)
+    assert got == dedup_spans(docs, spans.RUN, spans.MIN_WORDS, spans.WINDOW)
     assert sum(got[i] != docs[i] for i in docs) > 0
 
 
@@ -90,12 +90,6 @@ def test_spans_edge_cases(spark):
     assert spans.dedup_spans(rows_of(spark, [])).count() == 0
 
 
-def test_passages_match_plain_version(spark):
-    docs = {r.doc_id: r.text for r in documents(spark)}
-    got = {r.doc_id: r.text for r in QUERIES["op4_passage_spans"](spark, SF).collect()}
-    assert got == dedup_passages(docs, spans.RUN, spans.MIN_WORDS, spans.WINDOW)
-
-
 def test_passages_of_short_lines_and_inside_long_sentences(spark):
     rng = random.Random(4)
 
@@ -110,15 +104,15 @@ def test_passages_of_short_lines_and_inside_long_sentences(spark):
         texts[k + 1] = " ".join([*some(40), *part, *some(3)]) + "."
     texts |= {90: None, 91: "", 92: " \n ", 93: "\n" + lines, 94: "one two " * 40, 95: "x" * 50_000}
     frame = rows_of(spark, [(i, t, None) for i, t in texts.items()])
-    rows = spans.dedup_passages(frame).collect()
+    rows = spans.dedup_spans(frame).collect()
     got = {r.doc_id: r.text for r in rows}
-    assert got == dedup_passages(texts, spans.RUN, spans.MIN_WORDS, spans.WINDOW) and len(rows) == len(texts)
+    assert got == dedup_spans(texts, spans.RUN, spans.MIN_WORDS, spans.WINDOW) and len(rows) == len(texts)
     assert got[2] == "Other words first.\nAnd a tail." and got[1] == texts[1] and got[93] == ""
     for k in range(10, 50, 2):
         assert got[k] == texts[k] and len(texts[k + 1].split()) - len(got[k + 1].split()) >= 51 - 2 * spans.WINDOW + 1
-    twice = spans.dedup_passages(rows_of(spark, [(1, lines, None), (1, lines, None)])).collect()
+    twice = spans.dedup_spans(rows_of(spark, [(1, lines, None), (1, lines, None)])).collect()
     assert sorted(r.text for r in twice) == ["", lines]
-    assert spans.dedup_passages(rows_of(spark, [])).count() == 0
+    assert spans.dedup_spans(rows_of(spark, [])).count() == 0
 
 
 def check_packing(rows, texts):
