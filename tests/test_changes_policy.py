@@ -99,3 +99,36 @@ def test_upsert_is_idempotent(spark):
     twice, counts = CH.upsert_roles(once, changes, "2026-02-01 00:00:00", ["seq"])
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str)
     assert tuple(counts.first()) == (2, 0)
+
+
+def test_unknown_roles_and_missing_emails_are_refused(spark):
+    target = spark.createDataFrame([], SCHEMAS["user_roles"])
+    changes = spark.createDataFrame(
+        [(" ", "a", "admin", True, "u", 1), (None, "a", "admin", True, "u", 2), ("b@x", "b", "owner", True, "u", 3),
+         ("b@x", "b", None, True, "u", 4), ("c@x", "c", " ADMIN ", True, "u", 5), ("c@x", "c", "owner", True, "u", 6)],
+        "email string, first_name string, role_group string, is_active boolean, actor string, seq long") \
+        .withColumn("last_name", F.lit(None).cast("string"))
+    new, counts = CH.upsert_roles(target, changes, "2026-02-01 00:00:00", ["seq"])
+    assert [(r.email, r.role_group, len(r.permissions) > 0) for r in new.collect()] == [("c@x", "admin", True)]
+    assert tuple(counts.first()) == (0, 1)
+    assert sorted((r.seq, r.reason) for r in CH.role_rejects(changes).collect()) == [
+        (1, "email_required"), (2, "email_required"), (3, "invalid_role_group"), (4, "invalid_role_group"), (6, "invalid_role_group")]
+
+
+def test_bag_patch_refuses_negative_mass(spark):
+    bags = spark.createDataFrame([("p", 5.0, True), ("q", 6.0, True)], "pellet_bag_id string, remaining_mass_kg double, is_active boolean") \
+        .withColumn("updated_at", F.lit(T)).withColumn("updated_by", F.lit("x"))
+    changes = spark.createDataFrame([("p", -1.0, "u"), ("q", 0.0, "u")], "pellet_bag_id string, remaining_mass_kg double, actor string")
+    new, rejects, counts = CH.patch_bags(bags, changes, "2026-02-01 00:00:00", ["pellet_bag_id"])
+    assert {r.pellet_bag_id: r.remaining_mass_kg for r in new.collect()} == {"p": 5.0, "q": 0.0}
+    assert [r.pellet_bag_id for r in rejects.collect()] == ["p"] and counts.first().updated == 1
+
+
+def test_spec_sheet_does_not_stamp_the_actor(spark):
+    b = spark.createDataFrame([("s", "B1", T, T, "old")], "sku string, ingredient_batch_code string, created_at timestamp_ntz, "
+                              "updated_at timestamp_ntz, updated_by string")
+    b = b.withColumn("spec_object_path", F.lit(None).cast("string")).withColumn("spec_uploaded_at", F.lit(None).cast("timestamp_ntz"))
+    up = spark.createDataFrame([("s", "B1", "p1", T, "me"), ("s", "B1", "p2", T + dt.timedelta(1), "me")],
+                               "sku string, ingredient_batch_code string, object_path string, uploaded_at timestamp_ntz, actor string")
+    row = CH.set_document(b, up, ["sku", "ingredient_batch_code"], "spec", "2026-02-01 00:00:00")[0].first()
+    assert (row.spec_object_path, row.updated_by) == ("p2", "old") and row.updated_at == dt.datetime(2026, 2, 1)

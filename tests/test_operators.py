@@ -72,7 +72,7 @@ def test_membership_message_in_request_order(spark):
     req = spark.createDataFrame([(1, ["z", "a", "y", "z"])], "request_id long, skus array<string>")
     ref = spark.createDataFrame([("a",)], "sku string")
     msg = Q.check_membership(req, "skus", ref, "sku", "Unknown SKUs: ").first().message
-    assert msg == "Unknown SKUs: z, y"
+    assert msg == "Unknown SKUs: z, y, z"
 
 
 def test_skew_safe_left_join_equals_left_join(spark):
@@ -125,7 +125,7 @@ def test_setops(spark):
     u = U.union_labelled({"A": a, "B": a.where("k = 'x'")})
     assert sorted((r.k, r.source) for r in u.collect()) == [("x", "A"), ("x", "B"), ("y", "A")]
     req = spark.createDataFrame([(1, ["q", "x", "q"])], "request_id long, vals array<string>")
-    assert U.unknown(req, "vals", a, "k", "Unknown: ").first().message == "Unknown: q"
+    assert U.unknown(req, "vals", a, "k", "Unknown: ").first().message == "Unknown: q, q"
 
 
 def test_check_unique_reports_repeated_keys(spark):

@@ -166,3 +166,18 @@ def test_codes_are_gap_free_per_scope(spark):
     assert sorted(got["AB"]) == list(range(1, 1 + len(got["AB"])))   # no counter yet: starts at 1
     counters = {(r.counter_name, r.scope): r.next_value for r in new["code_counters"].collect()}
     assert counters[("weight_code", "AA")] == 5 + len(got["AA"])
+
+
+def test_bags_need_a_remaining_mass_of_zero_or_more(spark):
+    how = spark.createDataFrame([("H", True), ("H", True)], "processing_code string, is_active boolean")  # stored twice
+    ctr = spark.createDataFrame([], "counter_name string, scope string, next_value long, updated_at timestamp_ntz")
+    req = spark.createDataFrame([(1, T, "H", "PR", 10.0, 1, -5.0, "u"), (2, T, "H", "PR", 10.0, 2, None, "u"),
+                                 (3, T, "H", "PR", 10.0, 1, 0.0, "u")],
+                                "request_id long, submitted_at timestamp_ntz, compounding_how_code string, product_type string, "
+                                "bag_mass_kg double, number_of_bags int, remaining_mass_kg double, actor string")
+    acc, rej, new = M.mint_bags(req, {"compounding_how": how, "code_counters": ctr}, AS_OF)
+    assert [(r.request_id, r.rule) for r in rej.collect()] == [(1, "invalid_remaining_mass")]
+    assert sorted((r.request_id, r.sequence_number) for r in acc.collect()) == [(2, 0), (2, 1), (3, 2)]
+    assert sorted(r.remaining_mass_kg for r in new["pellet_bags"].collect()) == [0.0, 10.0, 10.0]
+    acc, rej, _ = M.mint_bags(req.drop("remaining_mass_kg"), {"compounding_how": how, "code_counters": ctr}, AS_OF)
+    assert acc.count() == 4 and rej.count() == 0

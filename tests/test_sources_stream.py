@@ -172,3 +172,141 @@ def test_stream_batch_can_be_replayed_after_any_write(spark, monkeypatch):
     assert "notes='late'" in want["ingredient_sets"][1]  # a later request of the same hash keeps its notes
     for k in (0, 3, 5):
         assert run(f"{root}/dies-{k}", dies_after=k) == want
+
+
+SET_REQUEST = ("request_id long, submitted_at timestamp_ntz, skus array<string>, notes string, "
+               "material_workstream string, actor string")
+WEIGHT_REQUEST = ("request_id long, submitted_at timestamp_ntz, set_code string, "
+                  "items array<struct<sku: string, wt_percent: double>>, notes string, actor string")
+
+
+def _small_base(spark):
+    base = {n: spark.createDataFrame([], S.SCHEMAS[n]) for n in S.SCHEMAS}
+    base["ingredients"] = spark.createDataFrame([("a",), ("b",), ("c",)], "sku string")
+    return base
+
+
+def test_kinds_share_one_state(spark):
+    """A weight request sees the set that a stream made before it, and the next new set gets the next code."""
+    from batchtrace.session import checkpoint_dir
+    from batchtrace.streaming import register_stream as ST
+    base, work = _small_base(spark), os.path.join(checkpoint_dir(spark), "stream-kinds")
+
+    def feed(stream, kind, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{work}/{stream}/in")
+        ST.stream_register(spark, f"{work}/{stream}/in", kind, base, f"{work}/state", f"{work}/{stream}/checkpoint",
+                           spark.createDataFrame([], schema).schema, "2026-02-01 00:00:00").awaitTermination()
+
+    feed("s1", "sets", [(1, T, ["a"], None, None, "u")], SET_REQUEST)
+    feed("w", "weights", [(1, T, "AB", [("a", 100.0)], None, "u"), (2, T, "AC", [("a", 100.0)], None, "u")], WEIGHT_REQUEST)
+    feed("s2", "sets", [(1, T, ["b"], None, None, "u")], SET_REQUEST)  # another stream: its first batch is 0 too
+    feed("s1", "sets", [(2, T, ["c"], None, None, "u"), (3, T, ["a"], "noted", None, "u")], SET_REQUEST)
+    out = {(r.kind, r.commit, r.request_id): (r.outcome, r.set_code, r.weight_code, r.rule)
+           for r in ST.read_outcomes(spark, f"{work}/state").collect()}
+    assert out == {("sets", 0, "1"): ("created", "AB", None, None), ("weights", 1, "1"): ("created", "AB", "AB", None),
+                   ("weights", 1, "2"): ("rejected", None, None, "unknown_set"), ("sets", 2, "1"): ("created", "AC", None, None),
+                   ("sets", 3, "2"): ("created", "AD", None, None), ("sets", 3, "3"): ("existing", "AB", None, None)}
+    before = {n: sorted(map(str, ST.StreamState(spark, base, f"{work}/state")[n].collect()))
+              for n in ("ingredient_sets", "ingredient_set_items", "dry_weight_variants", "code_counters")}
+    assert ST.compact(spark, f"{work}/state") == 3 and ST.compact(spark, f"{work}/state") is None
+    from batchtrace.sources.commits import remove_unused
+    assert remove_unused(spark, f"{work}/state")
+    state = ST.StreamState(spark, base, f"{work}/state")
+    assert {n: sorted(map(str, state[n].collect())) for n in before} == before
+    assert len(state.files("ingredient_sets")[1]) == 1
+
+
+def test_lost_race_is_computed_again(spark):
+    """A micro-batch that another stream overtakes is registered on the state which that one left."""
+    from batchtrace.session import checkpoint_dir
+    from batchtrace.sources import commits
+    from batchtrace.streaming import register_stream as ST
+    base, state_dir = _small_base(spark), os.path.join(checkpoint_dir(spark), "stream-race")
+    rows = lambda i, sku: spark.createDataFrame([(i, T, [sku], None, None, "u")], SET_REQUEST)
+    one = ST._process("sets", base, state_dir, "2026-02-01 00:00:00", "one")
+    commit, calls = commits.TableStore.commit, []
+
+    def overtaken(self, changes, key=None, actor=None):
+        calls.append(key)
+        if len(calls) == 1:
+            ST._process("sets", base, state_dir, "2026-02-01 00:00:00", "two")(rows(2, "b"), 0)
+        return commit(self, changes, key, actor)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(commits.TableStore, "commit", overtaken)
+        one(rows(1, "a"), 0)
+    assert calls == ["sets/one/0", "sets/two/0", "sets/one/0"]
+    assert {(r.request_id, r.set_code) for r in ST.read_outcomes(spark, state_dir).collect()} == {("2", "AB"), ("1", "AC")}
+    state = ST.StreamState(spark, base, state_dir)
+    assert sorted((r.set_code) for r in state["ingredient_sets"].collect()) == ["AB", "AC"]
+    assert state["code_counters"].first().next_value == 3
+    assert commits.remove_unused(spark, state_dir) == []  # what the lost commit wrote is gone already
+
+
+def test_change_of_two_tables_is_seen_whole_or_not_at_all(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from batchtrace.sources import commits
+    root = tempfile.mkdtemp(prefix="bt-change-")
+    heads = spark.createDataFrame([("AA", "h", T), ("AB", "g", T)], "set_code string, set_hash string, created_at timestamp_ntz")
+    items = spark.createDataFrame([("AA", "a", T), ("AB", "b", T)], "set_code string, sku string, created_at timestamp_ntz")
+    S.append(heads, root, "ingredient_sets")
+    S.append_batch(items, root, "ingredient_set_items", 1)
+
+    def drop(s):
+        return {n: (commits.REPLACE, s[n].where("set_code <> 'AA'")) for n in ("ingredient_sets", "ingredient_set_items")}
+
+    def now():
+        t = S.Tables(spark, root)
+        return [sorted(r.set_code for r in t[n].collect()) for n in ("ingredient_sets", "ingredient_set_items")]
+
+    write = DataFrameWriter.parquet
+    for survives in (0, 1, 2):  # dies in the first table, in the second, in the commit
+        left = [survives]
+
+        def dying(self, *a, **k):
+            if not left[0]:
+                raise RuntimeError("executor lost")
+            left[0] -= 1
+            return write(self, *a, **k)
+        with monkeypatch.context() as m:
+            m.setattr(DataFrameWriter, "parquet", dying)
+            with pytest.raises(RuntimeError):
+                commits.change_tables(spark, root, drop)
+        assert now() == [["AA", "AB"], ["AA", "AB"]]
+    old = S.Tables(spark, root)
+    assert commits.change_tables(spark, root, drop) == 2
+    assert now() == [["AB"], ["AB"]]
+    assert sorted(r.set_code for r in old.ingredient_sets.collect()) == ["AA", "AB"]  # a reader keeps its version
+    S.append_batch(items, root, "ingredient_set_items", 1)  # in the snapshot already
+    assert now() == [["AB"], ["AB"]]
+    S.append(heads.where("set_code = 'AA'"), root, "ingredient_sets")
+    assert now() == [["AA", "AB"], ["AB"]]
+    commits.remove_unused(spark, root)
+    assert now() == [["AA", "AB"], ["AB"]]
+
+
+def test_published_snapshot_is_read(spark):
+    root = tempfile.mkdtemp(prefix="bt-publish-")
+    rows = spark.createDataFrame([("AA", "h", T)], "set_code string, set_hash string, created_at timestamp_ntz")
+    S.append(rows, root, "ingredient_sets")
+    path = S.write_snapshot(rows.union(rows), root, "ingredient_sets", "s1")
+    assert not S.publish(spark, root, {"ingredient_sets": path}, version=0)  # computed from an older version
+    assert S.read_table(spark, root, "ingredient_sets").count() == 1
+    assert S.publish(spark, root, {"ingredient_sets": path}, version=1)
+    assert S.read_table(spark, root, "ingredient_sets").count() == 2
+
+
+def test_file_problems_name_each_drifted_file(spark):
+    root = tempfile.mkdtemp(prefix="bt-drift-")
+    whole = spark.createDataFrame([("a@x", True, T, "u")], S.SCHEMAS["pellet_bag_assignees"])
+    for part in (whole, whole.drop("created_by"), whole.withColumn("is_active", F.col("is_active").cast("string")),
+                 whole.withColumn("more", F.lit(1)).drop("email")):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/pellet_bag_assignees")
+    got = S.file_problems(spark, root, ["pellet_bag_assignees", "user_roles"]).collect()
+    assert sorted((r.table_name, r.column_name or "", r.problem, r.expected, r.found) for r in got) == [
+        ("pellet_bag_assignees", "created_by", "missing_column", "string", None),
+        ("pellet_bag_assignees", "email", "missing_column", "string", None),
+        ("pellet_bag_assignees", "is_active", "wrong_type", "boolean", "string"),
+        ("pellet_bag_assignees", "more", "extra_column", None, "int"), ("user_roles", "", "missing_table", None, None)]
+    files = {r.column_name: r.file for r in got if r.file}
+    assert files["email"] == files["more"] != files["created_by"]
