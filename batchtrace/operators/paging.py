@@ -93,17 +93,31 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 def first_per_key(df: DataFrame, keys: list[str], order: list[tuple[str, bool]]) -> DataFrame:
     """First row per key by ``order`` ([(column, descending)]).
 
-    When all sort directions agree this is a plain aggregate: max/min of
-    struct(order columns, row). It combines map-side, so a key holding a third of
-    the table is reduced inside every task before the shuffle (no hot task, no
-    per-key sort). Ties are broken by the remaining row fields, so the result is
-    deterministic. Mixed directions fall back to a row_number window."""
-    rest = [c for c in df.columns if c not in keys]
-    dirs = {d for _, d in order}
-    if len(dirs) == 1:
-        best = F.struct(*[F.col(c).alias(f"_o{i}") for i, (c, _) in enumerate(order)],
-                        F.struct(*rest).alias("_row"))
-        agg = F.max(best) if dirs.pop() else F.min(best)
-        return df.groupBy(*keys).agg(agg.alias("_best")).select(*keys, "_best._row.*")
-    w = Window.partitionBy(*keys).orderBy(*order_cols(order), *[F.col(c) for c in rest])
+    A row_number window cut at 1: Spark also cuts inside each task before the shuffle, so a key
+    holding a third of the table sends one row a task. Ties are broken by the remaining row fields (in
+    the direction of the last order column), so the result is deterministic. ``first_ids`` is the
+    cheaper form for rows that have an id."""
+    rest = [(c, order[-1][1] if order else False) for c in df.columns if c not in keys and c not in {o for o, _ in order}]
+    w = Window.partitionBy(*keys).orderBy(*order_cols([*order, *rest]))
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def order_key(df: DataFrame, order: list[str]) -> Column:
+    """Ascending ``order`` columns as one value. Two columns, a time and a whole number, fit into one
+    decimal, which a hash aggregate can keep; anything else is a struct. NULL comes first."""
+    kinds = [df.schema[c].dataType.simpleString() for c in order]
+    if len(order) == 2 and kinds[0] in ("timestamp", "timestamp_ntz") and kinds[1] in ("tinyint", "smallint", "int", "bigint"):
+        whole = "decimal(38,0)"
+        micros = F.coalesce(F.unix_micros(F.col(order[0]).cast("timestamp")), F.lit(-(1 << 62))).cast(whole)
+        number = F.coalesce(F.col(order[1]).cast("long"), F.lit(-(1 << 63))).cast(whole)
+        # more than the 2^64 numbers that one microsecond may have; 2^62 times that is below 10^38
+        return (micros * F.lit(str(2 * 10 ** 19)).cast("decimal(20,0)")).cast(whole) + number
+    return F.struct(*order)
+
+
+def first_ids(df: DataFrame, keys: list[str], order: list[str], row_id: str = "_rid") -> DataFrame:
+    """O5 by key reduction: per key the first ``order`` value (``_first``) and the id of its row
+    (``_first_rid``); with ``order_key``s of a fixed width a hash aggregate, partial in each task. No row
+    is carried: rows compare their id with that of their key."""
+    return df.groupBy(*keys).agg(F.min(order_key(df, order)).alias("_first"),
+                                 F.min_by(row_id, order_key(df, order)).alias("_first_rid"))

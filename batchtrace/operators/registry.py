@@ -89,29 +89,53 @@ def _codes(rows: DataFrame, code_col: str) -> tuple[DataFrame, DataFrame]:
                                                          "no two-letter code left in this scope")
 
 
+def _verdict(*checks: tuple[Column, str, Column | str]) -> Column:
+    """First failed check (condition, rule, message) of a row as struct(rule, message), else NULL."""
+    out = None
+    for failed, rule, message in checks:
+        value = F.struct(F.lit(rule).alias("rule"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+        out = F.when(failed, value) if out is None else out.when(failed, value)
+    return out
+
+
+def _judged(req: DataFrame, verdict: Column) -> tuple[DataFrame, DataFrame]:
+    """(valid requests with a row id, rejects): all checks of a request are one column, pinned once."""
+    req = _pin(req.withColumn("_v", verdict).withColumn("_rid", F.monotonically_increasing_id()))
+    rejects = req.where("_v IS NOT NULL").select("request_id", F.col("_v.rule").alias("rule"), F.col("_v.message").alias("message"))
+    return req.where("_v IS NULL").drop("_v"), rejects
+
+
+def _flagged(ref: DataFrame, flag: str) -> DataFrame:
+    return ref.distinct().withColumn(flag, F.lit(True))
+
+
+def _listed(flag: str, value: Column) -> Column:
+    """Aggregate: the values of items without ``flag``, in request order, joined; NULL if there is none."""
+    found = F.collect_list(F.when(F.col(flag).isNull(), F.struct("_pos", value.alias("_val"))))
+    text = F.array_join(F.transform(F.sort_array(found), lambda x: x["_val"]), ", ")
+    return F.when(F.size(found) > 0, text)
+
+
 def _dedupe_by_hash(valid: DataFrame, scope: list[str], existing: DataFrame, code_col: str, counters: DataFrame,
                     counter_name: str, start: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Shared M3-M5 core: resolve each request's (scope, hash) to an existing code, a new
-    code (first request of the hash) or the new code of an earlier request."""
+    code (first request of the hash) or the new code of an earlier request.
+
+    Only one narrow row per (scope, hash) is numbered; requests get their hash's code in one join and
+    are the creating one if their row is the hash's first."""
     keys = [*scope, "content_hash"]
+    hashes = O.first_ids(valid, keys, ORDER)
     ex = existing.groupBy(*keys).agg(F.min(code_col).alias("_existing"))
-    v = _pin(valid.join(ex, keys, "left"))
-    found = v.where("_existing IS NOT NULL").withColumn(code_col, F.col("_existing")) \
-             .withColumn("outcome", F.lit("existing")).drop("_existing")
-    fresh = v.where("_existing IS NULL").drop("_existing")
-    # the first request per hash (whole row kept by the aggregate) creates it; the others
-    # are found by id and resolve to its code
-    leaders = O.first_per_key(fresh, keys, [(c, False) for c in ORDER])
-    numbered, floors = assign_scoped(leaders, scope, counters, counter_name, start)
-    created, exhausted = _codes(numbered, code_col)
-    created = created.drop("value").withColumn("outcome", F.lit("created"))
-    dup = fresh.join(leaders.select("request_id"), "request_id", "left_anti").join(
-        created.select(*keys, code_col), keys, "left")
-    dup_ok = dup.where(F.col(code_col).isNotNull()).withColumn("outcome", F.lit("duplicate"))
-    dup_bad = _reject(dup.where(F.col(code_col).isNull()), "code_space_exhausted",
-                      "no two-letter code left in this scope")
-    accepted = found.unionByName(created).unionByName(dup_ok)
-    return accepted, created, exhausted.unionByName(dup_bad), floors
+    hashes = _pin(hashes.join(ex, keys, "left"))
+    numbered, floors = assign_scoped(hashes.where("_existing IS NULL"), scope, counters, counter_name, start, order=["_first"])
+    coded = numbered.withColumn(code_col, C.int_to_code("value")).select(*keys, "_first_rid", code_col, F.lit(False).alias("_stored_hash"))
+    known = hashes.where("_existing IS NOT NULL").select(*keys, "_first_rid", F.col("_existing").alias(code_col), F.lit(True).alias("_stored_hash"))
+    done = valid.join(coded.unionByName(known), keys)
+    outcome = F.when(F.col("_stored_hash"), "existing").when(F.col("_rid") == F.col("_first_rid"), "created").otherwise("duplicate")
+    done = _pin(done.withColumn("outcome", outcome).drop("_stored_hash", "_first_rid", "_rid"))
+    exhausted = _reject(done.where(F.col(code_col).isNull()), "code_space_exhausted", "no two-letter code left in this scope")
+    accepted = done.where(F.col(code_col).isNotNull())
+    return accepted, accepted.where("outcome = 'created'"), exhausted, floors
 
 
 # ---- M3: sets -----------------------------------------------------------------------------
@@ -120,14 +144,15 @@ def register_sets(requests: DataFrame, state, as_of, start: int = 1):
     """M3: all SKUs must exist (unknown ones listed in request order); content hash over
     the sorted SKUs (duplicates kept, K3); codes from counter 'set_code', scope ''."""
     req = requests.withColumn("skus", F.transform("skus", lambda x: F.trim(x)))
-    unknown = Q.check_membership(req, "skus", state["ingredients"].select("sku"), "sku", "Unknown SKUs: ")
-    empty = _reject(req.where(F.size("skus") == 0), "empty_set", "at least one SKU is required")
-    rejects = unknown.unionByName(empty)
-    valid = req.join(rejects.select("request_id"), "request_id", "left_anti") \
-               .withColumn("content_hash", H.hash_set("skus"))
+    named = req.select("request_id", F.posexplode("skus").alias("_pos", "sku"))
+    named = named.join(_flagged(state["ingredients"].select("sku"), "_known"), "sku", "left")
+    req = req.join(named.groupBy("request_id").agg(_listed("_known", F.col("sku")).alias("_unknown")), "request_id", "left")
+    valid, rejects = _judged(req, _verdict(
+        (F.col("_unknown").isNotNull(), "membership", F.concat(F.lit("Unknown SKUs: "), F.col("_unknown"))),
+        (F.size("skus") == 0, "empty_set", "at least one SKU is required")))
     existing = state["ingredient_sets"].select("set_code", F.col("set_hash").alias("content_hash"))
-    accepted, created, exhausted, floors = _dedupe_by_hash(valid, [], existing, "set_code",
-                                                           state["code_counters"], "set_code", start)
+    accepted, created, exhausted, floors = _dedupe_by_hash(valid.withColumn("content_hash", H.hash_set("skus")), [], existing,
+                                                           "set_code", state["code_counters"], "set_code", start)
     sets = created.select("set_code", F.col("content_hash").alias("set_hash"), _ts(as_of).alias("created_at"),
                           F.col("actor").alias("created_by"), blank_to_null("notes").alias("notes"),
                           blank_to_null("material_workstream").alias("material_workstream"))
@@ -165,21 +190,18 @@ def register_weights(requests: DataFrame, state, as_of, start: int = 1, exact_ro
     else:
         req = req.withColumn("items", F.transform("items", lambda x: F.struct(
             F.trim(x["sku"]).alias("sku"), round_weight(x["wt_percent"]).alias("wt_percent"))))
-    sets = state["ingredient_sets"].select("set_code").distinct()
-    no_set = _reject(req.join(sets, "set_code", "left_anti"), "unknown_set", "set does not exist")
-    known = req.join(sets, "set_code", "left_semi")
-    outside = Q.check_membership(known.withColumn("_skus", F.transform("items", lambda x: x["sku"])), "_skus",
-                                 state["ingredient_set_items"].select("set_code", "sku"), "sku",
-                                 "SKUs not in set: ", scope=["set_code"])
-    bad_sum = _reject(known.where(Q.weight_sum_is_100("items") == F.lit(False)), "weight_sum",
-                      "Weight percentages must sum to 100.00 after rounding")
-    rejects = _first_reject(no_set, outside, bad_sum)
-    valid = known.join(rejects.select("request_id"), "request_id", "left_anti") \
-                 .withColumn("content_hash", H.hash_weights("items"))
+    named = req.select("request_id", "set_code", F.posexplode(F.transform("items", lambda x: x["sku"])).alias("_pos", "sku"))
+    named = named.join(_flagged(state["ingredient_set_items"].select("set_code", "sku"), "_inside"), ["set_code", "sku"], "left")
+    req = req.join(named.groupBy("request_id").agg(_listed("_inside", F.col("sku")).alias("_outside")), "request_id", "left")
+    req = req.join(_flagged(state["ingredient_sets"].select("set_code"), "_known"), "set_code", "left")
+    valid, rejects = _judged(req, _verdict(
+        (F.col("_known").isNull(), "unknown_set", "set does not exist"),
+        (F.col("_outside").isNotNull(), "membership", F.concat(F.lit("SKUs not in set: "), F.col("_outside"))),
+        (~Q.weight_sum_is_100("items"), "weight_sum", "Weight percentages must sum to 100.00 after rounding")))
     existing = state["dry_weight_variants"].select("set_code", "weight_code",
                                                    F.col("weight_hash").alias("content_hash"))
-    accepted, created, exhausted, floors = _dedupe_by_hash(valid, ["set_code"], existing, "weight_code",
-                                                           state["code_counters"], "weight_code", start)
+    accepted, created, exhausted, floors = _dedupe_by_hash(valid.withColumn("content_hash", H.hash_weights("items")), ["set_code"],
+                                                           existing, "weight_code", state["code_counters"], "weight_code", start)
     heads = created.select("set_code", "weight_code", F.col("content_hash").alias("weight_hash"),
                            _ts(as_of).alias("created_at"), F.col("actor").alias("created_by"),
                            blank_to_null("notes").alias("notes"))
@@ -203,28 +225,22 @@ def register_batch_variants(requests: DataFrame, state, as_of, start: int = 1):
                   .withColumn("weight_code", norm_code("weight_code")) \
                   .withColumn("items", F.transform("items", lambda x: F.struct(
                       F.trim(x["sku"]).alias("sku"), F.trim(x["ingredient_batch_code"]).alias("ingredient_batch_code"))))
-    wv = state["dry_weight_variants"].select("set_code", "weight_code").distinct()
-    no_w = _reject(req.join(wv, ["set_code", "weight_code"], "left_anti"), "unknown_weight_variant",
-                   "dry weight variant does not exist")
-    known = req.join(wv, ["set_code", "weight_code"], "left_semi")
-    blank = _reject(known.where(F.exists("items", lambda x: (x["sku"] == "") | (x["ingredient_batch_code"] == "")
-                                         | x["sku"].isNull() | x["ingredient_batch_code"].isNull())),
-                    "malformed_pair", "sku and ingredient_batch_code are required")
-    stored = state["ingredient_batches"].select("sku", "ingredient_batch_code").distinct()
-    named = known.select("request_id", F.posexplode("items").alias("_pos", "_i")).select("request_id", "_pos", "_i.*")
-    missing = named.join(stored, ["sku", "ingredient_batch_code"], "left_anti")
-    unknown = missing.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(
-        "_pos", F.concat_ws(":", "sku", "ingredient_batch_code").alias("_val")))).alias("_m")).select(
-        "request_id", F.lit("membership").alias("rule"),
-        F.concat(F.lit("Unknown batches: "), F.array_join(F.transform("_m", lambda x: x["_val"]), ", ")).alias("message"))
-    outside = Q.check_membership(known.withColumn("_skus", F.transform("items", lambda x: x["sku"])), "_skus",
-                                 state["dry_weight_items"].select("set_code", "weight_code", "sku"), "sku",
-                                 "SKUs not in dry weight variant: ", scope=["set_code", "weight_code"])
-    rejects = _first_reject(no_w, blank, unknown, outside)
-    valid = known.join(rejects.select("request_id"), "request_id", "left_anti") \
-                 .withColumn("content_hash", H.hash_batches("items")) \
-                 .withColumn("_scope_key", F.concat_ws(" ", "set_code", "weight_code"))
-    existing = state["batch_variants"].select(F.concat_ws(" ", "set_code", "weight_code").alias("_scope_key"),
+    scope, pair = ["set_code", "weight_code"], ["sku", "ingredient_batch_code"]
+    named = req.select("request_id", *scope, F.posexplode("items").alias("_pos", "_i")).select("request_id", *scope, "_pos", "_i.*")
+    named = named.join(_flagged(state["ingredient_batches"].select(*pair), "_stored"), pair, "left")
+    named = named.join(_flagged(state["dry_weight_items"].select(*scope, "sku"), "_inside"), [*scope, "sku"], "left")
+    per = named.groupBy("request_id").agg(_listed("_stored", F.concat_ws(":", *pair)).alias("_unknown"),
+                                          _listed("_inside", F.col("sku")).alias("_outside"))
+    req = req.join(per, "request_id", "left").join(_flagged(state["dry_weight_variants"].select(*scope), "_known"), scope, "left")
+    blank = F.exists("items", lambda x: (x["sku"] == "") | (x["ingredient_batch_code"] == "")
+                     | x["sku"].isNull() | x["ingredient_batch_code"].isNull())
+    valid, rejects = _judged(req, _verdict(
+        (F.col("_known").isNull(), "unknown_weight_variant", "dry weight variant does not exist"),
+        (blank, "malformed_pair", "sku and ingredient_batch_code are required"),
+        (F.col("_unknown").isNotNull(), "membership", F.concat(F.lit("Unknown batches: "), F.col("_unknown"))),
+        (F.col("_outside").isNotNull(), "membership", F.concat(F.lit("SKUs not in dry weight variant: "), F.col("_outside")))))
+    valid = valid.withColumn("content_hash", H.hash_batches("items")).withColumn("_scope_key", F.concat_ws(" ", *scope))
+    existing = state["batch_variants"].select(F.concat_ws(" ", *scope).alias("_scope_key"),
                                               "batch_variant_code", F.col("batch_hash").alias("content_hash"))
     accepted, created, exhausted, floors = _dedupe_by_hash(valid, ["_scope_key"], existing, "batch_variant_code",
                                                            state["code_counters"], "batch_variant_code", start)
@@ -271,32 +287,36 @@ def _q1_split(req: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.where("_q1 IS NULL").drop("_q1"), bad
 
 
+def _no_nulls(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` as columns _k_<name> without NULL (a text or number that no key has instead), so that
+    NULL equals NULL in plain equi-joins and a grouping's partitioning serves them."""
+    text = lambda k: df.schema[k].dataType.simpleString() == "string"
+    return df.select("*", *[F.coalesce(F.col(k), F.lit("\0") if text(k) else F.lit(-(1 << 62))).alias(f"_k_{k}") for k in keys])
+
+
 def register_ingredients(requests: DataFrame, state, as_of):
     """M6: Q1 checks; an exact duplicate (7 attributes, NULL spec grade equal) of a stored
     or earlier requested ingredient is rejected; a request for a known product (6
     attributes) reuses its seq; each new product gets the next global seq
-    (counter 'ingredient_seq', scope 'global', start 1); SKU = F3."""
-    req = requests.withColumn("spec_grade", blank_to_null("spec_grade"))
-    ok, bad = _q1_split(req)
-    ing = state["ingredients"]
-    # The first request per item (7 attributes, NULL equal in grouping) survives; the
-    # aggregate keeps its whole row, so later copies are rejected by id without a join back.
-    survivors = O.first_per_key(ok, ITEM_KEYS, [(c, False) for c in ORDER])
-    dup_batch = ok.select("request_id").join(survivors.select("request_id"), "request_id", "left_anti")
-    dup_stored = _ns_join(survivors, ing.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_semi")
-    dups = _reject(dup_batch.unionByName(dup_stored.select("request_id")), "duplicate", "Ingredient already exists")
-    fresh = _ns_join(survivors, ing.select(*ITEM_KEYS).distinct(), ITEM_KEYS, "left_anti")
-    known = ing.groupBy(*PRODUCT_KEYS).agg(F.min("seq").alias("_seq"))
-    fresh = _pin(_ns_join(fresh, known, PRODUCT_KEYS, "left"))
-    reuse = fresh.where("_seq IS NOT NULL").withColumn("seq", F.col("_seq"))
-    new_products = fresh.where("_seq IS NULL").groupBy(*PRODUCT_KEYS).agg(
-        F.min(F.struct(*ORDER)).alias("_o")).select(*PRODUCT_KEYS, "_o.*")
-    numbered, floors = assign_scoped(new_products.withColumn("_g", F.lit("global")), ["_g"],
-                                     state["code_counters"], "ingredient_seq", 1)
-    new = _ns_join(fresh.where("_seq IS NULL").drop("_seq"),
-                   numbered.select(*PRODUCT_KEYS, F.col("value").alias("seq")), PRODUCT_KEYS, "inner")
-    acc = reuse.drop("_seq").unionByName(new).withColumn(
-        "sku", C.format_sku("category_code", "seq", "pack_size_value"))
+    (counter 'ingredient_seq', scope 'global', start 1); SKU = F3.
+
+    Items and products are one narrow row each: their first request, whether they are stored, their seq."""
+    product, item = ([f"_k_{k}" for k in keys] for keys in (PRODUCT_KEYS, ITEM_KEYS))
+    numbers = ["category_code", "pack_size_value"]
+    req = requests.withColumn("spec_grade", blank_to_null("spec_grade")).withColumns({c: F.col(c).cast("long") for c in numbers})
+    ok, bad = _judged(_no_nulls(req, ITEM_KEYS), Q.ingredient_reason())
+    ing = _no_nulls(state["ingredients"].select(*ITEM_KEYS, "seq"), ITEM_KEYS)
+    items = O.first_ids(ok, item, ORDER).join(_flagged(ing.select(*item), "_stored"), item, "left").where("_stored IS NULL")
+    known = ing.groupBy(*product).agg(F.min("seq").alias("_seq"))
+    items = _pin(items.drop("_stored").join(known, product, "left"))
+    first = items.where("_seq IS NULL").groupBy(*product).agg(F.min("_first").alias("_first"))
+    numbered, floors = assign_scoped(first.withColumn("_g", F.lit("global")), ["_g"], state["code_counters"], "ingredient_seq", 1,
+                                     order=["_first"])
+    seqs = items.join(numbered.select(*product, F.col("value").alias("_new")), product, "left").select(
+        F.col("_first_rid").alias("_rid"), F.coalesce("_seq", "_new").alias("seq"))
+    done = _pin(ok.join(seqs, "_rid", "left"))
+    dups = _reject(done.where("seq IS NULL"), "duplicate", "Ingredient already exists")
+    acc = done.where("seq IS NOT NULL").withColumn("sku", C.format_sku("category_code", "seq", "pack_size_value"))
     rows = acc.select("sku", "category_code", "seq", "pack_size_value", "pack_size_unit", "trade_name_inci",
                       "supplier", "spec_grade", "format", _ts(as_of).alias("created_at"),
                       _ts(as_of).alias("updated_at"), F.col("actor").alias("created_by"),
