@@ -147,3 +147,38 @@ def test_weights_and_variants_of_one_parent(spark):
     codes = [r.ingredient_batch_code for r in LN.batches_of_sku(t, sku, include_archived=True).collect()]
     assert codes and codes == sorted(codes)
     assert LN.sku_summary_ingredient(t, spark.createDataFrame([(sku.lower(),)], "sku string")).first().sku == sku
+
+
+def test_first_ids_equal_the_first_rows(spark):
+    """Times with equal microseconds, numbers at both ends of a long, and nulls keep their order."""
+    import datetime as dt
+    at = [dt.datetime(2026, 1, 1, 0, 0, 0, i) for i in (0, 1, 1, 2)] + [None]
+    ids = [(1 << 63) - 1, -(1 << 63), 0, 7, 3, None]
+    rows = [(k % 3, at[k % 5], ids[k % 6], k) for k in range(90)]
+    df = spark.createDataFrame(rows, "k int, submitted_at timestamp_ntz, request_id long, _rid long")
+    want = {}
+    for k, a, i, r in rows:
+        o = (a is not None, a or at[0], i if i is not None else -(1 << 63))
+        if k not in want or o < want[k][0]:
+            want[k] = (o, r)
+    got = O.first_ids(df, ["k"], ["submitted_at", "request_id"])
+    plan = got._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    by = {r._rid: r for r in df.collect()}
+    for r in got.collect():
+        first = by[r._first_rid]
+        assert (first.submitted_at is not None, first.submitted_at or at[0], first.request_id if first.request_id is not None else -(1 << 63)) == want[r.k][0]
+    text = df.withColumn("request_id", F.col("request_id").cast("string"))  # no fixed width: a struct
+    assert O.first_ids(text, ["k"], ["submitted_at", "request_id"]).count() == 3
+
+
+def test_numbering_moves_the_rows_once(spark):
+    df = spark.range(1000).withColumn("s", F.when(F.col("id") % 3 == 0, "cold").when(F.col("id") % 50 == 1, F.lit(None).cast("string")).otherwise("hot")) \
+        .withColumn("w", F.col("id") % 4)
+    out = sequence_within(df, ["s"], ["id"], weight="w", num_partitions=7)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()
+    came = {}
+    for r in sorted(out.collect(), key=lambda r: r.id):
+        assert r._seq0 == came.get(r.s, 0)
+        came[r.s] = came.get(r.s, 0) + r.w
+    assert sequence_within(df.limit(0), ["s"], ["id"]).count() == 0
