@@ -32,61 +32,86 @@ BITS = 1 << 24
 _END = re.compile(r"[.!?][ \t\n\x0b\f\r]+|\n[ \t\n\x0b\f\r]*")
 _WORD = re.compile(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*")
 _PLACE = (1 << 23) - 1
-_KEYS = 1 << 18
+#: Word keys remembered, and words of long sentences cut at once.
+_KEYS, _HELD = 1 << 16, 1 << 16
 #: Odd factor of the polynomial over a run's sentence hashes.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 RUNS = "struct<n: int, h: array<bigint>, at: array<bigint>>"
 
 
-def _cut(sentence: str, chunks: list[str], window: int, keys: dict[str, int]) -> list[str]:
-    """A sentence of ``window`` words or more, cut behind the word with the smallest hash (ties: the last)
-    of every ``window`` neighbouring words. No piece is longer than that, and a cut depends on the
-    words near it alone."""
-    found = []
-    for c in chunks:
-        w = c.strip(" \t\n\x0b\f\r").lower()
-        k = keys.get(w)
-        if k is None:
-            if len(keys) >= _KEYS:
-                keys.clear()
-            k = keys[w] = int(hashlib.md5(w.encode()).hexdigest()[:10], 16)
-        found.append(k)
-    key = (np.array(found, np.int64) << 23) | (_PLACE - np.arange(len(found)))
-    ends = np.unique(_PLACE - (np.lib.stride_tricks.sliding_window_view(key, window).min(axis=1) & _PLACE)).tolist()
-    if ends[-1] != len(chunks) - 1:
-        ends.append(len(chunks) - 1)
-    return ["".join(chunks[a + 1:b + 1]) for a, b in zip([-1, *ends[:-1]], ends, strict=True)]
-
-
-def pieces(text: str, window: int, keys: dict[str, int]) -> tuple[list[str], list[list[bytes]]]:
-    """The sentences of a text, long ones cut, and the lower-cased words of each."""
-    out, words, a, end = [], [], 0, len(text)
+class _Keys(dict):
+    """40 bits of each word's MD5 (a hash that SQL engines have too)."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KEYS:
+            self.clear()
+        k = self[word] = int(hashlib.md5(word).hexdigest()[:10], 16)
+        return k
+
+
+def _cuts(sentences: list[list[bytes]], window: int, keys: _Keys) -> list[list[int]]:
+    """Last places of the pieces of each sentence: behind the word with the smallest key (ties: the last)
+    of every ``window`` neighbouring words, and at its end."""
+    sizes = np.array([len(w) for w in sentences])
+    ends = np.cumsum(sizes)
+    n = int(ends[-1])
+    key = np.fromiter((keys[x] for w in sentences for x in w), np.int64, n)
+    least = (key << 23) | (_PLACE - np.arange(n))
+    size = 1
+    while size < window:  # minimum of twice as many neighbours in each step
+        step = min(size, window - size)
+        least = np.minimum(least[:len(least) - step], least[step:])
+        size += step
+    within = np.arange(n - window + 1) + window <= np.repeat(ends, sizes)[:n - window + 1]
+    places = np.unique(np.concatenate((_PLACE - (least[within] & _PLACE), ends - 1)))
+    at = np.searchsorted(places, ends)
+    starts = ends - sizes
+    return [(places[a:b] - c).tolist() for a, b, c in zip([0, *at[:-1]], at, starts, strict=True)]
+
+
+def pieces(text: str, window: int, keys: _Keys) -> tuple[list[int], list[int], list[int]]:
+    """(ends, words, digests): where each sentence of a text ends, its number of words, and the hash of its
+    lower-cased words. Sentences of ``window`` words or more are cut: no piece is longer than that, and
+    a cut depends on the words near it alone. Words are not kept beyond some sentences."""
+    found: list = []
+    long_, held = [], 0
+
+    def cut() -> None:
+        for (i, a, b, w), last in zip(long_, _cuts([w for _, _, _, w in long_], window, keys), strict=True):
+            stops = [a + m.end() for m in _WORD.finditer(text[a:b])] if len(last) > 1 else None
+            found[i] = [(stops[e] if stops else b, e - f, xxhash.xxh64_intdigest(b" ".join(w[f + 1:e + 1]), 42))
+                        for f, e in zip([-1, *last[:-1]], last, strict=True)]
+        long_.clear()
+
+    a, end = 0, len(text)
     while a < end:
         m = _END.search(text, a + 1)
         b = m.end() if m else end
-        s, a = text[a:b], b
-        w = s.lower().encode().split()
-        # words are told apart by ASCII white space in both forms
-        if len(w) < window or len(w) > _PLACE:
-            out.append(s)
-            words.append(w)
-            continue
-        at = 0
-        for p in _cut(s, _WORD.findall(s), window, keys):
-            n = len(p.lower().encode().split())
-            out.append(p)
-            words.append(w[at:at + n])
-            at += n
-    return out, words
-
-
-def run_hashes(words: list[list[bytes]], run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        w = text[a:b].lower().encode().split()
+        n = len(w)
+        if n < window or n > _PLACE:  # places of words have 23 bits
+            found.append((b, n, xxhash.xxh64_intdigest(b" ".join(w), 42)))
+        else:
+            if held + n > _HELD and long_:
+                cut()
+                held = 0
+            long_.append((len(found), a, b, w))
+            held += n
+            found.append(None)
+        a = b
+    if long_:
+        cut()
+    flat = [x for f in found for x in (f if type(f) is list else (f,))]
+    return [x[0] for x in flat], [x[1] for x in flat], [x[2] for x in flat]
+
+
+def run_hashes(words: list[int], digests: list[int], run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place) of every run, in order of its first sentence: sentences i.. onwards and ..j backwards
     until both bounds are met. place holds first << 32 | count << 1 | whether an equal run came before."""
     n = len(words)
     if n < run:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, n))))
+    total = np.concatenate(([0], np.cumsum(np.array(words, np.int64))))
     first = np.arange(n)
     end = np.maximum(first + run, np.searchsorted(total, total[:-1] + min_words))
     last = np.arange(1, n + 1)
@@ -97,7 +122,7 @@ def run_hashes(words: list[list[bytes]], run: int, min_words: int) -> tuple[np.n
     b = np.concatenate((end[onward], last[back]))
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    digest = np.array([xxhash.xxh64_intdigest(b" ".join(w), 42) for w in words], np.uint64)
+    digest = np.array(digests, np.uint64)
     with np.errstate(over="ignore"):
         power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _BASE))), dtype=np.uint64)
         inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64))))), dtype=np.uint64)
@@ -130,23 +155,25 @@ def dedup_spans(docs: DataFrame, carry: list[str] | None = None, run: int = RUN,
 
     @F.pandas_udf(RUNS)
     def runs_of(texts: pd.Series) -> pd.DataFrame:
-        keys, out = {}, []
+        keys, out = _Keys(), []
         for t in texts:
-            words = pieces(t, window, keys)[1] if t else []
-            out.append((len(words), *run_hashes(words, run, min_words)))
+            _, words, digests = pieces(t or "", window, keys)
+            out.append((len(words), *run_hashes(words, digests, run, min_words)))
         return pd.DataFrame(out, columns=["n", "h", "at"])
 
     @F.pandas_udf("struct<text: string, removed: int>")
     def without(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
-        keys, out = {}, []
+        keys, out = _Keys(), []
         for t, found in zip(texts, places, strict=True):
-            parts = pieces(t, window, keys)[0]
-            gone = np.zeros(len(parts) + 1, np.int64)
-            at = np.asarray(found, np.int64)
+            if found is None:
+                out.append((None, 0))
+                continue
+            ends = pieces(t, window, keys)[0]
+            gone, at = np.zeros(len(ends) + 1, np.int64), np.asarray(found, np.int64)
             np.add.at(gone, at >> 32, 1)
             np.add.at(gone, (at >> 32) + ((at & 0xFFFFFFFF) >> 1), -1)
-            cover = np.cumsum(gone[:-1]) > 0
-            out.append(("".join(p for p, g in zip(parts, cover.tolist(), strict=True) if not g), int(cover.sum())))
+            cover = (np.cumsum(gone[:-1]) > 0).tolist()
+            out.append(("".join(t[a:b] for a, b, g in zip([0, *ends[:-1]], ends, cover, strict=True) if not g), sum(cover)))
         return pd.DataFrame(out, columns=["text", "removed"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"),
@@ -167,7 +194,7 @@ def dedup_spans(docs: DataFrame, carry: list[str] | None = None, run: int = RUN,
     gone = (hits.drop("_rank").join(first, "h").where("(at & 1L) = 1L or _rid <> first")
             .groupBy("_rid").agg(F.collect_list("at").alias("_at")))
     out = rows.select("_row", "_rid", "text", F.col("_r.n").cast("long").alias("n_pieces")).join(gone, "_rid", "left")
-    changed = out.where("_at is not null").withColumn("_o", without("text", "_at")).select(
-        "_row.*", F.col("_o.text").alias("text"), "n_pieces", F.col("_o.removed").cast("long").alias("n_removed"))
-    same = out.where("_at is null").select("_row.*", "text", "n_pieces", F.lit(0).cast("long").alias("n_removed"))
-    return changed.unionByName(same)
+    # only changed texts go to Python again
+    out = out.withColumn("_o", without(F.when(F.col("_at").isNotNull(), F.col("text")), "_at"))
+    return out.select("_row.*", F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.col("_o.text")).alias("text"),
+                      "n_pieces", F.col("_o.removed").cast("long").alias("n_removed"))
