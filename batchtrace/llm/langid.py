@@ -12,12 +12,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from batchtrace.llm.shared import ship, store
 
 ORDERS = (5, 4, 3, 2, 1)
-#: Bounds of the model: training documents (about), words and n-grams kept, most frequent first.
+#: Bounds of the model: training documents (about), words and n-grams kept. Each language has an equal
+#: share of them (all it has, if fewer), its most frequent keys first.
 MAX_TRAIN, MAX_WORDS, MAX_GRAMS = 30_000, 60_000, 60_000
 #: Words that count at most as independent evidence in the posterior.
 EVIDENCE = 30
@@ -40,8 +41,13 @@ def grams(word: str, n: int) -> list[str]:
 def _count_words(batches):
     for pdf in batches:
         counts: dict[str, Counter] = {}
-        for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
-            counts.setdefault(lang, Counter()).update(text.lower().split())
+        for text, lang, times in zip(pdf["text"], pdf["lang"], pdf["times"], strict=True):
+            own = counts.setdefault(lang, Counter())
+            if times == 1:
+                own.update(text.lower().split())
+            else:
+                for chunk, n in Counter(text.lower().split()).items():
+                    own[chunk] += n * times
         rows = Counter()
         for lang, c in counts.items():
             for chunk, n in c.items():
@@ -138,27 +144,33 @@ class _Rows(dict):
 def train(rows: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Model from text and lang of ``rows`` (nulls are left out).
 
-    Fitted on about ``max_train`` rows, chosen by a hash of the text; the tables collected to the
-    driver have at most ``max_words`` and ``max_grams`` keys."""
+    Fitted on about ``max_train`` rows: an equal number of each language, or all of one that has fewer,
+    drawn row by row (by a hash of text and place), so copies of a text are drawn apart. The tables
+    collected to the driver have at most ``max_words`` and ``max_grams`` keys, an equal number of each
+    language's most frequent ones (ties in order of the keys). The prior is each language's share of all
+    rows given, not of the drawn ones."""
     ship(rows.sparkSession)
     rows = rows.select("text", "lang").where("text is not null and lang is not null")
-    n = rows.count()
-    share = min(1.0, max_train / max(1, n))
-    rows = rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(found)
+    each = max_train / max(1, len(langs))
+    drawn = rows.withColumn("u", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)))
+    share = rows.sparkSession.createDataFrame([(k, int(min(1.0, each / n) * (1 << 30))) for k, n in found.items()], "lang string, below long")
+    drawn = drawn.join(F.broadcast(share), "lang").where("u < below")  # a row a language
+    # equal texts are put together before the shuffle, so a frequent one is one row
+    drawn = drawn.groupBy("lang", "text").agg(F.count(F.lit(1)).alias("times"))
     schema = "lang string, key string, n long"
-    words = store(rows.repartition(F.xxhash64("text")).mapInPandas(_count_words, schema)
-                  .groupBy("lang", "key").agg(F.sum("n").alias("n")), "lang-words")
+    words = store(drawn.mapInPandas(_count_words, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")), "lang-words")
     gram_rows = store(words.mapInPandas(_count_grams, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")), "lang-grams")
 
     def top(t: DataFrame, k: int) -> pd.DataFrame:
-        keys = t.groupBy("key").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "key").limit(k).select("key")
-        return t.join(F.broadcast(keys), "key").toPandas()
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+        keys = t.withColumn("rank", rank).where(F.col("rank") <= k // max(1, len(langs))).select("key").distinct()
+        return t.join(F.broadcast(keys), "key").toPandas()  # at most k keys
 
     totals = {(r["lang"], r["k"]): r["n"] for t, k in ((words, F.lit(0)), (gram_rows, F.length("key")))
               for r in t.groupBy("lang", k.alias("k")).agg(F.sum("n").alias("n")).collect()}
-    langs = sorted({lang for lang, _ in totals})
-    mass = [totals.get((lang, 0), 0) for lang in langs]
-    prior = [math.log(m / max(1, sum(mass))) for m in mass]
+    prior = [math.log(found[lang] / sum(found.values())) for lang in langs]
     return Model(langs, prior, _logs(top(words, max_words), totals, langs, lambda k: 0),
                  _logs(top(gram_rows, max_grams), totals, langs, len))
 

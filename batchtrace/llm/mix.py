@@ -9,6 +9,8 @@ one aggregation, and a rate is a fold of the rounds' residuals over the document
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,14 +32,18 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max
 
     The words are the ``max_words`` whose presence tells the domains apart best (likelihood ratio;
     ties in order of the words). Fitted on about ``max_labelled`` rows of ``labelled`` (doc_id,
-    domain), chosen by a hash of doc_id; rows with nulls or other domains are left out. What reaches
-    the driver is bounded by the two parameters: the kept words and, for each row of the sample,
-    which of them it holds."""
-    labelled = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain")
+    domain), chosen by a hash of doc_id; rows with nulls or other domains are left out. Each doc_id
+    counts once, however often it is labelled or stands in ``docs``: with the first of its
+    domains, and the first of its texts in text order. What reaches the driver is bounded by the two
+    parameters: the kept words and, for each row of the sample, which of them it holds."""
+    place = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain"))
+    labelled = (labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
+                .groupBy("doc_id").agg(F.min(place).alias("place")))
     share = min(1.0, max_labelled / max(1, labelled.count()))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = store(docs.select("doc_id", "text").join(sample, "doc_id")
-                 .select("domain", F.array_distinct(words(F.col("text"))).alias("w")), "mix-labelled")
+    domain = F.get(F.array(*[F.lit(d) for d in domains]), (F.col("place") - 1).cast("int")).alias("domain")
+    rows = store(docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "place").agg(F.min("text").alias("text"))
+                 .select(domain, F.array_distinct(words(F.col("text"))).alias("w")), "mix-labelled")
     found = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     seen = np.array([found.get(d, 0) for d in domains], float)
     held = [F.sum((F.col("domain") == d).cast("long")).cast("double").alias(f"n{i}") for i, d in enumerate(domains)]
@@ -142,6 +148,9 @@ def fit_rates(rows: DataFrame, targets: list[float], max_rounds: int = MAX_ROUND
             scaled = np.linalg.pinv(gram + 1e-12 * np.diag(unit), rcond=1e-10) @ residual
             steps.append([float(x) for x in scaled])
         total, gram = sums(steps)
+    else:
+        warnings.warn(f"rates did not settle in {max_rounds} rounds: domain tokens {total.round(1).tolist()}, targets "
+                      f"{goal.round(1).tolist()}", stacklevel=2)
     return steps
 
 

@@ -153,7 +153,7 @@ def _urls() -> str:
 {name}_s AS (SELECT 1 / least(greatest(coalesce(CASE WHEN room > 0 THEN over / room END, {least}), {least}), {most}) - 1 AS s
     FROM (SELECT sum(pow(bad - seen * prior, 2) / seen - prior * (1 - prior)) FILTER (seen > 0) AS over,
                  sum(prior * (1 - prior) * (seen - 1)) FILTER (seen > 0) AS room FROM {name}_in)),
-{name} AS (SELECT *, (prior * s + bad) / (s + seen) AS mean, s + seen AS size FROM {name}_in, {name}_s)"""
+{name} AS (SELECT *, prior * s + bad AS alpha, (prior * s + bad) / (s + seen) AS mean, s + seen AS size FROM {name}_in, {name}_s)"""
 
     rules = sorted(URL_RULES, key=lambda r: -len("".join(r[1])))
     fits = [(v, h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, (h, p) in rules]
@@ -170,9 +170,9 @@ hosts AS (SELECT *, CASE WHEN length(name) <= length(suffix) + 1 OR regexp_match
                          ELSE string_split(left(name, length(name) - length(suffix) - 1), '.')[-1] || '.' || suffix END AS domain FROM u),
 domains AS (SELECT domain, suffix, sum(seen) AS seen, sum(bad) AS bad FROM hosts GROUP BY ALL),
 tops AS (SELECT suffix, sum(seen) AS seen, sum(bad) AS bad FROM domains GROUP BY ALL),
-{level("t", "SELECT *, (SELECT (sum(bad) + 0.5) / (sum(seen) + 1) FROM tops) AS prior FROM tops")},
-{level("d", "SELECT domains.*, t.mean AS prior FROM domains JOIN t USING (suffix)")},
-{level("r", "SELECT hosts.host, hosts.seen, hosts.bad, d.mean AS prior FROM hosts JOIN d USING (domain)")}
+{level("t", "SELECT *, ((SELECT sum(bad) FROM tops) - bad + 0.5) / ((SELECT sum(seen) FROM tops) - seen + 1) AS prior FROM tops")},
+{level("d", "SELECT domains.*, (t.alpha - domains.bad) / (t.size - domains.seen) AS prior FROM domains JOIN t USING (suffix)")},
+{level("r", "SELECT hosts.host, hosts.seen, hosts.bad, (d.alpha - hosts.bad) / (d.size - hosts.seen) AS prior FROM hosts JOIN d USING (domain)")}
 SELECT p.page_id, p.host, p.path, {rule.replace("host ", "p.host ").replace("(host,", "(p.host,").replace("(path,", "(p.path,")} AS rule,
        coalesce({says.replace("host ", "p.host ").replace("(host,", "(p.host,").replace("(path,", "(p.path,")},
                 CASE WHEN r.mean - {DEVIATIONS} * sqrt(r.mean * (1 - r.mean) / (r.size + 1)) > {MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from batchtrace.llm import chat, exact, langid, mix, negatives, pack, quality, rollup, secret_scan, simhash, spans, urls, whiten
-from batchtrace.llm.shared import scratch, table
+from batchtrace.llm.shared import keeping_tables, scratch, table
 
 
 #: Share of the tokens each domain of the labelled table is to have after mixing; the first keeps its tokens.
@@ -127,6 +127,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"), F.when(finite, near), carry=["vec_id"])
 
 
-QUERIES = {f.__name__: f for f in (
+#: Each result names the tables that were stored for it (``shared.forget`` deletes them).
+QUERIES = {f.__name__: keeping_tables(f) for f in (
     op1_mixing, op2_quality_rules, op3_token_rollup, op4_sentence_spans, op5_packing, op6_simhash, op7_secrets,
     op8_exact_dedup, op9_chat, op10_language_id, op11_url_filter, op12_hard_negatives, op13_whitening)}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,8 +14,10 @@ from batchtrace.session import checkpoint_dir, ship  # noqa: F401  (ship: for th
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Paths of the tables stored by this process, in order.
-STORED: list[str] = []
+#: Where the paths of tables stored by the current call go, if anyone wants them.
+_STORED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("stored", default=None)
+#: Column metadata that names the stored tables which a result still reads.
+TABLES = "stored_tables"
 
 #: Word rule of every contract: a run without ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -40,7 +45,8 @@ def store(df: DataFrame, label: str) -> DataFrame:
     several readers share one evaluation (row ids and samples in it are fixed)."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    STORED.append(path)
+    if (stored := _STORED.get()) is not None:
+        stored.append(path)
     # small row groups: a task that writes whole texts buffers one group in memory
     df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -58,6 +64,56 @@ def delete(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> No
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def storing():
+    """The paths of the tables that are stored inside the block (by this thread)."""
+    token = _STORED.set([])
+    try:
+        yield _STORED.get()
+    finally:
+        _STORED.reset(token)
+
+
+def keeping_tables(operator):
+    """The result of ``operator`` names the tables stored for it in its first column's metadata, which
+    also goes into files that it is written to: see ``tables_of`` and ``release``."""
+    @functools.wraps(operator)
+    def run(*args, **named) -> DataFrame:
+        with storing() as paths:
+            out = operator(*args, **named)
+        return naming(out, paths)
+    return run
+
+
+def naming(df: DataFrame, paths: list[str]) -> DataFrame:
+    """``df`` with these stored tables named in its first column's metadata (instead of any others)."""
+    first, *rest = df.columns
+    return df.select(F.col(f"`{first}`").alias(first, metadata={TABLES: paths}), *[F.col(f"`{c}`") for c in rest])
+
+
+def tables_of(df: DataFrame) -> list[str]:
+    """The stored tables that a result of ``keeping_tables``, or a copy of it read from files, names."""
+    return [p for f in df.schema.fields for p in f.metadata.get(TABLES, [])]
+
+
+def release(df: DataFrame) -> list[str]:
+    """Delete the tables that a result names, except those that ``df`` itself still reads, which are
+    returned: a result is released through a written copy of it, or when nobody reads it any more
+    (``forget``)."""
+    named = tables_of(df)
+    files = df.inputFiles() if named else []
+    read = [p for p in named if any(p.rsplit("/", 1)[1] in f for f in files)]
+    for path in set(named) - set(read):
+        delete(path, df.sparkSession)
+    return read
+
+
+def forget(df: DataFrame) -> None:
+    """Delete all tables that a result names; it can't be read afterwards."""
+    for path in tables_of(df):
+        delete(path, df.sparkSession)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text, UPPER, LOWER)

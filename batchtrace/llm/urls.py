@@ -2,7 +2,8 @@
 
 A host's share of bad pages is estimated by empirical Bayes: the counts of labelled pages update a
 beta prior whose mean is the posterior mean of the host's registered domain, which has the prior of
-its suffix, which has that of all pages. How strongly a level's prior counts is fitted from that
+its suffix, which has that of all pages. A posterior that serves as a prior leaves out the counts of the
+very host (or domain, or suffix) it is the prior of, so no outcome counts twice. How strongly a level's prior counts is fitted from that
 level's own spread (beta-binomial, by moments). A page without a rule is blocked if the lower posterior
 bound of its host's bad share is above a limit: few bad pages are not enough.
 """
@@ -75,6 +76,11 @@ def _level(rows: DataFrame) -> DataFrame:
             .withColumn("beta", (1 - F.col("prior")) * F.col("strength") + F.col("seen") - F.col("bad")).drop("strength", "prior"))
 
 
+def _without_own(rows: DataFrame) -> DataFrame:
+    """prior: mean of a beta distribution with ``a`` of ``n`` bad, less the row's own counts in it."""
+    return rows.withColumn("prior", (F.col("a") - F.col("bad")) / (F.col("n") - F.col("seen"))).drop("a", "n")
+
+
 def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """host, domain, suffix, seen, bad, mean and bound (lower) of every host in ``outcomes`` (host, bad:
     0, 1 or null for a page without a label). Hosts without a labelled page have their domain's mean."""
@@ -85,14 +91,15 @@ def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> Dat
     sums = [F.sum("seen").alias("seen"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     tops = domains.groupBy("suffix").agg(*sums)
-    every = tops.agg(*sums).select(((F.coalesce("bad", F.lit(0)) + 0.5) / (F.coalesce("seen", F.lit(0)) + 1)).alias("prior"))
+    every = tops.agg(*sums).select((F.coalesce("bad", F.lit(0)) + 0.5).alias("a"), (F.coalesce("seen", F.lit(0)) + 1).alias("n"))
 
-    def prior(of: DataFrame, name_: str) -> DataFrame:
-        return of.select(name_, (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("prior"))
+    def under(rows: DataFrame, of: DataFrame, name_: str) -> DataFrame:
+        above = of.select(name_, F.col("alpha").alias("a"), (F.col("alpha") + F.col("beta")).alias("n"))
+        return _level(_without_own(rows.join(above, name_)))
 
-    tops = _level(tops.crossJoin(F.broadcast(every)))  # one row
-    domains = store(_level(domains.join(prior(tops, "suffix"), "suffix")), "url-domains")
-    out = _level(hosts.join(prior(domains, "domain"), "domain"))
+    tops = _level(_without_own(tops.crossJoin(F.broadcast(every))))  # one row
+    domains = store(under(domains, tops, "suffix"), "url-domains")
+    out = under(hosts, domains, "domain")
     size = F.col("alpha") + F.col("beta")
     mean = F.col("alpha") / size
     return out.withColumn("mean", mean).withColumn("bound", mean - DEVIATIONS * F.sqrt(mean * (1 - mean) / (size + 1))).drop("alpha", "beta")

@@ -101,7 +101,7 @@ def whiten(rows: DataFrame, x: Column, carry: list[str], components: int = 8) ->
     ship(spark)
     added = ["component", "n", "deviation", "whitened", "explained", "identity_error"]
     keep = [F.col(f"`{c}`") for c in carry if c not in added]
-    clipped = F.transform(x, lambda c: F.least(F.greatest(c, F.lit(-MAX_ENTRY)), F.lit(MAX_ENTRY)))
+    clipped = F.transform(x, lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(-MAX_ENTRY)), F.lit(MAX_ENTRY))))
     base = rows.select(F.struct(*keep, F.lit(0).alias("_")).alias("_row"), clipped.alias("x"))
     base = store(base.where("x is not null and forall(x, c -> c is not null)"), "whiten-rows")
     most = base.groupBy(F.size("x").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()

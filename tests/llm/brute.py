@@ -117,3 +117,56 @@ def dedup_spans(docs, run, min_words, window):
         seen |= mine
         out[i] = "".join(p for k, p in enumerate(parts) if k not in gone) if gone else docs[i]
     return out
+
+
+def language(train, texts, max_words, max_grams):
+    """(language, score) of each text by a model of all (text, lang) rows of ``train``."""
+    def word(chunk):
+        at = [i for i, c in enumerate(chunk) if c.isalpha()]
+        return chunk[at[0]:at[-1] + 1] if at else ""
+
+    def grams(w, n):
+        w = f" {w} " if n > 1 else w
+        return [w[i:i + n] for i in range(len(w) - n + 1)]
+
+    train = [(t, lang) for t, lang in train if t is not None and lang is not None]
+    langs = sorted({lang for _, lang in train})
+    count = {lang: Counter(w for t, k in train if k == lang for c in t.lower().split() if (w := word(c))) for lang in langs}
+    by_size = {lang: Counter() for lang in langs}
+    for lang in langs:
+        for w, n in count[lang].items():
+            for size in (5, 4, 3, 2, 1):
+                for g in grams(w, size):
+                    by_size[lang][g] += n
+
+    def table(counts, limit, kind):
+        keys = {k for c in counts.values() for k in sorted(c, key=lambda k: (-c[k], k))[:limit // max(1, len(langs))]}
+        total = {(lang, kind(k)): 0 for lang in langs for k in counts[lang]}
+        for lang in langs:
+            for k, n in counts[lang].items():
+                total[lang, kind(k)] += n
+        return {k: [math.log((counts[lang][k] + 0.5) / (total.get((lang, kind(k)), 0) + 1000.0)) for lang in langs] for k in keys}
+
+    known_words, known_grams = table(count, max_words, lambda k: 0), table(by_size, max_grams, len)
+    prior = [math.log(sum(k == lang for _, k in train) / len(train)) for lang in langs]
+
+    def vector(w):
+        if w in known_words:
+            return known_words[w]
+        for size in (5, 4, 3, 2, 1):
+            if found := [known_grams[g] for g in grams(w, size) if g in known_grams]:
+                return [sum(c) / len(found) for c in zip(*found)]
+        return None
+
+    out = []
+    for t in texts:
+        ws = [w for c in (t or "").lower().split() if (w := word(c))]
+        if not ws or not langs:
+            out.append(("und", 0.0))
+            continue
+        vs = [v for w in ws if (v := vector(w)) is not None]
+        z = [p + (min(len(vs), 30) / len(vs) * sum(v[i] for v in vs) if vs else 0) for i, p in enumerate(prior)]
+        e = [math.exp(x - max(z)) for x in z]
+        best = e.index(max(e))
+        out.append((langs[best], e[best] / sum(e)))
+    return out

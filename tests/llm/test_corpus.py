@@ -1,5 +1,6 @@
 """SimHash, spans, packing, mixing, rollup, chat and the pipeline against plain versions."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -297,11 +298,73 @@ def test_pipeline_matches_plain_stages(spark):
 
 
 def test_pipeline_stages_take_odd_tables(spark):
-    for rows in (EDGE, []):
-        x = rows_of(spark, rows)
-        for _, stage in corpus_pipeline.STAGES:
-            before, x = x, stage(spark, x, SF)
-        assert before.columns == rows_of(spark, []).columns and x.count() >= 0
+    """Nulls, empty and long texts and repeated rows go through each stage as the operators judge them."""
+    long_ = "".join(f"Sentence {i} has its own number {i * 7919} and goes on for a while. " for i in range(3000))
+    rows = [*EDGE, (40, long_, "en"), (41, long_.upper(), "en"), (42, long_, None), (42, long_, None), (43, None, "en"), (None, long_[:9000], "en")]
+    frame = rows_of(spark, rows)
+    kept = Counter((r.doc_id, r.text) for r in quality.quality_rules(frame).where("kept").collect())
+    assert kept[42, long_] == 2 and not any(not (t or "").strip() for _, t in kept)
+    x = corpus_pipeline.STAGES[0][1](spark, frame, SF)
+    assert Counter((r.doc_id, r.text) for r in x.collect()) == kept and x.columns == frame.columns
+    x = corpus_pipeline.STAGES[1][1](spark, x, SF)
+    low = {}
+    for i, t in kept:
+        low.setdefault("".join(c.lower() if "A" <= c <= "Z" else c for c in t), []).append(i)
+    want = {t: max((i for i in ids if i is not None), default=None) for t, ids in low.items()}
+    assert Counter(r.doc_id for r in x.collect()) == Counter(want.values())
+    x = corpus_pipeline.STAGES[2][1](spark, x, SF)
+    ids = sorted(want.items(), key=lambda e: (e[1] is None, e[1] or 0))
+    prints = [fingerprint(t) for t, _ in ids]
+    near = [i for k, ((_, i), g) in enumerate(zip(ids, groups(prints, 4), strict=True)) if g == k]
+    assert Counter(r.doc_id for r in x.collect()) == Counter(near)
+    mixed = corpus_pipeline.STAGES[3][1](spark, x, SF)
+    assert set(r.doc_id for r in mixed.collect()) <= set(near) and mixed.columns == frame.columns
+    packed = corpus_pipeline.STAGES[4][1](spark, mixed, SF)
+    texts = [(r.doc_id, r.text) for r in mixed.collect()]
+    check_packing(packed.collect(), texts)
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, rows_of(spark, []), SF)
+        assert nothing.count() == 0
+
+
+def test_pipeline_runs_may_take_turns(spark, tmp_path):
+    """A stage deletes what its own predecessor stored, once the written copy is read, and nothing else."""
+    from batchtrace.llm.shared import forget, tables_of
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    parts = [docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")]
+    want = [[r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, corpus_pipeline.STAGES[0][1](spark, p, SF), SF).collect()] for p in parts]
+    first = [corpus_pipeline.STAGES[0][1](spark, p, SF) for p in parts]
+    first[1].write.parquet(f"{tmp_path}/b")
+    copy = spark.read.parquet(f"{tmp_path}/b")
+    assert tables_of(copy) == tables_of(first[1]) != []
+    second = corpus_pipeline.STAGES[1][1](spark, copy, SF)  # the other run's first stage is still unread
+    first[0].write.parquet(f"{tmp_path}/a")
+    other = corpus_pipeline.STAGES[1][1](spark, spark.read.parquet(f"{tmp_path}/a"), SF)
+    assert [sorted(r.doc_id for r in x.collect()) for x in (other, second)] == [sorted(w) for w in want]
+    for path in tables_of(copy):
+        assert not os.path.exists(path.removeprefix("file://"))
+    for x in (other, second):
+        assert all(os.path.exists(p.removeprefix("file://")) for p in tables_of(x))
+        forget(x)
+        assert not any(os.path.exists(p.removeprefix("file://")) for p in tables_of(x))
+
+
+def test_labelled_sample_counts_each_id_once(spark):
+    """Repeated labels and repeated documents don't enlarge the classifier's sample."""
+    from batchtrace.llm.shared import storing
+    docs = rows_of(spark, [(i % 3, f"word{i % 3} of text {'a' if i % 2 else 'b'}", "en") for i in range(300)])
+    labels = spark.createDataFrame([(i % 3, "good" if i % 3 else "bad") for i in range(60)] + [(0, "good")], "doc_id long, domain string")
+    with storing() as paths:
+        bias, kept, weights = mix.fit_classifier(docs, labels, ["good", "bad"], max_labelled=9)
+    rows = spark.read.parquet(*paths).collect()
+    assert sorted((r.domain, sorted(r.w)) for r in rows) == sorted(
+        [("good", sorted([f"word{k}", "of", "text", "a"])) for k in (0, 1, 2)])
+
+
+def test_unsettled_rates_are_told(spark):
+    rows = spark.createDataFrame([(100, [0.9, 0.1]), (100, [0.2, 0.8])], "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="did not settle"):
+        mix.fit_rates(rows, [0.5, 0.5], max_rounds=1, tolerance=1e-12)
 
 
 def test_exact_stage_uses_every_row(spark):

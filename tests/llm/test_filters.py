@@ -8,7 +8,7 @@ import pytest
 from batchtrace.llm import exact, langid, quality, secret_scan
 from batchtrace.llm.queries import QUERIES, op10_language_id
 
-from .brute import ascii_lower, base, histograms, js, sha
+from .brute import ascii_lower, base, histograms, js, language, sha
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _row int, `a.b` int"
@@ -152,3 +152,36 @@ def test_language_backoff_takes_longest_known():
     m = langid.Model(["a", "b"], [0.0, 0.0], {"known": (-1.0, -9.0)}, {" abc ": (-5.0, -1.0), "abc": (-1.0, -5.0), "z": (-2.0, -1.0)})
     assert m.vector("known") == (-1.0, -9.0) and m.vector("abc") == (-5.0, -1.0)  # " abc " is a 5-gram
     assert m.vector("xabcx") == (-1.0, -5.0) and m.vector("qz") == (-2.0, -1.0) and m.vector("qq") is None
+
+
+@pytest.mark.parametrize("max_words,max_grams", [(60_000, 60_000), (400, 800)])
+def test_language_matches_plain_version(spark, max_words, max_grams):
+    import zlib
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    out = zlib.crc32
+    learn = [(r.text, r.lang) for r in docs if out(str(r.doc_id).encode()) % 4 != 2]
+    texts = [r.text for r in docs] + ["", None, "12 !", "the zzxq", "x", "WORDS ünd mehr Wörter"]
+    want = language(learn, texts, max_words, max_grams)
+    model = langid.train(spark.createDataFrame(learn, "text string, lang string"), max_words=max_words, max_grams=max_grams)
+    got = langid.identify(spark.createDataFrame([(i, t, "clash", 7) for i, t in enumerate(texts)],
+                                                "doc_id long, text string, lang_pred string, score int"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == [w[0] for w in want]
+    assert [r.score for r in got] == pytest.approx([w[1] for w in want], abs=1e-9)
+    assert list(got[0].asDict()) == ["doc_id", "text", "lang_pred", "score"]
+
+
+def test_language_keeps_rare_languages_and_bounds_copies(spark):
+    """A text held by most rows does not fill the sample, and a rare language keeps its keys."""
+    hot = "the same old story told again"
+    rows = [(hot, "en")] * 3000 + [(f"english words number {i} about things", "en") for i in range(300)] + [
+        (f"svenska orden nummer {i} om saker", "sv") for i in range(5)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(4), max_train=100, max_words=40, max_grams=200)
+    assert model.langs == ["en", "sv"]
+    assert {"svenska", "orden", "nummer", "om", "saker"} <= set(model.words) and len(model.words) <= 40 and len(model.grams) <= 200
+    assert model.score("svenska orden nummer 77 om saker")[0] == "sv" and model.score("about english things")[0] == "en"
+    assert model.prior[1] == pytest.approx(__import__("math").log(5 / 3305))
+
+
+def test_language_ties_go_to_the_first(spark):
+    model = langid.train(spark.createDataFrame([("same words", "b"), ("same words", "a")], "text string, lang string"))
+    assert model.score("same words") == ("a", 0.5)
