@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 back as the next stage's docs; all but the last return the columns of ``docs``. Nulls, empty texts,
 repeated rows and empty tables are handled as the operators' docstrings say.
+
+A result names the tables that its stage stored (in the metadata of its first column, which goes into
+the written files); the next stage deletes them, as it reads the written copy. No state is kept
+between calls, so runs over several inputs may take turns.
 """
 
 from __future__ import annotations
@@ -13,49 +17,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from batchtrace.llm import exact, mix, pack, quality, simhash
 from batchtrace.llm.queries import TARGETS, labelled_domains
-from batchtrace.llm.shared import STORED, columns, delete, store, table
-
-#: Tables that the latest call of each stage has stored for its own use.
-_OWN: dict[int, list[str]] = {}
-
-
-def _stage(number: int):
-    """A stage that, when it begins, deletes the tables its predecessor's latest call stored, unless
-    ``docs`` still reads them: the predecessor's result has been written by then."""
-    def wrap(stage):
-        @functools.wraps(stage)
-        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            read = docs.inputFiles() if _OWN.get(number - 1) else []
-            for path in _OWN.pop(number - 1, []):
-                if not any(path.rsplit("/", 1)[1] in file for file in read):
-                    delete(path, spark)
-            before = len(STORED)
-            out = stage(spark, docs, sf_dir)
-            _OWN[number] = STORED[before:]
-            return out
-        return run_stage
-    return wrap
-
-
-@_stage(1)
+from batchtrace.llm.shared import columns, delete, keeping_tables, naming, release, storing, store, table, tables_of
+
+
+def _stage(stage):
+    """A stage that deletes what its predecessor stored for ``docs``, and names what it stores itself."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = release(docs)
+        out = keeping_tables(stage)(spark, docs, sf_dir)
+        return naming(out, left + tables_of(out)) if left else out
+    return run_stage
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.quality_rules(docs).where("kept").select(columns(docs))
 
 
-@_stage(2)
+@_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     return exact.exact_dedup(docs).where("kept").select(columns(docs))
 
 
-@_stage(3)
+@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked fingerprints."""
     return simhash.simhash_groups(docs, shingle=4, max_bits=4).where("kept").select(columns(docs))
 
 
-@_stage(4)
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says (copies 0, 1 or more)."""
     mixed = mix.mix(docs, labelled_domains(spark, sf_dir), TARGETS)
@@ -63,7 +56,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.withColumn("_copy", copy).select(columns(docs))
 
 
-@_stage(5)
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in training sequences."""
     return pack.pack(docs)
@@ -79,14 +72,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs, last = table(spark, sf_dir, "documents"), None
+    """All stages over ``documents``; the result names the tables that it reads."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        if last is not None:
-            delete(last)
-        last = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with storing() as written:
+            docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        for path in last:
+            delete(path, spark)
+        last = written
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    return naming(out, last + tables_of(out))
 
 
 #: The classifier, the least squares fit and the packing have no SQL form; tests compare each stage by brute force.
