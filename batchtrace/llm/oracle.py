@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from batchtrace.llm.quality import (
-    CLASSES, COMMON, MAX_CHAR_JS, MAX_WORD_JS, MIN_CHARS, MIN_WORDS, WORD_LIST)
+    CLASSES, COMMON, MAX_CHAR_JS, MAX_WORD_JS, MIN_CHARS, MIN_WORDS, WORD_LIST, WORD_NOISE)
 from batchtrace.llm.secret_scan import BASE, MORE
 from batchtrace.llm.spans import MIN_WORDS as MIN_RUN_WORDS, RUN, WINDOW
 
@@ -56,7 +56,7 @@ refs AS (SELECT lang, {sums} FROM f WHERE NOT base_failed AND lang <> '*' GROUP
 j AS (SELECT f.*, {js(c)} AS char_js, {js(w)} AS word_js FROM f LEFT JOIN refs ON refs.lang = f.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_js, word_js,
        NOT base_failed AND NOT ((chars >= {MIN_CHARS} AND coalesce(char_js, 0) > {MAX_CHAR_JS})
-                                OR (n_words >= {MIN_WORDS} AND coalesce(word_js, 0) > {MAX_WORD_JS})) AS kept FROM j"""
+                                OR (n_words >= {MIN_WORDS} AND coalesce(word_js, 0) > {MAX_WORD_JS} + {WORD_NOISE} / sqrt(n_words))) AS kept FROM j"""
 
 
 SQL["op2_quality_rules"] = _quality()

@@ -26,9 +26,13 @@ CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": r"[#*$%&|<>]", "punct":
            "other": r"[^\x00-\x7F]"}
 
 MAX_CHAR_JS = 0.25
-MAX_WORD_JS = 0.28
+#: The limit of the word distance falls with length, as the distance of a sample from its source does:
+#: MAX_WORD_JS + WORD_NOISE / sqrt(words).
+MAX_WORD_JS = 0.25
+WORD_NOISE = 0.7
+#: Lengths from which on the distances count.
 MIN_CHARS = 600
-MIN_WORDS = 400
+MIN_WORDS = 50
 
 
 def _hists(text: Column) -> list[Column]:
@@ -90,14 +94,14 @@ def _js(p: str, q: str) -> str:
 
 
 def quality_rules(docs: DataFrame, carry: list[str] | None = None, max_char_js: float = MAX_CHAR_JS,
-                  max_word_js: float = MAX_WORD_JS, min_chars: int = MIN_CHARS,
+                  max_word_js: float = MAX_WORD_JS, word_noise: float = WORD_NOISE, min_chars: int = MIN_CHARS,
                   min_words: int = MIN_WORDS) -> DataFrame:
     """``carry`` columns (default: all) plus the base counts, base_failed, char_js, word_js, kept.
 
     base_failed: fewer than 10 words, or more than 20 % of the words lie in 5-word windows that
     occur twice or more. kept: not base_failed and both distances to the reference of the row's
-    language within their limits; a distance counts only from ``min_chars`` characters or
-    ``min_words`` words on. References are summed over every row that passes the base rules;
+    language within their limits (``max_char_js``; ``max_word_js`` + ``word_noise`` / sqrt(n_words)); a
+    distance counts only from ``min_chars`` characters or ``min_words`` words on. References are summed over every row that passes the base rules;
     languages without a word list, and null, use the sum over all languages. Null text: no words
     (base_failed). Repeated rows: each is judged alike. Empty table: empty result. Input columns
     with the names of result columns are replaced. Windows are compared by 64-bit hashes.
@@ -120,5 +124,6 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, max_char_js:
     out = out.withColumn("char_js", F.round(F.expr(_js("_chars", "_qc")), 6))
     out = out.withColumn("word_js", F.round(F.expr(_js("_words", "_qw")), 6))
     far = (((F.coalesce("_n", F.lit(0)) >= min_chars) & (F.coalesce("char_js", F.lit(0.0)) > max_char_js))
-           | ((F.col("n_words") >= min_words) & (F.coalesce("word_js", F.lit(0.0)) > max_word_js)))
+           | ((F.col("n_words") >= min_words)
+              & (F.coalesce("word_js", F.lit(0.0)) > F.lit(max_word_js) + F.lit(word_noise) / F.sqrt("n_words"))))
     return out.withColumn("kept", ~F.col("base_failed") & ~far).select("_row.*", *added)
