@@ -1168,3 +1168,6 @@ def stream_register_variants(spark, sf_dir):
     out = _stream_in_arrivals(spark, t, "variants", t.req_variants, "variants")
     return out.select("request_id", (F.col("outcome") != "rejected").alias("accepted"), "set_code", "weight_code",
                       "batch_variant_code", "rule")
+
+
+from batchtrace.plans import catalog_kept  # noqa: E402, F401  (registers its queries)

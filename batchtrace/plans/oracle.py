@@ -1184,3 +1184,49 @@ register("role_list", "SELECT email, role_group, is_active FROM user_roles")
 register("failure_mode_list", f"""
 SELECT m.failure_mode, (SELECT count(*) FROM compounding_how h WHERE h.is_active AND h.failure_mode = m.failure_mode) AS n_hows
 FROM (VALUES {", ".join(f"({_lit(m)})" for m in _R.FAILURE_MODES)}) AS m(failure_mode)""")
+
+# ---- kept beside the tables -------------------------------------------------------------------
+register("sets_search_indexed", """
+SELECT set_code, created_at, array_to_string(sku_list, ',') AS sku_list_text FROM v_sets
+WHERE contains(lower(set_code), '_00') OR list_bool_or(list_transform(sku_list, lambda x: contains(lower(x), '_00')))""")
+register("bags_search_indexed", """
+SELECT pellet_bag_id, pellet_bag_code, compounding_how_code, created_at FROM pellet_bags
+WHERE is_active AND lower(pellet_bag_code) LIKE '%pf 000%'""")
+register("kpis_by_deltas", f"""
+WITH {_BAGS_CTES},
+b AS (SELECT bag_mass_kg, qc_status, is_active FROM pellet_bags UNION ALL SELECT bag_mass_kg, qc_status, TRUE FROM bags)
+SELECT (SELECT count(*) FROM ingredients WHERE is_active) AS sku_count, count(*) AS active_pellet_bags,
+       coalesce(sum(bag_mass_kg), 0.0) AS total_pellets_produced_kg
+FROM b WHERE is_active AND NOT coalesce(qc_status = 'Requested', FALSE)""")
+register("dependencies_by_deltas", f"""
+WITH made AS (SELECT set_code FROM ({SQL_BODY["register_weights"]}) WHERE outcome = 'created')
+SELECT set_code, count(*) AS n, 'dry_weight_variants' AS source FROM (SELECT set_code FROM dry_weight_variants UNION ALL SELECT set_code FROM made)
+WHERE NOT ends_with(set_code, '7') GROUP BY set_code
+UNION ALL SELECT set_code, count(*), 'batch_variants' FROM batch_variants GROUP BY set_code
+UNION ALL SELECT set_code, count(*), 'location_codes' FROM location_codes GROUP BY set_code""")
+register("suffix_by_deltas", SQL_BODY["next_compounding_suffix"].replace("WHERE is_active", "WHERE is_active AND process_code_suffix <= 'MM'"))
+register("locations_deep_page", """
+SELECT location_id, partner_code, production_date, created_at FROM location_codes
+ORDER BY created_at DESC NULLS LAST, location_id DESC NULLS LAST LIMIT 50 OFFSET 9950""")
+register("request_costs", f"""
+SELECT 'dashboard' AS request_id, 3 AS query_count, TRUE AS timed,
+       1 + (SELECT least(25, count(*)) FROM pellet_bags WHERE is_active AND trim(qc_status) <> ''
+            AND lower(trim(qc_status)) NOT IN ({", ".join(_lit(x) for x in _R.QUEUE_EXCLUDED_STATUSES)}))
+         + (SELECT least(50, count(*)) FROM location_codes) AS rows_read""")
+_CHANGED = V_FLAT
+for _a, _b in (("FROM batch_variants v", "FROM bv2 v"), ("JOIN batch_variant_items i", "JOIN bvi2 i"), ("JOIN dry_weight_items i", "JOIN dwi2 i")):
+    _CHANGED = _CHANGED.replace(_a, _b)
+register("formulations_maintained", f"""
+WITH made AS (SELECT v.set_code, v.weight_code, v.batch_variant_code, v.batch_hash, r.actor, r.items
+              FROM ({SQL_BODY["register_variants"]}) v JOIN req_variants r ON CAST(r.request_id AS VARCHAR) = v.request_id WHERE v.outcome = 'created'),
+bv2 AS (SELECT * FROM (SELECT set_code, weight_code, batch_variant_code, batch_hash, created_at, created_by FROM batch_variants
+                       UNION ALL SELECT set_code, weight_code, batch_variant_code, batch_hash, {AS_OF_SQL}, actor FROM made)
+        WHERE NOT ends_with(set_code, '7')),
+bvi2 AS (SELECT * FROM (SELECT set_code, weight_code, batch_variant_code, sku, ingredient_batch_code FROM batch_variant_items
+                        UNION ALL SELECT set_code, weight_code, batch_variant_code, trim(i.sku), trim(i.ingredient_batch_code)
+                                  FROM (SELECT set_code, weight_code, batch_variant_code, unnest(items) AS i FROM made))
+         WHERE NOT ends_with(set_code, '7')),
+dwi2 AS (SELECT set_code, weight_code, sku, CASE WHEN ends_with(set_code, '4') THEN CAST(wt_percent / 2 AS DECIMAL(38, 9)) ELSE wt_percent END AS wt_percent
+         FROM dry_weight_items),
+flat2 AS ({_CHANGED})
+SELECT {FLAT_TEXT} FROM flat2""")
