@@ -21,7 +21,8 @@ COUNTS = T.StructType([T.StructField("gram", T.StringType()), T.StructField("n",
 
 def _grams(text: Column) -> Column:
     low = F.lower(text)
-    return F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
+    found = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+    return F.when(F.length(low) >= 3, found).otherwise(F.array().cast("array<string>"))
 
 
 def postings(rows: DataFrame, key: str, texts: list[Column]) -> DataFrame:
