@@ -63,14 +63,19 @@ def page_after(df: DataFrame, sort: str | list[tuple[str, bool]], last_key: dict
     can partly push down; cost does not grow with the page number."""
     _, size = clamp_page(1, size)
     spec = SORT_SPECS[sort] if isinstance(sort, str) else sort
-    if last_key:
-        terms = []
-        for i, (c, d) in enumerate(spec):
-            eq = [F.col(p) == F.lit(last_key[p]) for p, _ in spec[:i]]
-            cmp = F.col(c) < F.lit(last_key[c]) if d else F.col(c) > F.lit(last_key[c])
-            terms.append(reduce(lambda a, b: a & b, eq + [cmp]))
-        df = df.where(reduce(lambda a, b: a | b, terms))
-    return df.orderBy(*order_cols(spec)).limit(size)
+    return after(df, spec, last_key).orderBy(*order_cols(spec)).limit(size)
+
+
+def after(df: DataFrame, spec: list[tuple[str, bool]], last_key: dict | None) -> DataFrame:
+    """Rows strictly after ``last_key`` in listing order (None: all)."""
+    if not last_key:
+        return df
+    terms = []
+    for i, (c, d) in enumerate(spec):
+        eq = [F.col(p) == F.lit(last_key[p]) for p, _ in spec[:i]]
+        cmp = F.col(c) < F.lit(last_key[c]) if d else F.col(c) > F.lit(last_key[c])
+        terms.append(reduce(lambda a, b: a & b, eq + [cmp]))
+    return df.where(reduce(lambda a, b: a | b, terms))
 
 
 def total(df: DataFrame) -> DataFrame:

@@ -79,11 +79,14 @@ def weight_sum_close(items, tol: float = 0.01) -> Column:
 def check_enums(df: DataFrame, keys: list[str], vocab: dict[str, list[str]], repair: bool = True) -> DataFrame:
     """Q4: each listed column, blank-normalised (and 'Recieved' repaired), must be NULL or in
     its vocabulary. One reject row per (row, column)."""
-    bad = []
+    bad, odd = [], F.lit(False)
     for c, values in vocab.items():
         v = repair_status(c) if repair else blank_to_null(c)
-        bad.append(F.when(v.isNotNull() & ~v.isin(*values), F.struct(F.lit(c).alias("column"), v.alias("value"))))
-    out = df.select(*keys, F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("_b"))
+        # most values are in the list as they are; only the others are cleaned and looked up again
+        raw = F.col(c).isNotNull() & ~F.col(c).isin(*values)
+        odd = odd | raw
+        bad.append(F.when(raw & v.isNotNull() & ~v.isin(*values), F.struct(F.lit(c).alias("column"), v.alias("value"))))
+    out = df.where(odd).select(*keys, F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("_b"))
     return out.select(*keys, "_b.column", "_b.value", F.lit("enum").alias("rule"),
                       F.concat(F.lit("Invalid "), F.col("_b.column")).alias("message"))
 

@@ -50,18 +50,41 @@ def _fetch(t, headers: DataFrame) -> DataFrame:
         **{n: t[n].join(weights, ["set_code", "weight_code"], "left_semi") for n in ("dry_weight_variants", "dry_weight_items")}})
 
 
+#: Header rows that a page may be cut from on the driver; deeper pages join all headers with their items.
+MAX_CUT = 10_000
+
+
+def _page_headers(t, filters: dict | None, first: int, size: int, last_key: dict | None = None) -> DataFrame:
+    """Headers ``first`` to ``first + size`` (of those with items) in listing order. Headers are taken
+    first and those without items dropped, with more taken if that leaves too few; so the item table
+    is scanned for the keys of a few headers, not shuffled."""
+    heads = P.filter_eq(t["batch_variants"], filters or {})
+    spec = O.SORT_SPECS["formulations"]
+    spark, take = heads.sparkSession, first + 2 * size
+    while take <= MAX_CUT:
+        top = O.after(heads, spec, last_key).orderBy(*O.order_cols(spec)).limit(take).collect()
+        keys = F.broadcast(spark.createDataFrame(top, heads.schema).select(*FORM_KEYS).distinct())  # at most MAX_CUT rows
+        filled = {tuple(r) for r in t["batch_variant_items"].select(*FORM_KEYS).join(keys, FORM_KEYS, "left_semi").distinct().collect()}
+        found = [r for r in top if tuple(r[k] for k in FORM_KEYS) in filled]
+        if len(found) >= first + size or len(top) < take:
+            return spark.createDataFrame(found[first:first + size], heads.schema)
+        take *= 2
+    rows = O.after(_headers(t, filters), spec, last_key).orderBy(*O.order_cols(spec))
+    return rows.offset(first).limit(size)
+
+
 def formulations_page(t, filters=None, sku=None, page_no=1, size=None):
     """L4 + O2: newest first with code tie-breakers, plus the filtered total. Without a SKU
     filter the page is cut from the headers and only its own items and weights are fetched."""
     if sku:
         return O.page(formulations_search(t, filters, sku), "formulations", page_no, size)
-    rows, total = O.page(_headers(t, filters), "formulations", page_no, size)
-    return _fetch(t, rows), total
+    page_no, size = O.clamp_page(page_no, size)
+    return _fetch(t, _page_headers(t, filters, (page_no - 1) * size, size)), O.total(_headers(t, filters))
 
 
 def formulations_after(t, last_key: dict | None, size=None, filters: dict | None = None) -> DataFrame:
     """L4 + O2 keyset: the page after ``last_key``, fetched like ``formulations_page``."""
-    return _fetch(t, O.page_after(_headers(t, filters), "formulations", last_key, size))
+    return _fetch(t, _page_headers(t, filters, 0, O.clamp_page(1, size)[1], last_key))
 
 
 def _codes(t) -> DataFrame:
