@@ -118,14 +118,15 @@ def split_existing(requests: DataFrame, ref: DataFrame, keys: list[str],
     return requests.join(r, keys, "left_semi"), requests.join(r, keys, "left_anti")
 
 
-def skew_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def skew_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str], right_keys: DataFrame | None = None) -> DataFrame:
     """``left LEFT JOIN right`` when one left key may match a huge number of right rows.
 
     AQE can split a skewed partition of an outer join only on its preserved side, so the
     hot right side of a left join would stay in one task. Written as an inner join (either
     side splittable) plus the unmatched left rows (anti join against the distinct right
-    keys, which combine map-side), the result is the same rows and nothing stays hot."""
+    keys, which combine map-side), the result is the same rows and nothing stays hot.
+    ``right_keys`` names a cheaper source of the keys of ``right`` (which is then read once)."""
     matched = right.join(left, keys, "inner")
-    right_keys = right.select(*keys).distinct()
-    unmatched = left.join(right_keys, keys, "left_anti")
+    have = (right if right_keys is None else right_keys).select(*keys).distinct()
+    unmatched = left.join(have, keys, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)

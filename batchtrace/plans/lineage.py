@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, functions as F
 from batchtrace.functions import codes as C, text as TX
 from batchtrace.operators import aggregates as A, filters as P, joins as J, paging as O
 from batchtrace.plans import views as V
-from batchtrace.session import pin
 from batchtrace.sources import registries as R
 
 FORM_KEYS = ["set_code", "weight_code", "batch_variant_code"]
@@ -181,11 +180,11 @@ def batch_selection_detail(t, base_codes: DataFrame | None = None) -> DataFrame:
     hows = P.active(t["compounding_how"]).select(F.col("location_code").alias("location_id"), "processing_code")
     bags = P.active(t["pellet_bags"]).select(F.col("compounding_how_code").alias("processing_code"),
                                              "pellet_bag_code", "bag_mass_kg")
-    # Each hop reads its left input twice (matched + unmatched rows), so the accumulated
-    # chain is pinned between hops instead of being recomputed once per branch.
-    chain = pin(J.skew_safe_left_join(f, locs, FORM_KEYS))
-    chain = pin(J.skew_safe_left_join(chain, hows, ["location_id"]))
-    return J.skew_safe_left_join(chain, bags, ["processing_code"])
+    # From the far end: a hop's left input, read twice (matched + unmatched rows), is a table, and
+    # the chain so far has all keys of the table it began with, so it is read once.
+    chain = J.skew_safe_left_join(hows, bags, ["processing_code"])
+    chain = J.skew_safe_left_join(locs, chain, ["location_id"], hows)
+    return J.skew_safe_left_join(f, chain, FORM_KEYS, locs)
 
 
 def location_rows(t, spark, q: str | None = None) -> DataFrame:
