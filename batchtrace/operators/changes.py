@@ -219,13 +219,11 @@ def update_status(bags: DataFrame, changes: DataFrame, assignees: DataFrame, as_
               .when(F.coalesce(F.col("_n"), F.lit(0)) != 1, F.lit("not_exactly_one_row")))
     ch = ch.withColumn("reason", reason)
     rejects = ch.where("reason IS NOT NULL").select(*changes.columns, "reason")
-    ok = ch.where("reason IS NULL")
-    ok = O.first_per_key(ok.select("pellet_bag_code", "status_column", "_value", "_assignee", "actor", *order),
-                         ["pellet_bag_code", "status_column"], [(c, True) for c in order])
-    piv = ok.groupBy("pellet_bag_code").agg(
-        *[F.max(F.when(F.col("status_column") == c, F.struct(F.lit(1).alias("set"), "_value", "_assignee")))
-          .alias(f"_p_{c}") for c in editable],
-        F.max("actor").alias("_actor"))
+    # the last change of each column, per bag in one aggregate (partial in each task)
+    last = F.struct("_value", "_assignee", "actor")
+    piv = ch.where("reason IS NULL").groupBy("pellet_bag_code").agg(
+        *[F.max_by(last, F.when(F.col("status_column") == c, F.struct(*order, last))).alias(f"_p_{c}") for c in editable])
+    piv = piv.withColumn("_actor", F.greatest(*[F.col(f"_p_{c}")["actor"] for c in editable]))
     j = bags.join(piv.withColumn("_hit", F.lit(True)), "pellet_bag_code", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False)) & F.col("is_active")
     cols = []
