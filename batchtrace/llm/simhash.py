@@ -196,7 +196,9 @@ def simhash_groups(docs: DataFrame, carry: list[str] | None = None, shingle: int
                                         F.min_by("_rid", rank).alias("rid")), "simhash-reps")
     roots = components(near_links(reps, max_bits))
     labelled = reps.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    best = labelled.groupBy("root").agg(F.min("lo").alias("component_id"), F.min_by("rid", "rank").alias("_keep"))
+    # stored, so that both sides of the join are plain shuffles, which AQE can split at a large component
+    labelled = store(labelled.select("fp", "root", "lo", "rank", "rid"), "simhash-labelled")
+    best = store(labelled.groupBy("root").agg(F.min("lo").alias("component_id"), F.min_by("rid", "rank").alias("_keep")), "simhash-best")
     best = store(labelled.select("fp", "root").join(best, "root").select("fp", "component_id", "_keep"), "simhash-groups")
     return rows.join(best, "fp").select(
         "_row.*", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
