@@ -24,9 +24,8 @@ def _stage(stage):
     """A stage that deletes what its predecessor stored for ``docs``, and names what it stores itself."""
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        left = release(docs)
-        out = keeping_tables(stage)(spark, docs, sf_dir)
-        return naming(out, left + tables_of(out)) if left else out
+        release(docs)
+        return keeping_tables(stage)(spark, docs, sf_dir)
     return run_stage
 
 
