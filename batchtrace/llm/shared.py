@@ -96,16 +96,14 @@ def tables_of(df: DataFrame) -> list[str]:
     return [p for f in df.schema.fields for p in f.metadata.get(TABLES, [])]
 
 
-def release(df: DataFrame) -> list[str]:
-    """Delete the tables that a result names, except those that ``df`` itself still reads, which are
-    returned: a result is released through a written copy of it, or when nobody reads it any more
-    (``forget``)."""
+def release(df: DataFrame) -> None:
+    """Delete the tables that a written and reread copy of a result names. Nothing is deleted if ``df`` itself
+    reads any of them: then it is the result, which others may read too (see ``forget``)."""
     named = tables_of(df)
     files = df.inputFiles() if named else []
-    read = [p for p in named if any(p.rsplit("/", 1)[1] in f for f in files)]
-    for path in set(named) - set(read):
-        delete(path, df.sparkSession)
-    return read
+    if not any(p.rsplit("/", 1)[1] in f for p in named for f in files):
+        for path in named:
+            delete(path, df.sparkSession)
 
 
 def forget(df: DataFrame) -> None:

@@ -270,6 +270,31 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns_and_long_texts(spark):
+    rows = [(1, t, "assistant" if t % 3 else "user", f"turn {t} [SEP] of many") for t in range(600)]
+    rows += [(2, 0, "user", "[INST]" * 20_000), (2, 1, "assistant", "word </s> " * 30_000)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in out.select("conv_id", chat.read_back(F.col("formatted")).alias("turns"),
+                        chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect():
+        want = [(role, text) for c, _, role, text in rows if c == r.conv_id]
+        assert [tuple(t) for t in r.turns] == want
+        assert r.loss == "".join(t for role, t in want if role == "assistant")
+
+
+def test_rollup_of_a_very_long_text(spark):
+    from batchtrace.llm.tokens import byte_tokens, word_tokens
+    text = "".join(f"word{i % 777} and, " for i in range(60_000))
+    rows = spark.createDataFrame([("insert", None, (text, "a", "en"))], f"op string, before {rollup.IMAGE}, after {rollup.IMAGE}")
+    got = {r.tokenizer: (r.n_docs, r.n_tokens) for r in rollup.deltas(rows).collect()}
+    assert got == {"word_bpe_49k": (1, word_tokens("word_bpe_49k.json").count(text)), "byte_bpe_50k": (1, byte_tokens("byte_bpe_50k.tiktoken").count(text))}
+
+
+def test_mixing_ties_go_to_the_first_domain(spark):
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    for r in mix.mix(rows_of(spark, EDGE), none, TARGETS).collect():
+        assert r.domain == next(iter(TARGETS)) and [r[f"p_{d}"] for d in TARGETS] == pytest.approx([1 / len(TARGETS)] * len(TARGETS))
+
+
 def test_pipeline_matches_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in quality.quality_rules(docs, ["doc_id"]).where("kept").collect()}
@@ -299,8 +324,10 @@ def test_pipeline_matches_plain_stages(spark):
 
 def test_pipeline_stages_take_odd_tables(spark):
     """Nulls, empty and long texts and repeated rows go through each stage as the operators judge them."""
-    long_ = "".join(f"Sentence {i} has its own number {i * 7919} and goes on for a while. " for i in range(3000))
-    rows = [*EDGE, (40, long_, "en"), (41, long_.upper(), "en"), (42, long_, None), (42, long_, None), (43, None, "en"), (None, long_[:9000], "en")]
+    rng = random.Random(8)
+    long_ = "".join(" ".join(rng.choice(["the", "of", "and", f"word{rng.randrange(9999)}", f"more{rng.randrange(9999)}"]) for _ in range(12)) + ". "
+                    for _ in range(3000))
+    rows = [*EDGE, (40, long_, "en"), (41, long_.replace("the", "THE", 5), "en"), (42, long_, None), (42, long_, None), (43, None, "en"), (None, long_[:9000], "en")]
     frame = rows_of(spark, rows)
     kept = Counter((r.doc_id, r.text) for r in quality.quality_rules(frame).where("kept").collect())
     assert kept[42, long_] == 2 and not any(not (t or "").strip() for _, t in kept)
