@@ -114,6 +114,10 @@ def _joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Bits a rule of the candidates' broadcast: at most CANDIDATE_BITS / 64 rows of a long a rule, whatever the corpus.
+CANDIDATE_BITS = 1 << 22
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """(bit, doc_id): which of the trigrams (by place in the list) each lower-cased text holds."""
     low = docs.select("doc_id", F.lower("text").alias("t"))
@@ -142,6 +146,7 @@ def scan_secrets(docs: DataFrame, carry: list[str] | None = None, more: tuple[Ru
     masks = index.groupBy("doc_id").agg(*[
         F.bit_or(F.expr(f"case when bit div 63 = {w} then shiftleft(1L, bit % 63) else 0L end")).alias(f"_m{w}") for w in range(len(words))])
     at = {t: divmod(i, 63) for i, t in enumerate(trigrams)}
+    slot = F.pmod(F.xxhash64("_id"), F.lit(CANDIDATE_BITS))
 
     def holds(query: list[frozenset[str]]) -> Column:
         out = F.lit(False)
@@ -154,11 +159,19 @@ def scan_secrets(docs: DataFrame, carry: list[str] | None = None, more: tuple[Ru
         return out
 
     indexed = [i for i, q in enumerate(queries) if q]
-    found = masks.select(F.col("doc_id").alias("_key"), *[holds(queries[i]).alias(f"_c{i}") for i in indexed])
-    any_ = " or ".join(f"_c{i}" for i in indexed)
+    found = masks.select(F.col("doc_id").alias("_id"), *[holds(queries[i]).alias(f"_c{i}") for i in indexed])
+    # each rule's candidates as bits of hashed ids, 64 a row: a broadcast of bounded size, and no text is
+    # shuffled; ids that share a bit are verified for nothing
+    bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    sets = (found.where(" or ".join(f"_c{i}" for i in indexed) or "false").withColumn("_slot", slot)
+            .groupBy((F.col("_slot") / 64).cast("long").alias("_word"))
+            .agg(F.count(F.lit(1)).alias("_n"), *[F.bit_or(F.when(F.col(f"_c{i}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"_b{i}") for i in indexed]))
+    sets = store(sets.drop("_n"), "secret-candidates")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col("doc_id").alias("_id"),
                        F.coalesce("text", F.lit("")).alias("_t"))
-    rows = rows.join(found.where(any_), F.col("_id") == F.col("_key"), "left")
+    rows = rows.withColumn("_slot", slot).join(F.broadcast(sets), (F.col("_slot") / 64).cast("long") == F.col("_word"), "left")
+    for i in indexed:
+        rows = rows.withColumn(f"_c{i}", F.expr(f"(shiftrightunsigned(coalesce(_b{i}, 0L), cast(_slot % 64 as int)) & 1L) = 1L"))
     for i, r in enumerate(rules):
         spans = _spans(r, i)
         if i in indexed:
