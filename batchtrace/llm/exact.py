@@ -11,18 +11,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from batchtrace.llm.shared import ascii_lower, store
 
-#: Bits per hash function. The filter has at most 2 * BITS / 64 rows of two longs (8 MB here),
-#: whatever the corpus; with more rows only more unrepeated rows are shuffled.
-BITS = 1 << 24
+#: Bits per hash function and row, and bits per hash function at most: the filter's broadcast has at most
+#: 2 * MAX_BITS / 64 rows of two longs (64 MB), whatever the corpus. From about 10^8 rows on that many bits
+#: fill up, and more unrepeated rows are shuffled; the result stays the same.
+BITS_PER_ROW, MAX_BITS = 64, 1 << 27
 
 
-def exact_dedup(docs: DataFrame, carry: list[str] | None = None, bits: int = BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, carry: list[str] | None = None, bits: int | None = None) -> DataFrame:
     """``carry`` columns (default: all) of every row plus keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the
     largest doc_id stays; of several rows with that same doc_id exactly one stays; null doc_ids
     rank below all others (keep_id is null if the group has no other). An empty table gives an
     empty result. Input columns with the names of result columns are replaced; others pass.
+    ``bits`` (a power of two) of the filter follow the number of rows by default.
     """
     added = ["keep_id", "group_size", "kept", "text_sha256"]
     cols = [c for c in (docs.columns if carry is None else carry) if c not in added]
@@ -30,6 +32,8 @@ def exact_dedup(docs: DataFrame, carry: list[str] | None = None, bits: int = BIT
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col("doc_id").alias("_id"),
                        F.sha2(text, 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_rid"))
     rows = store(rows, "exact-rows")
+    if bits is None:
+        bits = min(MAX_BITS, 1 << max(16, (BITS_PER_ROW * rows.count()).bit_length()))
 
     h = F.xxhash64("text_sha256")
     slots = [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)) + bits]
