@@ -310,3 +310,30 @@ def test_file_problems_name_each_drifted_file(spark):
         ("pellet_bag_assignees", "more", "extra_column", None, "int"), ("user_roles", "", "missing_table", None, None)]
     files = {r.column_name: r.file for r in got if r.file}
     assert files["email"] == files["more"] != files["created_by"]
+
+
+def test_ingredients_imports_and_partners_share_their_counters(spark):
+    """An imported SKU raises the sequence that the next new ingredient gets; partner codes follow each other."""
+    from batchtrace.session import checkpoint_dir
+    from batchtrace.sources import registries as R
+    from batchtrace.streaming import register_stream as ST
+    base = {n: spark.createDataFrame([], S.SCHEMAS[n]) for n in S.SCHEMAS}
+    state_dir = os.path.join(checkpoint_dir(spark), "stream-ingredients")
+    cols = ("request_id long, submitted_at timestamp_ntz, category_code long, trade_name_inci string, supplier string, "
+            "spec_grade string, format string, pack_size_value long, pack_size_unit string, actor string")
+    item = lambda i, name: (i, T, 1, name, "sup", None, R.FORMAT_VALUES[0], 5, "kg", "u")
+    run = lambda kind, frame, n: ST._process(kind, base, state_dir, "2026-02-01 00:00:00")(frame, n)
+    run("ingredients", spark.createDataFrame([item(1, "first")], cols), 0)
+    known = ST.StreamState(spark, base, state_dir)["ingredients"].first()
+    assert known.seq == 1
+    sku = known.sku.replace("0001", "0041")
+    run("imports", spark.createDataFrame([(*item(2, "imported"), sku)], cols + ", sku string"), 0)
+    run("ingredients", spark.createDataFrame([item(3, "next"), item(4, "first")], cols), 1)
+    out = {r.request_id: (r.outcome, r.sku, r.rule) for r in ST.read_outcomes(spark, state_dir).collect()}
+    assert out["2"] == ("created", sku, None) and out["4"] == ("rejected", None, "duplicate")
+    assert out["3"][1] == known.sku.replace("0001", "0042")
+    names = "request_id long, submitted_at timestamp_ntz, partner_name string, machine_specification string, actor string"
+    for n in (0, 1):
+        run("partners", spark.createDataFrame([(10 + n, T, f"P{n}", None, "u")], names), n)
+    codes = [r.partner_code for r in ST.read_outcomes(spark, state_dir, "partners").orderBy("commit").collect()]
+    assert len(set(codes)) == 2 and codes == sorted(codes)
