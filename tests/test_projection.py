@@ -5,6 +5,7 @@ import tempfile
 
 import pytest
 
+from batchtrace.plans import lineage as LN
 from batchtrace.sources import tpch
 
 T = dt.datetime(1998, 5, 6)
@@ -47,3 +48,13 @@ def test_heads_and_parts_that_come_twice(spark, raw):
     assert {r.request_id: [i.ingredient_batch_code for i in r["items"]] for r in t.req_variants.collect()} == {
         1: ["B8", "B8", "B7", "B7"], 2: ["B9", "B9"]}
     assert sorted((r.request_id, r.bag_mass_kg) for r in t.req_bags.collect()) == [(1, 40.0), (1, 40.0), (2, 10.0)]
+
+
+def test_sku_summary_does_not_shuffle_its_result(spark, raw):
+    t = tpch.domain(spark, raw)
+    twice = {n: t[n].unionByName(t[n]) for n in ("pellet_bags", "compounding_how", "batch_variant_items", "batch_variants", "ingredients")}
+    got = LN.sku_summary_bags(twice)
+    want = LN.sku_summary_bags(t)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) == sorted(set(map(str, want.collect())))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Join" in " ".join(plan[:2])
