@@ -5,8 +5,10 @@ import tempfile
 
 import pytest
 
+from batchtrace.operators import search_index as SI
 from batchtrace.plans import lineage as LN
 from batchtrace.sources import tpch
+from pyspark.sql import functions as F
 
 T = dt.datetime(1998, 5, 6)
 
@@ -58,3 +60,12 @@ def test_sku_summary_does_not_shuffle_its_result(spark, raw):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) == sorted(set(map(str, want.collect())))
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert "Join" in " ".join(plan[:2])
+
+
+def test_postings_hold_a_key_once_and_are_not_shuffled(spark):
+    rows = spark.range(SI.BLOCK + 10).select(F.col("id"), F.concat(F.lit("some code "), F.col("id").cast("string")).alias("code")).coalesce(1)
+    posted = SI.postings(rows, "id", [F.col("code")])
+    assert posted.where("gram IS NULL").agg(F.sum(F.size("keys"))).first()[0] == SI.BLOCK + 10
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+    found = SI.candidates(posted, SI.gram_counts(posted), "code 4100")
+    assert "4100" in [r.key for r in found.collect()]
