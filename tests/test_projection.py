@@ -37,6 +37,17 @@ def test_order_tables_are_shaped_without_shuffles(spark, raw):
     assert [n for n in names if "Exchange" in t[n]._jdf.queryExecution().executedPlan().toString()] == []
 
 
+def test_partitions_follow_the_size_of_the_raw_tables(spark, raw, monkeypatch):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(tpch, "PARTITION_BYTES", 64)
+    store = tpch.StoredDomain(spark, raw, tempfile.mkdtemp(prefix="bt-parts-"))
+    assert store._partitions() > int(was)
+    seen = []
+    monkeypatch.setattr(type(store), "_path", lambda self, name: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or f"{self.root}/{name}")
+    assert store.pellet_bags.count() == 6
+    assert max(seen) == store._partitions() and spark.conf.get("spark.sql.shuffle.partitions") == was
+
+
 def test_heads_and_parts_that_come_twice(spark, raw):
     t = tpch.domain(spark, raw)
     items = sorted((r.set_code, r.sku, str(r.wt_percent)) for r in t.dry_weight_items.collect())
