@@ -58,11 +58,12 @@ def weight_items_by_key(headers: DataFrame, items: DataFrame) -> DataFrame:
             .groupBy(*keys).agg(_sorted_items("sku", "wt_percent").alias("items")))
 
 
-def batch_variants(headers: DataFrame, items: DataFrame) -> DataFrame:
+def batch_variants(headers: DataFrame, items: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """L3 base (v_batch_variants): items = [struct(sku, ingredient_batch_code)] ordered by SKU.
-    ``created_by`` is a group key and also the any-value output (A4)."""
+    ``created_by`` is a group key and also the any-value output (A4). ``more`` names columns of
+    ``headers`` to keep, which depend on its own columns."""
     keys = ["set_code", "weight_code", "batch_variant_code"]
-    head = keys + ["batch_hash", "created_at", "created_by"]
+    head = keys + ["batch_hash", "created_at", "created_by", *more]
     return (headers.select(*head)
             .join(items.select(*keys, "sku", "ingredient_batch_code"), keys)
             .groupBy(*head)
@@ -84,13 +85,13 @@ def aligned_weights(skus, weight_items) -> F.Column:
     return F.transform(skus, lambda s: F.struct(s.alias("sku"), weight_for(weight_items, s).alias("wt_percent")))
 
 
-def formulations_flat(bv: DataFrame, wv: DataFrame) -> DataFrame:
+def formulations_flat(bv: DataFrame, wv: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """L4 (v_formulations_flat): batch variants left-joined to their dry weights.
 
     ``bv`` is :func:`batch_variants`; ``wv`` is :func:`weight_items_by_key` (or
     :func:`weight_variants`): only its (set_code, weight_code, items) are read.
-    A formulation without a weight variant keeps NULL weights."""
-    b = bv.select("set_code", "weight_code", "batch_variant_code", "created_at", "created_by",
+    A formulation without a weight variant keeps NULL weights. ``more`` columns of ``bv`` are kept."""
+    b = bv.select("set_code", "weight_code", "batch_variant_code", "created_at", "created_by", *more,
                   sku_list("items").alias("sku_list"),
                   F.col("items").alias("batch_items"))
     w = wv.select("set_code", "weight_code", F.col("items").alias("_w_items"))
@@ -101,13 +102,14 @@ def formulations_flat(bv: DataFrame, wv: DataFrame) -> DataFrame:
         "created_at", "created_by", "sku_list",
         array_size("sku_list").cast("int").alias("sku_count"),
         "batch_items",
-        aligned_weights(F.col("sku_list"), F.col("_w_items")).alias("dry_weight_items"))
+        aligned_weights(F.col("sku_list"), F.col("_w_items")).alias("dry_weight_items"), *more)
 
 
-def formulations(t) -> DataFrame:
-    """L4 over a table set ``t`` (anything indexable by table name)."""
-    return formulations_flat(batch_variants(t["batch_variants"], t["batch_variant_items"]),
-                             weight_items_by_key(t["dry_weight_variants"], t["dry_weight_items"]))
+def formulations(t, more: tuple[str, ...] = ()) -> DataFrame:
+    """L4 over a table set ``t`` (anything indexable by table name), with ``more`` columns of its
+    batch variant headers."""
+    return formulations_flat(batch_variants(t["batch_variants"], t["batch_variant_items"], more),
+                             weight_items_by_key(t["dry_weight_variants"], t["dry_weight_items"]), more)
 
 
 def sets(t) -> DataFrame:
