@@ -182,3 +182,11 @@ def test_numbering_moves_the_rows_once(spark):
         assert r._seq0 == came.get(r.s, 0)
         came[r.s] = came.get(r.s, 0) + r.w
     assert sequence_within(df.limit(0), ["s"], ["id"]).count() == 0
+
+
+def test_pinned_rows_are_tables_of_which_columns_are_read(spark):
+    from batchtrace.session import pin
+    got = pin(spark.range(5).select("id", F.struct(F.lit(1).alias("a")).alias("s"), F.lit("x").alias("wide")))
+    plan = got.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan and got.where("id > 2 and s.a = 1").count() == 2
+    assert pin(spark.range(3).select("id", F.lit(None).alias("nothing"))).count() == 3  # Parquet has no such type

@@ -106,3 +106,8 @@ def test_sku_and_percentage_texts(spark):
     centi = tpch._centi(F.col("qty"))
     text = F.format_string("%d.%02d", F.floor(centi / 100).cast("long"), centi % 100).cast("decimal(38,9)")
     assert q.where(~tpch._wt_percent(F.col("qty")).eqNullSafe(text)).count() == 0
+
+
+def test_batches_are_shuffled_by_part_once(spark, raw):
+    plan = tpch.TpchDomain(spark, raw).ingredient_batches._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hash" in x and "l_suppkey" in x.split("),")[0]]

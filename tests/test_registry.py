@@ -210,3 +210,17 @@ def test_masked_weights_join_access_to_the_headers(spark):
     access = spark.createDataFrame([("u", True), ("u", False), ("v", False), ("x", True)], "email string, can_view_dry_weights boolean")
     got = masked(t, access).select("batch_variant_code", F.col("dry_weight_items").isNotNull().alias("seen")).collect()
     assert sorted((r[0], r[1]) for r in got) == [("A", False), ("A", True), ("B", False), ("C", False), ("D", False)]
+
+
+def test_products_get_their_seq_by_row_id(spark):
+    names = "sku string, category_code long, seq long, pack_size_value long, pack_size_unit string, trade_name_inci string, supplier string, spec_grade string, format string"
+    ing = spark.createDataFrame([("1_0007_5", 1, 7, 5, "kg", "known", "s", None, "Powder")], names)
+    rows = [(1, "known", 5), (2, "known", 6), (3, "new", 5), (4, "new", 5), (5, "new", 9), (6, "other", 5), (7, "known", 6)]
+    req = spark.createDataFrame([(str(i), T + dt.timedelta(hours=i), 1, n, "s", None, "Powder", p, "kg", "u") for i, n, p in rows],
+                                "request_id string, submitted_at timestamp_ntz, category_code long, trade_name_inci string, supplier string, "
+                                "spec_grade string, format string, pack_size_value long, pack_size_unit string, actor string")
+    acc, rej, new = M.register_ingredients(req, state(spark, ingredients=ing), AS_OF)
+    assert sorted((r.request_id, r.seq, r.sku) for r in acc.collect()) == [
+        ("2", 7, "1_0007_6"), ("3", 1, "1_0001_5"), ("5", 1, "1_0001_9"), ("6", 2, "1_0002_5")]
+    assert sorted(r.request_id for r in rej.collect()) == ["1", "4", "7"]
+    assert "trade_name_inci" not in acc._jdf.queryExecution().executedPlan().toString() and new["ingredients"].count() == 4
