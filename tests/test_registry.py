@@ -224,3 +224,36 @@ def test_products_get_their_seq_by_row_id(spark):
         ("2", 7, "1_0007_6"), ("3", 1, "1_0001_5"), ("5", 1, "1_0001_9"), ("6", 2, "1_0002_5")]
     assert sorted(r.request_id for r in rej.collect()) == ["1", "4", "7"]
     assert "trade_name_inci" not in acc._jdf.queryExecution().executedPlan().toString() and new["ingredients"].count() == 4
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_codes_are_given_without_the_recipes(spark):
+    st = state(spark, ingredients=spark.createDataFrame([("a",), ("b",)], "sku string"))
+    req = spark.createDataFrame([(1, T, ["b", "a"], None, None, "u"), (1, T, ["x"], None, None, "u"), (2, T, ["a", "b", "b"], None, None, "u")],
+                                "request_id long, submitted_at timestamp_ntz, skus array<string>, notes string, material_workstream string, actor string")
+    acc, rej, new = M.register_sets(req, st, AS_OF)
+    assert "skus" not in _plan(acc) and "skus" not in _plan(rej)
+    # checks are reported by request id, which may come twice
+    assert sorted((r.request_id, r.message) for r in rej.collect()) == [(1, "Unknown SKUs: x")] * 2
+    assert sorted((r.set_code, r.sku) for r in new["ingredient_set_items"].collect()) == [("AB", "a"), ("AB", "b"), ("AB", "b")]
+
+
+def test_items_outside_their_scope_are_listed_in_order(spark):
+    variant = ("S", "AA", "h", T, None, None)
+    wv = spark.createDataFrame([variant, variant, ("S", "AB", "h", T, None, None)], SCHEMAS["dry_weight_variants"])
+    wi = spark.createDataFrame([("S", "AA", "a"), ("S", "AA", "a"), ("S", "AA", None)], "set_code string, weight_code string, sku string")
+    ib = spark.createDataFrame([("a", "B"), ("b", "B"), ("c", "B")], "sku string, ingredient_batch_code string")
+    items = [("c", "B"), ("a", "B"), ("b", "B"), ("c", "B")]
+    req = spark.createDataFrame([(1, T, "S", "AA", items, "u"), (2, T, "S", "AB", items[:1], "u"), (3, T, "S", "ZZ", items, "u"),
+                                 (4, T, "S", "AA", items[1:2], "u"), (5, T, None, "AA", items, "u")],
+                                "request_id long, submitted_at timestamp_ntz, set_code string, weight_code string, "
+                                "items array<struct<sku:string,ingredient_batch_code:string>>, actor string")
+    acc, rej, _ = M.register_batch_variants(req, state(spark, dry_weight_variants=wv, dry_weight_items=wi, ingredient_batches=ib), AS_OF, start=0)
+    assert "items" not in _plan(acc)
+    assert [(r.request_id, r.batch_variant_code) for r in acc.collect()] == [(4, "AA")]
+    assert {r.request_id: r.message for r in rej.collect()} == {
+        1: "SKUs not in dry weight variant: c, b, c", 2: "SKUs not in dry weight variant: c",
+        3: "dry weight variant does not exist", 5: "dry weight variant does not exist"}
