@@ -190,3 +190,27 @@ def test_pinned_rows_are_tables_of_which_columns_are_read(spark):
     plan = got.select("id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint>" in plan and got.where("id > 2 and s.a = 1").count() == 2
     assert pin(spark.range(3).select("id", F.lit(None).alias("nothing"))).count() == 3  # Parquet has no such type
+
+
+def test_bags_of_a_sku_are_shuffled_once(spark):
+    from batchtrace.plans import lineage as LN
+    form, at = "set_code string, weight_code string, batch_variant_code string", "2026-01-01"
+    t = {"batch_variants": spark.createDataFrame([("S", "A", "A"), ("S", "A", "B")], form).withColumn("created_at", F.lit(at)),
+         "batch_variant_items": spark.createDataFrame([("S", "A", "A", "x"), ("S", "A", "A", "X"), ("S", "A", "B", "x"), ("S", "A", "C", "x"), ("S", "A", "B", "y")],
+                                                      form + ", sku string"),
+         "ingredients": spark.createDataFrame([("X",), ("X",), ("y",)], "sku string"),
+         "compounding_how": spark.createDataFrame([("h1", "S A A P 1"), ("h1", "S A B P 1"), ("h1", "S A B P 2"), ("h2", "S A"), (None, "S A A")],
+                                                  "processing_code string, location_code string"),
+         "pellet_bags": spark.createDataFrame([("1", "b1", "h1", True), ("1", "b1", "h1", True), ("2", "b2", "h1", False), ("3", "b3", "h2", True), ("4", "b4", None, True)],
+                                              "pellet_bag_id string, pellet_bag_code string, compounding_how_code string, is_active boolean")
+         .withColumn("updated_at", F.lit(at)).withColumn("created_at", F.lit(at))}
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = LN.sku_summary_bags(t)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.requested_sku, r.pellet_bag_id) for r in out.collect()) == [("X", "1"), ("y", "1")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sum("Exchange hash" in line and "pellet_bag_id" not in line and "compounding_how_code" in line for line in plan.splitlines()) == 2
+    assert plan.count("Exchange hash") <= 8
