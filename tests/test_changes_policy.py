@@ -132,3 +132,21 @@ def test_spec_sheet_does_not_stamp_the_actor(spark):
                                "sku string, ingredient_batch_code string, object_path string, uploaded_at timestamp_ntz, actor string")
     row = CH.set_document(b, up, ["sku", "ingredient_batch_code"], "spec", "2026-02-01 00:00:00")[0].first()
     assert (row.spec_object_path, row.updated_by) == ("p2", "old") and row.updated_at == dt.datetime(2026, 2, 1)
+
+
+def test_only_rows_that_may_change_are_shuffled(spark):
+    bags = spark.createDataFrame([(f"b{i % 30}", float(i), i % 7 > 0) for i in range(60)] + [(None, 1.0, True)], "k string, v double, is_active boolean")
+    changes = spark.createDataFrame([("b1", 100.0, 1), ("b1", None, 2), (None, 7.0, 1), ("b9", 5.0, 1), ("zz", 5.0, 1)], "k string, v double, submitted_at long")
+    new, counts = CH.patch_keep_null(bags, changes, ["k"], ["v"], None)
+    want = [(k, {"b1": 100.0, "b9": 5.0}.get(k, v) if a else v, a) for k, v, a in map(tuple, bags.collect())]
+    assert sorted(map(str, map(tuple, new.collect()))) == sorted(map(str, want)) and counts.first().updated == sum(a and k in ("b1", "b9") for k, _, a in want)
+    assert "Union" in new._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sets_to_be_deleted_are_found_once(spark):
+    sets = spark.createDataFrame([(f"S{i}",) for i in range(20)] + [(None,), ("S1",)], "set_code string")
+    deps = spark.createDataFrame([("S2", "weights", 1), ("S3", "weights", 0)], "set_code string, source string, n long")
+    kept, items, _ = CH.delete_sets(sets, sets, spark.createDataFrame([("S1",), ("S2",), ("S3",), (None,)], "set_code string"), deps)
+    want = sorted(str(f"S{i}") for i in range(20) if i not in (1, 3)) + ["None"]
+    assert sorted(str(r.set_code) for r in kept.collect()) == sorted(want) == sorted(str(r.set_code) for r in items.collect())
+    assert "Union" in kept._jdf.queryExecution().optimizedPlan().toString()

@@ -214,3 +214,16 @@ def test_bags_of_a_sku_are_shuffled_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert sum("Exchange hash" in line and "pellet_bag_id" not in line and "compounding_how_code" in line for line in plan.splitlines()) == 2
     assert plan.count("Exchange hash") <= 8
+
+
+def test_only_rows_whose_key_is_named_are_shuffled(spark):
+    from batchtrace.operators import joins as J
+    rows = spark.range(200).select(F.when(F.col("id") % 50 > 0, F.concat(F.lit("k"), (F.col("id") % 100).cast("string"))).alias("k"), "id")
+    named = spark.createDataFrame([("k1",), ("k1",), (None,), ("k77",), ("none",)], "k string")
+    near, far = J.split_by_keys(rows, named, ["k"])
+    assert near.count() + far.count() == 200 and far.count() > 180
+    assert far.where(F.col("k").isin("k1", "k77")).count() == 0
+    for got, how in ((J.semi_join(rows, named, ["k"]), "left_semi"), (J.anti_join(rows, named, ["k"]), "left_anti")):
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in rows.join(named, "k", how).collect())
+    # equal keys of two types have other hashes: nothing is told apart
+    assert J.split_by_keys(spark.range(3), spark.range(3).select(F.col("id").cast("int").alias("id")), ["id"])[1] is None
