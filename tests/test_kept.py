@@ -172,3 +172,11 @@ def test_rows_of_one_scope_are_not_shuffled_to_its_counter(spark):
         assert sorted(r.value for r in sets.collect()) == list(range(1, 21))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_view_rows_that_are_the_only_ones_are_not_shuffled(spark):
+    rows = spark.createDataFrame([("S", "A", str(i), 0, False) for i in range(40)] + [("S", "A", "7", 2, False), ("S", "A", "7", 1, True), ("S", "A", "9", 0, False)],
+                                 "set_code string, weight_code string, batch_variant_code string, version long, gone boolean")
+    got = MV._newest(rows)
+    assert got.count() == 40 and [(r.version, r.gone) for r in got.where("batch_variant_code = '7'").collect()] == [(2, False)]
+    assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
