@@ -108,6 +108,20 @@ def test_sku_and_percentage_texts(spark):
     assert q.where(~tpch._wt_percent(F.col("qty")).eqNullSafe(text)).count() == 0
 
 
+def test_sessions_get_the_partitions_that_large_tables_need(spark, raw, monkeypatch):
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        tpch.domain(spark, raw)
+        assert {k: spark.conf.get(k) for k in keys} == was
+        monkeypatch.setattr(tpch, "PARTITION_BYTES", 64)
+        n = tpch.domain(spark, raw)._partitions()
+        assert [spark.conf.get(k) for k in keys] == [str(n), str(tpch.SPLIT_BYTES)] and n > int(was[keys[0]])
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_batches_are_shuffled_by_part_once(spark, raw):
     plan = tpch.TpchDomain(spark, raw).ingredient_batches._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Exchange hash" in x and "l_suppkey" in x.split("),")[0]]
